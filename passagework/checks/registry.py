@@ -165,6 +165,19 @@ def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def chunk_recursive_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """Without overlap the chunks put together are the document, but for white space at the cuts."""
+    pieces = chunk.chunk_recursive(inputs.documents(spark, sf), 300, 0)
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "content")))
+    whole = F.array_join(F.transform(ordered, lambda c: c["content"]), "")
+    return pieces.groupBy("doc_id").agg(
+        F.md5(F.regexp_replace(whole, r"\s", "")).alias("digest"),
+        (F.max(F.length("content")) <= 300).alias("fits"),
+        (F.max("chunk_no") + 1 == F.count(F.lit(1))).alias("dense"),
+    )
+
+
 # ---- projections --------------------------------------------------------------------
 
 

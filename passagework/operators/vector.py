@@ -259,16 +259,24 @@ def knn_exact(
     v = v.select("chunk_id", "vec")
     if k <= 0:
         return topk_per_query(q.sparkSession.createDataFrame([], hit_schema(q, v)), k)
-    floats = q.agg(F.sum(F.greatest(F.size("vec"), F.lit(0)).cast("long")).alias("n")).first()["n"] or 0
-    if floats * 8 <= broadcast_bytes:
+    floats = F.sum(F.greatest(F.size("vec"), F.lit(0)).cast("long"))
+    asked = q.agg(F.count(F.lit(1)).alias("n"), (floats * 8).alias("bytes")).first()
+    if (asked["bytes"] or 0) <= broadcast_bytes:
         hits = score_with_broadcast(q, v, k, metric, decimals)
     else:
-        rows = -(-floats * 8 // max(broadcast_bytes, 1))
-        width = columns or q.sparkSession.sparkContext.defaultParallelism
-        hits = score_cells(*grid_cells(q, v, rows, width), k, metric, decimals)
+        rows = -(-asked["bytes"] // max(broadcast_bytes, 1))
+        columns = columns or grid_columns(q.sparkSession, asked["n"], v.count(), rows)
+        hits = score_cells(*grid_cells(q, v, rows, columns), k, metric, decimals)
     return topk_per_query(hits, k)
 
 
+def grid_columns(spark, n_queries: int, n_vectors: int, rows: int) -> int:
+    """Columns of the grid: one per ``CELL_ROWS`` stored vectors, but no more than move
+    as many query copies as vector copies, and at least one per core."""
+    balanced = rows * n_vectors // max(n_queries, 1)
+    return max(min(n_vectors // CELL_ROWS, balanced), spark.sparkContext.defaultParallelism)
+
+
 def lsh_buckets(df: DataFrame, model, id_col: str, tables: int, hashes: int) -> DataFrame:
     """One row per table: ``bucket`` combines that table's ``hashes`` projections."""
     hashed = model.transform(df.dropna(subset=["vec"]).withColumn("point", array_to_vector(unit(F.col("vec").cast("array<double>")))))
@@ -382,5 +390,8 @@ def ann_ivf(
     """
     q, v = vectors_only(queries, index)
     q = q.withColumn("bucket", F.explode(nearest_centroids(q, "vec", centroids, nprobe)))
+    # At most one value per centroid: known before planning, it prunes the partitions read.
+    probed = [row["bucket"] for row in q.select("bucket").distinct().collect()]
+    v = v.filter(F.col("bucket").isin(probed))
     hits = score_cells(*bucket_cells(q, v, **cells), k, metric, decimals)
     return topk_per_query(hits, k)

@@ -133,10 +133,10 @@ def search(
         index = apply_filters(enrich.with_document_type(index), config).drop("document_type")
 
     hits = find(q, index, config, k, (bool(asked["some"]), bool(asked["every"])), knn, stored_postings)
-    hits = hits.join(q.select("query_id", "query", "limit"), "query_id").filter(F.col("rank") <= F.col("limit"))
-    hits = filters.threshold_filter(hits, config.threshold)
-    # At most k rows per query come back for their content; if that was counted to be
-    # few, they go to the index instead of the index being shuffled to them.
+    hits = hits.join(q.select("query_id", "limit"), "query_id").filter(F.col("rank") <= F.col("limit"))
+    hits = filters.threshold_filter(hits, config.threshold).drop("limit")
+    # At most k rows of ids and scores per query come back for their content; if that was
+    # counted to be few, they go to the index instead of the index being shuffled to them.
     if asked["n"] * k <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
     stored = index.select("chunk_id", "content", "source", "modified_at", "metadata")
@@ -151,6 +151,10 @@ def search(
         results = apply_filters(results, config)
     results = enrich.with_summary(results, config.include_summary)
     results = enrich.with_keywords(results, config.include_keywords)
+    if config.include_relevance:
+        results = results.join(q.select("query_id", "query"), "query_id")
+    else:
+        results = results.withColumn("query", F.lit(None).cast("string"))
     results = enrich.with_relevance(results, config.include_relevance)
     results = enrich.include_metadata(results, config.include_metadata)
     return results.select(*RESULT_COLUMNS)
