@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # The white space of ECMAScript regular expressions beyond the ASCII
 # characters that Java's \s already covers.
-UNICODE_SPACES = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+UNICODE_SPACES = (
+    "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 # Suffix of the lower-cased source -> document type.
 DOCUMENT_TYPES = (
     ((".md", ".mdx"), "markdown"),
@@ -26,8 +29,7 @@ SUMMARY_LENGTH = 100
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, marks, digits and underscores, in text order."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+")
-    return F.filter(words, lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+"), "")
 
 
 def query_text(query: Column, context: Column) -> Column:
@@ -62,9 +64,13 @@ def summary(content: Column) -> Column:
 
 
 def keywords(content: Column) -> Column:
-    """The first five distinct ASCII words of more than three characters."""
-    kept = F.regexp_replace(F.lower(content), rf"[^A-Za-z0-9_\s{UNICODE_SPACES}]", "")
-    words = F.split(kept, rf"[\s{UNICODE_SPACES}]+")
+    """The first five distinct ASCII words of more than three characters.
+
+    All white space is made ASCII first: the regular expressions then need only the
+    predefined classes, which are several times faster than a list of ranges.
+    """
+    plain = F.translate(F.lower(content), UNICODE_SPACES, " " * len(UNICODE_SPACES))
+    words = F.split(F.regexp_replace(plain, r"[^\w\s]", ""), r"\s+")
     long_words = F.filter(words, lambda w: F.length(w) >= KEYWORD_MIN_LENGTH)
     return F.slice(F.array_distinct(long_words), 1, KEYWORD_COUNT)
 

@@ -21,6 +21,7 @@ class BestRows:
         self.k, self.decimals, self.positive = k, decimals, positive
         self.floor = np.full(n_queries, -np.inf)  # k-th best score so far
         self.rows: list[pa.Table] = []
+        self.pending = 0  # rows offered since the last clean-up
 
     def offer(self, first: int, scores: np.ndarray, ids: pa.Array) -> None:
         """Score block of the queries ``first, first + 1, ...`` against ``ids``."""
@@ -33,12 +34,19 @@ class BestRows:
         if self.positive:  # a score of zero means "no hit"
             keep &= scores > 0
         q, row = np.nonzero(keep)
+        self.pending += len(q)
         self.rows.append(
             pa.table({"q": q + first, "score": half_up(scores[q, row], self.decimals), "id": ids.take(pa.array(row))})
         )
 
+    def tidy(self) -> None:
+        """Clean up once as many rows have come in as are worth keeping."""
+        if self.pending >= max(self.k * len(self.floor), 10_000):
+            self.settle()
+
     def settle(self) -> None:
         """Forget what can no longer be among the best."""
+        self.pending = 0
         held = pa.concat_tables(self.rows)
         held = held.take(
             pc.sort_indices(held, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")])
@@ -53,6 +61,7 @@ class BestRows:
     def result(self, query_ids: pa.Array) -> Iterator[pa.RecordBatch]:
         if not self.rows:
             return
+        self.settle()
         held = pa.concat_tables(self.rows).combine_chunks()
         yield from pa.table(
             {

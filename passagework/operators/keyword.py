@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.config import BM25_B, BM25_K1, BROADCAST_BYTES, BROADCAST_ROWS, DEFAULT_LIMIT, SCORE_DECIMALS
+from passagework.config import BM25_B, BM25_K1, BROADCAST_ROWS, DEFAULT_LIMIT, SCORE_DECIMALS
 from passagework.functions import text
 from passagework.functions.vectors import run_lengths
 from passagework.operators.best import BestRows
@@ -25,7 +25,8 @@ from passagework.operators.vector import QUERY_TILE, hit_schema
 # Parts into which the postings of a token are dealt when the query terms are too
 # many to broadcast: a frequent token then occupies this many tasks, not one.
 TOKEN_PARTS = 32
-SCAN_ROWS = 1024  # chunks scored at once inside a task
+PUSHED_TOKENS = 1000
+SCAN_ROWS = 128  # chunks scored at once inside a task
 
 
 def field_tokens(fields: tuple[str, ...]) -> Column:
@@ -73,7 +74,6 @@ def keyword_bm25(
     stored_postings: DataFrame | None = None,
     decimals: int = SCORE_DECIMALS,
     broadcast_rows: int = BROADCAST_ROWS,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The ``k`` best chunks of every query by BM25.
 
@@ -88,17 +88,12 @@ def keyword_bm25(
     if tokenization != "word":
         raise ValueError(f"Unsupported tokenization: {tokenization}")
     terms = query_terms(queries)
-    size = terms.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("query_id").alias("queries"),
-        F.count_distinct("token").alias("tokens"),
-    ).first()
-    if stored_postings is None and size["queries"] * size["tokens"] * 8 <= broadcast_bytes:
+    few = terms.limit(broadcast_rows + 1).count() <= broadcast_rows
+    if few and stored_postings is None:
         hits = scan_chunks(terms, chunks, max(k, 1), k1, b, fields, decimals)
     else:
-        entries = stored_postings if stored_postings is not None else postings(chunks, fields)
-        stats = collection_stats(chunks, fields)
-        hits = join_postings(terms, entries, stats, k1, b, decimals, size["rows"] <= broadcast_rows)
+        entries = postings(chunks, fields) if stored_postings is None else stored_postings
+        hits = join_postings(terms, entries, collection_stats(chunks, fields), k1, b, decimals, few)
     return topk_per_query(hits, k)
 
 
@@ -111,7 +106,11 @@ def join_postings(
     copied to every part of a word's postings.
     """
     wanted = terms.select("token").distinct()
-    entries = entries.join(F.broadcast(wanted) if few else wanted, "token", "left_semi")
+    first = [row["token"] for row in wanted.limit(PUSHED_TOKENS + 1).collect()]
+    if len(first) <= PUSHED_TOKENS:  # few enough to reach the scan of sorted postings
+        entries = entries.filter(F.col("token").isin(first))
+    else:
+        entries = entries.join(F.broadcast(wanted) if few else wanted, "token", "left_semi")
     # One row for the whole collection: a scalar subquery, evaluated once.
     one = stats.select(F.struct("n", "avgdl")).scalar()
     df = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -163,22 +162,20 @@ def scan_chunks(
     seen = {row["token"]: row for row in counted.collect()}
     n, avgdl = (seen[total]["df"], seen[total]["avgdl"]) if total in seen else (0, 0.0)
     pairs = terms.toArrow().combine_chunks()
-    query_ids = pairs["query_id"].unique()
-    vocabulary = pairs["token"].unique()
+    query_ids, vocabulary = pairs["query_id"].unique(), pairs["token"].unique()
+    query = pc.index_in(pairs["query_id"], query_ids).to_numpy()
+    token = pc.index_in(pairs["token"], vocabulary).to_numpy()
+    by_query = np.argsort(query, kind="stable")  # a tile of queries is then a slice
     df = np.array([seen[t]["df"] if t in seen else 0 for t in vocabulary.to_pylist()], dtype=np.float64)
-    weights = np.zeros((len(query_ids), len(vocabulary)))
-    at = (
-        pc.index_in(pairs["query_id"], query_ids).to_numpy(),
-        pc.index_in(pairs["token"], vocabulary).to_numpy(),
-    )
-    weights[at] = np.log(1 + (n - df + 0.5) / (df + 0.5))[at[1]]
-    shared = spark.sparkContext.broadcast((query_ids, vocabulary, weights))
+    weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shared = spark.sparkContext.broadcast((query_ids, vocabulary, query[by_query], token[by_query], weight))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, vocabulary, weights = shared.value
+        query_ids, vocabulary, query, token, weight = shared.value
         if not len(vocabulary):
             return
         best = BestRows(len(query_ids), k, decimals, positive=True)
+        column_of = np.full(len(vocabulary), -1)
         for batch in batches:
             for start in range(0, len(batch), SCAN_ROWS):
                 block = batch.slice(start, SCAN_ROWS)
@@ -189,12 +186,21 @@ def scan_chunks(
                 used, column = np.unique(code[code >= 0], return_inverse=True)
                 if not len(used):
                     continue
-                tf = np.bincount(row * len(used) + column, minlength=len(block) * len(used))
-                tf = tf.reshape(len(block), len(used)).astype(np.float64)
-                gain = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * lengths / avgdl))[:, None])
+                counts = np.bincount(row * len(used) + column, minlength=len(block) * len(used))
+                at = np.flatnonzero(counts)
+                tf, dl = counts[at], lengths[at // len(used)]
+                gain = np.zeros(len(counts))
+                gain[at] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                gain = gain.reshape(len(block), len(used))
+                column_of[used] = np.arange(len(used))
                 for first in range(0, len(query_ids), QUERY_TILE):
-                    best.offer(first, weights[first : first + QUERY_TILE, used] @ gain.T, ids)
-                best.settle()
+                    tile = slice(*np.searchsorted(query, (first, first + QUERY_TILE)))
+                    q, c = query[tile] - first, column_of[token[tile]]
+                    weights = np.zeros((min(QUERY_TILE, len(query_ids) - first), len(used)))
+                    weights[q[c >= 0], c[c >= 0]] = weight[token[tile][c >= 0]]
+                    best.offer(first, weights @ gain.T, ids)
+                column_of[used] = -1
+                best.tidy()
         yield from best.result(query_ids)
 
     return words.mapInArrow(score, hit_schema(terms, chunks))

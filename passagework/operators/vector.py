@@ -70,7 +70,7 @@ def similarity(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndar
 def score_block(best: BestRows, queries: np.ndarray, vectors: np.ndarray, ids: pa.Array, metric: str) -> None:
     for first in range(0, len(queries), QUERY_TILE):
         best.offer(first, similarity(queries[first : first + QUERY_TILE], vectors, metric), ids)
-    best.settle()
+    best.tidy()
 
 
 # ---- scoring plans ------------------------------------------------------------------
@@ -259,13 +259,14 @@ def knn_exact(
     v = v.select("chunk_id", "vec")
     if k <= 0:
         return topk_per_query(q.sparkSession.createDataFrame([], hit_schema(q, v)), k)
-    floats = F.sum(F.greatest(F.size("vec"), F.lit(0)).cast("long"))
-    asked = q.agg(F.count(F.lit(1)).alias("n"), (floats * 8).alias("bytes")).first()
-    if (asked["bytes"] or 0) <= broadcast_bytes:
+    n_queries = q.count()
+    one = q.dropna(subset=["vec"]).select(F.size("vec").alias("dim")).first()
+    query_bytes = n_queries * (one["dim"] if one else 0) * 8
+    if query_bytes <= broadcast_bytes:
         hits = score_with_broadcast(q, v, k, metric, decimals)
     else:
-        rows = -(-asked["bytes"] // max(broadcast_bytes, 1))
-        columns = columns or grid_columns(q.sparkSession, asked["n"], v.count(), rows)
+        rows = -(-query_bytes // max(broadcast_bytes, 1))
+        columns = columns or grid_columns(q.sparkSession, n_queries, v.count(), rows)
         hits = score_cells(*grid_cells(q, v, rows, columns), k, metric, decimals)
     return topk_per_query(hits, k)
 

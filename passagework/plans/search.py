@@ -79,28 +79,24 @@ def find(
     index: DataFrame,
     config: SearchConfig,
     k: int,
-    hybrid: tuple[bool, bool],
+    hybrid: bool,
     knn: Callable[..., DataFrame],
     stored_postings: DataFrame | None,
 ) -> DataFrame:
-    """The ``k`` best hits per query; ``hybrid`` tells whether some / all queries want fusion."""
-    some, every = hybrid
-    if not some:
+    """The ``k`` best hits per query; ``hybrid`` tells whether any query wants fusion.
+
+    Vectors are scanned once for all queries, fused or not.
+    """
+    if not hybrid:
         return knn(queries, index, k, config.metric)
     depth = max(k, config.candidate_depth)
-    wanted = queries.filter("use_hybrid")
-    fused = fuse(
-        knn(wanted, index, depth, config.metric),
-        keyword_bm25(
-            wanted.select("query_id", F.col("search_text").alias("query")),
-            index,
-            depth,
-            stored_postings=stored_postings,
-        ),
+    wanted = queries.filter("use_hybrid").select("query_id", F.col("search_text").alias("query"))
+    return fuse(
+        knn(queries, index, depth, config.metric),
+        keyword_bm25(wanted, index, depth, stored_postings=stored_postings),
         k,
-        wanted.select("query_id", "alpha"),
+        queries.select("query_id", F.when(F.col("use_hybrid"), F.col("alpha")).alias("alpha")),
     )
-    return fused if every else fused.unionByName(knn(queries.filter("not use_hybrid"), index, k, config.metric))
 
 
 def search(
@@ -123,8 +119,7 @@ def search(
     asked = q.agg(
         F.count(F.lit(1)).alias("n"),
         F.max("limit").alias("k"),
-        F.bool_or("use_hybrid").alias("some"),
-        F.bool_and("use_hybrid").alias("every"),
+        F.bool_or("use_hybrid").alias("hybrid"),
     ).first()
     k = max(asked["k"] or 0, 0)
     if "query_vec" not in q.columns:
@@ -132,7 +127,7 @@ def search(
     if config.filter_mode == "pre":
         index = apply_filters(enrich.with_document_type(index), config).drop("document_type")
 
-    hits = find(q, index, config, k, (bool(asked["some"]), bool(asked["every"])), knn, stored_postings)
+    hits = find(q, index, config, k, bool(asked["hybrid"]), knn, stored_postings)
     hits = hits.join(q.select("query_id", "limit"), "query_id").filter(F.col("rank") <= F.col("limit"))
     hits = filters.threshold_filter(hits, config.threshold).drop("limit")
     # At most k rows of ids and scores per query come back for their content; if that was

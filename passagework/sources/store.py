@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.config import BROADCAST_ROWS
-from passagework.operators.keyword import postings
+from passagework.operators.keyword import TOKEN_PARTS, postings
 from passagework.schema import INDEX, POSTINGS, ensure_schema
 from passagework.sources.files import file_system, path_exists
 
@@ -95,13 +95,14 @@ def append_index(
 
 
 def write_postings(chunks: DataFrame, path: str, fields: tuple[str, ...] = ("content",)) -> None:
-    """Save the postings of ``chunks``, sorted by word.
+    """Save the postings of ``chunks``, sorted by word inside each file.
 
-    The range of a frequent word is split by chunk id, so it spreads over several
-    files; row-group statistics let a search skip the words it does not need.
+    A word is dealt over ``TOKEN_PARTS`` tasks by chunk id, so a frequent one is no
+    bottleneck; row-group statistics let a search skip the words it does not need.
     """
     entries = ensure_schema(postings(chunks, fields), POSTINGS, ("token", "chunk_id"))
-    ordered = entries.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id")
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(TOKEN_PARTS))
+    ordered = entries.repartition(F.col("token"), part).sortWithinPartitions("token")
     replace_directory(chunks.sparkSession, path, lambda target: ordered.write.parquet(target))
 
 
