@@ -204,7 +204,7 @@ def bucket_cells(
         F.ceil(F.col("n_vectors") / cell_rows).cast("int").alias("parts"),
         F.ceil(F.col("n_queries") / cell_queries).cast("int").alias("blocks"),
     )
-    layout = broadcast_if_small(layout)
+    layout = computed_if_small(layout)
     q = (
         queries.join(layout, "bucket")
         .withColumn("block", one_of("query_id", F.col("blocks")))
@@ -219,10 +219,13 @@ def bucket_cells(
     return q.select(cell, "query_id", "vec"), v.select(cell, "chunk_id", "vec")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to have at most ``rows`` rows."""
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+def computed_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` computed once and marked for broadcast if it has at most ``rows`` rows.
+
+    Otherwise it stays a plan, joined by shuffling.
+    """
+    head = df.limit(rows + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema)) if len(head) <= rows else df
 
 
 # ---- operators ----------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.config import BROADCAST_ROWS
-from passagework.operators.keyword import TOKEN_PARTS, postings
+from passagework.operators.keyword import postings
 from passagework.schema import INDEX, POSTINGS, ensure_schema
 from passagework.sources.files import file_system, path_exists
 
@@ -97,12 +97,12 @@ def append_index(
 def write_postings(chunks: DataFrame, path: str, fields: tuple[str, ...] = ("content",)) -> None:
     """Save the postings of ``chunks``, sorted by word inside each file.
 
-    A word is dealt over ``TOKEN_PARTS`` tasks by chunk id, so a frequent one is no
-    bottleneck; row-group statistics let a search skip the words it does not need.
+    A file holds all words of some chunks, not all chunks of some words: nothing is
+    shuffled, a frequent word is spread over all files, and a search adds up most of a
+    chunk's score where it reads it.  Row-group statistics let it skip other words.
     """
     entries = ensure_schema(postings(chunks, fields), POSTINGS, ("token", "chunk_id"))
-    part = F.pmod(F.xxhash64("chunk_id"), F.lit(TOKEN_PARTS))
-    ordered = entries.repartition(F.col("token"), part).sortWithinPartitions("token")
+    ordered = entries.sortWithinPartitions("token", "chunk_id")
     replace_directory(chunks.sparkSession, path, lambda target: ordered.write.parquet(target))
 
 
