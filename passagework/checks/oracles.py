@@ -160,15 +160,13 @@ SQL = {
     "index_stats": f"""WITH {CHUNKS} SELECT split_part(source, '/', 2) AS source, count(DISTINCT doc_id) AS n_documents,
   count(*) AS n_chunks, round(avg(length(content)), 6) AS avg_length, max(length(content)) AS max_length
   FROM chunks GROUP BY ALL""",
-    "results_json": f"""WITH turns AS (
-    SELECT conv_id AS query_id, turn, text AS content, role AS source,
-           CAST(length(text) % 89 / 100.0 + 0.1 AS DOUBLE) AS score FROM conversations),
-  split AS MATERIALIZED (SELECT *, {LONG_WORDS} AS ws FROM turns)
-  SELECT query_id, '{{"results":[' || string_agg('{{"content":' || CAST(to_json(content) AS VARCHAR) ||
+    "results_json": f"""WITH hits AS ({neighbours(5)}),
+  split AS MATERIALIZED (SELECT doc_id, {LONG_WORDS.replace('content', 'text')} AS ws FROM documents)
+  SELECT query_id, '{{"results":[' || string_agg('{{"content":' || CAST(to_json(text) AS VARCHAR) ||
     ',"score":' || score || ',"source":' || CAST(to_json(source) AS VARCHAR) ||
-    CASE WHEN turn % 2 = 0 THEN ',"startLine":' || turn ELSE '' END ||
-    ',"keywords":' || CAST(to_json({first_distinct('ws')}) AS VARCHAR) || '}}', ',' ORDER BY turn) || ']}}' AS response
-  FROM split GROUP BY query_id""",
+    CASE WHEN doc_id % 2 = 0 THEN ',"startLine":' || n_chars ELSE '' END ||
+    ',"keywords":' || CAST(to_json({first_distinct('ws')}) AS VARCHAR) || '}}', ',' ORDER BY rank) || ']}}' AS response
+  FROM hits JOIN documents ON chunk_id = doc_id JOIN split USING (doc_id) GROUP BY query_id""",
     "chunk_fixed": f"WITH {CHUNKS} SELECT chunk_id, doc_id, chunk_no, source, content FROM chunks",
     "chunk_recursive_cover": r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id,
   md5(regexp_replace(text, '\s', '', 'g')) AS digest, true AS fits, true AS dense FROM documents""",

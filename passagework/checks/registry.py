@@ -138,16 +138,15 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def results_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests with as many results as a conversation has turns, as JSON."""
-    turns = inputs.table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("query_id"),
-        F.col("turn").cast("int").alias("rank"),
+    """The five documents nearest to every vector, as one JSON response per vector."""
+    hits = vector.knn_exact(inputs.vector_queries(spark, sf), inputs.vector_index(spark, sf), 5)
+    texts = inputs.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("chunk_id"),
         F.col("text").alias("content"),
-        (F.length("text") % 89 / 100.0 + 0.1).cast("double").alias("score"),
-        F.col("role").alias("source"),
-        F.when(F.col("turn") % 2 == 0, F.col("turn").cast("int")).alias("start_line"),
+        "source",
+        F.when(F.col("doc_id") % 2 == 0, F.col("n_chars").cast("int")).alias("start_line"),
     )
-    return respond.results_json(enrich.with_keywords(turns))
+    return respond.results_json(enrich.with_keywords(hits.join(texts, "chunk_id")))
 
 
 # ---- chunks -------------------------------------------------------------------------

@@ -25,6 +25,8 @@ BM25_B = 0.75
 # A side of a join is broadcast only if it was measured to be at most this large.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 500_000
+# A task holds at most about this many of the best rows found so far.
+HELD_ROWS = 4_000_000
 
 METRICS = ("cosine", "l2", "ip")
 SEARCHERS = ("exact", "lsh", "ivf")

@@ -15,18 +15,23 @@ def half_up(x: np.ndarray, decimals: int) -> np.ndarray:
 
 
 class BestRows:
-    """The ``k`` best ids seen so far for each query of a block."""
+    """The ``k`` best ids seen so far for each query of a block.
+
+    Larger scores are better and, among equal ones, smaller ids.  What is held stays
+    near ``k`` rows per query, however many equal scores (copies of a text) come by.
+    """
 
     def __init__(self, n_queries: int, k: int, decimals: int, positive: bool = False):
         self.k, self.decimals, self.positive = k, decimals, positive
-        self.floor = np.full(n_queries, -np.inf)  # k-th best score so far
+        self.floor = np.full(n_queries, -np.inf)  # k-th best score so far ...
+        self.floor_id = np.full(n_queries, None, dtype=object)  # ... and its id
         self.rows: list[pa.Table] = []
         self.pending = 0  # rows offered since the last clean-up
 
     def offer(self, first: int, scores: np.ndarray, ids: pa.Array) -> None:
         """Score block of the queries ``first, first + 1, ...`` against ``ids``."""
-        floor = self.floor[first : first + len(scores)].copy()
-        fresh = np.isneginf(floor)
+        known = self.floor[first : first + len(scores)]
+        floor, fresh = known.copy(), np.isneginf(known)
         if fresh.any() and scores.shape[1] > self.k:
             floor[fresh] = np.partition(scores[fresh], -self.k, axis=1)[:, -self.k]
         slack = 10.0**-self.decimals  # what rounding may lift up to the floor
@@ -34,16 +39,26 @@ class BestRows:
         if self.positive:  # a score of zero means "no hit"
             keep &= scores > 0
         q, row = np.nonzero(keep)
+        score = half_up(scores[q, row], self.decimals)
+        if len(q) > 4 * len(scores):
+            at = self.beats_floor(q, row, score, known, self.floor_id[first : first + len(scores)], ids)
+            q, row, score = q[at], row[at], score[at]
         self.pending += len(q)
-        self.rows.append(
-            pa.table({"q": q + first, "score": half_up(scores[q, row], self.decimals), "id": ids.take(pa.array(row))})
-        )
-
-    def tidy(self) -> None:
-        """Clean up once as many rows have come in as are worth keeping."""
+        self.rows.append(pa.table({"q": q + first, "score": score, "id": ids.take(pa.array(row))}))
         if self.pending >= max(self.k * len(self.floor), 10_000):
             self.settle()
 
+    def beats_floor(self, q, row, score, floor, floor_id, ids: pa.Array) -> np.ndarray:
+        """Which candidates are better than the k-th best so far, ties decided by id."""
+        order = pc.sort_indices(ids).to_numpy()
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[order] = np.arange(len(ids))
+        ordered = ids.take(pa.array(order)).to_numpy(zero_copy_only=False)
+        smaller = np.full(len(floor), len(ids))  # how many ids of the block precede the floor's
+        known = ~np.isneginf(floor)
+        smaller[known] = np.searchsorted(ordered.astype(object), floor_id[known])
+        return (score > floor[q]) | ((score == floor[q]) & (rank[row] < smaller[q])) | ~known[q]
+
     def settle(self) -> None:
         """Forget what can no longer be among the best."""
         self.pending = 0
@@ -54,8 +69,9 @@ class BestRows:
         q = held["q"].to_numpy()
         starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
         place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-        last = place == self.k - 1
+        last = np.flatnonzero(place == self.k - 1)
         self.floor[q[last]] = held["score"].to_numpy()[last]
+        self.floor_id[q[last]] = held["id"].take(pa.array(last)).to_pylist()
         self.rows = [held.filter(pa.array(place < self.k))]
 
     def result(self, query_ids: pa.Array) -> Iterator[pa.RecordBatch]:

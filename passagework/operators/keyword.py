@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.config import BM25_B, BM25_K1, BROADCAST_ROWS, DEFAULT_LIMIT, SCORE_DECIMALS
+from passagework.config import BM25_B, BM25_K1, BROADCAST_ROWS, DEFAULT_LIMIT, HELD_ROWS, SCORE_DECIMALS
 from passagework.functions import text
 from passagework.functions.vectors import run_lengths
 from passagework.operators.best import BestRows
@@ -89,7 +89,7 @@ def keyword_bm25(
         raise ValueError(f"Unsupported tokenization: {tokenization}")
     terms = query_terms(queries)
     few = terms.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if few and stored_postings is None:
+    if few and stored_postings is None and queries.count() * k <= HELD_ROWS:
         hits = scan_chunks(terms, chunks, max(k, 1), k1, b, fields, decimals)
     else:
         entries = postings(chunks, fields) if stored_postings is None else stored_postings
@@ -200,7 +200,6 @@ def scan_chunks(
                     weights[q[c >= 0], c[c >= 0]] = weight[token[tile][c >= 0]]
                     best.offer(first, weights @ gain.T, ids)
                 column_of[used] = -1
-                best.tidy()
         yield from best.result(query_ids)
 
     return words.mapInArrow(score, hit_schema(terms, chunks))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.config import BROADCAST_BYTES, BROADCAST_ROWS, DEFAULT_LIMIT, METRICS, SCORE_DECIMALS
+from passagework.config import BROADCAST_BYTES, BROADCAST_ROWS, DEFAULT_LIMIT, HELD_ROWS, METRICS, SCORE_DECIMALS
 from passagework.functions.vectors import unit
 from passagework.operators.best import BestRows
 from passagework.operators.topk import topk_per_query
@@ -68,9 +68,15 @@ def similarity(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndar
 
 
 def score_block(best: BestRows, queries: np.ndarray, vectors: np.ndarray, ids: pa.Array, metric: str) -> None:
-    for first in range(0, len(queries), QUERY_TILE):
-        best.offer(first, similarity(queries[first : first + QUERY_TILE], vectors, metric), ids)
-    best.tidy()
+    """Score a block of stored vectors; the first few alone, to know early what is good."""
+    few = max(4 * best.k, 256)
+    parts = [slice(0, few), slice(few, len(ids))] if not best.rows else [slice(0, len(ids))]
+    for part in parts:
+        for first in range(0, len(queries), QUERY_TILE):
+            if len(ids[part]):
+                best.offer(first, similarity(queries[first : first + QUERY_TILE], vectors[part], metric), ids[part])
+        if len(parts) > 1 and part.start == 0:
+            best.settle()
 
 
 # ---- scoring plans ------------------------------------------------------------------
@@ -265,10 +271,11 @@ def knn_exact(
     n_queries = q.count()
     one = q.dropna(subset=["vec"]).select(F.size("vec").alias("dim")).first()
     query_bytes = n_queries * (one["dim"] if one else 0) * 8
-    if query_bytes <= broadcast_bytes:
+    # Blocks of queries that a task can hold, together with their k best rows.
+    rows = max(-(-query_bytes // max(broadcast_bytes, 1)), -(-n_queries * k // HELD_ROWS))
+    if rows <= 1:
         hits = score_with_broadcast(q, v, k, metric, decimals)
     else:
-        rows = -(-query_bytes // max(broadcast_bytes, 1))
         columns = columns or grid_columns(q.sparkSession, n_queries, v.count(), rows)
         hits = score_cells(*grid_cells(q, v, rows, columns), k, metric, decimals)
     return topk_per_query(hits, k)

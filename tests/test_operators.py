@@ -272,6 +272,43 @@ def test_ann_recall(spark):
     assert recall(vector.ann_ivf(queries, vector.ivf_assign(index, centroids), centroids, 5, 8)) > 0.85
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 12), st.booleans())
+def test_best_rows_with_many_ties(seed, k, positive):
+    import pyarrow as pa
+
+    from passagework.operators.best import BestRows
+
+    rng = np.random.default_rng(seed)
+    scores = rng.integers(-1, 3, size=(6, 200)) / 4 + rng.choice([0, 1e-9], size=(6, 200))
+    ids = rng.permutation([f"c{i:03}" for i in range(200)])
+    best = BestRows(6, k, 6, positive)
+    for start in range(0, 200, 37):
+        block = slice(start, start + 37)
+        for first in (0, 4):
+            best.offer(first, scores[first : first + 4, block], pa.array(ids[block]))
+        if seed % 2:
+            best.settle()
+    got = {(r["query_id"], r["chunk_id"]) for b in best.result(pa.array(range(6))) for r in b.to_pylist()}
+    want = set()
+    for q in range(6):
+        pairs = [(-round(x, 6), c) for x, c in zip(scores[q], ids) if x > 0 or not positive]
+        want |= {(q, c) for _, c in sorted(pairs)[:k]}
+    assert got == want
+
+
+def test_knn_holds_few_rows_however_many_copies(spark):
+    """All stored vectors are equal: the smallest ids win, and tasks stay small."""
+    n = 20_000
+    index = spark.range(n).select(
+        F.format_string("c%06d", "id").alias("chunk_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding")
+    )
+    queries = spark.range(300).select(F.col("id").alias("query_id"), F.array(F.lit(2.0), F.lit(1.0)).alias("query_vec"))
+    hits = vector.knn_exact(queries, index, 5)
+    assert hits.filter(F.col("chunk_id") != F.format_string("c%06d", F.col("rank") - 1)).count() == 0
+    assert hits.count() == 1500
+
+
 # ---- keywords -----------------------------------------------------------------------
 
 
