@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,15 @@ from passagework.operators.best import BestRows
 from passagework.operators.topk import topk_per_query
 from passagework.operators.vector import QUERY_TILE, hit_schema
 
+
+class Counts(NamedTuple):
+    """Number of chunks, their average length in words, and in how many each word occurs."""
+
+    n: int
+    avgdl: float
+    df: dict[str, int]
+
+
 # Parts into which the postings of a token are dealt when the query terms are too
 # many to broadcast: a frequent token then occupies this many tasks, not one.
 TOKEN_PARTS = 32
@@ -78,9 +88,8 @@ def keyword_bm25(
     """The ``k`` best chunks of every query by BM25.
 
     ``stored_postings`` is a saved :func:`postings` table of the same chunks and
-    fields.  With it, or with more query terms than fit the bounds, the search is a
-    join on the word; otherwise one scan of the chunks scores them all
-    (:func:`scan_chunks`).  ``tokenization='field'`` takes the whole text as one word
+    fields; it is read instead of the chunks' text.  More query terms than fit the
+    bounds are joined with postings (:func:`join_postings`).  ``tokenization='field'`` takes the whole text as one word
     (:func:`whole_field_hits`).
     """
     if tokenization == "field":
@@ -88,69 +97,56 @@ def keyword_bm25(
     if tokenization != "word":
         raise ValueError(f"Unsupported tokenization: {tokenization}")
     terms = query_terms(queries)
-    few = terms.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if few and stored_postings is None and queries.count() * k <= HELD_ROWS:
-        hits = scan_chunks(terms, chunks, max(k, 1), k1, b, fields, decimals)
-    else:
+    few = terms.limit(broadcast_rows + 1).count() <= broadcast_rows and queries.count() * k <= HELD_ROWS
+    if not few:
         entries = postings(chunks, fields) if stored_postings is None else stored_postings
-        hits = join_postings(terms, entries, collection_stats(chunks, fields), k1, b, decimals, few)
+        hits = join_postings(terms, entries, collection_stats(chunks, fields), k1, b, decimals)
+    else:
+        if stored_postings is None:
+            rows, counts = scan_chunks(terms, chunks, fields)
+        else:
+            rows, counts = scan_postings(terms, stored_postings, collection_stats(chunks, fields))
+        hits = score_words(terms, rows, counts, max(k, 1), k1, b, decimals)
     return topk_per_query(hits, k)
 
 
 def join_postings(
-    terms: DataFrame, entries: DataFrame, stats: DataFrame, k1: float, b: float, decimals: int, few: bool
+    terms: DataFrame, entries: DataFrame, stats: DataFrame, k1: float, b: float, decimals: int
 ) -> DataFrame:
-    """All hits, by joining the query terms with the postings of the same word.
+    """All hits, by joining any number of query terms with the postings of the same word.
 
-    A frequent word is no bottleneck: ``few`` query terms are broadcast, more are
-    copied to every part of a word's postings.
+    A frequent word is no bottleneck: its postings are dealt over ``TOKEN_PARTS``
+    tasks, to each of which its query terms go.
     """
-    wanted = terms.select("token").distinct()
-    first = [row["token"] for row in wanted.limit(PUSHED_TOKENS + 1).collect()]
-    if len(first) <= PUSHED_TOKENS:  # few enough to reach the scan of sorted postings
-        entries = entries.filter(F.col("token").isin(first))
-    else:
-        entries = entries.join(F.broadcast(wanted) if few else wanted, "token", "left_semi")
+    entries = entries.join(terms.select("token").distinct(), "token", "left_semi")
     # One row for the whole collection: a scalar subquery, evaluated once.
     one = stats.select(F.struct("n", "avgdl")).scalar()
     df = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighted = terms.join(df, "token").select("query_id", "token", idf(one["n"], F.col("df")).alias("idf"))
+    idf = F.log(1 + (one["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = terms.join(df, "token").select("query_id", "token", idf.alias("idf"))
     saturated = entries.select(
         "token",
         "chunk_id",
         (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / one["avgdl"]))).alias("gain"),
+        F.pmod(F.xxhash64("chunk_id"), F.lit(TOKEN_PARTS)).cast("int").alias("part"),
     )
-    if few:
-        pairs = saturated.join(F.broadcast(weighted), "token")
-    else:
-        part = F.pmod(F.xxhash64("chunk_id"), F.lit(TOKEN_PARTS)).cast("int")
-        copies = weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_PARTS - 1))))
-        pairs = saturated.withColumn("part", part).join(copies, ["token", "part"])
-    return pairs.groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(F.col("idf") * F.col("gain")), decimals).alias("score")
+    copies = weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_PARTS - 1))))
+    return (
+        saturated.join(copies, ["token", "part"])
+        .groupBy("query_id", "chunk_id")
+        .agg(F.round(F.sum(F.col("idf") * F.col("gain")), decimals).alias("score"))
     )
 
 
-def idf(n: Column, df: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+def scan_chunks(terms: DataFrame, chunks: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, Counts]:
+    """The words of every chunk, ``(chunk_id, dl, words)``, and counts of the query words.
 
-
-def scan_chunks(
-    terms: DataFrame, chunks: DataFrame, k: int, k1: float, b: float, fields: tuple[str, ...], decimals: int
-) -> DataFrame:
-    """The best hits of every task, by scanning the chunks against a word-by-query matrix.
-
-    A first pass counts in how many chunks each query word occurs (a map-side combined
-    count with as many groups as there are query words).  The second pass turns the
-    words of a block of chunks into a chunk-by-word matrix; its product with the
-    matrix of query weights holds all scores, of which a task keeps ``k`` per query.
-    Joining instead would build a row per (query, word, chunk) and shuffle a row per
-    (query, chunk).
+    Counting is one pass with a map-side combined group per query word.
     """
-    spark = terms.sparkSession
-    total = ""  # never a word; its row counts the chunks themselves
+    total = ""  # never a word; its group counts the chunks themselves
     words = chunks.select("chunk_id", field_tokens(fields).alias("words"))
-    wanted = terms.select("token").distinct().unionAll(spark.range(1).select(F.lit(total).alias("token")))
+    all_chunks = terms.sparkSession.range(1).select(F.lit(total).alias("token"))
+    wanted = terms.select("token").distinct().unionAll(all_chunks)
     counted = (
         words.select(
             F.size("words").alias("dl"), F.explode(F.array_append(F.array_distinct("words"), total)).alias("token")
@@ -161,14 +157,49 @@ def scan_chunks(
     )
     seen = {row["token"]: row for row in counted.collect()}
     n, avgdl = (seen[total]["df"], seen[total]["avgdl"]) if total in seen else (0, 0.0)
+    counts = Counts(n, avgdl, {token: row["df"] for token, row in seen.items()})
+    return words.select("chunk_id", F.size("words").alias("dl"), "words"), counts
+
+
+def scan_postings(terms: DataFrame, entries: DataFrame, stats: DataFrame) -> tuple[DataFrame, Counts]:
+    """The query words of the chunks that have any, ``(chunk_id, dl, words, tfs)``, and their counts.
+
+    Only postings of query words are read; they are brought together by chunk, so a
+    group is bounded by the words of a chunk, and a frequent word is no bottleneck.
+    """
+    wanted = terms.select("token").distinct()
+    first = [row["token"] for row in wanted.limit(PUSHED_TOKENS + 1).collect()]
+    if len(first) <= PUSHED_TOKENS:  # few enough to reach the scan of sorted postings
+        entries = entries.filter(F.col("token").isin(first))
+    else:
+        entries = entries.join(F.broadcast(wanted), "token", "left_semi")
+    df = {row["token"]: row["df"] for row in entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).collect()}
+    one = stats.first()
+    by_chunk = entries.groupBy("chunk_id", "dl").agg(F.collect_list(F.struct("token", "tf")).alias("held"))
+    rows = by_chunk.select("chunk_id", "dl", F.col("held.token").alias("words"), F.col("held.tf").alias("tfs"))
+    return rows, Counts(one["n"], one["avgdl"] or 0.0, df)
+
+
+def score_words(
+    terms: DataFrame, rows: DataFrame, counts: Counts, k: int, k1: float, b: float, decimals: int
+) -> DataFrame:
+    """The best hits of every task, from the words of each chunk.
+
+    The words of a block of chunks make a chunk-by-word matrix; its product with the
+    word-by-query matrix of weights holds all scores, of which a task keeps ``k`` per
+    query.  Joining instead would build a row per (query, word, chunk) and shuffle a row
+    per (query, chunk).
+    """
+    spark = terms.sparkSession
     pairs = terms.toArrow().combine_chunks()
     query_ids, vocabulary = pairs["query_id"].unique(), pairs["token"].unique()
     query = pc.index_in(pairs["query_id"], query_ids).to_numpy()
     token = pc.index_in(pairs["token"], vocabulary).to_numpy()
     by_query = np.argsort(query, kind="stable")  # a tile of queries is then a slice
-    df = np.array([seen[t]["df"] if t in seen else 0 for t in vocabulary.to_pylist()], dtype=np.float64)
-    weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    df = np.array([counts.df.get(t, 0) for t in vocabulary.to_pylist()], dtype=np.float64)
+    weight = np.log(1 + (counts.n - df + 0.5) / (df + 0.5))
     shared = spark.sparkContext.broadcast((query_ids, vocabulary, query[by_query], token[by_query], weight))
+    avgdl = counts.avgdl
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vocabulary, query, token, weight = shared.value
@@ -180,17 +211,22 @@ def scan_chunks(
             for start in range(0, len(batch), SCAN_ROWS):
                 block = batch.slice(start, SCAN_ROWS)
                 ids, words = block.column("chunk_id"), block.column("words")
-                lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+                dl = block.column("dl").to_numpy(zero_copy_only=False)
+                sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
                 code = pc.fill_null(pc.index_in(words.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(block)), lengths)[code >= 0]
-                used, column = np.unique(code[code >= 0], return_inverse=True)
+                known = code >= 0
+                row = np.repeat(np.arange(len(block)), sizes)[known]
+                used, column = np.unique(code[known], return_inverse=True)
                 if not len(used):
                     continue
-                counts = np.bincount(row * len(used) + column, minlength=len(block) * len(used))
-                at = np.flatnonzero(counts)
-                tf, dl = counts[at], lengths[at // len(used)]
-                gain = np.zeros(len(counts))
-                gain[at] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                times = None  # a word stands as often as it occurs, or once with its number
+                if "tfs" in block.schema.names:
+                    times = block.column("tfs").flatten().to_numpy(zero_copy_only=False)[known]
+                cells = np.bincount(row * len(used) + column, times, minlength=len(block) * len(used))
+                at = np.flatnonzero(cells)
+                tf = cells[at]
+                gain = np.zeros(len(cells))
+                gain[at] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at // len(used)] / avgdl))
                 gain = gain.reshape(len(block), len(used))
                 column_of[used] = np.arange(len(used))
                 for first in range(0, len(query_ids), QUERY_TILE):
@@ -202,7 +238,7 @@ def scan_chunks(
                 column_of[used] = -1
         yield from best.result(query_ids)
 
-    return words.mapInArrow(score, hit_schema(terms, chunks))
+    return rows.mapInArrow(score, hit_schema(terms, rows))
 
 
 def whole_field_hits(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIMIT) -> DataFrame:
