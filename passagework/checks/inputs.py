@@ -111,7 +111,9 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
             F.when(n % 5 == 0, F.lit(0.25)).alias("hybridAlpha"),
         )
     )
-    odd = F.to_json(F.struct(F.col("text").alias("query"), F.lit("ten").alias("limit"), F.lit(1).alias("useHybridSearch")))
+    odd = F.to_json(
+        F.struct(F.col("text").alias("query"), F.lit("ten").alias("limit"), F.lit(1).alias("useHybridSearch"))
+    )
     arguments = (
         F.when(n % 11 == 1, odd)
         .when(n % 11 == 2, F.lit("null"))

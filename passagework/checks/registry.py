@@ -413,7 +413,8 @@ def answer_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Raw requests in, complete responses out: results, stand-ins and errors."""
     index = saved(inputs.index(spark, sf))
     config = SearchConfig(limit=3, threshold=0.45)
-    return answer(inputs.requests(spark, sf), index, config).select("query_id", "rank", "chunk_id", "score", "source", "error")
+    answers = answer(inputs.requests(spark, sf), index, config)
+    return answers.select("query_id", "rank", "chunk_id", "score", "source", "error")
 
 
 # ---- filters ------------------------------------------------------------------------

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,11 +174,13 @@ def score_cells(queries: DataFrame, index: DataFrame, k: int, metric: str, decim
     return both.mapInArrow(score, hit_schema(queries, index))
 
 
-def one_of(column, parts):
+def one_of(column: str, parts: Column) -> Column:
+    """The one of ``parts`` parts to which a row belongs."""
     return F.pmod(F.xxhash64(column), parts.cast("long")).cast("int")
 
 
-def all_of(parts):
+def all_of(parts: Column) -> Column:
+    """A copy of the row for each of ``parts`` parts."""
     return F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))
 
 
@@ -281,7 +283,7 @@ def knn_exact(
     return topk_per_query(hits, k)
 
 
-def grid_columns(spark, n_queries: int, n_vectors: int, rows: int) -> int:
+def grid_columns(spark: SparkSession, n_queries: int, n_vectors: int, rows: int) -> int:
     """Columns of the grid: one per ``CELL_ROWS`` stored vectors, but no more than move
     as many query copies as vector copies, and at least one per core."""
     balanced = rows * n_vectors // max(n_queries, 1)
@@ -290,7 +292,8 @@ def grid_columns(spark, n_queries: int, n_vectors: int, rows: int) -> int:
 
 def lsh_buckets(df: DataFrame, model, id_col: str, tables: int, hashes: int) -> DataFrame:
     """One row per table: ``bucket`` combines that table's ``hashes`` projections."""
-    hashed = model.transform(df.dropna(subset=["vec"]).withColumn("point", array_to_vector(unit(F.col("vec").cast("array<double>")))))
+    point = array_to_vector(unit(F.col("vec").cast("array<double>")))
+    hashed = model.transform(df.dropna(subset=["vec"]).withColumn("point", point))
     values = F.transform(F.col("hashes"), lambda h: F.get(vector_to_array(h), F.lit(0)))
     keyed = hashed.select(id_col, "vec", values.alias("values"))
     keys = F.array(
@@ -359,8 +362,8 @@ def ivf_train(
     return np.array(KMeans(k=nlist, seed=seed, maxIter=iterations).fit(points).clusterCenters())
 
 
-def nearest_centroids(df: DataFrame, vec_col: str, centroids: np.ndarray, count: int):
-    """Column with the ``count`` nearest centroids of a vector, nearest first."""
+def nearest_centroids(df: DataFrame, vec_col: str, centroids: np.ndarray, count: int) -> Column:
+    """Column with the ``count`` centroids that are nearest to a vector, in no order."""
     shared = df.sparkSession.sparkContext.broadcast(centroids)
     count = min(count, len(centroids))
 
@@ -369,12 +372,15 @@ def nearest_centroids(df: DataFrame, vec_col: str, centroids: np.ndarray, count:
         present = vecs.drop_null()
         if not len(present):
             return pa.nulls(len(vecs), pa.list_(pa.int32()))
-        near = similarity(prepare(matrix(present), "cosine"), shared.value, "l2")
-        order = np.argsort(-near, axis=1, kind="stable")[:, :count].astype(np.int32)
+        points = prepare(matrix(present), "cosine")
+        found = [
+            np.argpartition(-similarity(points[i : i + QUERY_TILE], shared.value, "l2"), count - 1)[:, :count]
+            for i in range(0, len(points), QUERY_TILE)
+        ]
         offsets = np.arange(len(present) + 1, dtype=np.int32) * count
-        found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).ravel().astype(np.int32)))
         row = np.cumsum(pc.is_valid(vecs).to_numpy(zero_copy_only=False)) - 1
-        return found.take(pa.array(row, mask=pc.is_null(vecs).to_numpy(zero_copy_only=False)))
+        return lists.take(pa.array(row, mask=pc.is_null(vecs).to_numpy(zero_copy_only=False)))
 
     return nearest(F.col(vec_col))
 
