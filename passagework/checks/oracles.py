@@ -72,7 +72,7 @@ SPAN = f"""CASE WHEN startLine IS NULL AND length(content) > 0 THEN 1 ELSE TRY_C
   CASE WHEN startLine IS NULL AND length(content) > 0 THEN CAST(length({LINE}) AS INT) END AS end_column"""
 
 PER_SOURCE = """SELECT source, {n} * count(*) AS n_chunks, count(DISTINCT chunk_id) AS n_ids,
-  {n} * sum(length(content)) AS n_chars, CAST({n} * count(*) AS DOUBLE) AS energy FROM chunks GROUP BY source"""
+  CAST({n} * sum(length(content)) AS BIGINT) AS n_chars, CAST({n} * count(*) AS DOUBLE) AS energy FROM chunks GROUP BY source"""
 
 
 def ranked(scores: str, k: int, order: str = "score DESC, chunk_id") -> str:
@@ -152,13 +152,13 @@ SQL = {
     "index_write": f"WITH {CHUNKS} {PER_SOURCE.format(n=1)}",
     "index_load": f"WITH {CHUNKS} {PER_SOURCE.format(n=1)}",
     "index_append": f"WITH {CHUNKS} {PER_SOURCE.format(n=2)}",
-    "index_load_or_build": """SELECT sum(length(text) + 1) AS n_chars, 500 AS longest,
-  sum(length(text) - length(replace(text, chr(10), '')) + 1) AS n_lines FROM documents""",
+    "index_load_or_build": """SELECT CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, 500 AS longest,
+  CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM documents""",
     "schema_ensure": """SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id,
-  CAST(n_chars AS INT) AS chunk_no, CAST(NULL AS VARCHAR) AS source, length(text) AS n_chars, true AS no_vector
+  CAST(n_chars AS INT) AS chunk_no, CAST(NULL AS VARCHAR) AS source, CAST(length(text) AS INT) AS n_chars, true AS no_vector
   FROM documents""",
     "index_stats": f"""WITH {CHUNKS} SELECT split_part(source, '/', 2) AS source, count(DISTINCT doc_id) AS n_documents,
-  count(*) AS n_chunks, round(avg(length(content)), 6) AS avg_length, max(length(content)) AS max_length
+  count(*) AS n_chunks, round(avg(length(content)), 6) AS avg_length, CAST(max(length(content)) AS INT) AS max_length
   FROM chunks GROUP BY ALL""",
     "results_json": f"""WITH hits AS ({neighbours(5)}),
   split AS MATERIALIZED (SELECT doc_id, {LONG_WORDS.replace('content', 'text')} AS ws FROM documents)
