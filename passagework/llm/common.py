@@ -52,6 +52,7 @@ def add_columns(
     new: list[T.StructField],
     work: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]],
     leave_out: tuple[str, ...] = (),
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Append columns that ``work`` computes for slices of the rows; narrow, nothing is shuffled.
 
@@ -69,7 +70,7 @@ def add_columns(
 
         def slices():
             for batch in batches:
-                for piece in text_slices(batch):
+                for piece in text_slices(batch, slice_bytes):
                     seen.append(piece)
                     yield piece
 
@@ -83,10 +84,10 @@ def add_columns(
     return rest.mapInArrow(run, schema)
 
 
-def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch that hold about ``SLICE_BYTES`` each, or a single larger row."""
+def text_slices(batch: pa.RecordBatch, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch that hold about ``slice_bytes`` each, or a single larger row."""
     if batch.num_rows == 0:
         return
-    step = max(1, int(batch.num_rows * min(1.0, SLICE_BYTES / max(1, batch.nbytes))))
+    step = max(1, int(batch.num_rows * min(1.0, slice_bytes / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)

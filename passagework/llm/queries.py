@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.llm import bpe_tree, langid
 from passagework.llm.common import table
 from passagework.llm.decontaminate import RESULTS as JUDGED
 from passagework.llm.decontaminate import judge
@@ -20,6 +22,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *JUDGED)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    filters = langid.train(docs.where(~held_out))
+    predicted = langid.predict(docs.drop("lang"), filters, keep_text=False)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe_tree.encode(texts(spark, sf_dir), path, keep_text=False)
+    decoded = bpe_tree.decode(encoded, path)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeated_windows(texts(spark, sf_dir))
     return cut.select(
@@ -29,6 +51,8 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op8_langid": op8_langid,
+    "op9_bpe_tree": op9_bpe_tree,
     "op10_line_windows": op10_line_windows,
 }
 
