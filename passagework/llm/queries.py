@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe_tree, langid
+from passagework.llm import bpe_tree, langid, odd_sketch
 from passagework.llm.common import table
 from passagework.llm.decontaminate import RESULTS as JUDGED
 from passagework.llm.decontaminate import judge
@@ -22,6 +22,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *JUDGED)
 
 
+def op6_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(texts(spark, sf_dir), size=3, percent=85)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -51,6 +55,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op6_odd_sketch": op6_odd_sketch,
     "op8_langid": op8_langid,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_line_windows": op10_line_windows,
@@ -79,6 +84,20 @@ SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coal
   sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op6_odd_sketch": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS p FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 2], ' ') AS shingle FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (shingle)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * common >= 85 * (nx.n + ny.n - common)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id, min(y) = d.doc_id AS kept
+FROM d JOIN reach ON reach.x = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
     "op10_line_windows": r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 s AS (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS pos FROM d WHERE len(l) >= 3),
