@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+CUT_BYTES = 4 << 20  # a long text is split into words by pieces of this size
+SPACE = re.compile(rb"[ \t-\r]")
 SLICE_BYTES = 16 << 20  # text bytes that a Python task works on at once
 
 
@@ -91,3 +94,13 @@ def text_slices(batch: pa.RecordBatch, slice_bytes: int = SLICE_BYTES) -> Iterat
     step = max(1, int(batch.num_rows * min(1.0, slice_bytes / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
+
+
+def word_lists(text: bytes | None) -> Iterator[list[bytes]]:
+    """The words between ASCII white space, in lists of bounded size."""
+    at = 0
+    while text and at < len(text):
+        cut = SPACE.search(text, at + CUT_BYTES)
+        end = cut.start() if cut else len(text)
+        yield text[at:end].split()
+        at = end

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.llm.common import add_columns, stored
+from passagework.llm.common import add_columns, stored, word_lists
 
 WORDS = 5  # words of a shingle
 PERCENT = 80  # least similarity
@@ -51,13 +51,15 @@ class WordHashes(dict):
 
 def shingle_set(text: bytes | None, size: int, known: WordHashes) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; of fewer words, of the whole sequence."""
-    ws = (text or b"").translate(FOLD).split()
-    if not ws:
-        return np.zeros(0, np.uint64)
-    if len(known) > WORDS_HELD:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-    width = min(size, len(ws))
+    parts = []
+    for ws in word_lists((text or b"").translate(FOLD)):
+        if len(known) > WORDS_HELD:
+            known.clear()
+        parts.append(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)))
+    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(h):
+        return h
+    width = min(size, len(h))
     n = len(h) - width + 1
     key = np.full(n, width, np.uint64)
     for i in range(width):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe_tree, langid, odd_sketch
+from passagework.llm import bpe_tree, langid, odd_sketch, site_quality
 from passagework.llm.common import table
 from passagework.llm.decontaminate import RESULTS as JUDGED
 from passagework.llm.decontaminate import judge
@@ -22,6 +22,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *JUDGED)
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good documents are of quality 1 and not toxic; the source is the host, source and language the path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out).select(
+        F.col("doc_id").alias("label_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")
+    )
+    labelled = docs.join(labels, docs["doc_id"] == labels["label_id"]).select("doc_id", "text", "good")
+    rated = site_quality.rate(docs, site_quality.train(labelled), F.col("source"), F.concat_ws("/", "source", "lang"))
+    return rated.select("doc_id", held_out.alias("held_out"), *site_quality.RESULTS)
+
+
 def op6_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(texts(spark, sf_dir), size=3, percent=85)
 
@@ -55,6 +67,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_site_quality": op4_site_quality,
     "op6_odd_sketch": op6_odd_sketch,
     "op8_langid": op8_langid,
     "op9_bpe_tree": op9_bpe_tree,
