@@ -1,10 +1,93 @@
-"""Clean a corpus for training: five stages over ``documents``, each read from what the one before has written."""
+"""Clean a corpus for training: five stages over ``documents``.
+
+Each stage works on all rows that the one before has kept, written as Parquet to the
+shared folder of the cluster and read back, so a lost executor costs no finished stage.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passagework.llm import bpe_tree, decontaminate, langid, line_windows, odd_sketch
+from passagework.llm.common import stored, table
+
+MIN_LANGUAGE_SCORE = 0.2  # share of a text's n-grams that its language must contain
+
+
+def own_columns(docs: DataFrame) -> list:
+    return [docs[f"`{c}`"] for c in docs.columns]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and texts that hardly have an n-gram of any language.
+
+    The filters are learned from the documents that have a language; if none has one,
+    only texts without letters go.
+    """
+    filters = langid.train(docs)
+    whole = docs.select(F.struct(*own_columns(docs)).alias("row"), docs["text"].alias("text"))
+    predicted = langid.predict(whole, filters, keep_text=False)
+    clear = (F.col("score") >= MIN_LANGUAGE_SCORE) & (F.col("lang_pred") != langid.UNKNOWN)
+    lettered = F.col("row.text").rlike(r"\p{L}")
+    return predicted.where(clear if filters.languages else lettered).select("row.*")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out repeated line windows; a document of which no line is left goes.
+
+    ``n_chars`` is set to the new length where a text has changed.
+    """
+    whole = docs.select(F.struct(*own_columns(docs)).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    cut = line_windows.remove_repeated_windows(whole).where(
+        (F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))
+    )
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(
+        *[
+            F.when(F.col("n_removed") > 0, changed[c]).otherwise(F.col("row")[c]).alias(c)
+            if c in changed
+            else F.col("row")[c].alias(c)
+            for c in docs.columns
+        ]
+    )
+
+
+def dedup_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: the one with the smallest id."""
+    groups = odd_sketch.near_duplicates(docs)
+    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text and the text that they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe_tree.encode(docs.select("doc_id", "text"), path, keep_text=False)
+    decoded = bpe_tree.decode(encoded, path)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near_duplicates),
+    ("decontamination", remove_benchmark),
+    ("bpe", encode_bpe),
+]
+
+# Languages are learned and tokens come from a vocabulary file: SQL cannot express the whole.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
