@@ -69,9 +69,12 @@ class Model:
         for stretch, one in zip(short, encoded):
             self.known[stretch] = np.array(one.ids, "<u4").tobytes()
 
+    def stretches(self, text: bytes) -> list[bytes]:
+        return text.split()  # bytes.split() knows ASCII white space only
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]  # bytes.split() knows ASCII white space only
+        split = [self.stretches(t) for t in texts]
         self.learn({s for stretches in split for s in stretches})
         out = []
         for stretches in split:

@@ -33,13 +33,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/passagework-{context.applicationId}"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     This cuts the lineage: what was computed survives a lost executor and is
     computed once, however often it is read.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe_tree, langid, odd_sketch, site_quality
-from passagework.llm.common import table
+from passagework.llm import bpe_tree, langid, odd_sketch, range_coder, site_quality
+from passagework.llm.common import new_path, table
 from passagework.llm.decontaminate import RESULTS as JUDGED
 from passagework.llm.decontaminate import judge
 from passagework.llm.line_windows import remove_repeated_windows
@@ -38,6 +38,12 @@ def op6_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(texts(spark, sf_dir), size=3, percent=85)
 
 
+def op7_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "ids")
+    range_coder.write(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return range_coder.read(spark, folder, with_ids=False)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -69,6 +75,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_site_quality": op4_site_quality,
     "op6_odd_sketch": op6_odd_sketch,
+    "op7_range_coder": op7_range_coder,
     "op8_langid": op8_langid,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_line_windows": op10_line_windows,
