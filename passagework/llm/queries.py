@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe_tree, langid, odd_sketch, range_coder, site_quality
+from passagework.llm import bpe_tree, fm_index, langid, odd_sketch, range_coder, site_quality
 from passagework.llm.common import new_path, table
 from passagework.llm.decontaminate import RESULTS as JUDGED
 from passagework.llm.decontaminate import judge
@@ -22,6 +22,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *JUDGED)
 
 
+def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fm_index.remove_repeats(texts(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good documents are of quality 1 and not toxic; the source is the host, source and language the path."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
@@ -73,6 +78,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_fm_index": op3_fm_index,
     "op4_site_quality": op4_site_quality,
     "op6_odd_sketch": op6_odd_sketch,
     "op7_range_coder": op7_range_coder,
@@ -104,6 +110,17 @@ SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coal
   sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op3_fm_index": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20),
+win AS (SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS win FROM i),
+nth AS (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS nth FROM win),
+cut AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM nth WHERE nth > 1),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM word ANTI JOIN cut USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
     "op6_odd_sketch": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(regexp_extract_all(
