@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe_tree, fm_index, langid, odd_sketch, range_coder, site_quality
+from passagework.llm import bpe_tree, fm_index, katz, langid, odd_sketch, range_coder, site_quality
 from passagework.llm.common import new_path, table
 from passagework.llm.decontaminate import RESULTS as JUDGED
 from passagework.llm.decontaminate import judge
@@ -39,6 +39,12 @@ def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out.alias("held_out"), *site_quality.RESULTS)
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = katz.score_texts(texts(spark, sf_dir), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 def op6_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(texts(spark, sf_dir), size=3, percent=85)
 
@@ -80,6 +86,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_fm_index": op3_fm_index,
     "op4_site_quality": op4_site_quality,
+    "op5_katz": op5_katz,
     "op6_odd_sketch": op6_odd_sketch,
     "op7_range_coder": op7_range_coder,
     "op8_langid": op8_langid,
