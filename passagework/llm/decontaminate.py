@@ -162,6 +162,20 @@ def spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[owner] + within, owner
 
 
+def runs_of(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal rows."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return np.flatnonzero(new)
+
+
+def count_words(text: bytes) -> int:
+    """Number of words: starts of runs of word bytes."""
+    flags = np.frombuffer(text.translate(FOLD), np.uint8) != 0x20
+    return int(np.count_nonzero(flags[1:] & ~flags[:-1]) + flags[:1].sum())
+
+
 def numbers(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
     """The words of a text as numbers, in pieces, so that the list of words stays short."""
     parts, at = [], 0

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.llm.common import stored, word_lists
+from passagework.llm.decontaminate import runs_of
 from passagework.llm.odd_sketch import FOLD, WordHashes, mix
 
 DISCOUNTED = 5  # counts up to this are discounted
@@ -70,14 +71,6 @@ def decoded(steps: np.ndarray, index: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)[index]
 
 
-def runs(*sorted_columns: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal rows."""
-    new = np.ones(len(sorted_columns[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
-    return np.flatnonzero(new)
-
-
 def part_of(own: np.ndarray, other: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
     key = np.where(np.isin(own, hot), mix(own ^ mix(other)), own)
     return (mix(key) % np.uint64(parts)).astype(np.int64)
@@ -188,13 +181,13 @@ def ngram_table(contexts: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
             data.clear()
             order = np.lexsort((word, context))
             word, count, context, doc = word[order], count[order], context[order], doc[order]
-            start = runs(context, word)
+            start = runs_of(context, word)
             tokens = np.diff(np.append(start, len(word)))
             seen = np.add.reduceat((doc & np.uint64(1)).astype(np.int64), start)
             stats[2 + len(hot) :] += np.bincount(np.minimum(seen, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
             place = np.searchsorted(hot, word[start])  # 0: not hot, else its number and 1
             is_hot = np.isin(word[start], hot)
-            group = runs(context[start])
+            group = runs_of(context[start])
             blob = pack(
                 np.diff(context[start][group], prepend=np.uint64(0)), np.diff(np.append(group, len(start))),
                 np.where(is_hot, place + 1, 0), count[start], seen, tokens, *coded(doc),

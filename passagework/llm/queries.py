@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe_tree, fm_index, katz, langid, odd_sketch, range_coder, site_quality
+from passagework.llm import bpe_tree, fm_index, katz, langid, odd_sketch, range_coder, site_quality, wand
 from passagework.llm.common import new_path, table
 from passagework.llm.decontaminate import RESULTS as JUDGED
 from passagework.llm.decontaminate import judge
@@ -22,6 +22,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *JUDGED)
 
 
+def op2_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir)
+    return wand.top_k(docs.where("doc_id % 100 = 0"), docs)
+
+
 def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fm_index.remove_repeats(texts(spark, sf_dir))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -84,6 +89,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_wand": op2_wand,
     "op3_fm_index": op3_fm_index,
     "op4_site_quality": op4_site_quality,
     "op5_katz": op5_katz,
@@ -117,6 +123,21 @@ SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coal
   sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op2_wand": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+n AS (SELECT count(*) AS n, avg(len(w)) AS average FROM d),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(size) AS size
+  FROM (SELECT doc_id, unnest(w) AS term, len(w) AS size FROM d) GROUP BY doc_id, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(
+    ln(1 + (n - df + 0.5) / (df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.size / average))), 6) AS score
+  FROM p q JOIN p ON q.term = p.term JOIN f ON f.term = p.term CROSS JOIN n
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""",
     "op3_fm_index": r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20),
