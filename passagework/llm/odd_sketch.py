@@ -6,12 +6,13 @@ parity bitmap (an odd sketch), tell by the population count of an XOR how simila
 sets are.  What the sketch does not rule out is confirmed on the full sets.
 
 Documents with the same set are one class from the start, found by an aggregation, so
-copies are never paired.  In each bucket every class is tried against the smallest
-one, once per class (its best candidate); the components of the confirmed links
-settle most buckets.  Only classes of a bucket that are still in different components
-are compared with each other, in blocks of bounded size, so that a link that does not
-lead to the smallest class is found too.  Components come from an iteration of
-joins; links stay in tables.
+copies are never paired.  Candidates are gathered as clusters, not as pairs: in each
+bucket every class is tried against the smallest one, and only buckets whose classes
+are still in different clusters are compared throughout, in blocks of bounded size,
+each of which gives a spanning forest.  Inside a cluster the full sets decide, again
+in blocks of bounded size: a block against itself, and, in a cluster of many blocks,
+what its first class does not reach against all blocks.  Clusters and components come
+from an iteration of joins; links stay in tables.
 """
 
 from __future__ import annotations
@@ -35,11 +36,14 @@ ROWS = 5  # MinHash values per band
 SAMPLES = BANDS * ROWS
 BITS = 1024  # of an odd sketch
 SURE = 5.0  # standard deviations by which an estimate may fall short
-BLOCK = 1024  # classes of a bucket that are compared at once
+BLOCK = 1024  # classes that are compared at once ...
+BLOCK_SHINGLES = 2_000_000  # ... and shingles of their sets
+COLUMNS = 8192  # shingles whose incidence is held at once
 WORDS_HELD = 400_000  # word hashes that a task remembers
 PIECE = 1 << 17  # shingles hashed at once
 SLICE_BYTES = 8 << 20
 
+LINKS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -186,46 +190,55 @@ def with_flips(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", flips_between(F.col("sketch_a"), F.col("sketch_b")).alias("flips"))
 
 
-def open_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """``(a, b)``: classes that share a bucket and may be similar, but are in different components."""
+def open_links(buckets: DataFrame, classes: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """``(a, b)``: a spanning forest of similar classes in buckets that several clusters share."""
     labelled = buckets.join(labels, "node", "left").select(
         "bucket", "node", F.coalesce("label", "node").alias("label")
     )
     mixed = labelled.groupBy("bucket").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")
     )
-    mixed = mixed.where(F.col("low") < F.col("high")).select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts"))
+    mixed = mixed.where(F.col("low") < F.col("high")).select(
+        "bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("parts")
+    )
     # a bucket of many blocks is spread over the pairs of its blocks
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = labelled.join(mixed, "bucket").select(
-        "bucket", "node", "label", own.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        "bucket", "node", own.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     )
     dealt = dealt.join(classes.select("node", "sketch"), "node").select(
-        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label", "sketch"
+        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "sketch"
     )
     tasks = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def work(batches):
-        for (_, i, j), group in groups(batches, ["bucket", "i", "j"]):
-            part = np.array(group["part"])
-            sides = [np.flatnonzero(part == i), np.flatnonzero(part == j)] if i != j else [np.arange(len(part))] * 2
-            node, label = np.array(group["node"], object), np.array(group["label"], object)
+        for _, group in groups(batches, ["bucket", "i", "j"]):
             sketch = np.array(group["sketch"], np.int64).view(np.uint64)
-            for at in range(0, len(sides[0]), BLOCK):
-                rows = sides[0][at : at + BLOCK]
-                flips = np.zeros((len(rows), len(sides[1])), np.uint16)
+            near = np.zeros((len(sketch), len(sketch)), bool)
+            for at in range(0, len(sketch), BLOCK):
+                flips = np.zeros((min(BLOCK, len(sketch) - at), len(sketch)), np.uint16)
                 for word in range(sketch.shape[1]):
-                    flips += np.bitwise_count(sketch[rows, word, None] ^ sketch[None, sides[1], word])
-                x, y = np.nonzero((flips <= limit) & (label[rows][:, None] != label[sides[1]][None, :]))
-                a, b = node[rows[x]], node[sides[1][y]]
-                ordered = a < b if i == j else np.ones(len(a), bool)
-                low, high = np.where(a < b, a, b)[ordered], np.where(a < b, b, a)[ordered]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(low.tolist(), pa.binary()), pa.array(high.tolist(), pa.binary())], ["a", "b"]
-                )
+                    flips += np.bitwise_count(sketch[at : at + BLOCK, word, None] ^ sketch[None, :, word])
+                near[at : at + BLOCK] = flips <= limit
+            yield from stars(group["node"], near)
+
+    return tasks.mapInArrow(work, LINKS).distinct()
+
 
-    return tasks.mapInArrow(work, schema).distinct()
+def stars(nodes: list[bytes], near: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The components of a symmetric matrix, each as links to its smallest node."""
+    order = np.array(sorted(range(len(nodes)), key=nodes.__getitem__))
+    near = near[np.ix_(order, order)]
+    np.fill_diagonal(near, True)
+    label, before = near.argmax(axis=1), None
+    while before is None or (label != before).any():
+        before = label
+        label = np.minimum(label, np.where(near, label[None, :], len(label)).min(axis=1))
+        label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    if len(moved):
+        a, b = [nodes[order[i]] for i in label[moved]], [nodes[order[i]] for i in moved]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, dict[str, list]]]:
@@ -251,50 +264,98 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield key, held
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough.
-
-    The text of ``b`` travels to the task of ``a`` (in parts, if ``a`` has many
-    partners), whose set is held while its partners stream by.
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections: products of incidence matrices over shingles that occur twice."""
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    shingles, column, times = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    keep = times > 1
+    number = np.cumsum(keep) - 1
+    inside = keep[column]
+    rows, column = rows[inside], number[column[inside]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    total = np.zeros((len(left), len(right)), np.float64)
+    for at in range(0, int(keep.sum()), COLUMNS):
+        first, last = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        has[rows[first:last], column[first:last] - at] = 1
+        total += has[: len(left)] @ has[len(left) :].T
+    return total
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    both = common(left, right)
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    return 100 * both >= percent * (sizes - both)
+
+
+def exact_links(tasks: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(a, b)``: components of the full sets in each ``(cluster, i, j)`` task.
+
+    The rows of ``tasks(cluster, i, j, side, node, text)`` with side 0 are compared
+    with those of side 1, or with each other where there is no side 1.
     """
-    fan = 256
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)).cast("int"))
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / fan).cast("int").alias("parts"))
-    dealt = salted.join(many, "a").select("a", "b", (F.col("salt") % F.col("parts")).alias("part"))
-    heads = many.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    wanted = dealt.unionByName(heads)
-    sources = wanted.select(F.col("b").alias("node")).distinct().join(classes.select("node", "rep_id"), "node")
-    found = sources.join(docs, sources.rep_id == docs.doc_id).select(F.col("node").alias("b"), "text")
-    tasks = (
-        wanted.join(found, "b")
-        .withColumn("head", F.col("a") == F.col("b"))
-        .repartition("a", "part")
-        .sortWithinPartitions("a", "part", F.desc("head"))
-        .select("a", "b", "part", "text")
-    )
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    sorted_tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
     def work(batches):
-        known, held, shingles = WordHashes(), None, None
-        for batch in batches:
-            links = []
-            columns = [batch.column(i).to_pylist() for i in range(3)]
-            for a, b, part, text in zip(*columns, batch.column(3).cast(pa.binary())):
-                own = shingle_set(text.as_py(), size, known)
-                if name_of(own) != b:  # another text under the same id
-                    continue
-                if a == b:
-                    held, shingles = (a, part), own
-                elif held == (a, part):
-                    common = len(np.intersect1d(shingles, own, assume_unique=True))
-                    if 100 * common >= percent * (len(shingles) + len(own) - common):
-                        links.append((a, b))
-            if links:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, _ in links], pa.binary()), pa.array([x for _, x in links], pa.binary())], ["a", "b"]
-                )
-
-    return tasks.mapInArrow(work, schema)
+        known = WordHashes()
+        for _, group in groups(batches, ["cluster", "i", "j"]):
+            rows = {}
+            for side, node, text in zip(group["side"], group["node"], group["text"]):
+                own = shingle_set(text.encode(), size, known)
+                if name_of(own) == node:  # else another text under the same id
+                    rows[(side, node)] = own
+            left, right = [[(n, s) for (side, n), s in rows.items() if side == k] for k in (0, 1)]
+            nodes, sets = [n for n, _ in left], [s for _, s in left]
+            if not right:
+                if len(left) > 1:
+                    yield from stars(nodes, linked(sets, sets, percent))
+                continue
+            if not left:
+                continue
+            near = linked(sets, [s for _, s in right], percent)
+            names = nodes + [n for n, _ in right]
+            whole = np.zeros((len(names), len(names)), bool)
+            whole[: len(left), len(left) :] = near
+            yield from stars(names, whole | whole.T)
+
+    return sorted_tasks.mapInArrow(work, LINKS).distinct()
+
+
+def exact_components(clusters: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(a, b)`` links that connect what the full sets connect inside each cluster."""
+    member = clusters.select("node", F.col("label").alias("cluster")).join(classes.select("node", "rep_id", "n_shingles"), "node")
+    sized = member.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    )
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    member = member.join(sized, "cluster").withColumn("part", part)
+    # the text of every member once; a cluster's first class goes to each of its blocks
+    held = stored(
+        member.join(docs, member.rep_id == docs.doc_id).select("cluster", "node", "parts", "part", "text"), "members"
+    )
+    first = (F.col("node") == F.col("cluster")) & (F.col("parts") > 1)
+    blocks = held.select(
+        "cluster",
+        F.explode(F.when(first, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))).alias("i"),
+        F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "text",
+    )
+    links = stored(exact_links(blocks, size, percent), "links")
+    many = held.where(F.col("parts") > 1)
+    if many.limit(1).count() == 0:
+        return links
+    labels = components(links)
+    many = many.join(labels, "node", "left").withColumn("apart", F.coalesce("label", "node") != F.col("cluster"))
+    apart = many.where("apart").groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rows"))
+    many = many.join(apart, "cluster")
+    row = F.pmod(F.xxhash64("node", F.lit(2)), F.col("rows")).cast("int")
+    left = many.where("apart").select(
+        "cluster", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"), "node", "text"
+    )
+    right = many.select(
+        "cluster", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), "node", "text"
+    )
+    return links.unionByName(exact_links(left.unionByName(right), size, percent))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -332,14 +393,14 @@ def near_duplicates(
     empty text has no shingles and is linked with nothing.  ``component_id`` is the
     smallest id reachable; the row with that id is ``kept``.  Rows that repeat an id
     and a text are alike; rows with a NULL id are linked with nothing and kept.
-    Other columns are ignored.  A pair at the limit is missed with a probability below
-    1e-5 (bands and sketch together); every link given is confirmed on the full sets.
+    Other columns are ignored.  A pair at the limit may be missed with a probability of about
+    1e-6 (bands and sketch together); every link is found on the full sets.
     """
     slim = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
     known = stored(sketches(slim, size), "sketches")
     named = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(
-        named.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        named.groupBy("node").agg(F.min("doc_id").alias("rep_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]),
         "classes",
     )
     texts = slim.where(F.col("doc_id").isNotNull())
@@ -347,13 +408,10 @@ def near_duplicates(
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     buckets = stored(rows.join(shared, "bucket"), "buckets")
     limit = most_flips(percent)
-    star = confirmed(stored(star_pairs(buckets, classes, limit), "pairs"), texts, classes, size, percent)
-    star = stored(star.distinct(), "links")
-    labels = components(star)
-    rest = stored(open_pairs(buckets, classes, labels, limit), "pairs")
-    if rest.limit(1).count():
-        more = confirmed(rest, texts, classes, size, percent).distinct()
-        labels = components(star.unionByName(more))
+    near = stored(star_pairs(buckets, classes, limit), "candidates")
+    more = stored(open_links(buckets, classes, components(near), limit), "candidates")
+    clusters = components(near.unionByName(more))
+    labels = components(exact_components(clusters, texts, classes, size, percent))
     member = classes.join(labels, "node", "left").select("node", "rep_id", F.coalesce("label", "node").alias("label"))
     smallest = member.groupBy("label").agg(F.min("rep_id").alias("component_id"))
     of_node = member.join(smallest, "label").select("node", "component_id")
