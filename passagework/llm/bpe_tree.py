@@ -29,6 +29,7 @@ from passagework.llm.common import add_columns, without
 
 PIECE_CHARS = 1 << 20
 LEAF_CHARS = 2048  # an unsplit stretch up to this length is encoded whole
+SLICE_BYTES = 1 << 20  # text that a task splits at once
 FIRST_WINDOW = 8  # tokens on either side of a seam
 CACHED = 250_000  # stretches that a task remembers
 SPACE = re.compile(r"[ \t\n\r\v\f]")
@@ -165,7 +166,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
             column = batch.column(batch.schema.names.index(text_col)).cast(pa.binary())
             yield [pa.array(model(path).encode([t or b"" for t in column.to_pylist()]), pa.binary())]
 
-    short = add_columns(docs.where(length <= PIECE_CHARS), field, whole, leave_out=tuple(out))
+    short = add_columns(docs.where(length <= PIECE_CHARS), field, whole, leave_out=tuple(out), slice_bytes=SLICE_BYTES)
     return short.unionByName(encode_long(docs.where(length > PIECE_CHARS), path, text_col, PIECE_CHARS, out))
 
 
@@ -283,5 +284,9 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep_ids: bool = True
             yield [pa.array([None if i is None else model(path).decode(i) for i in column.to_pylist()], pa.string())]
 
     return add_columns(
-        df, [T.StructField("decoded", T.StringType())], work, leave_out=() if keep_ids else (ids_col,)
+        df,
+        [T.StructField("decoded", T.StringType())],
+        work,
+        leave_out=() if keep_ids else (ids_col,),
+        slice_bytes=SLICE_BYTES,
     )
