@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +28,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster, or in a temporary one if none is set."""
+    """A new path in the shared folder of the cluster, or in the warehouse if none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="run-")
+    root = (shared or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

@@ -122,6 +122,13 @@ def hashed(queries: str, k: int) -> str:
   vector_hits AS ({ranked('SELECT * FROM vector_scores', k)})"""
 
 
+# Every chunk has a score by meaning, 0 if it shares no bucket with the query.
+VECTOR_ALL = """vector_all AS (SELECT query_id, chunk_id, coalesce(s.score, 0) AS score
+  FROM (SELECT query_id FROM asked) CROSS JOIN (SELECT chunk_id FROM chunks)
+  LEFT JOIN vector_scores s USING (query_id, chunk_id)),
+  worded AS (SELECT * FROM keyword_scores WHERE score > 0)"""
+
+
 def scaled(hits: str) -> str:
     return f"""SELECT query_id, chunk_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS s
   FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi
@@ -151,6 +158,8 @@ SQL = {
   FROM docs LEFT JOIN events ON doc_id = CAST(event_id AS VARCHAR)""",
     "index_write": f"WITH {CHUNKS} {PER_SOURCE.format(n=1)}",
     "index_load": f"WITH {CHUNKS} {PER_SOURCE.format(n=1)}",
+    "index_bucketed": f"WITH {CHUNKS} {PER_SOURCE.format(n=1)}",
+    "index_edit": f"WITH {CHUNKS} {PER_SOURCE.format(n=1)}",
     "index_append": f"WITH {CHUNKS} {PER_SOURCE.format(n=2)}",
     "index_load_or_build": """SELECT CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, 500 AS longest,
   CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM documents""",
@@ -218,9 +227,9 @@ SQL = {
     FROM docs d JOIN chunks c ON trim(d.content, ' ') = trim(c.content, ' ') WHERE trim(d.content, ' ') <> '')
   {ranked('SELECT * FROM pairs', 3)}""",
     "hybrid_search": f"""WITH {CHUNKS}, {hashed(BENCHMARK, 100)},
-  {bm25(BENCHMARK, f"SELECT chunk_id, {tokens('content')} AS ws FROM chunks", 100)},
+  {bm25(BENCHMARK, f"SELECT chunk_id, {tokens('content')} AS ws FROM chunks", 100)}, {VECTOR_ALL},
   fused AS (SELECT query_id, chunk_id, round(0.5 * coalesce(v.s, 0) + 0.5 * coalesce(b.s, 0), 6) AS score
-    FROM ({scaled('vector_hits')}) v FULL JOIN ({scaled('keyword_hits')}) b USING (query_id, chunk_id))
+    FROM ({scaled('vector_all')}) v FULL JOIN ({scaled('worded')}) b USING (query_id, chunk_id))
   {ranked('SELECT * FROM fused', 10)}""",
     "batch_search": f"""WITH {CHUNKS}, {hashed(BENCHMARK, 10)},
   found AS (
@@ -240,10 +249,10 @@ SQL = {
     coalesce(alpha, 0.5) AS alpha FROM validated WHERE error IS NULL),
   {hashed('SELECT query_id, query FROM accepted', 100)},
   {bm25('SELECT query_id, query FROM accepted WHERE use_hybrid',
-        f"SELECT chunk_id, {tokens('content')} AS ws FROM chunks", 100)},
-  meant AS (SELECT * FROM vector_hits SEMI JOIN (SELECT * FROM accepted WHERE use_hybrid) USING (query_id)),
+        f"SELECT chunk_id, {tokens('content')} AS ws FROM chunks", 100)}, {VECTOR_ALL},
+  meant AS (SELECT * FROM vector_all SEMI JOIN (SELECT * FROM accepted WHERE use_hybrid) USING (query_id)),
   fused AS (SELECT query_id, chunk_id, round(alpha * coalesce(v.s, 0) + (1 - alpha) * coalesce(b.s, 0), 6) AS score
-    FROM ({scaled('meant')}) v FULL JOIN ({scaled('keyword_hits')}) b USING (query_id, chunk_id)
+    FROM ({scaled('meant')}) v FULL JOIN ({scaled('worded')}) b USING (query_id, chunk_id)
     JOIN accepted USING (query_id)),
   hits AS (
     SELECT * FROM ({ranked('SELECT * FROM fused', 100)}) UNION ALL
@@ -275,4 +284,4 @@ SQL = {
     "error_rows": f"""WITH {REQUESTS} SELECT query_id, 1 AS rank, '検索中にエラーが発生しました。' AS content,
   CAST(0 AS DOUBLE) AS score, 'error.md' AS source, error FROM validated WHERE error IS NOT NULL""",
 }
-SQL["keyword_postings"] = SQL["keyword_bm25"]
+SQL["keyword_postings"] = SQL["index_append_search"] = SQL["keyword_bm25"]

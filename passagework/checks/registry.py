@@ -109,6 +109,48 @@ def index_append(spark: SparkSession, sf: str) -> DataFrame:
     return per_source(store.load_index(spark, path))
 
 
+@query
+def index_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the chunks written in buckets and loaded, all appended, loaded again."""
+    path = inputs.scratch(spark, "index_bucketed")
+    index = inputs.index(spark, sf)
+    half = index.filter(F.col("doc_id").cast("long") % 2 == 0)
+    centroids = vector.ivf_train(half, nlist=4)
+    store.write_index(half, path, True, centroids, with_postings=True)
+    store.append_index(spark, path, inputs.chunks(spark, sf), lambda df: embed.embed_hash(df, "content"))
+    return per_source(store.load_index(spark, path))
+
+
+@query
+def index_append_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyword search over saved postings and counts, after an append."""
+    path = inputs.scratch(spark, "index_append_search")
+    index = inputs.index(spark, sf)
+    store.write_index(index.filter(F.col("doc_id").cast("long") % 3 == 0), path, with_postings=True)
+    store.append_index(spark, path, inputs.chunks(spark, sf), lambda df: embed.embed_hash(df, "content"))
+    return keyword.keyword_bm25(
+        inputs.benchmark_queries(spark, sf),
+        store.load_index(spark, path),
+        10,
+        stored_postings=store.load_postings(spark, path),
+        collection=store.collection_counts(spark, path),
+    ).select(*HITS)
+
+
+@query
+def index_edit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document saved with another text, then appended as it is: it replaces what was stored."""
+    path = inputs.scratch(spark, "index_edit")
+    docs = inputs.documents(spark, sf)
+    old = docs.filter(F.col("doc_id").cast("long") % 2 == 0)
+    old = old.withColumn("content", F.concat(F.col("content"), F.lit(" more "), F.repeat(F.lit("words "), 300)))
+    kept = docs.filter(F.col("doc_id").cast("long") % 2 == 1)
+    stored = embed.embed_hash(chunk.chunk_fixed(old.unionByName(kept)), "content")
+    store.write_index(stored, path)
+    store.append_index(spark, path, inputs.chunks(spark, sf), lambda df: embed.embed_hash(df, "content"))
+    return per_source(store.load_index(spark, path))
+
+
 @query
 def schema_ensure(spark: SparkSession, sf: str) -> DataFrame:
     """Columns of other types and missing columns brought to the declared schema."""
@@ -327,9 +369,10 @@ def ann_ivf(spark: SparkSession, sf: str) -> DataFrame:
     index = inputs.vector_index(spark, sf)
     centroids = vector.ivf_train(index, nlist=16)
     path = inputs.scratch(spark, "ivf")
-    store.write_index(vector.ivf_assign(index, centroids), path, bucketed=True)
-    stored = spark.read.parquet(path)
-    return vector.ann_ivf(inputs.vector_queries(spark, sf), stored, centroids, 10, nprobe=8).select(*HITS)
+    store.write_index(index.withColumn("chunk_id", F.col("chunk_id").cast("string")), path, True, centroids)
+    stored = store.load_index(spark, path, ("chunk_id", "embedding"))
+    hits = vector.ann_ivf(inputs.vector_queries(spark, sf), stored, centroids, 10, nprobe=8)
+    return hits.withColumn("chunk_id", F.col("chunk_id").cast("bigint")).select(*HITS)
 
 
 @query
@@ -444,7 +487,9 @@ def filter_date_range(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def validate_requests(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.validate_requests(inputs.requests(spark, sf))
+    return filters.validate_requests(inputs.requests(spark, sf)).select(
+        "query_id", "query", "context", "limit", "use_hybrid", "alpha", "error"
+    )
 
 
 # ---- top-k and responses ------------------------------------------------------------

@@ -18,7 +18,6 @@ BOOST_RULES = (("clean-architecture", 0.99),)
 # Our own settings.
 DEFAULT_DIM = 256
 SCORE_DECIMALS = 6
-CANDIDATE_DEPTH = 100
 BM25_K1 = 1.2
 BM25_B = 0.75
 
@@ -38,7 +37,7 @@ class SearchConfig:
     """Settings of :func:`passagework.plans.search.search`.
 
     ``hybrid`` and ``alpha`` apply to queries that do not carry their own
-    ``use_hybrid`` / ``alpha``; the filters apply to every query of the table.
+    ``use_hybrid`` / ``alpha``, and so do the filters and includes.
     """
 
     limit: int = DEFAULT_LIMIT
@@ -47,7 +46,6 @@ class SearchConfig:
     dim: int = DEFAULT_DIM
     hybrid: bool = False
     alpha: float = DEFAULT_ALPHA
-    candidate_depth: int = CANDIDATE_DEPTH
     boost_rules: tuple = BOOST_RULES
     resort: bool = False
     filter_mode: str = "post"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.config import DEFAULT_THRESHOLD
 
 # Why a request is refused.
 INVALID_ARGUMENTS = "Invalid arguments"
+INCLUDES = ("metadata", "summary", "keywords", "relevance")
 QUERY_REQUIRED = "Query parameter is required and must be a string"
 
 
@@ -40,12 +41,20 @@ def filter_date_range(results: DataFrame, date_from: str | None = None, date_to:
     return results
 
 
+def whole_number(value: Column) -> Column:
+    """A limit from a number of any size: cut to an integer, from 0 to the largest one."""
+    cut = F.least(F.greatest(value, F.lit(0.0)), F.lit(float(2**31 - 1)))
+    return F.when(value.isNotNull(), cut.cast("int"))
+
+
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Read ``requests(query_id, arguments)``, ``arguments`` being a JSON text.
 
-    Gives ``query_id, query, context, limit, use_hybrid, alpha, error``.  A request that
-    is no object or has no non-empty text as ``query`` gets an ``error``; the other
-    arguments count only if they have the right type and are NULL otherwise.
+    Gives ``query_id, query, context, limit, use_hybrid, alpha``, the request's own filters
+    and includes, and ``error``.  A request that is no object, has no non-empty text as
+    ``query`` or a source pattern that is no regular expression gets an ``error``; the other
+    arguments count only if they have the right type and are NULL otherwise.  A limit
+    below 0 is 0, and one too large for an integer is the largest integer.
     """
     parsed = requests.withColumn("v", F.try_parse_json("arguments"))
 
@@ -62,13 +71,20 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         is_object.alias("is_object"),
         typed("$.query", text, "string").alias("query"),
         typed("$.context", text, "string").alias("context"),
-        typed("$.limit", number, "double").cast("int").alias("limit"),
+        whole_number(typed("$.limit", number, "double")).alias("limit"),
         typed("$.useHybridSearch", flag, "boolean").alias("use_hybrid"),
         typed("$.hybridAlpha", number, "double").alias("alpha"),
+        typed("$.filter.documentTypes", "^ARRAY<(STRING|VOID)>", "array<string>").alias("document_types"),
+        typed("$.filter.sourcePattern", text, "string").alias("source_pattern"),
+        F.try_to_timestamp(typed("$.filter.dateRange.from", text, "string")).alias("date_from"),
+        F.try_to_timestamp(typed("$.filter.dateRange.to", text, "string")).alias("date_to"),
+        *[typed(f"$.include.{name}", flag, "boolean").alias(f"include_{name}") for name in INCLUDES],
     )
+    # what the pattern compiles to, NULL if it does not compile
+    compiled = F.expr("try_reflect('java.util.regex.Pattern', 'compile', replace(coalesce(source_pattern, ''), '*', '.*'))")
     error = F.when(~F.col("is_object"), INVALID_ARGUMENTS).when(
         F.coalesce("query", F.lit("")) == "", QUERY_REQUIRED
-    )
+    ).when(compiled.isNull(), INVALID_ARGUMENTS)
     return read.withColumn("error", error).drop("is_object")
 
 

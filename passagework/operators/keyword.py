@@ -24,6 +24,13 @@ from passagework.operators.topk import topk_per_query
 from passagework.operators.vector import QUERY_TILE, hit_schema
 
 
+class Collection(NamedTuple):
+    """Number of chunks and their average length in words."""
+
+    n: int
+    avgdl: float
+
+
 class Counts(NamedTuple):
     """Number of chunks, their average length in words, and in how many each word occurs."""
 
@@ -84,28 +91,34 @@ def keyword_bm25(
     stored_postings: DataFrame | None = None,
     decimals: int = SCORE_DECIMALS,
     broadcast_rows: int = BROADCAST_ROWS,
+    collection: Collection | None = None,
 ) -> DataFrame:
-    """The ``k`` best chunks of every query by BM25.
+    """The ``k`` best chunks of every query by BM25; a chunk without a query word is no hit.
 
     ``stored_postings`` is a saved :func:`postings` table of the same chunks and
-    fields; it is read instead of the chunks' text.  More query terms than fit the
-    bounds are joined with postings (:func:`join_postings`).  ``tokenization='field'`` takes the whole text as one word
-    (:func:`whole_field_hits`).
+    fields, read instead of the chunks' text; with the saved counts of the
+    ``collection``, the text is not read at all.  More query terms than fit the bounds
+    are joined with postings (:func:`join_postings`).  ``tokenization='field'`` takes
+    the whole text as one word (:func:`whole_field_hits`).
     """
     if tokenization == "field":
         return whole_field_hits(queries, chunks, k)
     if tokenization != "word":
         raise ValueError(f"Unsupported tokenization: {tokenization}")
     terms = query_terms(queries)
+    if collection is not None:
+        stats = terms.sparkSession.createDataFrame([tuple(collection)], "n bigint, avgdl double")
+    else:
+        stats = collection_stats(chunks, fields)
     few = terms.limit(broadcast_rows + 1).count() <= broadcast_rows and queries.count() * k <= HELD_ROWS
     if not few:
         entries = postings(chunks, fields) if stored_postings is None else stored_postings
-        hits = join_postings(terms, entries, collection_stats(chunks, fields), k1, b, decimals)
+        hits = join_postings(terms, entries, stats, k1, b, decimals)
     else:
         if stored_postings is None:
             rows, counts = scan_chunks(terms, chunks, fields)
         else:
-            rows, counts = scan_postings(terms, stored_postings, collection_stats(chunks, fields))
+            rows, counts = scan_postings(terms, stored_postings, stats)
         hits = score_words(terms, rows, counts, max(k, 1), k1, b, decimals)
     return topk_per_query(hits, k)
 
@@ -135,6 +148,7 @@ def join_postings(
         saturated.join(copies, ["token", "part"])
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(F.col("idf") * F.col("gain")), decimals).alias("score"))
+        .filter(F.col("score") > 0)
     )
 
 
@@ -180,6 +194,60 @@ def scan_postings(terms: DataFrame, entries: DataFrame, stats: DataFrame) -> tup
     return rows, Counts(one["n"], one["avgdl"] or 0.0, df)
 
 
+def word_weights(terms: DataFrame, counts: Counts) -> tuple:
+    """Query ids, words, and which word weighs how much in which query, ordered by query."""
+    pairs = terms.toArrow().combine_chunks()
+    query_ids, vocabulary = pairs["query_id"].unique(), pairs["token"].unique()
+    query = pc.index_in(pairs["query_id"], query_ids).to_numpy()
+    token = pc.index_in(pairs["token"], vocabulary).to_numpy()
+    by_query = np.argsort(query, kind="stable")  # a tile of queries is then a slice
+    df = np.array([counts.df.get(t, 0) for t in vocabulary.to_pylist()], dtype=np.float64)
+    weight = np.log(1 + (counts.n - df + 0.5) / (df + 0.5))
+    return query_ids, vocabulary, query[by_query], token[by_query], weight
+
+
+class WordScorer:
+    """BM25 scores of a block of chunks for tiles of queries, as a matrix product."""
+
+    def __init__(self, vocabulary, query, token, weight, n_queries, avgdl, k1, b):
+        self.vocabulary, self.query, self.token, self.weight = vocabulary, query, token, weight
+        self.n_queries, self.avgdl, self.k1, self.b = n_queries, avgdl, k1, b
+        self.column_of = np.full(len(vocabulary), -1)
+        self.used = np.zeros(0, np.int64)
+
+    def take(self, block: pa.RecordBatch) -> bool:
+        """Count the query words of a block ``(dl, words[, tfs])``; whether it has any."""
+        words = block.column("words")
+        dl = block.column("dl").to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        code = pc.fill_null(pc.index_in(words.flatten(), self.vocabulary), -1).to_numpy(zero_copy_only=False)
+        known = code >= 0
+        row = np.repeat(np.arange(len(block)), sizes)[known]
+        self.column_of[self.used] = -1
+        self.used, column = np.unique(code[known], return_inverse=True)
+        self.column_of[self.used] = np.arange(len(self.used))
+        if not len(self.used):
+            return False
+        times = None  # a word stands as often as it occurs, or once with its number
+        if "tfs" in block.schema.names:
+            times = block.column("tfs").flatten().to_numpy(zero_copy_only=False)[known]
+        cells = np.bincount(row * len(self.used) + column, times, minlength=len(block) * len(self.used))
+        at = np.flatnonzero(cells)
+        tf = cells[at]
+        gain = np.zeros(len(cells))
+        gain[at] = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl[at // len(self.used)] / self.avgdl))
+        self.gain = gain.reshape(len(block), len(self.used))
+        return True
+
+    def scores(self, first: int) -> np.ndarray:
+        """``(queries, chunks)`` of the tile that begins with query ``first``."""
+        tile = slice(*np.searchsorted(self.query, (first, first + QUERY_TILE)))
+        q, c = self.query[tile] - first, self.column_of[self.token[tile]]
+        weights = np.zeros((min(QUERY_TILE, self.n_queries - first), len(self.used)))
+        weights[q[c >= 0], c[c >= 0]] = self.weight[self.token[tile][c >= 0]]
+        return weights @ self.gain.T
+
+
 def score_words(
     terms: DataFrame, rows: DataFrame, counts: Counts, k: int, k1: float, b: float, decimals: int
 ) -> DataFrame:
@@ -190,15 +258,7 @@ def score_words(
     query.  Joining instead would build a row per (query, word, chunk) and shuffle a row
     per (query, chunk).
     """
-    spark = terms.sparkSession
-    pairs = terms.toArrow().combine_chunks()
-    query_ids, vocabulary = pairs["query_id"].unique(), pairs["token"].unique()
-    query = pc.index_in(pairs["query_id"], query_ids).to_numpy()
-    token = pc.index_in(pairs["token"], vocabulary).to_numpy()
-    by_query = np.argsort(query, kind="stable")  # a tile of queries is then a slice
-    df = np.array([counts.df.get(t, 0) for t in vocabulary.to_pylist()], dtype=np.float64)
-    weight = np.log(1 + (counts.n - df + 0.5) / (df + 0.5))
-    shared = spark.sparkContext.broadcast((query_ids, vocabulary, query[by_query], token[by_query], weight))
+    shared = terms.sparkSession.sparkContext.broadcast(word_weights(terms, counts))
     avgdl = counts.avgdl
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,36 +266,13 @@ def score_words(
         if not len(vocabulary):
             return
         best = BestRows(len(query_ids), k, decimals, positive=True)
-        column_of = np.full(len(vocabulary), -1)
+        scorer = WordScorer(vocabulary, query, token, weight, len(query_ids), avgdl, k1, b)
         for batch in batches:
             for start in range(0, len(batch), SCAN_ROWS):
                 block = batch.slice(start, SCAN_ROWS)
-                ids, words = block.column("chunk_id"), block.column("words")
-                dl = block.column("dl").to_numpy(zero_copy_only=False)
-                sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-                code = pc.fill_null(pc.index_in(words.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False)
-                known = code >= 0
-                row = np.repeat(np.arange(len(block)), sizes)[known]
-                used, column = np.unique(code[known], return_inverse=True)
-                if not len(used):
-                    continue
-                times = None  # a word stands as often as it occurs, or once with its number
-                if "tfs" in block.schema.names:
-                    times = block.column("tfs").flatten().to_numpy(zero_copy_only=False)[known]
-                cells = np.bincount(row * len(used) + column, times, minlength=len(block) * len(used))
-                at = np.flatnonzero(cells)
-                tf = cells[at]
-                gain = np.zeros(len(cells))
-                gain[at] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at // len(used)] / avgdl))
-                gain = gain.reshape(len(block), len(used))
-                column_of[used] = np.arange(len(used))
-                for first in range(0, len(query_ids), QUERY_TILE):
-                    tile = slice(*np.searchsorted(query, (first, first + QUERY_TILE)))
-                    q, c = query[tile] - first, column_of[token[tile]]
-                    weights = np.zeros((min(QUERY_TILE, len(query_ids) - first), len(used)))
-                    weights[q[c >= 0], c[c >= 0]] = weight[token[tile][c >= 0]]
-                    best.offer(first, weights @ gain.T, ids)
-                column_of[used] = -1
+                if scorer.take(block):
+                    for first in range(0, len(query_ids), QUERY_TILE):
+                        best.offer(first, scorer.scores(first), block.column("chunk_id"))
         yield from best.result(query_ids)
 
     return rows.mapInArrow(score, hit_schema(terms, rows))
@@ -253,8 +290,12 @@ def whole_field_hits(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIM
 
     q = queries.filter(F.trim("query") != "").select("query_id", digest("query"))
     copies = Window.partitionBy("digest").orderBy("chunk_id")
+    asked = q.select("digest").distinct()
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
     v = (
         chunks.select("chunk_id", digest("content"))
+        .join(asked, "digest", "left_semi")
         .withColumn("copy", F.row_number().over(copies))
         .filter(F.col("copy") <= k)
     )

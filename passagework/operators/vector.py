@@ -270,11 +270,13 @@ def knn_exact(
     v = v.select("chunk_id", "vec")
     if k <= 0:
         return topk_per_query(q.sparkSession.createDataFrame([], hit_schema(q, v)), k)
-    n_queries = q.count()
-    one = q.dropna(subset=["vec"]).select(F.size("vec").alias("dim")).first()
-    query_bytes = n_queries * (one["dim"] if one else 0) * 8
-    # Blocks of queries that a task can hold, together with their k best rows.
+    n_queries, dim = q.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    query_bytes = n_queries * max(dim or 0, 0) * 8
+    if n_queries * k > HELD_ROWS:  # no query has more hits than there are vectors
+        k = min(k, max(v.count(), 1))
+    # Blocks of queries that a task can hold, together with their k best rows; no block is empty.
     rows = max(-(-query_bytes // max(broadcast_bytes, 1)), -(-n_queries * k // HELD_ROWS))
+    rows = min(rows, n_queries)
     if rows <= 1:
         hits = score_with_broadcast(q, v, k, metric, decimals)
     else:
@@ -319,6 +321,7 @@ def ann_lsh(
     Random projections of the unit vectors are cut into intervals; ``hashes`` of them
     make a bucket, and a pair is scored if it shares a bucket in any of the ``tables``.
     """
+    cosine_only(metric)
     q, v = vectors_only(queries, index)
     v = v.select("chunk_id", "vec")
     lsh = BucketedRandomProjectionLSH(
@@ -346,6 +349,12 @@ def ann_lsh(
     return topk_per_query(once, k)
 
 
+def cosine_only(metric: str) -> None:
+    """The buckets are made of unit vectors: they say nothing about lengths."""
+    if metric != "cosine":
+        raise ValueError(f"approximate searches serve the metric cosine, not {metric}")
+
+
 def ivf_train(
     index: DataFrame, nlist: int = 16, seed: int = 42, iterations: int = 10, fraction: float = 1.0
 ) -> np.ndarray:
@@ -405,6 +414,7 @@ def ann_ivf(
     ``index`` carries the ``bucket`` of :func:`ivf_assign`; if it was written
     partitioned by that column, only the probed partitions are read.
     """
+    cosine_only(metric)
     q, v = vectors_only(queries, index)
     q = q.withColumn("bucket", F.explode(nearest_centroids(q, "vec", centroids, nprobe)))
     # At most one value per centroid: known before planning, it prunes the partitions read.

@@ -13,12 +13,14 @@ from passagework.config import (
     DEFAULT_DIM,
     DOCUMENT_EXTENSIONS,
     INDEX_DIRECTORY,
+    SEARCHERS,
 )
 from passagework.operators.chunk import chunk_recursive
 from passagework.operators.embed import embed_hash
+from passagework.operators.vector import ivf_train
 from passagework.schema import INDEX, ensure_schema
 from passagework.sources.files import scan_documents
-from passagework.sources.store import load_index, write_index
+from passagework.sources.store import open_index, write_index
 
 log = logging.getLogger(__name__)
 
@@ -42,19 +44,29 @@ def load_or_build(
     knowledge_base: str,
     index_path: str | None = None,
     extensions=DOCUMENT_EXTENSIONS,
+    searcher: str = "exact",
+    nlist: int | None = None,
+    with_postings: bool = False,
     **build,
 ) -> DataFrame | None:
     """The saved index of ``knowledge_base``, built and saved first if there is none.
 
-    None if there are no documents.
+    None if there are no documents.  An index that is there but cannot be read is an
+    error and stays as it is.  ``searcher="ivf"`` saves the vectors in ``nlist`` buckets.
     """
+    if searcher not in SEARCHERS:
+        raise ValueError(f"Unsupported searcher: {searcher}")
+    if searcher == "ivf" and not nlist:
+        raise ValueError("searcher='ivf' needs nlist, the number of buckets")
     index_path = index_path or f"{knowledge_base.rstrip('/')}/{INDEX_DIRECTORY}"
-    index = load_index(spark, index_path)
+    index = open_index(spark, index_path)
     if index is not None:
         return index
     documents = scan_documents(spark, knowledge_base, extensions)
     if documents.isEmpty():
         log.warning("No documents found in %s", knowledge_base)
         return None
-    write_index(build_index(documents, **build), index_path)
-    return load_index(spark, index_path)
+    built = build_index(documents, **build)
+    centroids = ivf_train(built, nlist) if searcher == "ivf" else None
+    write_index(built, index_path, centroids is not None, centroids, with_postings)
+    return open_index(spark, index_path)

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.config import BROADCAST_ROWS, SearchConfig
+from passagework.config import BROADCAST_ROWS, SEARCHERS, SearchConfig
 from passagework.operators import enrich, filters
 from passagework.operators.embed import embed_hash
-from passagework.operators.hybrid import fuse
-from passagework.operators.keyword import keyword_bm25
+from passagework.operators.hybrid import exact_fusion
 from passagework.operators.respond import error_rows, no_result_fallback
-from passagework.operators.vector import knn_exact
+from passagework.operators.vector import ann_ivf, ann_lsh, knn_exact
+
+LARGE_LIMIT = 1_000  # queries that want more are searched apart
+FEW_QUERIES = 20_000  # as many, with their vectors, are held by the driver
+FILTER_CHOICES = 256  # different filters of a batch, each of which is a search
 
 RESULT_COLUMNS = (
     "query_id",
@@ -50,53 +54,101 @@ RESULTS = T.StructType(
 )
 
 
+# What a query may ask for itself, and the setting that holds where it does not.
+OWN_FILTERS = {"document_types": "array<string>", "source_pattern": "string", "date_from": "timestamp", "date_to": "timestamp"}
+OWN_INCLUDES = ("include_metadata", "include_summary", "include_keywords", "include_relevance")
+
+
 def normalise_queries(queries: DataFrame, config: SearchConfig) -> DataFrame:
-    """``query_id, query, search_text, limit, use_hybrid, alpha`` (and ``query_vec`` if given)."""
+    """``query_id, query, search_text, limit, use_hybrid, alpha``, filters, includes (and ``query_vec`` if given)."""
 
-    def given(name: str, default):
-        return F.coalesce(F.col(name), F.lit(default)) if name in queries.columns else F.lit(default)
+    def given(name: str, default, kind: str):
+        default = F.lit(default).cast(kind)
+        return F.coalesce(F.col(name).cast(kind), default) if name in queries.columns else default
 
     extra = ["query_vec"] if "query_vec" in queries.columns else []
+    limit = F.try_divide(given("limit", config.limit, "double"), F.lit(1.0))
     return enrich.query_context(queries).select(
         "query_id",
         "query",
         "search_text",
-        given("limit", config.limit).cast("int").alias("limit"),
-        given("use_hybrid", config.hybrid).alias("use_hybrid"),
-        given("alpha", config.alpha).cast("double").alias("alpha"),
+        filters.whole_number(limit).alias("limit"),
+        given("use_hybrid", config.hybrid, "boolean").alias("use_hybrid"),
+        given("alpha", config.alpha, "double").alias("alpha"),
+        *[given(name, getattr(config, name), "boolean").alias(name) for name in OWN_INCLUDES],
+        given("document_types", list(config.document_types), "array<string>").alias("document_types"),
+        *[given(n, getattr(config, n) or None, OWN_FILTERS[n]).alias(n) for n in list(OWN_FILTERS)[1:]],
         *extra,
     )
 
 
-def apply_filters(rows: DataFrame, config: SearchConfig) -> DataFrame:
-    rows = filters.filter_document_types(rows, config.document_types)
-    rows = filters.filter_source_pattern(rows, config.source_pattern)
-    return filters.filter_date_range(rows, config.date_from, config.date_to)
+def meets_filters(types, pattern, since, until):
+    """Whether a row with ``document_type``, ``source`` and ``modified_at`` passes; an absent filter lets all pass."""
+    none = F.lit(True)
+    return (
+        F.when(F.coalesce(F.size(types), F.lit(0)) > 0, F.array_contains(types, F.col("document_type"))).otherwise(none)
+        & F.when(F.coalesce(pattern, F.lit("")) != "", F.rlike("source", F.replace(pattern, F.lit("*"), F.lit(".*")))).otherwise(none)
+        & F.when(since.isNotNull(), F.col("modified_at") >= since).otherwise(none)
+        & F.when(until.isNotNull(), F.col("modified_at") <= until).otherwise(none)
+    )
 
 
-def find(
-    queries: DataFrame,
-    index: DataFrame,
-    config: SearchConfig,
-    k: int,
-    hybrid: bool,
-    knn: Callable[..., DataFrame],
-    stored_postings: DataFrame | None,
-) -> DataFrame:
-    """The ``k`` best hits per query; ``hybrid`` tells whether any query wants fusion.
+def searcher(name: str = "exact", centroids=None, **options) -> Callable[..., DataFrame]:
+    """A search by name for the ``knn`` of :func:`search`: ``exact``, ``lsh`` or ``ivf`` (with the index's centroids)."""
+    if name not in SEARCHERS:
+        raise ValueError(f"Unsupported searcher: {name}")
+    if name == "exact":
+        return partial(knn_exact, **options)
+    if name == "lsh":
+        return lambda q, v, k, metric: ann_lsh(q, v, k, metric, **options)
+    if centroids is None:
+        raise ValueError("searcher 'ivf' needs the centroids of the index")
+    return lambda q, v, k, metric: ann_ivf(q, v, centroids, k, metric=metric, **options)
 
-    Vectors are scanned once for all queries, fused or not.
+
+def find(queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callable[..., DataFrame]) -> DataFrame:
+    """The best hits of every query that reach the threshold, as many as its limit.
+
+    Queries with a large limit are searched apart, so that they do not raise what
+    tasks keep for the others.
     """
-    if not hybrid:
-        return knn(queries, index, k, config.metric)
-    depth = max(k, config.candidate_depth)
-    wanted = queries.filter("use_hybrid").select("query_id", F.col("search_text").alias("query"))
-    return fuse(
-        knn(queries, index, depth, config.metric),
-        keyword_bm25(wanted, index, depth, stored_postings=stored_postings),
-        k,
-        queries.select("query_id", F.when(F.col("use_hybrid"), F.col("alpha")).alias("alpha")),
-    )
+    parts = []
+    for own in (F.col("limit").between(1, LARGE_LIMIT), F.col("limit") > LARGE_LIMIT):
+        some = queries.filter(own)
+        asked = some.agg(
+            F.max("limit").alias("k"), F.bool_or("use_hybrid").alias("hybrid"), F.bool_or(~F.col("use_hybrid")).alias("plain")
+        ).first()
+        if asked["plain"]:
+            parts.append(knn(some.filter(~F.col("use_hybrid")), index, asked["k"], config.metric))
+        if asked["hybrid"]:
+            wanted = some.filter("use_hybrid").select("query_id", F.col("search_text").alias("query"), "query_vec", "alpha")
+            parts.append(exact_fusion(wanted, index, asked["k"], config.metric))
+    if not parts:
+        return queries.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    hits = reduce(DataFrame.unionByName, parts)
+    hits = hits.join(queries.select("query_id", "limit"), "query_id").filter(F.col("rank") <= F.col("limit"))
+    return filters.threshold_filter(hits, config.threshold).drop("limit")
+
+
+def find_filtered(queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callable[..., DataFrame]) -> DataFrame:
+    """As :func:`find`, each query among the rows that pass its filters: a search for each choice of filters."""
+    names = list(OWN_FILTERS)
+    choices = queries.select(*names).distinct().limit(FILTER_CHOICES + 1)
+    held = choices.toArrow()
+    if len(held) > FILTER_CHOICES:
+        raise ValueError(f"filter_mode='pre' serves at most {FILTER_CHOICES} different choices of filters")
+    typed = enrich.with_document_type(index)
+    parts = []
+    for i in range(len(held)):
+        one = queries.sparkSession.createDataFrame(held.slice(i, 1), choices.schema)
+        same = F.lit(True)
+        values = one.first()
+        literals = [F.lit(values[n]).cast(OWN_FILTERS[n]) for n in names]
+        for name, value in zip(names, literals):
+            same = same & F.col(name).eqNullSafe(value)
+        some = typed.filter(meets_filters(*literals)).drop("document_type")
+        parts.append(find(queries.filter(same), some, config, knn))
+    return reduce(DataFrame.unionByName, parts) if parts else find(queries, index, config, knn)
 
 
 def search(
@@ -104,35 +156,28 @@ def search(
     index: DataFrame | None,
     config: SearchConfig = SearchConfig(),
     embed: Callable[[DataFrame, str, str], DataFrame] | None = None,
-    knn: Callable[..., DataFrame] = knn_exact,
-    stored_postings: DataFrame | None = None,
+    knn: Callable[..., DataFrame] | str = knn_exact,
 ) -> DataFrame:
     """Results of ``queries(query_id, query[, context, limit, use_hybrid, alpha, query_vec])``.
 
-    ``embed(df, text_col, out_col)`` must be the model that embedded the index; ``knn``
-    is :func:`knn_exact` or an approximate search of the same signature.
+    A query may also carry its own ``document_types``, ``source_pattern``, ``date_from``,
+    ``date_to`` and ``include_metadata``, ``_summary``, ``_keywords``, ``_relevance``; where a column
+    is absent or NULL, ``config`` holds.  ``embed(df, text_col, out_col)`` must be the model
+    that embedded the index; ``knn`` is a :func:`searcher` or its name.
     """
     if index is None:
         empty = T.StructType([queries.schema["query_id"], *RESULTS.fields])
         return queries.sparkSession.createDataFrame([], empty)
+    knn = searcher(knn) if isinstance(knn, str) else knn
     q = normalise_queries(queries, config)
-    asked = q.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("limit").alias("k"),
-        F.bool_or("use_hybrid").alias("hybrid"),
-    ).first()
-    k = max(asked["k"] or 0, 0)
     if "query_vec" not in q.columns:
         q = embed(q, "search_text", "query_vec") if embed else embed_hash(q, "search_text", config.dim, "query_vec")
-    if config.filter_mode == "pre":
-        index = apply_filters(enrich.with_document_type(index), config).drop("document_type")
-
-    hits = find(q, index, config, k, bool(asked["hybrid"]), knn, stored_postings)
-    hits = hits.join(q.select("query_id", "limit"), "query_id").filter(F.col("rank") <= F.col("limit"))
-    hits = filters.threshold_filter(hits, config.threshold).drop("limit")
-    # At most k rows of ids and scores per query come back for their content; if that was
-    # counted to be few, they go to the index instead of the index being shuffled to them.
-    if asked["n"] * k <= BROADCAST_ROWS:
+    q, n = computed_once(q)
+    hits = (find_filtered if config.filter_mode == "pre" else find)(q, index, config, knn)
+    # Ids and scores, limit rows for each query at most, come back for their content; if they
+    # are counted to be few, they go to the index instead of the index being shuffled to them.
+    k = q.agg(F.sum("limit")).first()[0] or 0
+    if n is not None and k <= BROADCAST_ROWS:
         hits = F.broadcast(hits)
     stored = index.select("chunk_id", "content", "source", "modified_at", "metadata")
     results = stored.join(hits, "chunk_id")
@@ -142,17 +187,25 @@ def search(
     results = enrich.with_document_type(results)
     if config.metadata_keys:
         results = enrich.metadata_keys(results, config.metadata_keys)
+    own = q.select("query_id", F.struct("query", *OWN_FILTERS, *OWN_INCLUDES).alias("own"))
+    results = results.join(F.broadcast(own) if n is not None else own, "query_id")
     if config.filter_mode == "post":
-        results = apply_filters(results, config)
-    results = enrich.with_summary(results, config.include_summary)
-    results = enrich.with_keywords(results, config.include_keywords)
-    if config.include_relevance:
-        results = results.join(q.select("query_id", "query"), "query_id")
-    else:
-        results = results.withColumn("query", F.lit(None).cast("string"))
-    results = enrich.with_relevance(results, config.include_relevance)
-    results = enrich.include_metadata(results, config.include_metadata)
-    return results.select(*RESULT_COLUMNS)
+        results = results.filter(meets_filters(*[F.col(f"own.{name}") for name in OWN_FILTERS]))
+    results = enrich.with_summary(results, True)
+    results = enrich.with_keywords(results, True)
+    results = enrich.with_relevance(results.withColumn("query", F.col("own.query")), True)
+    shown = {name.removeprefix("include_"): F.col(f"own.{name}") for name in OWN_INCLUDES}
+    return results.select(
+        *[F.when(shown[c], F.col(c)).alias(c) if c in shown else F.col(c) for c in RESULT_COLUMNS]
+    )
+
+
+def computed_once(q: DataFrame) -> tuple[DataFrame, int | None]:
+    """Few queries are computed once, so that no model runs twice on them; their number, or None for many."""
+    head = q.limit(FEW_QUERIES + 1).toArrow()
+    if len(head) > FEW_QUERIES:
+        return q, None
+    return q.sparkSession.createDataFrame(head, q.schema), len(head)
 
 
 def answer(requests: DataFrame, index: DataFrame | None, config: SearchConfig = SearchConfig(), **options) -> DataFrame:

@@ -1,72 +1,154 @@
-"""The saved index: a Parquet directory of chunks with their vectors, and one of postings."""
+"""The saved index: chunks with their vectors, and beside them buckets and postings.
+
+An index is a directory of segments and of numbered manifests, small JSON files that
+are written once and never changed.  The manifest with the highest number says which
+segments make up the index, so a write becomes visible with one new file: readers see
+the old index or the new one, and a failed job leaves what was there.  No data is renamed.
+"""
 
 from __future__ import annotations
 
+import json
 import logging
+import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagework.config import BROADCAST_ROWS
-from passagework.operators.keyword import postings
+from passagework.operators.keyword import Collection, field_tokens, postings
+from passagework.operators.vector import ivf_assign
 from passagework.schema import INDEX, POSTINGS, ensure_schema
 from passagework.sources.files import file_system, path_exists
 
 log = logging.getLogger(__name__)
 
+MANIFEST = re.compile(r"^manifest-(\d{8})\.json$")
+BUCKET = T.StructField("bucket", T.IntegerType())
+# What is stored besides the columns of the index: a hash of the text and its length in words.
+STORED = T.StructType(INDEX.fields + [T.StructField("digest", T.LongType()), T.StructField("n_words", T.IntegerType())])
 
-def replace_directory(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """Let ``write`` fill a new directory and put it in the place of ``path``.
 
-    The old content stays readable until the new one is complete, so an index may be
-    rewritten from itself, and a failed job leaves the old one as it was.
-    """
-    tag = uuid.uuid4().hex
-    staged, retired = f"{path}.new-{tag}", f"{path}.old-{tag}"
-    write(staged)
+class UnreadableIndex(ValueError):
+    """There is something at the path, but no index that can be used."""
+
+
+# ---- manifests ----------------------------------------------------------------------
+
+
+def manifests(spark: SparkSession, path: str) -> list[str]:
     fs, target = file_system(spark, path)
-    to_path = spark._jvm.org.apache.hadoop.fs.Path
-    had_one = fs.exists(target)
-    if had_one and not fs.rename(target, to_path(retired)):
-        raise OSError(f"Cannot move {path} aside")
-    if not fs.rename(to_path(staged), target):
-        raise OSError(f"Cannot move the new index to {path}")
-    if had_one:
-        fs.delete(to_path(retired), True)
+    if not fs.exists(target):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(target)]
+    return sorted(name for name in names if MANIFEST.match(name))
 
 
-def write_index(index: DataFrame, path: str, bucketed: bool = False) -> None:
-    """Save ``index``, replacing what is at ``path``.
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The newest manifest; None if nothing is at ``path``."""
+    if not path_exists(spark, path):
+        return None
+    names = manifests(spark, path)
+    if not names:
+        raise UnreadableIndex(f"No index at {path}, though the path exists")
+    lines = spark.read.option("wholetext", True).text(f"{path}/{names[-1]}").collect()
+    return json.loads(lines[0][0])
 
-    ``bucketed`` partitions the directory by ``bucket`` (of ``ivf_assign``), so that a
-    search reads only the buckets it probes.
-    """
 
-    def write(target: str) -> None:
-        writer = index.write
-        if bucketed:
-            writer = writer.partitionBy("bucket")
-        writer.parquet(target)
+def publish(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Make ``manifest`` the newest one, and delete what two writes ago was replaced."""
+    names = manifests(spark, path)
+    number = int(MANIFEST.match(names[-1])[1]) + 1 if names else 0
+    before = read_manifest(spark, path) if names else None
+    fs, target = file_system(spark, f"{path}/manifest-{number:08d}.json")
+    stream = fs.create(target, False)  # fails if another writer was faster
+    stream.write(bytearray(json.dumps(manifest).encode()))
+    stream.close()
+    # what the manifest before had retired was kept for its readers and can go now
+    old = set(before["retired"]) - parts_of(manifest) if before else set()
+    for status in fs.listStatus(target.getParent()):
+        name = status.getPath().getName()
+        if name in old or (MANIFEST.match(name) and name < f"manifest-{number - 1:08d}.json"):
+            fs.delete(status.getPath(), True)
 
-    replace_directory(index.sparkSession, path, write)
 
+def parts_of(manifest: dict) -> set[str]:
+    """Directories that an index consists of."""
+    segments = {s[k] for s in manifest["segments"] for k in ("chunks", "postings") if s[k]}
+    return segments | {r["docs"] for r in manifest["removed"]}
 
-def load_index(spark: SparkSession, path: str, required=("chunk_id", "content", "embedding")) -> DataFrame | None:
-    """The saved index, or None if there is none or it cannot be used."""
-    try:
-        if not path_exists(spark, path):
-            log.info("No existing index found at %s", path)
-            return None
-        stored = spark.read.parquet(path)
-        index = ensure_schema(stored, INDEX, required)
-        return ensure_schema(stored, INDEX.add("bucket", "int")) if "bucket" in stored.columns else index
-    except (PySparkException, Py4JError, ValueError) as error:
-        log.error("Failed to load the index at %s: %s", path, error)
-        return None
+
+# ---- writing ------------------------------------------------------------------------
+
+
+def with_stored_columns(index: DataFrame) -> DataFrame:
+    extra = [BUCKET.name] if BUCKET.name in index.columns else []
+    full = ensure_schema(index, T.StructType(INDEX.fields + [BUCKET] * len(extra)), ("chunk_id",))
+    return full.withColumns({"digest": F.xxhash64("content"), "n_words": F.size(field_tokens(("content",)))})
+
+
+def write_segment(index: DataFrame, path: str, bucketed: bool, with_postings: bool) -> dict:
+    """Write a segment below ``path``; nothing refers to it yet."""
+    tag = uuid.uuid4().hex
+    segment = {"chunks": f"chunks-{tag}", "postings": f"postings-{tag}" if with_postings else None}
+    rows = with_stored_columns(index)
+    if bucketed:
+        # a bucket's rows go to few files, not to one file of every task
+        spread = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
+        rows.repartition("bucket", spread).write.partitionBy("bucket").parquet(f"{path}/{segment['chunks']}")
+    else:
+        rows.write.parquet(f"{path}/{segment['chunks']}")
+    stored = read_segment(index.sparkSession, path, segment, bucketed)
+    if with_postings:
+        write_postings(stored, f"{path}/{segment['postings']}")
+    n, words = stored.agg(F.count(F.lit(1)), F.sum("n_words")).first()
+    return segment | {"n": n, "words": words or 0}
+
+
+def write_index(
+    index: DataFrame,
+    path: str,
+    bucketed: bool = False,
+    centroids: np.ndarray | None = None,
+    with_postings: bool = False,
+) -> None:
+    """Save ``index``, replacing what is at ``path``; it may be read from there.
+
+    ``bucketed`` partitions the segment by ``bucket`` (of ``ivf_assign``), so that a
+    search reads only the buckets it probes; with ``centroids`` saved, rows appended
+    later are assigned too.  ``with_postings`` keeps postings in step with the chunks.
+    """
+    spark = index.sparkSession
+    if centroids is not None and BUCKET.name not in index.columns:
+        index = ivf_assign(index, centroids)
+    segment = write_segment(index, path, bucketed, with_postings)
+    before = read_manifest(spark, path) if manifests(spark, path) else None
+    manifest = {
+        "segments": [segment],
+        "removed": [],
+        "bucketed": bucketed,
+        "postings": with_postings,
+        "centroids": None if centroids is None else np.asarray(centroids).tolist(),
+        "retired": sorted(parts_of(before)) if before else [],
+    }
+    publish(spark, path, manifest)
+
+
+def write_postings(chunks: DataFrame, path: str, fields: tuple[str, ...] = ("content",)) -> None:
+    """Save the postings of ``chunks`` in a new directory, sorted by word inside each file.
+
+    A file holds all words of some chunks: nothing is shuffled, and a frequent word is
+    spread over all files.  Row-group statistics let a search for few words skip others.
+    """
+    entries = ensure_schema(postings(chunks, fields), POSTINGS, ("token", "chunk_id"))
+    entries.sortWithinPartitions("token", "chunk_id").write.mode("overwrite").parquet(path)
 
 
 def append_index(
@@ -75,36 +157,154 @@ def append_index(
     chunks: DataFrame,
     embed: Callable[[DataFrame], DataFrame] | None = None,
     dedupe: bool = True,
+    bucketed: bool = False,
+    centroids: np.ndarray | None = None,
+    with_postings: bool = False,
 ) -> None:
-    """Add ``chunks`` to the index at ``path``, which is created if absent.
+    """Add ``chunks`` to the index at ``path``, which is created (with the last options) if absent.
 
-    Chunks whose id is stored already are left out, before they are embedded;
-    ``dedupe=False`` inserts everything.
+    Documents come whole.  One that is stored with the same chunks is left out before it
+    is embedded; one whose chunks have changed replaces what is stored; chunks without a
+    document go by their id.  A chunk that stands twice in ``chunks`` is taken once.
+    ``dedupe=False`` inserts everything.  Buckets and postings are kept in step.
     """
+    manifest = read_manifest(spark, path)
+    if manifest is None:
+        manifest = {
+            "segments": [],
+            "removed": [],
+            "bucketed": bucketed,
+            "postings": with_postings,
+            "centroids": None if centroids is None else np.asarray(centroids).tolist(),
+            "retired": [],
+        }
+    removed = list(manifest["removed"])
     fresh = chunks
-    if dedupe and path_exists(spark, path):
-        stored = spark.read.parquet(path).select("chunk_id")
-        ids = chunks.select("chunk_id")
-        if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            # A few new ids find their like in one scan; the stored ids are not shuffled.
-            stored = stored.join(F.broadcast(ids), "chunk_id", "left_semi")
-        fresh = chunks.join(stored, "chunk_id", "left_anti")
+    if dedupe:
+        fresh = chunks.dropDuplicates(["chunk_id"])
+        if manifest["segments"]:
+            fresh, changed = split_known(fresh, read_all(spark, path, manifest))
+            tag = f"removed-{uuid.uuid4().hex}"
+            changed.write.parquet(f"{path}/{tag}")
+            if spark.read.schema(changed.schema).parquet(f"{path}/{tag}").limit(1).count():
+                removed.append({"docs": tag, "before": len(manifest["segments"])})
     if embed is not None:
         fresh = embed(fresh)
-    ensure_schema(fresh, INDEX).write.mode("append").parquet(path)
+    if manifest["centroids"] is not None:
+        fresh = ivf_assign(fresh, np.array(manifest["centroids"]))
+    segment = write_segment(fresh, path, manifest["bucketed"], manifest["postings"])
+    segments = manifest["segments"] + [segment]
+    publish(spark, path, manifest | {"segments": segments, "removed": removed, "retired": []})
 
 
-def write_postings(chunks: DataFrame, path: str, fields: tuple[str, ...] = ("content",)) -> None:
-    """Save the postings of ``chunks``, sorted by word inside each file.
+def split_known(chunks: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks to add, and the ids of the documents that they replace."""
+    keyed = chunks.withColumn("digest", F.xxhash64("content"))
+    ids = keyed.select("doc_id", "chunk_id")
+    known = stored.select("doc_id", "chunk_id", "digest")
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # A few new documents find their like in one scan; what is stored is not shuffled.
+        docs = F.broadcast(ids.select("doc_id").distinct())
+        loose = F.broadcast(ids.where(F.col("doc_id").isNull()).select("chunk_id"))
+        whole = known.join(docs, "doc_id", "left_semi")
+        known = whole.unionByName(known.where(F.col("doc_id").isNull()).join(loose, "chunk_id", "left_semi").select(whole.columns))
 
-    A file holds all words of some chunks, not all chunks of some words: nothing is
-    shuffled, a frequent word is spread over all files, and a search adds up most of a
-    chunk's score where it reads it.  Row-group statistics let it skip other words.
-    """
-    entries = ensure_schema(postings(chunks, fields), POSTINGS, ("token", "chunk_id"))
-    ordered = entries.sortWithinPartitions("token", "chunk_id")
-    replace_directory(chunks.sparkSession, path, lambda target: ordered.write.parquet(target))
+    def signature(rows: DataFrame, name: str) -> DataFrame:
+        mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("chunk_id", "digest")))
+        return rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(mark.alias(name))
+
+    # a chunk inserted twice with dedupe=False counts once
+    both = signature(keyed, "new").join(signature(known.distinct(), "old"), "doc_id")
+    same, changed = both.where(F.col("new") == F.col("old")), both.where(F.col("new") != F.col("old"))
+    named = chunks.where(F.col("doc_id").isNotNull()).join(same.select("doc_id"), "doc_id", "left_anti")
+    loose = chunks.where(F.col("doc_id").isNull()).join(known.select("chunk_id"), "chunk_id", "left_anti")
+    return named.select(chunks.columns).unionByName(loose.select(chunks.columns)), changed.select("doc_id")
+
+
+# ---- reading ------------------------------------------------------------------------
+
+
+def read_segment(spark: SparkSession, path: str, segment: dict, bucketed: bool) -> DataFrame:
+    schema = T.StructType(STORED.fields + [BUCKET]) if bucketed else None
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{path}/{segment['chunks']}")
+
+
+def without_removed(spark: SparkSession, path: str, manifest: dict, read: Callable[[dict], DataFrame]) -> DataFrame:
+    """All segments, each without the documents that later ones have replaced."""
+    parts = []
+    for i, segment in enumerate(manifest["segments"]):
+        rows = read(segment)
+        later = [r["docs"] for r in manifest["removed"] if r["before"] > i]
+        if later:
+            gone = spark.read.schema("doc_id string").parquet(*[f"{path}/{name}" for name in later]).distinct()
+            rows = rows.join(gone, "doc_id", "left_anti").select(rows.columns)
+        parts.append(rows)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_all(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
+    return without_removed(spark, path, manifest, lambda s: read_segment(spark, path, s, manifest["bucketed"]))
+
+
+def open_index(spark: SparkSession, path: str, required=("chunk_id", "content", "embedding")) -> DataFrame | None:
+    """The saved index; None if nothing is at ``path``, an error if it cannot be used."""
+    try:
+        manifest = read_manifest(spark, path)
+        if manifest is None:
+            log.info("No existing index found at %s", path)
+            return None
+        stored = read_all(spark, path, manifest)
+        fields = INDEX.fields + [BUCKET] * (BUCKET.name in stored.columns)
+        return ensure_schema(stored, T.StructType(fields), required)
+    except (PySparkException, Py4JError, ValueError, KeyError) as error:
+        raise UnreadableIndex(f"Failed to load the index at {path}: {error}") from error
+
+
+def load_index(spark: SparkSession, path: str, required=("chunk_id", "content", "embedding")) -> DataFrame | None:
+    """The saved index, or None if there is none or it cannot be used."""
+    try:
+        return open_index(spark, path, required)
+    except UnreadableIndex as error:
+        log.error("%s", error)
+        return None
+
+
+def load_centroids(spark: SparkSession, path: str) -> np.ndarray | None:
+    """The centroids that were saved with an index."""
+    manifest = read_manifest(spark, path)
+    return np.array(manifest["centroids"]) if manifest and manifest["centroids"] is not None else None
 
 
 def load_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POSTINGS).parquet(path)
+    """Postings saved with an index, or by :func:`write_postings`."""
+    if not manifests(spark, path):
+        return spark.read.schema(POSTINGS).parquet(path)
+    manifest = read_manifest(spark, path)
+    if not manifest["postings"]:
+        raise UnreadableIndex(f"The index at {path} was saved without postings")
+    segments = [spark.read.schema(POSTINGS).parquet(f"{path}/{s['postings']}") for s in manifest["segments"]]
+    entries = reduce(DataFrame.unionByName, segments)
+    if manifest["removed"]:
+        # a replaced document's postings belong to chunks that are no longer read from their segment
+        tagged = [e.withColumn("segment", F.lit(i)) for i, e in enumerate(segments)]
+        live = without_removed(
+            spark,
+            path,
+            manifest | {"segments": [s | {"at": i} for i, s in enumerate(manifest["segments"])]},
+            lambda s: read_segment(spark, path, s, manifest["bucketed"]).select("doc_id", "chunk_id", F.lit(s["at"]).alias("segment")),
+        )
+        entries = reduce(DataFrame.unionByName, tagged).join(
+            live.select("chunk_id", "segment"), ["chunk_id", "segment"], "left_semi"
+        )
+    return entries.select(POSTINGS.names)
+
+
+def collection_counts(spark: SparkSession, path: str) -> Collection:
+    """Number of chunks of a saved index and their average length in words, without reading a text."""
+    manifest = read_manifest(spark, path)
+    if manifest["removed"]:
+        n, words = read_all(spark, path, manifest).agg(F.count(F.lit(1)), F.sum("n_words")).first()
+    else:
+        n, words = (sum(s[k] for s in manifest["segments"]) for k in ("n", "words"))
+    return Collection(n, (words or 0) / n if n else 0.0)
