@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,9 +115,12 @@ def train(labelled: DataFrame, max_docs: int = TRAIN_DOCS) -> Classifier:
             yield [pa.array([features(t, known) for t in texts], pa.list_(pa.int32()))]
 
     new = [T.StructField("features", T.ArrayType(T.IntegerType()))]
-    got = add_columns(taken.select("text", F.col("good").cast("double").alias("good"), F.xxhash64("doc_id").alias("order")), new, work, leave_out=("text",)).toArrow()
-    got = got.sort_by("order")
-    rows = [np.array(r, np.int32) for r in got["features"].to_pylist()]
+    asked = taken.select("text", F.col("good").cast("double").alias("good"), F.xxhash64("doc_id").alias("order"))
+    got = add_columns(asked, new, work, leave_out=("text",)).toArrow()
+    got = got.sort_by("order").combine_chunks()
+    column = pa.chunked_array(got["features"]).combine_chunks()
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    rows = np.split(column.flatten().to_numpy(), ends[:-1]) if len(ends) else []
     return fit(rows, got["good"].to_numpy())
 
 
