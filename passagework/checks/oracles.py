@@ -177,6 +177,23 @@ SQL = {
     ',"keywords":' || CAST(to_json({first_distinct('ws')}) AS VARCHAR) || '}}', ',' ORDER BY rank) || ']}}' AS response
   FROM hits JOIN documents ON chunk_id = doc_id JOIN split USING (doc_id) GROUP BY query_id""",
     "chunk_fixed": f"WITH {CHUNKS} SELECT chunk_id, doc_id, chunk_no, source, content FROM chunks",
+    # c: where the words begin, and the end of the text; f: words before the chunk, e: words up to its end
+    "chunk_recursive_words": r"""WITH RECURSIVE o AS (SELECT unnest([0, 200]) AS overlap),
+  word AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word
+    FROM (SELECT doc_id, regexp_extract_all(text, '^[^ ]+| [^ ]*') AS w FROM documents)),
+  ends AS (SELECT doc_id, i, sum(length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM word),
+  d AS (SELECT doc_id, text, [0] || list(CAST(c AS BIGINT) ORDER BY i) AS c FROM ends JOIN documents USING (doc_id) GROUP BY ALL),
+  chunk AS (
+    SELECT doc_id, overlap, 0 AS f, greatest(1, len(list_filter(c, lambda x: x <= 1000)) - 1) AS e FROM d, o
+    UNION ALL
+    SELECT doc_id, overlap, g, greatest(e + 1, len(list_filter(c, lambda x: x <= c[g + 1] + 1000)) - 1)
+    FROM (SELECT k.doc_id, overlap, e, c,
+            least(e, len(list_filter(c, lambda x: x < greatest(c[e + 1] - overlap, c[e + 2] - 1000)))) AS g
+          FROM chunk k JOIN d USING (doc_id) WHERE e + 1 < len(c))),
+  cut AS (SELECT overlap, doc_id, f, trim(substring(text, c[f + 1] + 1, c[e + 1] - c[f + 1]), ' ' || chr(10) || chr(9) || chr(13)) AS content
+    FROM chunk JOIN d USING (doc_id))
+  SELECT overlap, doc_id || '#' || (row_number() OVER (PARTITION BY overlap, doc_id ORDER BY f) - 1) AS chunk_id, content
+  FROM cut WHERE content <> ''""",
     "chunk_recursive_cover": r"""SELECT CAST(doc_id AS VARCHAR) AS doc_id,
   md5(regexp_replace(text, '\s', '', 'g')) AS digest, true AS fits, true AS dense FROM documents""",
     "query_context": """SELECT conv_id, turn, text AS query,

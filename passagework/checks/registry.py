@@ -206,6 +206,15 @@ def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def chunk_recursive_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Packing at single spaces, without and with overlap."""
+    docs = inputs.documents(spark, sf)
+    return chunk.chunk_recursive(docs, 1000, 0, (" ",)).select(F.lit(0).alias("overlap"), "chunk_id", "content").unionAll(
+        chunk.chunk_recursive(docs, 1000, 200, (" ",)).select(F.lit(200), "chunk_id", "content")
+    )
+
+
 @query
 def chunk_recursive_cover(spark: SparkSession, sf: str) -> DataFrame:
     """Without overlap the chunks put together are the document, but for white space at the cuts."""
