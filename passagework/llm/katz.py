@@ -34,7 +34,7 @@ from passagework.llm.decontaminate import runs_of
 from passagework.llm.odd_sketch import FOLD, WordHashes, mix
 
 DISCOUNTED = 5  # counts up to this are discounted
-CHUNK = 3_000_000  # tokens that a task packs at once
+CHUNK = 2_000_000  # tokens that a task packs at once
 HOT = 256  # frequent words, at most
 HOT_SHARE = 1 / 1000  # of the sampled tokens
 SAMPLE = 1 / 100
@@ -92,10 +92,13 @@ def by_word(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
 
     def emit(held) -> Iterator[pa.RecordBatch]:
         word, context, doc = (np.concatenate(c) for c in zip(*held))
+        held.clear()
         part = part_of(word, context, hot, parts)
-        order = np.argsort(part, kind="stable")
+        # sorted by word and context, the numbers of both pack well
+        order = np.lexsort((context, word, part))
         word, context, doc = word[order], context[order], doc[order]
         edges = np.searchsorted(part[order], np.arange(parts + 1))
+        del part, order
         for p in range(parts):
             at = slice(edges[p], edges[p + 1])
             if edges[p] < edges[p + 1]:
@@ -136,18 +139,23 @@ def by_context(words: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
         data = [d for batch in batches for d in batch.column(1).to_pylist()]
         if not data:
             return
-        word, context, doc = (np.concatenate(c) for c in zip(*[[decoded(*u[i : i + 2]) for i in (0, 2, 4)] for u in map(unpack, data)]))
-        data.clear()
+        packed = [unpack(data.pop()) for _ in range(len(data))]
+        word = np.concatenate([decoded(u[0], u[1]) for u in packed])
         distinct, index = np.unique(word, return_inverse=True)
+        del word  # a part is the most that a task holds; what is no longer needed goes
+        index = index.astype(np.uint32)
+        context, doc = (np.concatenate([decoded(u[i], u[i + 1]) for u in packed]) for i in (2, 4))
+        packed.clear()
         count = np.bincount(index, doc & np.uint64(1), len(distinct)).astype(np.int64)
         is_hot = np.isin(distinct, hot)
         hot_counts = np.zeros(len(hot), np.int64)
         hot_counts[np.searchsorted(hot, distinct[is_hot])] = count[is_hot]
         stats = [int(np.count_nonzero(count[~is_hot])), int(count.sum()), *hot_counts.tolist()]
-        part = part_of(context, word, hot, parts)
-        order = np.argsort(part, kind="stable")
+        part = part_of(context, distinct[index], hot, parts).astype(np.uint32)
+        order = np.lexsort((index, context, part))
         context, index, doc = context[order], index[order], doc[order]
         edges = np.searchsorted(part[order], np.arange(parts + 1))
+        del part, order
         for p in range(parts):
             at = slice(edges[p], edges[p + 1])
             if edges[p] < edges[p + 1]:
@@ -180,7 +188,9 @@ def ngram_table(contexts: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
             context, doc = (np.concatenate([decoded(u[i], u[i + 1]) for u in data]) for i in (3, 5))
             data.clear()
             order = np.lexsort((word, context))
-            word, count, context, doc = word[order], count[order], context[order], doc[order]
+            word, count = word[order], count[order]
+            context, doc = context[order], doc[order]
+            del order
             start = runs_of(context, word)
             tokens = np.diff(np.append(start, len(word)))
             seen = np.add.reduceat((doc & np.uint64(1)).astype(np.int64), start)
