@@ -239,9 +239,10 @@ class Findings:
     def take(self, shard, at, text, items: Items, locate: bool) -> None:
         order = suffix_array(shard, int(items.room.max()))
         low, high, longest, longest_low, longest_high = search(shard, order, items)
-        # equal windows of different items have equal intervals: occurrences are listed once
+        # equal windows of different items have equal intervals: occurrences are listed once;
+        # a shorter window can begin where a longer one does, so the size counts too
         found = np.flatnonzero(high > low)
-        window, group = np.unique(low[found], return_inverse=True)
+        window, group = np.unique(low[found] * (int(items.size.max()) + 1) + items.size[found], return_inverse=True)
         pick = np.zeros(len(window), np.int64)
         pick[group] = found
         index, owner = spans(low[pick], high[pick])

@@ -65,6 +65,20 @@ def test_small_shards_and_cuts(monkeypatch):
     assert np.array_equal(whole.cover, cut.cover) and whole.pairs == cut.pairs
 
 
+@pytest.mark.parametrize("short_first", [True, False])
+def test_short_item_begins_another_window(spark, short_first):
+    long = " ".join(f"w{i}" for i in range(13))
+    items = [(1, "w0 w1"), (2, long)] if short_first else [(1, long), (2, "w0 w1")]
+    items += [(3, "z0 z1")]  # z0 sorts after w2: the first suffix with the short item goes on as the long one
+    docs = [(1, long, "a"), (2, "w0 w1 z0 other words", "a"), (3, "w0 w1", "a"), (4, "w1 w0", "a")]
+    b = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    for some in (docs, docs[:2], docs[:1]):
+        d = spark.createDataFrame(some, "doc_id long, text string, n_words string").coalesce(1)  # one shard
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in op.judge(d, b).collect()}
+        want = {d[0]: (n, hit, len([x for x in ids.split(",") if x]), bad) for d, (n, hit, ids, bad) in zip(some, expected(some, items, 13))}
+        assert got == want
+
+
 def test_suffix_array():
     rng = np.random.default_rng(5)
     text = rng.integers(0, 3, 200).astype(np.int32)
