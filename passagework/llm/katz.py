@@ -1,13 +1,16 @@
-"""Katz backoff: bigrams discounted by Good-Turing, backing off to smoothed single words.
+"""Katz backoff: n-grams discounted by Good-Turing, backing off to smoothed single words.
 
-A token is a word or the end of a text; its context is the token before it, or the
-start.  Learning and scoring read the same tokens, so both are done where those meet:
+A token is a word or the end of a text; its contexts are the one, two, ... tokens before
+it, back to the start of the text.  Learning and scoring read the same tokens, so both are done where those meet:
 
 1. Tokens travel to the part of their word, which counts it,
 2. then, with that count, to the part of their context.  There the n-grams are counted
    and stored, sorted by context, as a partitioned table with the tokens that ask for them.
 3. Once the counts of counts are known, every part computes discounts and exactly
-   normalised backoff weights, evaluates its tokens and sums up by document.
+   normalised backoff weights and evaluates its tokens.
+4. For each longer order, tokens travel on with their probability by the order before and
+   are counted, stored and evaluated in the same way; they stay in the part of the
+   word before them unless it is frequent.  The last order sums up by document.
 
 Tasks exchange packed arrays, one per sender and part.  A word that a sample shows to
 be frequent is dealt by its neighbour instead: what its parts count is summed
@@ -40,6 +43,7 @@ HOT_SHARE = 1 / 1000  # of the sampled tokens
 SAMPLE = 1 / 100
 WORDS_HELD = 400_000
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\0end", b"\0start"))
+NONE = np.uint64(0)  # the context of a token that has fewer tokens before it
 NO_ID = -(1 << 62)
 
 
@@ -76,6 +80,15 @@ def part_of(own: np.ndarray, other: np.ndarray, hot: np.ndarray, parts: int) ->
     return (mix(key) % np.uint64(parts)).astype(np.int64)
 
 
+def contexts_of(word: np.ndarray, order: int) -> list[np.ndarray]:
+    """Per length 1 to ``order - 1``, the context of each token of a text."""
+    out = [np.concatenate([[START], word[:-1]])]
+    while len(out) < order - 1:
+        before = np.concatenate([[NONE], out[-1][:-1]])
+        out.append(np.where(before == NONE, NONE, mix(mix(before) ^ out[0])))
+    return out
+
+
 PACKED = T.StructType(
     [T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("stats", T.ArrayType(T.LongType()))]
 )
@@ -87,22 +100,35 @@ def rows_of(parts: list[int], data: list[bytes], stats: list[list[int] | None])
     )
 
 
-def by_word(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
-    """Tokens of ``docs(id, text, learned)``, packed for the parts of their words."""
+def text_hashes(text: bytes | None, known: WordHashes) -> np.ndarray:
+    parts = []
+    for ws in word_lists((text or b"").translate(FOLD)):
+        if len(known) > WORDS_HELD:
+            known.clear()
+        parts.append(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)))
+    return np.concatenate([*parts, [END]])
+
+
+def by_word(docs: DataFrame, order: int, hot: np.ndarray, parts: int) -> DataFrame:
+    """Tokens of ``docs(id, text, learned)``, packed for the parts of their words; equal ones are counted."""
 
     def emit(held) -> Iterator[pa.RecordBatch]:
-        word, context, doc = (np.concatenate(c) for c in zip(*held))
+        columns = [np.concatenate(c) for c in zip(*held)]  # word, contexts, document
         held.clear()
-        part = part_of(word, context, hot, parts)
-        # sorted by word and context, the numbers of both pack well
-        order = np.lexsort((context, word, part))
-        word, context, doc = word[order], context[order], doc[order]
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        del part, order
+        part = part_of(*columns[:2], hot, parts)
+        # sorted by word and context, the numbers of both pack well; documents are in order
+        sorting = np.lexsort((*columns[-2::-1], part))
+        part = part[sorting]
+        columns = [c[sorting] for c in columns]
+        start = runs_of(part, *columns)
+        n = np.diff(np.append(start, len(part)))
+        columns = [c[start] for c in columns]
+        edges = np.searchsorted(part[start], np.arange(parts + 1))
+        del part, sorting, start
         for p in range(parts):
             at = slice(edges[p], edges[p + 1])
             if edges[p] < edges[p + 1]:
-                yield rows_of([p], [pack(*coded(word[at]), *coded(context[at]), *coded(doc[at]))], [None])
+                yield rows_of([p], [pack(n[at], *(x for c in columns for x in coded(c[at])))], [None])
 
     def work(batches):
         known, held, n = WordHashes(), [], 0
@@ -110,15 +136,10 @@ def by_word(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
             texts = batch.column(1).cast(pa.binary())
             ids, learned = batch.column(0).fill_null(NO_ID).to_pylist(), batch.column(2).to_pylist()
             for i in range(batch.num_rows):
-                parts_ = []
-                for ws in word_lists((texts[i].as_py() or b"").translate(FOLD)):
-                    if len(known) > WORDS_HELD:
-                        known.clear()
-                    parts_.append(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)))
-                word = np.concatenate([*parts_, [END]])
+                word = text_hashes(texts[i].as_py(), known)
                 # a number that sorts like the id, with a bit that says whether the text is learned
                 doc = np.uint64(2 * (ids[i] - NO_ID) + bool(learned[i]))
-                held.append((word, np.concatenate([[START], word[:-1]]), np.full(len(word), doc)))
+                held.append((word, *contexts_of(word, order), np.full(len(word), doc)))
                 n += len(word)
                 if n >= CHUNK:
                     yield from emit(held)
@@ -140,20 +161,21 @@ def by_context(words: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
         if not data:
             return
         packed = [unpack(data.pop()) for _ in range(len(data))]
-        word = np.concatenate([decoded(u[0], u[1]) for u in packed])
+        word = np.concatenate([decoded(u[1], u[2]) for u in packed])
         distinct, index = np.unique(word, return_inverse=True)
         del word  # a part is the most that a task holds; what is no longer needed goes
         index = index.astype(np.uint32)
-        context, doc = (np.concatenate([decoded(u[i], u[i + 1]) for u in packed]) for i in (2, 4))
+        n = np.concatenate([u[0] for u in packed]).astype(np.uint32)
+        columns = [np.concatenate([decoded(u[i], u[i + 1]) for u in packed]) for i in range(3, len(packed[0]), 2)]
         packed.clear()
-        count = np.bincount(index, doc & np.uint64(1), len(distinct)).astype(np.int64)
+        count = np.bincount(index, (columns[-1] & np.uint64(1)) * n, len(distinct)).astype(np.int64)
         is_hot = np.isin(distinct, hot)
         hot_counts = np.zeros(len(hot), np.int64)
         hot_counts[np.searchsorted(hot, distinct[is_hot])] = count[is_hot]
         stats = [int(np.count_nonzero(count[~is_hot])), int(count.sum()), *hot_counts.tolist()]
-        part = part_of(context, distinct[index], hot, parts).astype(np.uint32)
-        order = np.lexsort((index, context, part))
-        context, index, doc = context[order], index[order], doc[order]
+        part = part_of(columns[0], distinct[index], hot, parts).astype(np.uint32)
+        order = np.lexsort((index, columns[0], part))
+        index, n, columns = index[order], n[order], [c[order] for c in columns]
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         del part, order
         for p in range(parts):
@@ -161,7 +183,8 @@ def by_context(words: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
             if edges[p] < edges[p + 1]:
                 here, own = np.unique(index[at], return_inverse=True)
                 steps = np.diff(distinct[here], prepend=np.uint64(0))
-                yield rows_of([p], [pack(steps, count[here], own, *coded(context[at]), *coded(doc[at]))], [None])
+                packets = (x for c in columns for x in coded(c[at]))
+                yield rows_of([p], [pack(steps, count[here], own, n[at], *packets)], [None])
         yield rows_of([0], [None], [stats])
 
     return words.repartition(parts, "part").mapInArrow(work, PACKED)
@@ -185,22 +208,24 @@ def ngram_table(contexts: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
         if data:
             word = np.concatenate([decoded(u[0], u[2]) for u in data])
             count = np.concatenate([u[1].astype(np.int64)[u[2]] for u in data])
-            context, doc = (np.concatenate([decoded(u[i], u[i + 1]) for u in data]) for i in (3, 5))
+            n = np.concatenate([u[3] for u in data]).astype(np.uint32)
+            context, *later, doc = (np.concatenate([decoded(u[i], u[i + 1]) for u in data]) for i in range(4, len(data[0]), 2))
             data.clear()
             order = np.lexsort((word, context))
-            word, count = word[order], count[order]
-            context, doc = context[order], doc[order]
+            word, count, n = word[order], count[order], n[order]
+            context, doc, later = context[order], doc[order], [c[order] for c in later]
             del order
             start = runs_of(context, word)
-            tokens = np.diff(np.append(start, len(word)))
-            seen = np.add.reduceat((doc & np.uint64(1)).astype(np.int64), start)
+            rows = np.diff(np.append(start, len(word)))
+            seen = np.add.reduceat((doc & np.uint64(1)).astype(np.int64) * n, start)
             stats[2 + len(hot) :] += np.bincount(np.minimum(seen, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
             place = np.searchsorted(hot, word[start])  # 0: not hot, else its number and 1
             is_hot = np.isin(word[start], hot)
             group = runs_of(context[start])
             blob = pack(
                 np.diff(context[start][group], prepend=np.uint64(0)), np.diff(np.append(group, len(start))),
-                np.where(is_hot, place + 1, 0), count[start], seen, tokens, *coded(doc),
+                np.where(is_hot, place + 1, 0), count[start], seen, rows, n, *coded(doc),
+                *(coded(word[start]) if later else ()), *(x for c in later for x in coded(c)),
             )
             yield rows_of([0], [blob], [stats.tolist()])
         else:
@@ -226,56 +251,154 @@ def discounts(ones: list[int]) -> np.ndarray:
     return np.array([1.0, *[1 - 0.5 / r for r in range(1, DISCOUNTED + 1)], 1.0])
 
 
-class Model:
-    """The constants of a trained model, and what a part of the table says about its contexts."""
+def backed_off(owner, seen, lower, sums, factor) -> np.ndarray:
+    """Probability of each n-gram by the sums of its context ``owner`` and by ``lower``, the order before."""
+    total, mass, covered = sums.T
+    total_ = np.maximum(total, 1)
+    # a context whose n-grams all keep their counts sets one token aside for the others
+    full = mass >= total - 1e-9
+    total_ = np.where(full, total_ + 1, total_)
+    left = 1 - mass / total_
+    weight = np.where(total > 0, left / np.maximum(1 - covered, 1e-300), 1.0)
+    kept = factor[np.minimum(seen, DISCOUNTED + 1)] * seen
+    return np.where(seen > 0, kept / total_[owner], weight[owner] * lower)
+
+
+class Level:
+    """What the n-grams of one order have in a part: their counts and tokens, and sums for each context."""
+
+    def __init__(self, hot: np.ndarray, factor: np.ndarray):
+        self.hot, self.factor = hot, factor  # contexts whose sums come from several parts
+        self.hot_sums = np.zeros((len(hot), 3))
+
+    def part(self, data: bytes) -> dict:
+        """``context``, ``owner`` and ``seen`` of each n-gram, ``lower``, ``rows``; ``n`` and ``doc`` of its tokens,
+        and, if they travel on, ``word`` and ``before`` of the n-gram and ``later`` contexts of the tokens."""
+        steps, sizes, seen, p_steps, p_index, rows, n, doc_steps, doc_index, *on = unpack(data)
+        out = {"context": np.cumsum(steps, dtype=np.uint64), "owner": np.repeat(np.arange(len(sizes)), sizes)}
+        out |= {"seen": seen.astype(np.int64), "lower": decoded(p_steps, p_index).view(np.float64)}
+        out |= {"rows": rows, "n": n.astype(np.int64), "doc": decoded(doc_steps, doc_index)}
+        on = [decoded(on[i], on[i + 1]) for i in range(0, len(on), 2)]
+        return out | ({"before": on[0], "word": on[1], "later": on[2:]} if on else {})
+
+    def sums(self, part: dict) -> np.ndarray:
+        """Per context, tokens learned, what discounts leave of them, and probability of its n-grams by the order before."""
+        seen = part["seen"]
+        kept = self.factor[np.minimum(seen, DISCOUNTED + 1)] * seen
+        columns = (seen, kept, part["lower"] * (seen > 0))
+        return np.stack([np.bincount(part["owner"], w, len(part["context"])) for w in columns], axis=1)
+
+    def hot_rows(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(np.isin(context, self.hot))
+        return at, np.searchsorted(self.hot, context[at])
+
+    def probabilities(self, part: dict) -> np.ndarray:
+        sums = self.sums(part)
+        at, number = self.hot_rows(part["context"])
+        sums[at] = self.hot_sums[number]
+        return backed_off(part["owner"], part["seen"], part["lower"], sums, self.factor)
+
+    def score(self, data: bytes):
+        """``(doc, tokens, known, base, score)`` per document in the part; tokens and base belong to the first level."""
+        part = self.part(data)
+        return self.by_document(part, score=self.probabilities(part))
+
+    @staticmethod
+    def by_document(part: dict, known=None, base=None, score=None):
+        distinct, index = np.unique(part["doc"], return_inverse=True)
+        type_of, n = np.repeat(np.arange(len(part["seen"])), part["rows"]), part["n"]
+        add = lambda w: np.zeros(len(distinct)) if w is None else np.bincount(index, w[type_of] * n, len(distinct))
+        log = lambda p: None if p is None else np.log10(p)
+        tokens = np.zeros(len(distinct)) if known is None else np.bincount(index, n, len(distinct))
+        return distinct, tokens.astype(np.int64), add(known).astype(np.int64), add(log(base)), add(log(score))
+
+
+class Model(Level):
+    """The bigrams, which come with the counts of their words."""
 
     def __init__(self, hot: np.ndarray, stats: list[int]):
         n = len(hot)
-        self.hot, self.hot_counts = hot, np.array(stats[2 : 2 + n], np.int64)
+        super().__init__(hot, discounts(stats[2 + n :]))
+        self.hot_counts = np.array(stats[2 : 2 + n], np.int64)
         self.tokens = stats[1]
         self.words = stats[0] + int(np.count_nonzero(self.hot_counts))
-        self.factor = discounts(stats[2 + n :])
-        self.hot_sums = np.zeros((n, 3))
 
-    def part(self, data: bytes):
-        steps, sizes, place, count, seen, tokens, doc_steps, doc_index = unpack(data)
+    def part(self, data: bytes) -> dict:
+        steps, sizes, place, count, seen, rows, n, doc_steps, doc_index, *on = unpack(data)
         context = np.cumsum(steps, dtype=np.uint64)
         owner = np.repeat(np.arange(len(context)), sizes)
         if len(self.hot):
             count = np.where(place > 0, self.hot_counts[np.maximum(place.astype(np.int64), 1) - 1], count.astype(np.int64))
-        count, seen = count.astype(np.int64), seen.astype(np.int64)
-        base = (count + 1) / (self.tokens + self.words + 1)
-        kept = self.factor[np.minimum(seen, DISCOUNTED + 1)] * seen
-        sums = np.stack([np.bincount(owner, w, len(context)) for w in (seen, kept, base * (seen > 0))], axis=1)
-        return context, owner, seen, count, base, kept, sums, tokens, decoded(doc_steps, doc_index)
-
-    def hot_rows(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(np.isin(context, self.hot))
-        return at, np.searchsorted(self.hot, context[at])
+        count = count.astype(np.int64)
+        out = {"context": context, "owner": owner, "seen": seen.astype(np.int64), "count": count}
+        out |= {"lower": (count + 1) / (self.tokens + self.words + 1)}
+        out |= {"rows": rows, "n": n.astype(np.int64), "doc": decoded(doc_steps, doc_index)}
+        on = [decoded(on[i], on[i + 1]) for i in range(0, len(on), 2)]
+        return out | ({"before": context[owner], "word": on[0], "later": on[1:]} if on else {})
 
     def score(self, data: bytes):
-        """``(doc, tokens, known, base, score)`` per document in the part."""
-        context, owner, seen, count, base, kept, sums, tokens, doc = self.part(data)
-        at, number = self.hot_rows(context)
-        sums[at] = self.hot_sums[number]
-        total, mass, covered = sums.T
-        total_ = np.maximum(total, 1)
-        # a context whose n-grams all keep their counts sets one token aside for the others
-        full = mass >= total - 1e-9
-        total_ = np.where(full, total_ + 1, total_)
-        left = 1 - mass / total_
-        weight = np.where(total > 0, left / np.maximum(1 - covered, 1e-300), 1.0)
-        p = np.where(seen > 0, kept / total_[owner], weight[owner] * base)
-        type_of = np.repeat(np.arange(len(seen)), tokens)
-        distinct, index = np.unique(doc, return_inverse=True)
-        add = lambda w: np.bincount(index, w, len(distinct))
-        return (
-            distinct,
-            np.bincount(index, minlength=len(distinct)),
-            add((count > 0).astype(float)[type_of]).astype(np.int64),
-            add(np.log10(base)[type_of]),
-            add(np.log10(p)[type_of]),
+        part = self.part(data)
+        p = None if "later" in part else self.probabilities(part)
+        return self.by_document(part, (part["count"] > 0).astype(float), part["lower"], p)
+
+
+def by_longer_context(table: DataFrame, level: Level, hot: np.ndarray, hot_longer: np.ndarray, parts: int) -> DataFrame:
+    """The tokens of ``level``, with their probabilities, packed for the parts of their next longer context."""
+
+    def work(batches):
+        for batch in batches:
+            for d in batch.column(0).to_pylist():
+                part = level.part(d)
+                type_of = np.repeat(np.arange(len(part["seen"])), part["rows"])
+                p = level.probabilities(part).view(np.uint64)[type_of]
+                before, word = part["before"][type_of], part["word"][type_of]
+                context, *later = part["later"]
+                columns = [context, word, p, before, *later, part["doc"]]
+                n = part["n"]
+                del part, type_of
+                key = np.where(np.isin(before, hot), context, before)
+                key = np.where(np.isin(context, hot_longer), mix(context ^ mix(word)), key)
+                to = (mix(key) % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((word, context, to))
+                columns, n = [c[order] for c in columns], n[order]
+                edges = np.searchsorted(to[order], np.arange(parts + 1))
+                del key, to, order
+                for q in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                    at = slice(edges[q], edges[q + 1])
+                    yield rows_of([q], [pack(n[at], *(x for c in columns for x in coded(c[at])))], [None])
+
+    return table.mapInArrow(work, PACKED)
+
+
+def longer_table(contexts: DataFrame, parts: int) -> DataFrame:
+    """Per part, n-grams of one more word, as in ``ngram_table``.  Statistics: how many occur once, twice, ..."""
+
+    def work(batches):
+        data = [unpack(d) for batch in batches for d in batch.column(1).to_pylist()]
+        if not data:
+            return
+        n = np.concatenate([u[0] for u in data]).astype(np.uint32)
+        columns = [np.concatenate([decoded(u[i], u[i + 1]) for u in data]) for i in range(1, len(data[0]), 2)]
+        data.clear()
+        order = np.lexsort((columns[1], columns[0]))
+        n, columns = n[order], [c[order] for c in columns]
+        del order
+        context, word, p, before, *later, doc = columns
+        # tokens without so long a context keep the probability of the order before
+        start = runs_of(context, word, np.where(context == NONE, p, NONE))
+        rows = np.diff(np.append(start, len(word)))
+        seen = np.add.reduceat((doc & np.uint64(1)).astype(np.int64) * n, start)
+        seen[context[start] == NONE] = 0
+        stats = np.bincount(np.minimum(seen, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+        group = runs_of(context[start])
+        on = (before[start], word[start], *later) if later else ()
+        blob = pack(
+            np.diff(context[start][group], prepend=np.uint64(0)), np.diff(np.append(group, len(start))),
+            seen, *coded(p[start]), rows, n, *coded(doc), *(x for c in on for x in coded(c)),
         )
+        yield rows_of([0], [blob], [stats.tolist()])
+
+    return contexts.repartition(parts, "part").mapInArrow(work, PACKED)
 
 
 def hot_words(docs: DataFrame) -> np.ndarray:
@@ -290,59 +413,105 @@ def hot_words(docs: DataFrame) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(w) for w in often] + [int(END), int(START)], np.uint64))
 
 
-def score_texts(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hot_contexts(docs: DataFrame, length: int) -> np.ndarray:
+    """Hashes of contexts of several words that are frequent in a sample of the texts, sorted."""
+
+    def work(batches):
+        known = WordHashes()
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                found, n = np.unique(contexts_of(text_hashes(text, known), length + 1)[-1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["context", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(round(1 / SAMPLE))) == 0).select("text")
+    counted = sample.mapInArrow(work, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "context").limit(HOT).collect()
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    often = [r["context"] for r in top if r["n"] >= HOT_SHARE * total]
+    return np.unique(np.append(np.array(often, np.int64).view(np.uint64), NONE))
+
+
+def score_texts(
+    docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2
+) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of all texts.
 
     The model learns from the rows where ``learned`` is true.  A-Z are lower-cased,
     words are stretches without ASCII white space, and every text ends with an end
     token; a NULL text has no other.  ``base_score`` sums the log10 of
     ``(c + 1) / (N + V + 1)`` over the tokens, with the token's count ``c`` and ``N`` tokens of ``V``
-    kinds learned; ``score`` is the log10 probability by the model, which backs off to
-    that distribution.  ``n_known`` counts tokens with ``c > 0``.  Rows that share an id
+    kinds learned; ``score`` is the log10 probability by the model of n-grams of ``order``
+    tokens (2 at least), which backs off by one token after the other to that distribution; each order has its own
+    discounts.  Contexts do not go beyond the start of the text.  ``n_known`` counts tokens with ``c > 0``.  Rows that share an id
     (or have none) are scored together, as one row, and must agree in ``learned``.
     With nothing to learn from, every token has probability 1.
     """
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     spark = docs.sparkSession
     slim = docs.select(
         docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"), F.coalesce(learned, F.lit(False)).alias("learned")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = hot_words(slim)
-    table = stored(ngram_table(by_context(by_word(slim, hot, parts), hot, parts), hot, parts), "ngrams")
-    summed = table.select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
-    stats = [0] * (3 + len(hot) + DISCOUNTED)
-    for r in summed:
-        stats[r["at"]] = r["n"]
-    model = Model(hot, stats)
+    table = stored(ngram_table(by_context(by_word(slim, order, hot, parts), hot, parts), hot, parts), "ngrams")
+    first = level = Model(hot, summed_stats(table, 3 + len(hot) + DISCOUNTED))
     data = table.where(F.col("data").isNotNull()).select("data")
-    sums = T.StructType([T.StructField("number", T.IntegerType())] + [T.StructField(n, T.DoubleType()) for n in ("total", "mass", "covered")])
-
-    def sum_hot(batches):
-        for batch in batches:
-            for d in batch.column(0).to_pylist():
-                context, _, _, _, _, _, own, _, _ = model.part(d)
-                at, number = model.hot_rows(context)
-                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *[pa.array(own[at, i]) for i in range(3)]], sums.names)
-
-    of_hot = data.mapInArrow(sum_hot, sums).groupBy("number").agg(*[F.sum(n).alias(n) for n in sums.names[1:]])
-    for r in of_hot.collect():  # at most a row for each hot word
-        model.hot_sums[r["number"]] = r[1:]
-    result = T.StructType(
-        [T.StructField(n, T.LongType()) for n in ("doc", "n_tokens", "n_known")] + [T.StructField(n, T.DoubleType()) for n in ("base", "score")]
-    )
-
-    def evaluate(batches):
-        for batch in batches:
-            for d in batch.column(0).to_pylist():
-                doc, *values = model.score(d)
-                yield pa.RecordBatch.from_arrays([pa.array((doc >> np.uint64(1)).astype(np.int64)), *map(pa.array, values)], result.names)
-
-    totals = data.mapInArrow(evaluate, result).groupBy("doc").agg(*[F.sum(n).alias(n) for n in result.names[1:]])
+    sum_hot(data, level)
+    totals = evaluated(data, level)
+    for length in range(2, order):
+        hot_longer = hot_contexts(slim, length)
+        table = stored(longer_table(by_longer_context(data, level, hot, hot_longer, parts), parts), "ngrams")
+        level = Level(hot_longer, discounts(summed_stats(table, DISCOUNTED + 1)))
+        data = table.select("data")
+        sum_hot(data, level)
+    if order > 2:
+        totals = totals.unionAll(evaluated(data, level))
+    totals = totals.groupBy("doc").agg(*[F.sum(n).alias(n) for n in RESULT.names[1:]])
     return totals.select(
         F.when(F.col("doc") != 0, F.col("doc") + NO_ID).alias("doc_id"),
         "n_tokens",
         "n_known",
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(first.tokens).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"),
         "score",
     )
+
+
+def summed_stats(table: DataFrame, size: int) -> list[int]:
+    stats = [0] * size
+    for r in table.select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        stats[r["at"]] = r["n"]
+    return stats
+
+
+SUMS = T.StructType([T.StructField("number", T.IntegerType())] + [T.StructField(n, T.DoubleType()) for n in ("total", "mass", "covered")])
+RESULT = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("doc", "n_tokens", "n_known")] + [T.StructField(n, T.DoubleType()) for n in ("base", "score")]
+)
+
+
+def sum_hot(data: DataFrame, level: Level) -> None:
+    """Sets the sums of the contexts that are in several parts."""
+
+    def work(batches):
+        for batch in batches:
+            for d in batch.column(0).to_pylist():
+                part = level.part(d)
+                at, number = level.hot_rows(part["context"])
+                own = level.sums(part)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *map(pa.array, own.T.copy())], SUMS.names)
+
+    of_hot = data.mapInArrow(work, SUMS).groupBy("number").agg(*[F.sum(n).alias(n) for n in SUMS.names[1:]])
+    for r in of_hot.collect():  # at most a row for each hot context
+        level.hot_sums[r["number"]] = r[1:]
+
+
+def evaluated(data: DataFrame, level: Level) -> DataFrame:
+    def work(batches):
+        for batch in batches:
+            for d in batch.column(0).to_pylist():
+                doc, *values = level.score(d)
+                yield pa.RecordBatch.from_arrays([pa.array((doc >> np.uint64(1)).astype(np.int64)), *map(pa.array, values)], RESULT.names)
+
+    return data.mapInArrow(work, RESULT)
