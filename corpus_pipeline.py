@@ -55,10 +55,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the smallest id."""
-    groups = odd_sketch.near_duplicates(docs)
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+    """Keeps one row of each group of near-duplicates: the one with the smallest id.
+
+    Rows that share an id are judged one by one: each belongs to the group of its own
+    text.  If several rows of a group have its smallest id, one text is kept, and one row
+    of those that repeat it.  Rows without an id or without a word are kept.
+    """
+    rows = stored(odd_sketch.grouped_rows(docs).where(F.col("label").isNotNull()), "groups")
+    is_first = F.col("doc_id") == F.col("component_id")
+    heads = rows.where(is_first).select("label", "doc_id", "text_key").distinct()
+    chosen = heads.groupBy("label").agg(F.min("text_key").alias("chosen"))
+    others = heads.join(chosen, "label").where(F.col("text_key") != F.col("chosen"))
+    key = [F.col("doc_id").alias("key_id"), F.col("text_key").alias("key_text")]
+    dropped = rows.where(~is_first).select(*key).unionAll(others.select(*key)).distinct()
+    same = (docs["doc_id"] == F.col("key_id")) & (F.xxhash64(docs["text"]) == F.col("key_text"))
+    left = docs.join(dropped, same, "left_anti")
+    repeated = rows.where(is_first).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key_id", "key_text")
+    if repeated.limit(1).count() == 0:
+        return left
+    return left.join(repeated, same, "left_anti").unionAll(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -396,14 +396,33 @@ def near_duplicates(
     Other columns are ignored.  A pair at the limit may be missed with a probability of about
     1e-6 (bands and sketch together); every link is found on the full sets.
     """
+    rows = grouped_rows(docs, size, percent, id_col, text_col)
+    return rows.select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def grouped_rows(
+    docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, label, component_id)`` of every row, for :func:`near_duplicates`.
+
+    ``text_key`` is the ``xxhash64`` of the text, ``label`` names the group of linked rows;
+    it and ``component_id`` are NULL for rows that are linked with nothing for lack of
+    words or of an id.  Rows of one id with different texts can be in different groups.
+    """
     slim = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
+    slim = slim.withColumn("text_key", F.xxhash64("text"))
     known = stored(sketches(slim, size), "sketches")
     named = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(
         named.groupBy("node").agg(F.min("doc_id").alias("rep_id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]),
         "classes",
     )
-    texts = slim.where(F.col("doc_id").isNotNull())
+    texts = slim.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = classes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     buckets = stored(rows.join(shared, "bucket"), "buckets")
@@ -414,11 +433,9 @@ def near_duplicates(
     labels = components(exact_components(clusters, texts, classes, size, percent))
     member = classes.join(labels, "node", "left").select("node", "rep_id", F.coalesce("label", "node").alias("label"))
     smallest = member.groupBy("label").agg(F.min("rep_id").alias("component_id"))
-    of_node = member.join(smallest, "label").select("node", "component_id")
-    slim_rows = known.select("doc_id", "n_shingles", "node")
+    of_node = member.join(smallest, "label").select("node", "label", "component_id")
+    slim_rows = known.select("doc_id", "text_key", "n_shingles", "node")
+    own = F.col("doc_id").isNotNull()
     return slim_rows.join(of_node, "node", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        "doc_id", "text_key", "n_shingles", F.when(own, F.col("label")).alias("label"), F.when(own, F.col("component_id")).alias("component_id")
     )

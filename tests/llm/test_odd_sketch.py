@@ -55,6 +55,14 @@ def test_edges(spark):
     assert op.near_duplicates(df.where("false"), 3, 80).collect() == []
 
 
+def test_null_text_under_an_id_of_a_cluster(spark):
+    words = [f"t{i}" for i in range(60)]
+    docs = [(5, None), (5, " ".join(words)), (6, " ".join(words[:-1])), (7, "alone")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in op.near_duplicates(df, 3, 85).collect())
+    assert got == [(5, 0, 5, True), (5, 58, 5, True), (6, 57, 5, False), (7, 1, 7, True)]
+
+
 def test_sketch_tells_similarity():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 2_000).astype(np.uint64))

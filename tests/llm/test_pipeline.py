@@ -62,3 +62,15 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), "test")
     assert docs.collect() == []
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    text = lambda name, n=80: " ".join(f"{name}{i}" for i in range(n))
+    docs = [(3, text("a")), (5, text("b")), (5, text("a", 79)), (7, text("c")), (7, text("c")), (9, text("d")), (9, text("d", 79))]
+    docs += [(11, text("e")), (11, text("f")), (12, text("f", 79)), (13, None), (None, text("a")), (14, text("c", 79)), (14, text("c", 79))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_near_duplicates(spark, df, SF).collect()]
+    nines = [r for r in kept if r[0] == 9]
+    assert len(nines) == 1 and nines[0] in docs
+    rest = [docs[i] for i in (0, 1, 3, 7, 8, 10, 11)]
+    assert sorted([r for r in kept if r[0] != 9], key=str) == sorted(rest, key=str)
