@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,7 @@ MIN_COUNT = 2
 TYPICAL = 1 / 8  # share in a language, against the language that has most of an n-gram
 UNKNOWN = "und"
 STRETCH = 1 << 19  # characters that a task handles at once
-MAX_LANGUAGES = 63
+WORD_LANGUAGES = 63
 
 _letters: list[np.ndarray] = []
 NO_LETTER = re.compile(r"[\W\d_]")
@@ -105,7 +105,7 @@ def ngrams(pieces: list[str], owners: list[int]) -> tuple[np.ndarray, np.ndarray
 
 class Filters(NamedTuple):
     languages: list[str]
-    masks: np.ndarray  # per slot: a bit per language
+    masks: np.ndarray  # per word of WORD_LANGUAGES languages and slot: a bit per language
     chance: np.ndarray  # per language: probability that an unknown n-gram seems to belong to it
     usual: int  # number of the most frequent language
 
@@ -167,51 +167,65 @@ def train(
     ).where(F.col("language").isNotNull() & F.col("text").isNotNull())
     sizes = {r["language"]: r["count"] for r in labelled.groupBy("language").count().collect()}
     languages = sorted(sizes)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages, but a slot has {MAX_LANGUAGES} bits")
     if not languages:
-        return Filters([], np.zeros(1 << SLOT_BITS, np.uint8), np.zeros(0), 0)
+        return Filters([], np.zeros((0, 1 << SLOT_BITS), np.uint8), np.zeros(0), 0)
     million = 1_000_000
-    limit = F.lit(None)
-    for name in languages:
-        limit = F.when(F.col("language") == name, min(million, max_docs * million // sizes[name])).otherwise(limit)
+    large = {name: max_docs * million // n for name, n in sizes.items() if n > max_docs}
+    limit = looked_up(F.col("language"), large, million)
     taken = labelled.where(F.pmod(F.xxhash64("id"), F.lit(million)) < limit)
     counts = stored(count_ngrams(taken, languages).groupBy("language", "gram").agg(F.sum("n").alias("n")), "ngrams")
     totals = {r["language"]: r["n"] for r in counts.groupBy("language").agg(F.sum("n").alias("n")).collect()}
-    total = F.lit(1)
-    for number, n in totals.items():
-        total = F.when(F.col("language") == number, n).otherwise(total)
+    total = looked_up(F.col("language"), totals, 1)
     grams = (
         counts.where(F.col("n") >= MIN_COUNT)
         .select("gram", "language", (F.col("n") / total).alias("share"))
         .groupBy("gram")
         .agg(F.max("share").alias("most"), F.collect_list(F.struct("language", "share")).alias("has"))
     )
-    mask = F.aggregate(
-        F.filter("has", lambda x: x["share"] >= F.col("most") * TYPICAL),
-        F.lit(0).cast("long"),
-        lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["language"])),
-    )
+    words = range(-(-len(languages) // WORD_LANGUAGES))
+    if len(words) > 1:
+        grams = stored(grams, "ngrams")  # read for each word
     fields = F.array(*[F.shiftrightunsigned("gram", SLOT_BITS * i) for i in range(HASHES)])
-    slots = (
-        grams.select(F.explode(F.transform(fields, lambda h: h % (1 << SLOT_BITS))).alias("slot"), mask.alias("mask"))
-        .groupBy("slot")
-        .agg(F.bit_or("mask").alias("mask"))
-        .toArrow()  # at most one row for each of the 2^SLOT_BITS slots
-    )
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(k).itemsize)
-    masks = np.zeros(1 << SLOT_BITS, kind)
-    masks[slots["slot"].to_numpy()] = slots["mask"].to_numpy().astype(kind)
-    fill = np.array([np.count_nonzero(masks >> kind(i) & kind(1)) / len(masks) for i in range(len(languages))])
+    width = min(len(languages), WORD_LANGUAGES)
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if width <= 8 * np.dtype(k).itemsize)
+    masks = np.zeros((len(words), 1 << SLOT_BITS), kind)
+    for word in words:
+        first = word * WORD_LANGUAGES
+        mask = F.aggregate(
+            F.filter("has", lambda x: (x["share"] >= F.col("most") * TYPICAL) & x["language"].between(first, first + WORD_LANGUAGES - 1)),
+            F.lit(0).cast("long"),
+            lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["language"] - first)),
+        )
+        slots = (
+            grams.select(F.explode(F.transform(fields, lambda h: h % (1 << SLOT_BITS))).alias("slot"), mask.alias("mask"))
+            .where("mask <> 0")
+            .groupBy("slot")
+            .agg(F.bit_or("mask").alias("mask"))
+            .toArrow()  # at most one row for each of the 2^SLOT_BITS slots
+        )
+        masks[word][slots["slot"].to_numpy()] = slots["mask"].to_numpy().astype(kind)
+    fill = np.array([np.count_nonzero(bit_of(masks[i // WORD_LANGUAGES], i)) / (1 << SLOT_BITS) for i in range(len(languages))])
     return Filters(languages, masks, fill**HASHES, max(range(len(languages)), key=lambda i: sizes[languages[i]]))
 
 
-def look_up(filters: Filters, grams: np.ndarray) -> np.ndarray:
-    """Per n-gram, a bit for each language that contains it."""
+def looked_up(key: Column, values: dict, default: int) -> Column:
+    if not values:
+        return F.lit(default)
+    pairs = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
+
+
+def bit_of(masks: np.ndarray, language: int) -> np.ndarray:
+    kind = masks.dtype.type
+    return masks >> kind(language % WORD_LANGUAGES) & kind(1)
+
+
+def look_up(masks: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Per n-gram, a bit for each language of the word ``masks`` that contains it."""
     low = np.uint64((1 << SLOT_BITS) - 1)
-    found = filters.masks[grams & low]
+    found = masks[grams & low]
     for i in range(1, HASHES):
-        found = found & filters.masks[grams >> np.uint64(SLOT_BITS * i) & low]
+        found = found & masks[grams >> np.uint64(SLOT_BITS * i) & low]
     return found
 
 
@@ -237,10 +251,10 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", keep_text
                 grams, owner, lettered = ngrams(pieces, owners)
                 has[lettered] = True
                 total += np.bincount(owner, minlength=rows)
-                found = look_up(known, grams)
                 for i in range(n):
-                    bit = (found >> known.masks.dtype.type(i)) & known.masks.dtype.type(1)
-                    counts[:, i] += np.bincount(owner, bit, rows)
+                    if i % WORD_LANGUAGES == 0:
+                        found = look_up(known.masks[i // WORD_LANGUAGES], grams)
+                    counts[:, i] += np.bincount(owner, bit_of(found, i), rows)
             if n == 0:
                 yield [pa.array([UNKNOWN] * rows), pa.array(np.zeros(rows))]
                 continue

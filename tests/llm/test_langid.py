@@ -56,3 +56,14 @@ def test_nothing_learned(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     df = spark.createDataFrame([(1, "words")], "doc_id long, text string")
     assert langid.predict(df, langid.train(empty)).first()["lang_pred"] == "und"
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    code = [f"l{i:03d}" for i in range(130)]
+    own = lambda i: " ".join(chr(0x4E00 + 40 * i + j) * 3 + chr(0x4E00 + 40 * i + j + 1) for j in range(30))
+    docs = [(10 * i + k, own(i), name) for i, name in enumerate(code) for k in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    filters = langid.train(df)
+    assert filters.languages == code
+    rows = langid.predict(df, filters).collect()
+    assert len(rows) == len(docs) and all(r["lang_pred"] == r["lang"] and r["score"] > 0.5 for r in rows)
