@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe_tree, fm_index, katz, langid, odd_sketch, range_coder, site_quality, wand
+from passagework.llm import bpe_tree, fm_index, katz, langid, ngram_join, odd_sketch, range_coder, site_quality, wand
 from passagework.llm.common import new_path, table
 from passagework.llm.decontaminate import RESULTS as JUDGED
 from passagework.llm.decontaminate import judge
@@ -87,6 +87,10 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_rows(texts(spark, sf_dir), size=4, percent=85)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_wand": op2_wand,
@@ -98,6 +102,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_line_windows": op10_line_windows,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 SQL = {
@@ -176,4 +181,18 @@ left_over AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept, cou
 SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(len(l), 0) - coalesce(n, 0) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN left_over USING (doc_id)""",
+    "op13_ngram_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS p FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 3], ' ') AS ngram FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b USING (ngram)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * common >= 85 * (nx.n + ny.n - common)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
+FROM d JOIN reach ON reach.x = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
 }
