@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe_tree, fm_index, katz, langid, ngram_join, odd_sketch, range_coder, site_quality, wand
+from passagework.llm import bpe_tree, fm_index, importance, katz, langid, ngram_join, odd_sketch, range_coder, site_quality, wand
 from passagework.llm.common import new_path, table
 from passagework.llm.decontaminate import RESULTS as JUDGED
 from passagework.llm.decontaminate import judge
@@ -87,6 +87,11 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep_text=False)
+    return drawn.select("doc_id", *importance.RESULTS)
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_rows(texts(spark, sf_dir), size=4, percent=85)
 
@@ -102,6 +107,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_line_windows": op10_line_windows,
+    "op12_importance": op12_importance,
     "op13_ngram_join": op13_ngram_join,
 }
 
@@ -181,6 +187,30 @@ left_over AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept, cou
 SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(len(l), 0) - coalesce(n, 0) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN left_over USING (doc_id)""",
+    "op12_importance": r"""
+WITH x AS (
+  SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
+w AS (SELECT side, id, row_number() OVER () AS nr, coalesce(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM x),
+f AS (SELECT side, nr, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+n AS (SELECT side, nr, f, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+b AS (SELECT f, xor(list_reduce(
+    list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+    lambda a, byte: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, byte)),
+    4294967295), 4294967295) % 10000 AS b FROM h),
+c AS (SELECT b, coalesce(sum(n) FILTER (side = 's'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM n JOIN b USING (f) GROUP BY b),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM c),
+g AS (SELECT b, CAST(floor(1000 * ln(CAST(c.t + 1 AS DOUBLE) * CAST(z.s + 10000 AS DOUBLE)
+  / (CAST(c.s + 1 AS DOUBLE) * CAST(z.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM c, z),
+m AS (SELECT nr, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight
+  FROM n JOIN b USING (f) JOIN g USING (b) GROUP BY nr),
+d AS (SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN m USING (nr) WHERE side = 's'),
+r AS (SELECT *, n_words >= 20 AS able, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+  count(*) OVER (PARTITION BY n_words >= 20) AS total FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * total // 100 THEN place END AS rank FROM r""",
     "op13_ngram_join": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(regexp_extract_all(
