@@ -7,8 +7,8 @@ the overlaps of all pairs; what sizes alone rule out is never multiplied:
 * Rows first meet on a few columns.  The n-grams have one global order, frequent ones
   last; of two sets that are similar enough, the first ``size - least overlap + 1`` n-grams
   of either have one in common.  Only these columns are dealt out.
-* The rows that share a column are brought together with those of the column's smallest
-  row, which makes blocks of rows.  Inside a block the product over the first columns
+* The rows that share a column are brought together with the column's first row, which
+  makes blocks of rows; a column is cut where the sizes of its rows leave a gap.  Inside a block the product over the first columns
   is accumulated, and a pair whose overlap there is below what the sizes demand is
   discarded.  This is exact: no pair that is similar enough is lost.
 * What is left forms clusters, and inside a cluster the product over all columns decides.
@@ -16,7 +16,7 @@ the overlaps of all pairs; what sizes alone rule out is never multiplied:
   overlap so far and the columns still to come cannot reach the limit.
 
 Blocks are of bounded size.  A block emits a spanning forest of its pairs, never the pairs
-themselves; in a block that has to be split, every part holds the smallest row, and only
+themselves; in a block that has to be split, every part holds its first row, and only
 rows that are not connected with it meet the other parts.  The order of the n-grams comes
 from a bounded sample of documents; it decides how much work there is, not what is found.
 """
@@ -47,7 +47,7 @@ SLICE_BYTES = 8 << 20
 SENT_ROWS = 500_000  # rows of a table that is sent to every task, at most
 
 PAIR = T.StructType([T.StructField("pivot", T.BinaryType()), T.StructField("node", T.BinaryType())])
-ENTRY = T.StructType([T.StructField("column", T.LongType()), T.StructField("node", T.BinaryType())])
+ENTRY = T.StructType([T.StructField("column", T.LongType()), T.StructField("size", T.LongType()), T.StructField("node", T.BinaryType())])
 
 
 # ---- the product inside a block -----------------------------------------------------
@@ -125,19 +125,18 @@ def prefix_need(left: list[tuple], right: list[tuple], percent: int) -> np.ndarr
     """Overlap that the first columns of rows ``(size, n_cold, columns)`` must have.
 
     The row whose first columns end earlier, in the order of all columns, has all common
-    ones among them: it may miss no more of them than its size allows.
+    ones among them: it may miss no more of them than its size allows.  Where the shortened
+    hashes do not tell which one that is, the lower need holds.
     """
     rows = left + right
     size, length = np.array([r[0] for r in rows]), np.array([len(r[2]) for r in rows])
-    end = np.array([r[2][-1] for r in rows], np.uint64)
-    is_hot = np.array([r[1] < len(r[2]) for r in rows])
-    order = np.lexsort((end, is_hot))
-    place = np.empty(len(rows), np.int64)
-    place[order] = np.arange(len(rows))
+    end = np.array([int(r[2][-1]) for r in rows], np.int64)
+    end[[r[1] < len(r[2]) for r in rows]] += 1 << 32  # frequent columns come last
     n = len(left)
     all_need = least_overlap(size[:n], size[n:], percent)
     slack = size - length
-    own = np.where(place[:n, None] < place[None, n:], slack[:n, None], slack[None, n:])
+    first, second = end[:n, None], end[None, n:]
+    own = np.where(first < second, slack[:n, None], np.where(first > second, slack[None, n:], np.maximum(slack[:n, None], slack[None, n:])))
     return np.where(all_need > np.maximum(size[:n, None], size[None, n:]), all_need, np.maximum(1, all_need - own))
 
 
@@ -178,10 +177,11 @@ def frequent_ngrams(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``docs`` without its text and with ``n_shingles, node, n_cold, first``.
+    """``docs`` without its text and with ``n_shingles, node, n_cold, first, short``.
 
     ``node`` names the set, ``first`` holds its first columns: rare n-grams by hash, then
-    frequent ones; ``n_cold`` of them are rare.  All but ``n_shingles`` are NULL for an empty set.
+    frequent ones; ``n_cold`` of them are rare.  ``short`` has the upper halves of these hashes:
+    products of them can only be too large.  All but ``n_shingles`` are NULL for an empty set.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     new = [
@@ -189,12 +189,13 @@ def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
         T.StructField("node", T.BinaryType()),
         T.StructField("n_cold", T.LongType()),
         T.StructField("first", T.BinaryType()),
+        T.StructField("short", T.BinaryType()),
     ]
 
     def work(slices):
         known, hot = WordHashes(), shared.value
         for batch in slices:
-            counts, names, colds, firsts = [], [], [], []
+            counts, names, colds, firsts, shorts = [], [], [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist():
                 own = shingle_set(text, size, known)
                 counts.append(len(own))
@@ -202,6 +203,7 @@ def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                 if not len(own):
                     colds.append(None)
                     firsts.append(None)
+                    shorts.append(None)
                     continue
                 length = prefix_length(len(own), percent)
                 at = np.searchsorted(hot, own)
@@ -209,53 +211,54 @@ def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                 first = np.concatenate([own[~is_hot][:length], own[is_hot][: max(0, length - int((~is_hot).sum()))]])
                 colds.append(min(length, int((~is_hot).sum())))
                 firsts.append(first.tobytes())
-            yield [pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(colds, pa.int64()), pa.array(firsts, pa.binary())]
+                shorts.append((first >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield [pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(colds, pa.int64()), pa.array(firsts, pa.binary()), pa.array(shorts, pa.binary())]
 
     return add_columns(docs, new, work, leave_out=("text",), slice_bytes=SLICE_BYTES)
 
 
-def blocks_of(classes: DataFrame) -> DataFrame:
-    """``(pivot, node)``: each row with the smallest row of every first column that it shares with others.
+def blocks_of(classes: DataFrame, percent: int) -> DataFrame:
+    """``(pivot, node)``: each row with the first row of every run of its columns.
 
-    Rare columns are sorted and read run by run, holding nothing but the current pivot.  The
-    few frequent ones, of which a single one may be in most rows, are not brought together:
-    their smallest rows are found by a pre-aggregated minimum and sent to the rows.
+    The rows of a rare column are sorted by size and read one by one, holding nothing but
+    the current pivot; a run ends where the next size is too large for any row before.  The
+    frequent columns, of which a single one may be in most rows, are not brought together:
+    their first rows are found by a pre-aggregated minimum and sent to the rows.
     """
 
     def explode(hot: bool):
         def run(batches):
             for batch in batches:
-                columns, nodes = [], []
-                for node, cold, first in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                columns, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, (cold, first) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                     part = np.frombuffer(first, np.int64)[cold:] if hot else np.frombuffer(first, np.int64)[:cold]
                     columns.append(part)
-                    nodes.append(np.repeat(len(nodes), len(part)))
-                at = pa.array(np.concatenate(nodes)) if nodes else pa.array([], pa.int64())
+                    owner.append(np.full(len(part), i))
+                at = pa.array(np.concatenate(owner))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(columns) if columns else np.zeros(0, np.int64)), batch.column(0).take(at)], ENTRY.names
+                    [pa.array(np.concatenate(columns)), batch.column(1).take(at), batch.column(0).take(at)], ENTRY.names
                 )
 
         return run
 
     def pivots(batches):
-        last, pivot = None, None
+        last, before, pivot = None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column, node = batch.column(0).to_numpy(), batch.column(1)
-            starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
-            run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(column)]))
-            heads = node.take(pa.array(starts)).to_pylist()
-            if column[0] == last:
-                heads[0] = pivot
-            own = pa.array(heads, pa.binary()).take(pa.array(run))
+            column, size, node = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            new = np.r_[True, (column[1:] != column[:-1]) | (100 * size[:-1] < percent * size[1:])]
+            new[0] = column[0] != last or 100 * before < percent * size[0]
+            starts = np.flatnonzero(new)
+            heads = ([] if new[0] else [pivot]) + node.take(pa.array(starts)).to_pylist()
+            own = pa.array(heads, pa.binary()).take(pa.array(np.cumsum(new) - int(new[0])))
             found = pa.table([own, node], names=PAIR.names)
             found = found.filter(pc.not_equal(own, node)).group_by(PAIR.names).aggregate([])
-            last, pivot = column[-1], heads[-1]
-            yield from found.cast(pa.schema([("pivot", pa.binary()), ("node", pa.binary())])).to_batches()
+            last, before, pivot = column[-1], size[-1], heads[-1]
+            yield from found.to_batches()
 
-    slim = classes.select("node", "n_cold", "first")
-    rare = slim.mapInArrow(explode(False), ENTRY).repartition("column").sortWithinPartitions("column", "node")
+    slim = classes.select("node", "n_shingles", "n_cold", "first")
+    rare = slim.mapInArrow(explode(False), ENTRY).repartition("column").sortWithinPartitions("column", "size", "node")
     hot = slim.where(F.col("n_cold") < F.octet_length("first") / 8).mapInArrow(explode(True), ENTRY)
     smallest = hot.groupBy("column").agg(F.min("node").alias("pivot"))  # at most FREQUENT rows
     by_hot = hot.join(F.broadcast(smallest), "column").where(F.col("pivot") < F.col("node")).select("pivot", "node")
@@ -295,7 +298,7 @@ def forest(tasks: DataFrame, read, wanted) -> DataFrame:
 def linked_blocks(members: DataFrame, sizes: DataFrame, held: list[str], read, wanted, name: str) -> DataFrame:
     """Links that connect what is similar inside each block of ``members(block, node, <held>)``.
 
-    ``block`` is the smallest node of its rows, ``sizes(block, entries)`` has the same rows.  A block that is too large is split into
+    ``block`` is the first of its rows, ``sizes(block, entries)`` has the same rows.  A block that is too large is split into
     parts with that row in each; then rows that are not connected with it meet all parts.
     """
     sized = sizes.groupBy("block").agg(
@@ -346,7 +349,7 @@ def join_rows(
     slim = slim.withColumn("text_key", F.xxhash64("text"))
     known = stored(incidence(slim, size, percent, frequent_ngrams(slim, size)), "incidence")
     named = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    held = ("n_shingles", "n_cold", "first")
+    held = ("n_shingles", "n_cold", "first", "short")
     classes = named.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), *[F.first(c).alias(c) for c in held])
     entries = (F.octet_length("first") / 8).cast("long").alias("entries")
     classes = stored(classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), *held, entries), "classes")
@@ -389,16 +392,16 @@ def texts_of(member: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_links(classes: DataFrame, percent: int) -> DataFrame:
     """Links that connect every two rows whose first columns have the overlap that their sizes demand."""
-    pairs = stored(blocks_of(classes), "pairs")
+    pairs = stored(blocks_of(classes, percent), "pairs")
     whole = pairs.unionAll(pairs.select("pivot", F.col("pivot").alias("node")).distinct())
-    members = whole.join(classes.select("node", "n_shingles", "n_cold", "first"), "node").withColumnRenamed("pivot", "block")
+    members = whole.join(classes.select("node", "n_shingles", "n_cold", "short"), "node").withColumnRenamed("pivot", "block")
     sizes = whole.join(classes.select("node", "entries"), "node").withColumnRenamed("pivot", "block")
 
     def read(group):
-        columns = zip(group["side"], group["node"], group["n_shingles"], group["n_cold"], group["first"])
-        return {(side, node): (size, cold, np.frombuffer(first, np.uint64)) for side, node, size, cold, first in columns}
+        columns = zip(group["side"], group["node"], group["n_shingles"], group["n_cold"], group["short"])
+        return {(side, node): (size, cold, np.frombuffer(short, np.uint32)) for side, node, size, cold, short in columns}
 
     def wanted(left, right):
         return similar([r[2] for r in left], [r[2] for r in right], prefix_need(left, right, percent))
 
-    return linked_blocks(members, sizes, ["n_shingles", "n_cold", "first"], read, wanted, "blocks")
+    return linked_blocks(members, sizes, ["n_shingles", "n_cold", "short"], read, wanted, "blocks")
