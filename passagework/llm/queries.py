@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import bpe_tree, fm_index, importance, katz, langid, ngram_join, odd_sketch, range_coder, site_quality, wand
+from passagework.llm import bpe_tree, fm_index, hard_negatives, importance, katz, langid, ngram_join, odd_sketch, range_coder, site_quality, wand
 from passagework.llm.common import new_path, table
 from passagework.llm.decontaminate import RESULTS as JUDGED
 from passagework.llm.decontaminate import judge
@@ -87,6 +87,11 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=shifted)
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep_text=False)
     return drawn.select("doc_id", *importance.RESULTS)
@@ -107,6 +112,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_line_windows": op10_line_windows,
+    "op11_cover_tree": op11_cover_tree,
     "op12_importance": op12_importance,
     "op13_ngram_join": op13_ngram_join,
 }
@@ -187,6 +193,21 @@ left_over AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept, cou
 SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(len(l), 0) - coalesce(n, 0) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN left_over USING (doc_id)""",
+    "op11_cover_tree": r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS other, a.label = v.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.p, v.p), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+neg AS (SELECT anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5""",
     "op12_importance": r"""
 WITH x AS (
   SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
