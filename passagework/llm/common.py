@@ -48,6 +48,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table of a frame that :func:`stored` has returned; nothing may read it any more."""
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    jvm = df.sparkSession._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns that have one of ``names`` in any case."""
     taken = {name.lower() for name in names}

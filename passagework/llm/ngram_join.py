@@ -6,7 +6,8 @@ the overlaps of all pairs; what sizes alone rule out is never multiplied:
 
 * Rows first meet on a few columns.  The n-grams have one global order, frequent ones
   last; of two sets that are similar enough, the first ``size - least overlap + 1`` n-grams
-  of either have one in common.  Only these columns are dealt out.
+  of either have one in common.  Only these columns are dealt out, and of the smaller set
+  about half of them are enough.
 * The rows that share a column are brought together with the column's first row, which
   makes blocks of rows; a column is cut where the sizes of its rows leave a gap.  Inside a block the product over the first columns
   is accumulated, and a pair whose overlap there is below what the sizes demand is
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.llm.common import add_columns, stored
+from passagework.llm.common import add_columns, discard, stored
 from passagework.llm.odd_sketch import LINKS, WordHashes, components, groups, name_of, shingle_set, stars
 
 WORDS = 5  # words of an n-gram
@@ -47,7 +48,7 @@ SLICE_BYTES = 8 << 20
 SENT_ROWS = 500_000  # rows of a table that is sent to every task, at most
 
 PAIR = T.StructType([T.StructField("pivot", T.BinaryType()), T.StructField("node", T.BinaryType())])
-ENTRY = T.StructType([T.StructField("column", T.LongType()), T.StructField("size", T.LongType()), T.StructField("node", T.BinaryType())])
+ENTRY = T.StructType([T.StructField("column", T.LongType()), T.StructField("key", T.LongType()), T.StructField("node", T.BinaryType())])
 
 
 # ---- the product inside a block -----------------------------------------------------
@@ -147,6 +148,11 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def index_length(size: np.ndarray, percent: int) -> np.ndarray:
+    """First columns of a set that it needs to meet all sets of its size and larger ones."""
+    return size - -(-2 * percent * size // (100 + percent)) + 1
+
+
 def frequent_ngrams(docs: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of n-grams that several different sets of a sample hold.
 
@@ -177,11 +183,10 @@ def frequent_ngrams(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``docs`` without its text and with ``n_shingles, node, n_cold, first, short``.
+    """``docs`` without its text and with ``n_shingles, node, n_cold, first``.
 
     ``node`` names the set, ``first`` holds its first columns: rare n-grams by hash, then
-    frequent ones; ``n_cold`` of them are rare.  ``short`` has the upper halves of these hashes:
-    products of them can only be too large.  All but ``n_shingles`` are NULL for an empty set.
+    frequent ones; ``n_cold`` of them are rare.  All but ``n_shingles`` are NULL for an empty set.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     new = [
@@ -189,13 +194,12 @@ def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
         T.StructField("node", T.BinaryType()),
         T.StructField("n_cold", T.LongType()),
         T.StructField("first", T.BinaryType()),
-        T.StructField("short", T.BinaryType()),
     ]
 
     def work(slices):
         known, hot = WordHashes(), shared.value
         for batch in slices:
-            counts, names, colds, firsts, shorts = [], [], [], [], []
+            counts, names, colds, firsts = [], [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist():
                 own = shingle_set(text, size, known)
                 counts.append(len(own))
@@ -203,7 +207,6 @@ def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                 if not len(own):
                     colds.append(None)
                     firsts.append(None)
-                    shorts.append(None)
                     continue
                 length = prefix_length(len(own), percent)
                 at = np.searchsorted(hot, own)
@@ -211,8 +214,7 @@ def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                 first = np.concatenate([own[~is_hot][:length], own[is_hot][: max(0, length - int((~is_hot).sum()))]])
                 colds.append(min(length, int((~is_hot).sum())))
                 firsts.append(first.tobytes())
-                shorts.append((first >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield [pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(colds, pa.int64()), pa.array(firsts, pa.binary()), pa.array(shorts, pa.binary())]
+            yield [pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(colds, pa.int64()), pa.array(firsts, pa.binary())]
 
     return add_columns(docs, new, work, leave_out=("text",), slice_bytes=SLICE_BYTES)
 
@@ -220,48 +222,57 @@ def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
 def blocks_of(classes: DataFrame, percent: int) -> DataFrame:
     """``(pivot, node)``: each row with the first row of every run of its columns.
 
-    The rows of a rare column are sorted by size and read one by one, holding nothing but
-    the current pivot; a run ends where the next size is too large for any row before.  The
-    frequent columns, of which a single one may be in most rows, are not brought together:
-    their first rows are found by a pre-aggregated minimum and sent to the rows.
+    Of two similar sets the smaller one has a common column among the first
+    :func:`index_length` ones.  The entries of a rare column are sorted by size, these before the
+    others, and read one by one, holding nothing but the current pivot; an entry that no
+    such entry of a similar size precedes starts a new run, or is left out if it is not one
+    itself.  The frequent columns, of which a single one may be in most rows, are not brought
+    together: their first rows are found by a pre-aggregated minimum and sent to the rows.
     """
 
     def explode(hot: bool):
         def run(batches):
             for batch in batches:
-                columns, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                size = batch.column(1).to_numpy()
+                enough = index_length(size, percent)
+                columns, owner, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i, (cold, first) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                     part = np.frombuffer(first, np.int64)[cold:] if hot else np.frombuffer(first, np.int64)[:cold]
                     columns.append(part)
                     owner.append(np.full(len(part), i))
-                at = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(columns)), batch.column(1).take(at), batch.column(0).take(at)], ENTRY.names
-                )
+                    place.append(np.arange(len(part)) + (cold if hot else 0))
+                at = np.concatenate(owner)
+                key = 2 * size[at] + (np.concatenate(place) >= enough[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns)), pa.array(key), batch.column(0).take(pa.array(at))], ENTRY.names)
 
         return run
 
     def pivots(batches):
-        last, before, pivot = None, None, None
+        last, before, pivot = 0, -1, None  # column and size of the last entry that runs go by
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column, size, node = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            new = np.r_[True, (column[1:] != column[:-1]) | (100 * size[:-1] < percent * size[1:])]
-            new[0] = column[0] != last or 100 * before < percent * size[0]
-            starts = np.flatnonzero(new)
-            heads = ([] if new[0] else [pivot]) + node.take(pa.array(starts)).to_pylist()
-            own = pa.array(heads, pa.binary()).take(pa.array(np.cumsum(new) - int(new[0])))
-            found = pa.table([own, node], names=PAIR.names)
-            found = found.filter(pc.not_equal(own, node)).group_by(PAIR.names).aggregate([])
-            last, before, pivot = column[-1], size[-1], heads[-1]
-            yield from found.to_batches()
+            column, key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            size, leads, at = key // 2, key % 2 == 0, np.arange(len(key))
+            led = np.r_[-1, np.maximum.accumulate(np.where(leads, at, -1))[:-1]]
+            near_column, near_size = np.where(led >= 0, column[led], last), np.where(led >= 0, size[led], before)
+            joins = (near_size >= 0) & (near_column == column) & (100 * near_size >= percent * size)
+            head = np.maximum.accumulate(np.where(leads & ~joins, at, -1))
+            heads = pa.array([pivot], pa.binary()).take(pa.array(np.zeros(len(at), int))) if head[0] < 0 else node
+            own = pc.if_else(pa.array(head >= 0), node.take(pa.array(np.maximum(head, 0))), heads)
+            found = pa.table([own, node], names=PAIR.names).filter(pa.array(joins))
+            if leads.any():
+                end = int(np.flatnonzero(leads)[-1])
+                last, before = column[end], size[end]
+            pivot = own[-1].as_py()
+            found = found.filter(pc.not_equal(found["pivot"], found["node"]))
+            yield from found.group_by(PAIR.names).aggregate([]).to_batches()
 
     slim = classes.select("node", "n_shingles", "n_cold", "first")
-    rare = slim.mapInArrow(explode(False), ENTRY).repartition("column").sortWithinPartitions("column", "size", "node")
+    rare = slim.mapInArrow(explode(False), ENTRY).repartition("column").sortWithinPartitions("column", "key", "node")
     hot = slim.where(F.col("n_cold") < F.octet_length("first") / 8).mapInArrow(explode(True), ENTRY)
-    smallest = hot.groupBy("column").agg(F.min("node").alias("pivot"))  # at most FREQUENT rows
-    by_hot = hot.join(F.broadcast(smallest), "column").where(F.col("pivot") < F.col("node")).select("pivot", "node")
+    smallest = hot.where("key % 2 = 0").groupBy("column").agg(F.min("node").alias("pivot"))  # at most FREQUENT rows
+    by_hot = hot.join(F.broadcast(smallest), "column").where(F.col("pivot") != F.col("node")).select("pivot", "node")
     return rare.mapInArrow(pivots, PAIR).unionAll(by_hot).distinct()
 
 
@@ -301,11 +312,12 @@ def linked_blocks(members: DataFrame, sizes: DataFrame, held: list[str], read, w
     ``block`` is the first of its rows, ``sizes(block, entries)`` has the same rows.  A block that is too large is split into
     parts with that row in each; then rows that are not connected with it meet all parts.
     """
-    sized = sizes.groupBy("block").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("entries") / BLOCK_ENTRIES)).cast("int").alias("parts")
-    )
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("entries") / BLOCK_ENTRIES)).cast("int")
+    large = stored(sizes.groupBy("block").agg(parts.alias("parts")).where("parts > 1"), "large")
+    sized = members.join(F.broadcast(large) if large.count() <= SENT_ROWS else large, "block", "left")
+    sized = sized.withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
-    dealt = stored(members.join(sized, "block").withColumn("part", part).select("block", "node", "parts", "part", *held), name)
+    dealt = stored(sized.withColumn("part", part).select("block", "node", "parts", "part", *held), name)
     first = (F.col("node") == F.col("block")) & (F.col("parts") > 1)
     own = dealt.select(
         "block",
@@ -315,6 +327,7 @@ def linked_blocks(members: DataFrame, sizes: DataFrame, held: list[str], read, w
     links = stored(forest(own, read, wanted), "links")
     many = dealt.where(F.col("parts") > 1)
     if many.limit(1).count() == 0:
+        discard(dealt)
         return links
     labels = components(links)
     root = labels.select(F.col("node").alias("root"), F.col("label").alias("root_label"))
@@ -329,7 +342,9 @@ def linked_blocks(members: DataFrame, sizes: DataFrame, held: list[str], read, w
     right = many.select(
         "block", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), "node", *held
     )
-    return stored(links.unionByName(forest(left.unionByName(right), read, wanted)), "links")
+    found = stored(links.unionByName(forest(left.unionByName(right), read, wanted)), "links")
+    discard(dealt)
+    return found
 
 
 def join_rows(
@@ -349,15 +364,18 @@ def join_rows(
     slim = slim.withColumn("text_key", F.xxhash64("text"))
     known = stored(incidence(slim, size, percent, frequent_ngrams(slim, size)), "incidence")
     named = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    held = ("n_shingles", "n_cold", "first", "short")
+    held = ("n_shingles", "n_cold", "first")
     classes = named.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), *[F.first(c).alias(c) for c in held])
     entries = (F.octet_length("first") / 8).cast("long").alias("entries")
     classes = stored(classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), *held, entries), "classes")
+    repeated = named.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
+    rows = stored(known.select("doc_id", "n_shingles", "node"), "rows")
+    discard(known)
     near = components(near_links(classes, percent))
     member = near.select("node", F.col("label").alias("block")).join(classes.select("node", "rep_id", "rep_key", "n_shingles"), "node")
     member = stored(member.select("block", "node", "rep_id", "rep_key", F.col("n_shingles").alias("entries")), "near")
     with_text = texts_of(member, slim)
-    if named.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
+    if repeated:
         with_text = with_text.dropDuplicates(["block", "node"])
 
     def read(group):
@@ -376,7 +394,7 @@ def join_rows(
     whole = classes.join(labels, "node", "left").select("node", "rep_id", F.coalesce("label", "node").alias("label"))
     smallest = whole.groupBy("label").agg(F.min("rep_id").alias("component_id"))
     found = whole.join(smallest, "label").select("node", "component_id")
-    return known.select("doc_id", "n_shingles", "node").join(found, "node", "left").select(
+    return rows.join(found, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
@@ -394,7 +412,7 @@ def near_links(classes: DataFrame, percent: int) -> DataFrame:
     """Links that connect every two rows whose first columns have the overlap that their sizes demand."""
     pairs = stored(blocks_of(classes, percent), "pairs")
     whole = pairs.unionAll(pairs.select("pivot", F.col("pivot").alias("node")).distinct())
-    members = whole.join(classes.select("node", "n_shingles", "n_cold", "short"), "node").withColumnRenamed("pivot", "block")
+    members = whole.join(shortened(classes), "node").withColumnRenamed("pivot", "block")
     sizes = whole.join(classes.select("node", "entries"), "node").withColumnRenamed("pivot", "block")
 
     def read(group):
@@ -405,3 +423,14 @@ def near_links(classes: DataFrame, percent: int) -> DataFrame:
         return similar([r[2] for r in left], [r[2] for r in right], prefix_need(left, right, percent))
 
     return linked_blocks(members, sizes, ["n_shingles", "n_cold", "short"], read, wanted, "blocks")
+
+
+def shortened(classes: DataFrame) -> DataFrame:
+    """``(node, n_shingles, n_cold, short)``: the upper halves of the hashes; products of them can only be too large."""
+
+    def run(batches):
+        for batch in batches:
+            short = [(np.frombuffer(first, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for first in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(short, pa.binary())], ["node", "n_shingles", "n_cold", "short"])
+
+    return classes.select("node", "n_shingles", "n_cold", "first").mapInArrow(run, "node binary, n_shingles long, n_cold long, short binary")

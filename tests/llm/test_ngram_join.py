@@ -30,10 +30,13 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,size,percent,block", [(1, 4, 85, 1024), (2, 5, 80, 1024), (3, 4, 85, 3)])
 def test_components(spark, monkeypatch, seed, size, percent, block):
     monkeypatch.setattr(op, "BLOCK", block)
+    held = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(held, "3" if block == 3 else "10000")  # runs of columns that go over several batches
     docs = corpus(seed) + [(1000, ""), (1001, None), (1002, " \n"), (1003, "")]
     df = spark.createDataFrame([(*d, b"x", 1) for d in docs], "doc_id long, text string, node binary, block int").repartition(4)
     got = {r["doc_id"]: r for r in op.join_rows(df, size, percent).collect()}
     assert len(got) == len(docs)
+    spark.conf.unset(held)
     for (key, text), smallest in zip(docs, brute.near_groups(docs, size, percent)):
         assert (got[key]["component_id"], got[key]["n_shingles"]) == (smallest, len(brute.shingles(text, size)))
 
