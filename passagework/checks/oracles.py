@@ -301,4 +301,9 @@ SQL = {
     "error_rows": f"""WITH {REQUESTS} SELECT query_id, 1 AS rank, '検索中にエラーが発生しました。' AS content,
   CAST(0 AS DOUBLE) AS score, 'error.md' AS source, error FROM validated WHERE error IS NOT NULL""",
 }
-SQL["keyword_postings"] = SQL["index_append_search"] = SQL["keyword_bm25"]
+SQL["index_compact"] = SQL["index_load"]
+SQL["index_dates"] = f"""WITH {CHUNKS} SELECT source, count(*) AS n_chunks, count(DISTINCT chunk_id) AS n_ids,
+  CAST(sum(length(content)) AS BIGINT) AS n_chars, CAST(count(*) AS DOUBLE) AS energy
+FROM chunks JOIN events ON CAST(event_id AS VARCHAR) = doc_id
+WHERE ts >= TIMESTAMP '2024-01-01 06:00:00' AND ts <= TIMESTAMP '2024-01-20' GROUP BY source"""
+SQL["keyword_bm25_blocks"] = SQL["keyword_postings"] = SQL["index_append_search"] = SQL["keyword_bm25"]

@@ -151,6 +151,35 @@ def index_edit(spark: SparkSession, sf: str) -> DataFrame:
     return per_source(store.load_index(spark, path))
 
 
+@query
+def index_compact(spark: SparkSession, sf: str) -> DataFrame:
+    """Written in four appends, half of the documents edited, some emptied and back again; then merged."""
+    path = inputs.scratch(spark, "index_compact")
+    docs = inputs.documents(spark, sf)
+    number = F.col("doc_id").cast("long")
+
+    def add(some: DataFrame, read: DataFrame | None = None) -> None:
+        chunks = chunk.chunk_fixed(some)
+        store.append_index(spark, path, chunks, lambda df: embed.embed_hash(df, "content"), documents=read, with_postings=True)
+
+    add(docs.filter(number % 2 == 0).withColumn("content", F.concat(F.lit("old "), "content")))
+    add(docs.filter(number % 3 == 0))
+    add(docs.filter(number % 5 != 0), docs)
+    add(docs.filter(number % 7 != 0))
+    store.remove_documents(spark, path, docs.filter(number % 7 == 0))
+    add(docs)
+    store.compact_index(spark, path)
+    return per_source(store.load_index(spark, path))
+
+
+@query
+def index_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """An index clustered by date, of which only the files of some days are read."""
+    path = inputs.scratch(spark, "index_dates")
+    store.write_index(embed.embed_hash(chunk.chunk_fixed(inputs.dated_documents(spark, sf)), "content"), path, by_date=16)
+    return per_source(store.open_index(spark, path, since="2024-01-01 06:00:00", until="2024-01-20"))
+
+
 @query
 def schema_ensure(spark: SparkSession, sf: str) -> DataFrame:
     """Columns of other types and missing columns brought to the declared schema."""
@@ -399,6 +428,13 @@ def keyword_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return keyword.keyword_bm25(inputs.benchmark_queries(spark, sf), inputs.chunks(spark, sf), 10).select(*HITS)
 
 
+@query
+def keyword_bm25_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """More query words than a task should hold: the queries take turns; same result."""
+    queries, chunks = inputs.benchmark_queries(spark, sf), inputs.chunks(spark, sf)
+    return keyword.keyword_bm25(queries, chunks, 10, broadcast_rows=600).select(*HITS)
+
+
 @query
 def keyword_postings(spark: SparkSession, sf: str) -> DataFrame:
     """The same search over saved postings."""

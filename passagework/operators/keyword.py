@@ -13,15 +13,17 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagework.config import BM25_B, BM25_K1, BROADCAST_ROWS, DEFAULT_LIMIT, HELD_ROWS, SCORE_DECIMALS
 from passagework.functions import text
-from passagework.functions.vectors import run_lengths
 from passagework.operators.best import BestRows
 from passagework.operators.topk import topk_per_query
 from passagework.operators.vector import QUERY_TILE, hit_schema
+from passagework.schema import BLOCKS
 
 
 class Collection(NamedTuple):
@@ -39,11 +41,10 @@ class Counts(NamedTuple):
     df: dict[str, int]
 
 
-# Parts into which the postings of a token are dealt when the query terms are too
-# many to broadcast: a frequent token then occupies this many tasks, not one.
-TOKEN_PARTS = 32
 PUSHED_TOKENS = 1000
 SCAN_ROWS = 128  # chunks scored at once inside a task
+BLOCK_CHUNKS = 2048  # chunks of a block of postings
+HEADER = ""  # never a word: the row of a block that names its chunks
 
 
 def field_tokens(fields: tuple[str, ...]) -> Column:
@@ -52,29 +53,6 @@ def field_tokens(fields: tuple[str, ...]) -> Column:
     return reduce(F.concat, [F.coalesce(text.tokens(F.col(f)), none) for f in fields])
 
 
-def postings(chunks: DataFrame, fields: tuple[str, ...] = ("content",)) -> DataFrame:
-    """``(token, chunk_id, tf, dl)``: one row per distinct word of a chunk, ``dl`` its length in words.
-
-    Narrow: the words of a chunk are sorted and counted inside its row, so nothing
-    is shuffled, however frequent a word is.  The array is exploded where it is made;
-    naming it first would let the optimizer compute it once more to skip empty ones.
-    """
-    words = chunks.select("chunk_id", field_tokens(fields).alias("words"))
-    counted = words.select(
-        "chunk_id",
-        F.size("words").alias("dl"),
-        F.explode(run_lengths(F.sort_array("words"), "token", "tf")).alias("term"),
-    )
-    return counted.select("term.token", "chunk_id", F.col("term.tf").cast("long").alias("tf"), "dl")
-
-
-def collection_stats(chunks: DataFrame, fields: tuple[str, ...] = ("content",)) -> DataFrame:
-    """One row: number of chunks ``n`` and their average length in words ``avgdl``."""
-    return chunks.select(F.size(field_tokens(fields)).alias("dl")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
-    )
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, token)``: the distinct words of every query."""
     return queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("token"))
@@ -95,61 +73,30 @@ def keyword_bm25(
 ) -> DataFrame:
     """The ``k`` best chunks of every query by BM25; a chunk without a query word is no hit.
 
-    ``stored_postings`` is a saved :func:`postings` table of the same chunks and
-    fields, read instead of the chunks' text; with the saved counts of the
-    ``collection``, the text is not read at all.  More query terms than fit the bounds
-    are joined with postings (:func:`join_postings`).  ``tokenization='field'`` takes
-    the whole text as one word (:func:`whole_field_hits`).
+    ``stored_postings`` are the saved :func:`posting_blocks` of the same chunks and fields:
+    then no text is read, and only the postings of the query words.  Queries are answered in
+    turns if their words or hits are more than a task should hold.  ``tokenization='field'``
+    takes the whole text as one word (:func:`whole_field_hits`).
     """
     if tokenization == "field":
         return whole_field_hits(queries, chunks, k)
     if tokenization != "word":
         raise ValueError(f"Unsupported tokenization: {tokenization}")
     terms = query_terms(queries)
-    if collection is not None:
-        stats = terms.sparkSession.createDataFrame([tuple(collection)], "n bigint, avgdl double")
-    else:
-        stats = collection_stats(chunks, fields)
-    few = terms.limit(broadcast_rows + 1).count() <= broadcast_rows and queries.count() * k <= HELD_ROWS
-    if not few:
-        entries = postings(chunks, fields) if stored_postings is None else stored_postings
-        hits = join_postings(terms, entries, stats, k1, b, decimals)
-    else:
+    n_terms, n_queries = terms.count(), queries.count()
+    if n_queries * k > HELD_ROWS:  # no query has more hits than there are chunks
+        k = min(k, max(chunks.count(), 1))
+    turns = max(1, -(-n_terms // broadcast_rows), -(-n_queries * k // HELD_ROWS))
+    own = F.pmod(F.xxhash64("query_id"), F.lit(turns))
+    found = []
+    for turn in range(turns):
+        some = terms.filter(own == turn) if turns > 1 else terms
         if stored_postings is None:
-            rows, counts = scan_chunks(terms, chunks, fields)
+            rows, counts = scan_chunks(some, chunks, fields)
+            found.append(score_words(some, rows, counts, max(k, 1), k1, b, decimals))
         else:
-            rows, counts = scan_postings(terms, stored_postings, stats)
-        hits = score_words(terms, rows, counts, max(k, 1), k1, b, decimals)
-    return topk_per_query(hits, k)
-
-
-def join_postings(
-    terms: DataFrame, entries: DataFrame, stats: DataFrame, k1: float, b: float, decimals: int
-) -> DataFrame:
-    """All hits, by joining any number of query terms with the postings of the same word.
-
-    A frequent word is no bottleneck: its postings are dealt over ``TOKEN_PARTS``
-    tasks, to each of which its query terms go.
-    """
-    entries = entries.join(terms.select("token").distinct(), "token", "left_semi")
-    # One row for the whole collection: a scalar subquery, evaluated once.
-    one = stats.select(F.struct("n", "avgdl")).scalar()
-    df = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (one["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "token").select("query_id", "token", idf.alias("idf"))
-    saturated = entries.select(
-        "token",
-        "chunk_id",
-        (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / one["avgdl"]))).alias("gain"),
-        F.pmod(F.xxhash64("chunk_id"), F.lit(TOKEN_PARTS)).cast("int").alias("part"),
-    )
-    copies = weighted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_PARTS - 1))))
-    return (
-        saturated.join(copies, ["token", "part"])
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("idf") * F.col("gain")), decimals).alias("score"))
-        .filter(F.col("score") > 0)
-    )
+            found.append(score_blocks(some, stored_postings, max(k, 1), k1, b, decimals, collection))
+    return topk_per_query(reduce(DataFrame.unionAll, found), k)
 
 
 def scan_chunks(terms: DataFrame, chunks: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, Counts]:
@@ -175,23 +122,166 @@ def scan_chunks(terms: DataFrame, chunks: DataFrame, fields: tuple[str, ...]) ->
     return words.select("chunk_id", F.size("words").alias("dl"), "words"), counts
 
 
-def scan_postings(terms: DataFrame, entries: DataFrame, stats: DataFrame) -> tuple[DataFrame, Counts]:
-    """The query words of the chunks that have any, ``(chunk_id, dl, words, tfs)``, and their counts.
+def posting_blocks(chunks: DataFrame, fields: tuple[str, ...] = ("content",), tag: str = "") -> DataFrame:
+    """Postings in blocks of ``BLOCK_CHUNKS`` chunks (:data:`passagework.schema.BLOCKS`).
+
+    A row holds the postings of one word in one block: which of its chunks have the word and
+    how often, with the greatest frequency and the least length, which bound what the
+    word can add to a score in that block.  The row of the empty word names the chunks.
+    Narrow: a task makes blocks of the chunks that it reads, so a frequent word is spread
+    over all blocks.
+    """
+    doc = F.col("doc_id").cast("string") if "doc_id" in chunks.columns else F.lit(None).cast("string")
+    words = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), doc.alias("doc_id"), field_tokens(fields).alias("words"))
+    wanted = to_arrow_schema(BLOCKS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, here = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for start in range(0, len(batch), BLOCK_CHUNKS):
+                part = batch.slice(start, BLOCK_CHUNKS)
+                yield from packed(part, f"{tag}/{here}/{number}").to_batches()
+                number += 1
+
+    def packed(part: pa.RecordBatch, name: str) -> pa.Table:
+        lists = part.column("words")
+        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        coded = lists.flatten().dictionary_encode()
+        vocabulary = coded.dictionary
+        order = pc.sort_indices(vocabulary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        row = np.repeat(np.arange(len(part)), dl)
+        cell, tf = np.unique(rank[coded.indices.to_numpy()] * len(part) + row, return_counts=True)
+        word, row = cell // max(len(part), 1), cell % max(len(part), 1)
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, int)
+        ends = np.r_[starts, len(word)].astype(np.int32)
+        n = len(starts)
+        none = pa.nulls(n, pa.list_(pa.string()))
+        postings = pa.Table.from_arrays(
+            [
+                pa.array([name] * n, pa.string()), vocabulary.take(pa.array(order)).cast(pa.string()), pa.array(np.diff(ends), pa.int32()),
+                pa.array(np.maximum.reduceat(tf, starts) if n else [], pa.int32()),
+                pa.array(np.minimum.reduceat(dl[row], starts) if n else [], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(row.astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(tf.astype(np.int32))), none, none,
+            ],
+            schema=wanted,
+        )
+        header = pa.Table.from_pylist(
+            [{"block": name, "token": HEADER, "n": len(part), "tfs": dl, "chunk_ids": part.column("chunk_id").to_pylist(), "doc_ids": part.column("doc_id").to_pylist()}],
+            schema=wanted,
+        )
+        return pa.concat_tables([header, postings])
+
+    return words.mapInArrow(pack, BLOCKS)
+
+
+def block_counts(blocks: DataFrame) -> Collection:
+    """Number of chunks and their average length, from the blocks' headers."""
+    heads = blocks.filter(F.col("token") == HEADER)
+    if "gone" in blocks.columns:  # chunks of replaced documents do not count
+        held = F.filter(F.col("tfs"), lambda _, i: ~F.array_contains("gone", i))
+        heads = heads.withColumn("tfs", F.when(F.col("gone").isNull(), F.col("tfs")).otherwise(held))
+    length = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+    n, words = heads.agg(F.sum(F.size("tfs")), F.sum(length)).first()
+    return Collection(n or 0, (words or 0) / n if n else 0.0)
+
+
+def score_blocks(
+    terms: DataFrame, blocks: DataFrame, k: int, k1: float, b: float, decimals: int, collection: Collection | None = None
+) -> DataFrame:
+    """The best hits of every task, from saved postings.
 
-    Only postings of query words are read; they are brought together by chunk, so a
-    group is bounded by the words of a chunk, and a frequent word is no bottleneck.
+    First the document frequencies of the query words are added up from the blocks' counts.
+    Then the postings of the query words are brought together by block, and a task adds up
+    the scores of one block at a time.  A query is left out in a block whose words cannot
+    add up to its k-th best score so far.  Nothing is shuffled by chunk.
     """
     wanted = terms.select("token").distinct()
     first = [row["token"] for row in wanted.limit(PUSHED_TOKENS + 1).collect()]
     if len(first) <= PUSHED_TOKENS:  # few enough to reach the scan of sorted postings
-        entries = entries.filter(F.col("token").isin(first))
+        entries = blocks.filter(F.col("token").isin([*first, HEADER]))
     else:
-        entries = entries.join(F.broadcast(wanted), "token", "left_semi")
-    df = {row["token"]: row["df"] for row in entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).collect()}
-    one = stats.first()
-    by_chunk = entries.groupBy("chunk_id", "dl").agg(F.collect_list(F.struct("token", "tf")).alias("held"))
-    rows = by_chunk.select("chunk_id", "dl", F.col("held.token").alias("words"), F.col("held.tf").alias("tfs"))
-    return rows, Counts(one["n"], one["avgdl"] or 0.0, df)
+        head = terms.sparkSession.range(1).select(F.lit(HEADER).alias("token"))
+        entries = blocks.join(F.broadcast(wanted.unionAll(head)), "token", "left_semi").select(blocks.columns)
+    gone = "gone" in blocks.columns
+    live = F.size(F.array_except("rows", F.coalesce("gone", F.array().cast("array<int>")))) if gone else F.col("n")
+    df = entries.filter(F.col("token") != HEADER).groupBy("token").agg(F.sum(live).alias("df"))
+    total = collection or block_counts(blocks)
+    counts = Counts(total.n, total.avgdl, {row["token"]: row["df"] for row in df.collect()})
+    shared = terms.sparkSession.sparkContext.broadcast(word_weights(terms, counts))
+    avgdl = counts.avgdl or 1.0
+    schema = hit_schema(terms, blocks.select(F.lit("").alias("chunk_id")))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, vocabulary, query, token, weight = shared.value
+        if not len(vocabulary):
+            return
+        ends = np.searchsorted(query, np.arange(len(query_ids) + 1))
+        best = BestRows(len(query_ids), k, decimals, positive=True)
+        for part in runs(batches, "block"):
+            offer_block(best, part, vocabulary, ends, token, weight)
+        yield from best.result(query_ids)
+
+    def offer_block(best, part, vocabulary, ends, token, weight):
+        names = part.column("token")
+        is_head = pc.equal(names, HEADER).to_numpy(zero_copy_only=False)
+        if not is_head.any() or is_head.all():
+            return
+        head = part.slice(int(is_head.argmax()), 1)
+        dl = head.column("tfs").flatten().to_numpy().astype(np.float64)
+        norm = k1 * (1 - b + b * dl / avgdl)
+        held = part.filter(pa.array(~is_head))
+        code = pc.index_in(held.column("token"), vocabulary).to_numpy()
+        place = np.full(len(vocabulary), -1)
+        place[code] = np.arange(len(code))
+        size = pc.list_value_length(held.column("rows")).to_numpy()
+        stop = np.cumsum(size)
+        row, tf = (held.column(c).flatten().to_numpy() for c in ("rows", "tfs"))
+        gain = tf * (k1 + 1) / (tf + norm[row])
+        if gone and head.column("gone")[0].is_valid:
+            dead = np.zeros(len(dl), bool)
+            dead[head.column("gone").flatten().to_numpy()] = True
+            gain = np.where(dead[row], 0.0, gain)
+        most = held.column("max_tf").to_numpy().astype(np.float64)
+        bound = most * (k1 + 1) / (most + k1 * (1 - b + b * held.column("min_dl").to_numpy() / avgdl))
+        ids = head.column("chunk_ids").flatten()
+        for first in range(0, len(ends) - 1, QUERY_TILE):
+            tile = range(first, min(first + QUERY_TILE, len(ends) - 1))
+            scores = np.zeros((len(tile), len(dl)))
+            for q in tile:
+                words = token[ends[q] : ends[q + 1]]
+                at = place[words]
+                words, at = words[at >= 0], at[at >= 0]
+                if not len(at) or (weight[words] * bound[at]).sum() < best.floor[q] - 10.0**-decimals:
+                    continue
+                spans = [slice(stop[i] - size[i], stop[i]) for i in at]
+                added = np.concatenate([gain[s] * weight[w] for s, w in zip(spans, words)])
+                scores[q - first] = np.bincount(np.concatenate([row[s] for s in spans]), added, len(dl))
+            if scores.any():
+                best.offer(first, scores, ids)
+
+    dealt = entries.repartition("block").sortWithinPartitions("block", "token")
+    return dealt.mapInArrow(score, schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of each ``key`` of sorted batches."""
+    held, current = [], None
+    for batch in batches:
+        keys = batch.column(key).dictionary_encode()
+        codes, names = keys.indices.to_numpy(), keys.dictionary
+        bounds = np.r_[0, np.flatnonzero(codes[1:] != codes[:-1]) + 1, len(codes)] if len(codes) else []
+        for start, stop in zip(bounds[:-1], bounds[1:]):
+            name = names[codes[start]].as_py()
+            if held and name != current:
+                yield pa.concat_batches(held)
+                held = []
+            current = name
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def word_weights(terms: DataFrame, counts: Counts) -> tuple:

@@ -30,12 +30,19 @@ CHUNKS = T.StructType(
 
 INDEX = T.StructType(CHUNKS.fields + [T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
-POSTINGS = T.StructType(
+# Postings of one word in one block of chunks; the row of the empty word names the block's
+# chunks and documents, and has the lengths of the chunks as ``tfs``.
+BLOCKS = T.StructType(
     [
+        T.StructField("block", T.StringType()),
         T.StructField("token", T.StringType()),
-        T.StructField("chunk_id", T.StringType()),
-        T.StructField("tf", T.LongType()),
-        T.StructField("dl", T.IntegerType()),
+        T.StructField("n", T.IntegerType()),
+        T.StructField("max_tf", T.IntegerType()),
+        T.StructField("min_dl", T.IntegerType()),
+        T.StructField("rows", T.ArrayType(T.IntegerType())),
+        T.StructField("tfs", T.ArrayType(T.IntegerType())),
+        T.StructField("chunk_ids", T.ArrayType(T.StringType())),
+        T.StructField("doc_ids", T.ArrayType(T.StringType())),
     ]
 )
 

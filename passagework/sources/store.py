@@ -1,115 +1,91 @@
 """The saved index: chunks with their vectors, and beside them buckets and postings.
 
-An index is a directory of segments and of numbered manifests, small JSON files that
-are written once and never changed.  The manifest with the highest number says which
-segments make up the index, so a write becomes visible with one new file: readers see
-the old index or the new one, and a failed job leaves what was there.  No data is renamed.
+An index is a directory of segments and of numbered manifests (see
+:mod:`passagework.sources.manifests`).  A write adds a segment and then publishes a manifest
+that makes it visible, so readers see the old index or the new one, a failed job leaves
+what was there, and no data is renamed.  Of two writers that start from the same
+manifest one has to start again, so no write is lost.
 """
 
 from __future__ import annotations
 
-import json
 import logging
-import re
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.config import BROADCAST_ROWS
-from passagework.operators.keyword import Collection, field_tokens, postings
+from passagework.operators.filters import filter_date_range
+from passagework.operators.keyword import Collection, block_counts, posting_blocks
 from passagework.operators.vector import ivf_assign
-from passagework.schema import INDEX, POSTINGS, ensure_schema
-from passagework.sources.files import file_system, path_exists
+from passagework.schema import BLOCKS, INDEX, ensure_schema
+from passagework.sources.manifests import (
+    ConcurrentWrite,
+    UnreadableIndex,
+    delete_parts,
+    manifests,
+    newest,
+    parts_of,
+    publish,
+    read_manifest,
+)
 
 log = logging.getLogger(__name__)
 
-MANIFEST = re.compile(r"^manifest-(\d{8})\.json$")
 BUCKET = T.StructField("bucket", T.IntegerType())
-# What is stored besides the columns of the index: a hash of the text and its length in words.
-STORED = T.StructType(INDEX.fields + [T.StructField("digest", T.LongType()), T.StructField("n_words", T.IntegerType())])
+# What is stored besides the columns of the index: a hash of the text.
+STORED = T.StructType(INDEX.fields + [T.StructField("digest", T.LongType())])
+ATTEMPTS = 5  # of a write that others overtake
+NEW = {"segments": [], "removed": [], "bucketed": False, "postings": False, "by_date": 0, "centroids": None, "retired": []}
 
 
-class UnreadableIndex(ValueError):
-    """There is something at the path, but no index that can be used."""
-
-
-# ---- manifests ----------------------------------------------------------------------
-
-
-def manifests(spark: SparkSession, path: str) -> list[str]:
-    fs, target = file_system(spark, path)
-    if not fs.exists(target):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(target)]
-    return sorted(name for name in names if MANIFEST.match(name))
-
-
-def read_manifest(spark: SparkSession, path: str) -> dict | None:
-    """The newest manifest; None if nothing is at ``path``."""
-    if not path_exists(spark, path):
-        return None
-    names = manifests(spark, path)
-    if not names:
-        raise UnreadableIndex(f"No index at {path}, though the path exists")
-    lines = spark.read.option("wholetext", True).text(f"{path}/{names[-1]}").collect()
-    return json.loads(lines[0][0])
-
-
-def publish(spark: SparkSession, path: str, manifest: dict) -> None:
-    """Make ``manifest`` the newest one, and delete what two writes ago was replaced."""
-    names = manifests(spark, path)
-    number = int(MANIFEST.match(names[-1])[1]) + 1 if names else 0
-    before = read_manifest(spark, path) if names else None
-    fs, target = file_system(spark, f"{path}/manifest-{number:08d}.json")
-    stream = fs.create(target, False)  # fails if another writer was faster
-    stream.write(bytearray(json.dumps(manifest).encode()))
-    stream.close()
-    # what the manifest before had retired was kept for its readers and can go now
-    old = set(before["retired"]) - parts_of(manifest) if before else set()
-    for status in fs.listStatus(target.getParent()):
-        name = status.getPath().getName()
-        if name in old or (MANIFEST.match(name) and name < f"manifest-{number - 1:08d}.json"):
-            fs.delete(status.getPath(), True)
-
-
-def parts_of(manifest: dict) -> set[str]:
-    """Directories that an index consists of."""
-    segments = {s[k] for s in manifest["segments"] for k in ("chunks", "postings") if s[k]}
-    return segments | {r["docs"] for r in manifest["removed"]}
+# ---- writing ------------------------------------------------------------------------
 
 
-# ---- writing ------------------------------------------------------------------------
+def new_tag() -> str:
+    return f"s{uuid.uuid4().hex}"
 
 
 def with_stored_columns(index: DataFrame) -> DataFrame:
     extra = [BUCKET.name] if BUCKET.name in index.columns else []
     full = ensure_schema(index, T.StructType(INDEX.fields + [BUCKET] * len(extra)), ("chunk_id",))
-    return full.withColumns({"digest": F.xxhash64("content"), "n_words": F.size(field_tokens(("content",)))})
+    return full.withColumn("digest", F.xxhash64("content"))
 
 
-def write_segment(index: DataFrame, path: str, bucketed: bool, with_postings: bool) -> dict:
-    """Write a segment below ``path``; nothing refers to it yet."""
-    tag = uuid.uuid4().hex
-    segment = {"chunks": f"chunks-{tag}", "postings": f"postings-{tag}" if with_postings else None}
-    rows = with_stored_columns(index)
-    if bucketed:
+def write_segment(index: DataFrame, path: str, layout: dict) -> dict:
+    """Write a segment below ``path`` in the layout of a manifest; nothing refers to it yet."""
+    spark = index.sparkSession
+    tag = new_tag()
+    segment = {"chunks": f"chunks={tag}", "postings": None, "files": None}
+    rows, seen = with_stored_columns(index), Observation()
+    if layout["bucketed"]:
         # a bucket's rows go to few files, not to one file of every task
-        spread = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
-        rows.repartition("bucket", spread).write.partitionBy("bucket").parquet(f"{path}/{segment['chunks']}")
-    else:
-        rows.write.parquet(f"{path}/{segment['chunks']}")
-    stored = read_segment(index.sparkSession, path, segment, bucketed)
-    if with_postings:
-        write_postings(stored, f"{path}/{segment['postings']}")
-    n, words = stored.agg(F.count(F.lit(1)), F.sum("n_words")).first()
-    return segment | {"n": n, "words": words or 0}
+        rows = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+    elif layout["by_date"]:
+        rows = rows.repartitionByRange(layout["by_date"], "modified_at").sortWithinPartitions("modified_at")
+    writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write
+    (writer.partitionBy("bucket") if layout["bucketed"] else writer).parquet(f"{path}/{segment['chunks']}")
+    if layout["by_date"]:
+        segment["files"] = f"files={tag}"
+        write_date_ranges(spark, f"{path}/{segment['chunks']}", f"{path}/{segment['files']}")
+    if layout["postings"]:
+        segment["postings"] = f"postings={tag}"
+        stored = spark.read.schema(STORED).parquet(f"{path}/{segment['chunks']}")
+        write_postings(stored, f"{path}/{segment['postings']}", tag=tag)
+    return segment | {"n": seen.get["n"]}
+
+
+def write_date_ranges(spark: SparkSession, chunks: str, target: str) -> None:
+    """``(file, since, until)``: the least and greatest ``modified_at`` of every file of a segment."""
+    dated = spark.read.schema(STORED).parquet(chunks).select(F.col("_metadata.file_path").alias("file"), "modified_at")
+    ranges = dated.groupBy("file").agg(F.min("modified_at").alias("since"), F.max("modified_at").alias("until"))
+    ranges.write.parquet(target)
 
 
 def write_index(
@@ -118,37 +94,41 @@ def write_index(
     bucketed: bool = False,
     centroids: np.ndarray | None = None,
     with_postings: bool = False,
+    by_date: int = 0,
 ) -> None:
     """Save ``index``, replacing what is at ``path``; it may be read from there.
 
     ``bucketed`` partitions the segment by ``bucket`` (of ``ivf_assign``), so that a
     search reads only the buckets it probes; with ``centroids`` saved, rows appended
     later are assigned too.  ``with_postings`` keeps postings in step with the chunks.
+    ``by_date`` clusters the rows of a segment by ``modified_at`` in as many files, so that
+    :func:`open_index` reads only the files of the dates asked for.
     """
+    if bucketed and by_date:
+        raise ValueError("an index is clustered by bucket or by date, not by both")
     spark = index.sparkSession
     if centroids is not None and BUCKET.name not in index.columns:
         index = ivf_assign(index, centroids)
-    segment = write_segment(index, path, bucketed, with_postings)
-    before = read_manifest(spark, path) if manifests(spark, path) else None
-    manifest = {
-        "segments": [segment],
-        "removed": [],
-        "bucketed": bucketed,
-        "postings": with_postings,
-        "centroids": None if centroids is None else np.asarray(centroids).tolist(),
-        "retired": sorted(parts_of(before)) if before else [],
-    }
-    publish(spark, path, manifest)
-
-
-def write_postings(chunks: DataFrame, path: str, fields: tuple[str, ...] = ("content",)) -> None:
-    """Save the postings of ``chunks`` in a new directory, sorted by word inside each file.
+    layout = NEW | {"bucketed": bucketed, "postings": with_postings, "by_date": by_date}
+    layout["centroids"] = None if centroids is None else np.asarray(centroids).tolist()
+    segment = write_segment(index, path, layout)
+    for _ in range(ATTEMPTS):  # whatever others have written is replaced
+        before, top = newest(spark, path) if manifests(spark, path) else (None, -1)
+        try:
+            return publish(spark, path, layout | {"segments": [segment], "retired": sorted(parts_of(before)) if before else []}, top)
+        except ConcurrentWrite:
+            continue
+    raise ConcurrentWrite(f"The index at {path} was written by other jobs {ATTEMPTS} times meanwhile")
+
+
+def write_postings(chunks: DataFrame, path: str, fields: tuple[str, ...] = ("content",), tag: str = "") -> None:
+    """Save the posting blocks of ``chunks`` in a new directory, sorted by word inside each file.
 
     A file holds all words of some chunks: nothing is shuffled, and a frequent word is
     spread over all files.  Row-group statistics let a search for few words skip others.
+    ``tag`` tells the blocks of this directory from those of others.
     """
-    entries = ensure_schema(postings(chunks, fields), POSTINGS, ("token", "chunk_id"))
-    entries.sortWithinPartitions("token", "chunk_id").write.mode("overwrite").parquet(path)
+    posting_blocks(chunks, fields, tag).sortWithinPartitions("token", "block").write.mode("overwrite").parquet(path)
 
 
 def append_index(
@@ -160,45 +140,105 @@ def append_index(
     bucketed: bool = False,
     centroids: np.ndarray | None = None,
     with_postings: bool = False,
+    documents: DataFrame | None = None,
 ) -> None:
     """Add ``chunks`` to the index at ``path``, which is created (with the last options) if absent.
 
     Documents come whole.  One that is stored with the same chunks is left out before it
     is embedded; one whose chunks have changed replaces what is stored; chunks without a
-    document go by their id.  A chunk that stands twice in ``chunks`` is taken once.
-    ``dedupe=False`` inserts everything.  Buckets and postings are kept in step.
+    document go by their id.  ``documents(doc_id)`` names the documents that were read: one of
+    them that brings no chunk (it is empty now) loses what is stored.  A chunk that
+    stands twice in ``chunks`` is taken once.  ``dedupe=False`` inserts everything.  Buckets and
+    postings are kept in step.  If another job writes meanwhile, the work is done again
+    on what it has left.
     """
-    manifest = read_manifest(spark, path)
-    if manifest is None:
-        manifest = {
-            "segments": [],
-            "removed": [],
-            "bucketed": bucketed,
-            "postings": with_postings,
-            "centroids": None if centroids is None else np.asarray(centroids).tolist(),
-            "retired": [],
-        }
-    removed = list(manifest["removed"])
-    fresh = chunks
+    fresh_layout = NEW | {"bucketed": bucketed, "postings": with_postings}
+    fresh_layout["centroids"] = None if centroids is None else np.asarray(centroids).tolist()
+    for _ in range(ATTEMPTS):
+        manifest, top = newest(spark, path)
+        manifest = fresh_layout if manifest is None else manifest
+        added, removed = new_segment(spark, path, manifest, chunks, embed, dedupe, documents)
+        try:
+            changed = {"segments": manifest["segments"] + [added], "removed": manifest["removed"] + removed, "retired": []}
+            return publish(spark, path, manifest | changed, top)
+        except ConcurrentWrite as error:
+            log.warning("%s; trying again", error)
+            delete_parts(spark, path, [v for k, v in added.items() if k != "n" and v] + [r["docs"] for r in removed])
+    raise ConcurrentWrite(f"The index at {path} was written by other jobs {ATTEMPTS} times meanwhile")
+
+
+def new_segment(spark, path, manifest, chunks, embed, dedupe, documents) -> tuple[dict, list[dict]]:
+    """Write what ``chunks`` adds to the index of ``manifest``: its segment and the removals."""
+    removed, fresh = [], chunks
     if dedupe:
         fresh = chunks.dropDuplicates(["chunk_id"])
         if manifest["segments"]:
-            fresh, changed = split_known(fresh, read_all(spark, path, manifest))
-            tag = f"removed-{uuid.uuid4().hex}"
-            changed.write.parquet(f"{path}/{tag}")
-            if spark.read.schema(changed.schema).parquet(f"{path}/{tag}").limit(1).count():
-                removed.append({"docs": tag, "before": len(manifest["segments"])})
+            fresh, changed = split_known(fresh, read_all(spark, path, manifest), documents)
+            removed = removal(spark, path, changed, len(manifest["segments"]))
     if embed is not None:
         fresh = embed(fresh)
     if manifest["centroids"] is not None:
         fresh = ivf_assign(fresh, np.array(manifest["centroids"]))
-    segment = write_segment(fresh, path, manifest["bucketed"], manifest["postings"])
-    segments = manifest["segments"] + [segment]
-    publish(spark, path, manifest | {"segments": segments, "removed": removed, "retired": []})
+    return write_segment(fresh, path, manifest), removed
+
+
+def removal(spark: SparkSession, path: str, docs: DataFrame, before: int) -> list[dict]:
+    """Note that ``docs(doc_id)`` are no longer in the first ``before`` segments; empty if there are none."""
+    tag = f"removed={new_tag()}"
+    seen = Observation()
+    docs.select(F.col("doc_id").cast("string").alias("doc_id")).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/{tag}")
+    if seen.get["n"]:
+        return [{"docs": tag, "before": before}]
+    delete_parts(spark, path, [tag])
+    return []
 
 
-def split_known(chunks: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The chunks to add, and the ids of the documents that they replace."""
+def remove_documents(spark: SparkSession, path: str, documents: DataFrame) -> None:
+    """Remove all chunks of ``documents(doc_id)`` from the index at ``path``."""
+    for _ in range(ATTEMPTS):
+        manifest, top = newest(spark, path)
+        if manifest is None:
+            raise UnreadableIndex(f"No index at {path}")
+        gone = removal(spark, path, documents.select("doc_id").distinct(), len(manifest["segments"]))
+        if not gone:
+            return
+        try:
+            return publish(spark, path, manifest | {"removed": manifest["removed"] + gone, "retired": []}, top)
+        except ConcurrentWrite:
+            delete_parts(spark, path, [r["docs"] for r in gone])
+    raise ConcurrentWrite(f"The index at {path} was written by other jobs {ATTEMPTS} times meanwhile")
+
+
+def compact_index(spark: SparkSession, path: str) -> None:
+    """Merge all segments of the index at ``path`` into one, without what was removed.
+
+    What other jobs append or remove meanwhile is kept: it follows the merged segment.
+    The merged parts are deleted by the next write, or by
+    :func:`passagework.sources.manifests.vacuum`.
+    """
+    manifest, top = newest(spark, path)
+    if manifest is None:
+        raise UnreadableIndex(f"No index at {path}")
+    merged = len(manifest["segments"])
+    if merged <= 1 and not manifest["removed"]:
+        return
+    segment = write_segment(read_all(spark, path, manifest).drop("digest"), path, manifest)
+    current = manifest
+    for _ in range(ATTEMPTS):
+        if current["segments"][:merged] != manifest["segments"] or current["removed"][: len(manifest["removed"])] != manifest["removed"]:
+            delete_parts(spark, path, [v for k, v in segment.items() if k != "n" and v])
+            raise ConcurrentWrite(f"The index at {path} was rewritten meanwhile")
+        later = [r | {"before": r["before"] - merged + 1} for r in current["removed"][len(manifest["removed"]) :]]
+        changed = {"segments": [segment] + current["segments"][merged:], "removed": later}
+        try:
+            return publish(spark, path, current | changed | {"retired": sorted(parts_of(manifest) - parts_of(changed))}, top)
+        except ConcurrentWrite:
+            current, top = newest(spark, path)
+    raise ConcurrentWrite(f"The index at {path} was written by other jobs {ATTEMPTS} times meanwhile")
+
+
+def split_known(chunks: DataFrame, stored: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The chunks to add, and the ids of the documents that they replace or that are empty now."""
     keyed = chunks.withColumn("digest", F.xxhash64("content"))
     ids = keyed.select("doc_id", "chunk_id")
     known = stored.select("doc_id", "chunk_id", "digest")
@@ -218,46 +258,96 @@ def split_known(chunks: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFr
     same, changed = both.where(F.col("new") == F.col("old")), both.where(F.col("new") != F.col("old"))
     named = chunks.where(F.col("doc_id").isNotNull()).join(same.select("doc_id"), "doc_id", "left_anti")
     loose = chunks.where(F.col("doc_id").isNull()).join(known.select("chunk_id"), "chunk_id", "left_anti")
-    return named.select(chunks.columns).unionByName(loose.select(chunks.columns)), changed.select("doc_id")
+    added = named.select(chunks.columns).unionByName(loose.select(chunks.columns))
+    changed = changed.select("doc_id")
+    if documents is not None:
+        read = documents.select(F.col("doc_id").cast("string").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+        empty = read.join(chunks.select("doc_id"), "doc_id", "left_anti")
+        held = stored.select("doc_id").join(empty, "doc_id", "left_semi").distinct()
+        changed = changed.unionAll(held)
+    return added, changed
 
 
 # ---- reading ------------------------------------------------------------------------
 
 
-def read_segment(spark: SparkSession, path: str, segment: dict, bucketed: bool) -> DataFrame:
-    schema = T.StructType(STORED.fields + [BUCKET]) if bucketed else None
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(f"{path}/{segment['chunks']}")
+def read_parts(spark: SparkSession, path: str, names: list[str], schema: T.StructType) -> DataFrame:
+    """Directories ``<kind>=<tag>`` in one scan, with their tags in the column ``<kind>``."""
+    kind = names[0].partition("=")[0]
+    tagged = T.StructType(schema.fields + [T.StructField(kind, T.StringType())])
+    return spark.read.option("basePath", path).schema(tagged).parquet(*[f"{path}/{name}" for name in names])
+
 
+def parts_named(manifest: dict, kind: str) -> list[str]:
+    return [s[kind] for s in manifest["segments"]]
 
-def without_removed(spark: SparkSession, path: str, manifest: dict, read: Callable[[dict], DataFrame]) -> DataFrame:
-    """All segments, each without the documents that later ones have replaced."""
-    parts = []
-    for i, segment in enumerate(manifest["segments"]):
-        rows = read(segment)
-        later = [r["docs"] for r in manifest["removed"] if r["before"] > i]
-        if later:
-            gone = spark.read.schema("doc_id string").parquet(*[f"{path}/{name}" for name in later]).distinct()
-            rows = rows.join(gone, "doc_id", "left_anti").select(rows.columns)
-        parts.append(rows)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
+def number_of(manifest: dict, kind: str) -> Column:
+    """The number of the segment that a row belongs to."""
+    tags = [name.partition("=")[2] for name in parts_named(manifest, kind)]
+    return F.element_at(F.create_map(*[x for i, tag in enumerate(tags) for x in (F.lit(tag), F.lit(i))]), F.col(kind))
 
-def read_all(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
-    return without_removed(spark, path, manifest, lambda s: read_segment(spark, path, s, manifest["bucketed"]))
+
+def removals(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
+    """``(gone_id, before)``: the documents that are no longer in the segments before a number."""
+    noted = read_parts(spark, path, [r["docs"] for r in manifest["removed"]], T.StructType.fromDDL("doc_id string"))
+    pairs = F.create_map(*[x for r in manifest["removed"] for x in (F.lit(r["docs"].partition("=")[2]), F.lit(r["before"]))])
+    dated = noted.select(F.col("doc_id").alias("gone_id"), F.element_at(pairs, F.col("removed")).alias("before"))
+    return dated.groupBy("gone_id").agg(F.max("before").alias("before"))
+
+
+def read_all(spark: SparkSession, path: str, manifest: dict, files: list[str] | None = None) -> DataFrame:
+    """All segments (or only these files of them) without what was removed: one scan and at most one join."""
+    schema = T.StructType(STORED.fields + [BUCKET]) if manifest["bucketed"] else STORED
+    parts = parts_named(manifest, "chunks") if files is None else files
+    if not parts:
+        return spark.createDataFrame([], schema)
+    if files is None:
+        rows = read_parts(spark, path, parts, schema)
+    else:
+        tagged = T.StructType(schema.fields + [T.StructField("chunks", T.StringType())])
+        rows = spark.read.option("basePath", path).schema(tagged).parquet(*files)
+    if not manifest["removed"]:
+        return rows.select(schema.names)
+    numbered = rows.withColumn("segment", number_of(manifest, "chunks"))
+    gone = removals(spark, path, manifest)
+    same = (numbered.doc_id == gone.gone_id) & (numbered.segment < gone.before)
+    return numbered.join(gone, same, "left_anti").select(schema.names)
+
+
+def files_between(spark: SparkSession, path: str, manifest: dict, since: str | None, until: str | None) -> list[str] | None:
+    """The files that may have rows of these dates; None if the index is not clustered by date."""
+    if not manifest.get("by_date") or not (since or until) or not manifest["segments"]:
+        return None
+    ranges = read_parts(spark, path, parts_named(manifest, "files"), T.StructType.fromDDL("file string, since timestamp, until timestamp"))
+    if since:
+        ranges = ranges.where(F.col("until") >= F.to_timestamp(F.lit(since)))
+    if until:
+        ranges = ranges.where(F.col("since") <= F.to_timestamp(F.lit(until)))
+    return [row["file"] for row in ranges.where("since IS NOT NULL").select("file").collect()]
 
 
-def open_index(spark: SparkSession, path: str, required=("chunk_id", "content", "embedding")) -> DataFrame | None:
-    """The saved index; None if nothing is at ``path``, an error if it cannot be used."""
+def open_index(
+    spark: SparkSession,
+    path: str,
+    required=("chunk_id", "content", "embedding"),
+    since: str | None = None,
+    until: str | None = None,
+) -> DataFrame | None:
+    """The saved index; None if nothing is at ``path``, an error if it cannot be used.
+
+    ``since`` and ``until`` keep the rows with ``modified_at`` between them, both inclusive;
+    of an index written ``by_date`` only the files that have such rows are read.
+    """
     try:
         manifest = read_manifest(spark, path)
         if manifest is None:
             log.info("No existing index found at %s", path)
             return None
-        stored = read_all(spark, path, manifest)
+        stored = read_all(spark, path, manifest, files_between(spark, path, manifest, since, until))
         fields = INDEX.fields + [BUCKET] * (BUCKET.name in stored.columns)
-        return ensure_schema(stored, T.StructType(fields), required)
-    except (PySparkException, Py4JError, ValueError, KeyError) as error:
+        return filter_date_range(ensure_schema(stored, T.StructType(fields), required), since, until)
+    except (PySparkException, Py4JError, ValueError, KeyError, IndexError) as error:
         raise UnreadableIndex(f"Failed to load the index at {path}: {error}") from error
 
 
@@ -277,34 +367,26 @@ def load_centroids(spark: SparkSession, path: str) -> np.ndarray | None:
 
 
 def load_postings(spark: SparkSession, path: str) -> DataFrame:
-    """Postings saved with an index, or by :func:`write_postings`."""
+    """Posting blocks saved with an index, or by :func:`write_postings`.
+
+    Where documents were replaced, ``gone`` lists the places of their chunks in each block.
+    """
     if not manifests(spark, path):
-        return spark.read.schema(POSTINGS).parquet(path)
+        return spark.read.schema(BLOCKS).parquet(path)
     manifest = read_manifest(spark, path)
     if not manifest["postings"]:
         raise UnreadableIndex(f"The index at {path} was saved without postings")
-    segments = [spark.read.schema(POSTINGS).parquet(f"{path}/{s['postings']}") for s in manifest["segments"]]
-    entries = reduce(DataFrame.unionByName, segments)
-    if manifest["removed"]:
-        # a replaced document's postings belong to chunks that are no longer read from their segment
-        tagged = [e.withColumn("segment", F.lit(i)) for i, e in enumerate(segments)]
-        live = without_removed(
-            spark,
-            path,
-            manifest | {"segments": [s | {"at": i} for i, s in enumerate(manifest["segments"])]},
-            lambda s: read_segment(spark, path, s, manifest["bucketed"]).select("doc_id", "chunk_id", F.lit(s["at"]).alias("segment")),
-        )
-        entries = reduce(DataFrame.unionByName, tagged).join(
-            live.select("chunk_id", "segment"), ["chunk_id", "segment"], "left_semi"
-        )
-    return entries.select(POSTINGS.names)
+    blocks = read_parts(spark, path, parts_named(manifest, "postings"), BLOCKS)
+    if not manifest["removed"]:
+        return blocks.select(BLOCKS.names)
+    number = number_of(manifest, "postings").alias("segment")
+    heads = blocks.filter(F.col("token") == "").select(F.col("block").alias("of"), number, F.posexplode("doc_ids").alias("place", "doc_id"))
+    gone = removals(spark, path, manifest)
+    dead = heads.join(gone, (heads.doc_id == gone.gone_id) & (heads.segment < gone.before))
+    listed = dead.groupBy("of").agg(F.collect_list("place").alias("gone"))  # at most a block's chunks each
+    return blocks.join(listed, blocks.block == listed.of, "left").select(*BLOCKS.names, "gone")
 
 
 def collection_counts(spark: SparkSession, path: str) -> Collection:
-    """Number of chunks of a saved index and their average length in words, without reading a text."""
-    manifest = read_manifest(spark, path)
-    if manifest["removed"]:
-        n, words = read_all(spark, path, manifest).agg(F.count(F.lit(1)), F.sum("n_words")).first()
-    else:
-        n, words = (sum(s[k] for s in manifest["segments"]) for k in ("n", "words"))
-    return Collection(n, (words or 0) / n if n else 0.0)
+    """Number of chunks of a saved index and their average length in words, from its postings."""
+    return block_counts(load_postings(spark, path))

@@ -38,8 +38,9 @@ def ingest_documents(
     )
 
     def add(batch: DataFrame, _: int) -> None:
-        chunks = chunk_recursive(as_documents(batch), size, overlap)
-        append_index(spark, index_path, chunks, lambda df: embed_hash(df, "content", dim))
+        documents = as_documents(batch)
+        chunks = chunk_recursive(documents, size, overlap)
+        append_index(spark, index_path, chunks, lambda df: embed_hash(df, "content", dim), documents=documents.select("doc_id"))
 
     query = (
         files.writeStream.foreachBatch(add)

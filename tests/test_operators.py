@@ -354,21 +354,43 @@ def test_bm25_matches_brute_force_on_every_plan(spark, library, tmp_path):
     asked, stored, queries, chunks = library
     want = bm25_by_hand(asked, stored, 7)
     assert as_set(keyword.keyword_bm25(queries, chunks, 7)) == want
-    assert as_set(keyword.keyword_bm25(queries, chunks, 7, broadcast_rows=3)) == want
+    assert as_set(keyword.keyword_bm25(queries, chunks, 7, broadcast_rows=40)) == want
     path = str(tmp_path / "postings")
     store.write_postings(chunks, path)
     saved = store.load_postings(spark, path)
     assert as_set(keyword.keyword_bm25(queries, chunks, 7, stored_postings=saved)) == want
-    assert as_set(keyword.keyword_bm25(queries, chunks, 7, stored_postings=saved, broadcast_rows=3)) == want
+    assert as_set(keyword.keyword_bm25(queries, chunks, 7, stored_postings=saved, broadcast_rows=40)) == want
 
 
 def test_many_query_words_use_a_broadcast_instead_of_a_filter(spark, library, monkeypatch):
     asked, stored, queries, chunks = library
     monkeypatch.setattr(keyword, "PUSHED_TOKENS", 5)
-    saved = keyword.postings(chunks)
+    monkeypatch.setattr(keyword, "BLOCK_CHUNKS", 11)
+    saved = keyword.posting_blocks(chunks)
     assert as_set(keyword.keyword_bm25(queries, chunks, 7, stored_postings=saved)) == bm25_by_hand(asked, stored, 7)
 
 
+def test_posting_blocks_hold_words_counts_and_bounds(spark, library, monkeypatch):
+    _, stored, _, chunks = library
+    monkeypatch.setattr(keyword, "BLOCK_CHUNKS", 20)
+    rows = keyword.posting_blocks(chunks).collect()
+    heads = {r.block: r for r in rows if r.token == keyword.HEADER}
+    assert sorted(c for r in heads.values() for c in r.chunk_ids) == sorted(c for c, _ in stored)
+    seen, texts = set(), dict(stored)
+    for r in rows:
+        if r.token != keyword.HEADER:
+            dl = [heads[r.block].tfs[i] for i in r.rows]
+            assert (r.n, r.max_tf, r.min_dl) == (len(r.rows), max(r.tfs), min(dl))
+            seen |= {(r.token, heads[r.block].chunk_ids[i], tf) for i, tf in zip(r.rows, r.tfs)}
+    assert seen == {(w, c, t.split().count(w)) for c, t in texts.items() for w in t.split()}
+
+
+def test_large_limit_is_every_hit(library, monkeypatch):
+    asked, stored, queries, chunks = library
+    monkeypatch.setattr(keyword, "HELD_ROWS", 1000)
+    assert as_set(keyword.keyword_bm25(queries, chunks, 2**31 - 1, stored_postings=keyword.posting_blocks(chunks))) == bm25_by_hand(asked, stored, 10_000)
+
+
 def test_bm25_edges(library):
     _, _, queries, chunks = library
     assert keyword.keyword_bm25(queries, chunks, 0).count() == 0

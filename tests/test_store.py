@@ -8,7 +8,7 @@ from passagework import schema
 from passagework.operators import embed, keyword, vector
 from passagework.operators.chunk import chunk_fixed
 from passagework.plans.build import load_or_build
-from passagework.sources import store
+from passagework.sources import manifests, store
 from passagework.sources.files import documents_from_table
 
 
@@ -52,7 +52,8 @@ def test_edits_replace_and_copies_stay_out(spark, tmp_path):
     index = store.load_index(spark, path)
     assert texts(index) == [("1", "short now"), ("2", "same"), ("3", "new")]
     kept = store.load_postings(spark, path)
-    assert sorted(r.token for r in kept.collect()) == ["new", "now", "same", "short"]
+    live = kept.where("token <> '' AND size(array_except(rows, coalesce(gone, array()))) > 0")
+    assert sorted(r.token for r in live.collect()) == ["new", "now", "same", "short"]
     assert store.collection_counts(spark, path) == keyword.Collection(3, 4 / 3)
     store.append_index(spark, path, chunks_of(spark, (1, long)), vectors)
     back = store.load_index(spark, path).where("doc_id = '1'").orderBy("chunk_no").collect()
@@ -103,5 +104,121 @@ def test_old_segments_go_after_two_writes(spark, tmp_path):
     index = vectors(chunks_of(spark, (1, "a")))
     for _ in range(4):
         store.write_index(index, str(path))
-    assert len([p for p in path.iterdir() if p.name.startswith("chunks-")]) == 2
+    assert len([p for p in path.iterdir() if p.name.startswith("chunks=")]) == 2
     assert len([p for p in path.iterdir() if p.name.startswith("manifest-")]) == 2
+
+
+def test_interleaved_appends_keep_both(spark, tmp_path):
+    """While one job embeds, another publishes: the first starts again, and nothing is lost or doubled."""
+    path = str(tmp_path / "index")
+    store.append_index(spark, path, chunks_of(spark, (1, "first")), vectors, with_postings=True)
+    others = [chunks_of(spark, (2, "second"), (3, "third, by the other")), chunks_of(spark, (4, "fourth"))]
+
+    def slow(df):
+        if others:
+            store.append_index(spark, path, others.pop(), vectors)
+        return vectors(df)
+
+    store.append_index(spark, path, chunks_of(spark, (3, "third"), (1, "first")), slow)
+    assert texts(store.load_index(spark, path)) == [("1", "first"), ("2", "second"), ("3", "third"), ("4", "fourth")]
+    assert not [p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("_writing")]
+    chunk_dirs = {p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("chunks=")}
+    assert chunk_dirs == {s["chunks"] for s in manifests.read_manifest(spark, path)["segments"]}
+
+
+def test_only_one_of_two_writers_publishes(spark, tmp_path):
+    path = str(tmp_path / "index")
+    store.write_index(vectors(chunks_of(spark, (1, "a"))), path)
+    manifest, top = manifests.newest(spark, path)
+    manifests.publish(spark, path, manifest, top)
+    with pytest.raises(manifests.ConcurrentWrite):
+        manifests.publish(spark, path, manifest, top)
+    assert not manifests.put_if_absent(spark, f"{path}/manifest-{top + 1:08d}.json", "other")
+    assert manifests.read_manifest(spark, path)["parent"] == top
+
+
+def test_unfinished_manifest_is_passed_over(spark, tmp_path):
+    path = tmp_path / "index"
+    store.append_index(spark, str(path), chunks_of(spark, (1, "a")), vectors)
+    (path / "manifest-00000007.json").write_text('{"segments": [{"chu')
+    assert texts(store.load_index(spark, str(path))) == [("1", "a")]
+    store.append_index(spark, str(path), chunks_of(spark, (2, "b")), vectors)
+    assert texts(store.load_index(spark, str(path))) == [("1", "a"), ("2", "b")]
+    (path / "chunks=unfinished").mkdir()
+    assert manifests.vacuum(spark, str(path)) == []
+    assert manifests.vacuum(spark, str(path), 0) == ["chunks=unfinished"]
+    assert store.load_index(spark, str(path)).count() == 2
+
+
+def test_emptied_and_removed_documents_go(spark, tmp_path):
+    path = str(tmp_path / "index")
+    store.append_index(spark, path, chunks_of(spark, (1, "one"), (2, "two"), (3, "three")), vectors, with_postings=True)
+    read = spark.createDataFrame([("1",), ("2",), ("9",), (None,)], "doc_id string")
+    store.append_index(spark, path, chunks_of(spark, (2, "two")), vectors, documents=read)
+    assert texts(store.load_index(spark, path)) == [("2", "two"), ("3", "three")]
+    store.remove_documents(spark, path, spark.createDataFrame([("3",)], "doc_id string"))
+    assert texts(store.load_index(spark, path)) == [("2", "two")]
+    assert store.collection_counts(spark, path) == keyword.Collection(1, 1.0)
+
+
+def test_compaction_merges_and_keeps_later_writes(spark, tmp_path, monkeypatch):
+    path = tmp_path / "index"
+    for i in range(5):
+        store.append_index(spark, str(path), chunks_of(spark, (i, f"text {i}"), (100, f"edited {i}")), vectors, with_postings=True)
+    before = texts(store.load_index(spark, str(path)))
+    write = store.write_segment
+
+    def overtaken(*args):
+        monkeypatch.setattr(store, "write_segment", write)
+        segment = write(*args)
+        store.append_index(spark, str(path), chunks_of(spark, (7, "late"), (2, "text 2 edited late")), vectors)
+        return segment
+
+    monkeypatch.setattr(store, "write_segment", overtaken)
+    store.compact_index(spark, str(path))
+    expected = sorted([x for x in before if x[0] != "2"] + [("2", "text 2 edited late"), ("7", "late")])
+    assert texts(store.load_index(spark, str(path))) == expected
+    assert len(manifests.read_manifest(spark, str(path))["segments"]) == 2
+    store.compact_index(spark, str(path))
+    index = store.load_index(spark, str(path))
+    assert texts(index) == expected
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    store.append_index(spark, str(path), chunks_of(spark, (8, "more")), vectors)
+    held = {p.name for p in path.iterdir() if p.name.startswith(("chunks=", "postings=", "removed="))}
+    assert held == manifests.parts_of(manifests.read_manifest(spark, str(path)))
+
+
+def test_compaction_of_a_rewritten_index_is_refused(spark, tmp_path, monkeypatch):
+    path, write = str(tmp_path / "index"), store.write_segment
+    for i in range(2):
+        store.append_index(spark, path, chunks_of(spark, (i, "text")), vectors)
+
+    def overtaken(*args):
+        monkeypatch.setattr(store, "write_segment", write)
+        store.write_index(vectors(chunks_of(spark, (9, "all new"))), path)
+        return write(*args)
+
+    monkeypatch.setattr(store, "write_segment", overtaken)
+    with pytest.raises(manifests.ConcurrentWrite):
+        store.compact_index(spark, path)
+    assert texts(store.load_index(spark, path)) == [("9", "all new")]
+
+
+def test_files_of_other_dates_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.range(400).select(F.col("id").cast("string").alias("doc_id"), F.concat(F.lit("text "), "id").alias("content"),
+                                   F.lit("a.md").alias("source"), F.expr("TIMESTAMP'2024-01-01' + make_interval(0, 0, 0, id)").alias("modified_at"))
+    index = vectors(chunk_fixed(docs.withColumn("metadata", F.lit(None).cast("map<string,string>")), 100, 0))
+    undated = index.limit(1).withColumns({"modified_at": F.lit(None).cast("timestamp"), "chunk_id": F.lit("none")})
+    store.write_index(index.unionByName(undated), path, by_date=8)
+    whole = store.load_index(spark, path)
+    some = store.open_index(spark, path, since="2024-02-01", until="2024-02-10")
+    assert (whole.count(), some.count()) == (401, 10)
+    assert {r.modified_at.month for r in some.collect()} == {2}
+    assert 1 <= len(some.inputFiles()) <= 2 < 6 <= len(whole.inputFiles())
+    store.append_index(spark, path, chunks_of(spark, (1000, "undated")), vectors)
+    assert store.open_index(spark, path, since="2024-02-01", until="2024-02-10").count() == 10
+    assert store.open_index(spark, path, since="2030-01-01").count() == 0
+    with pytest.raises(ValueError, match="not by both"):
+        store.write_index(index, path, bucketed=True, by_date=8)
