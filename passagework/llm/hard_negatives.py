@@ -6,15 +6,15 @@ below it, and the radii shrink from level to level.  Vectors are augmented by on
 coordinate that gives them all the same norm; there the distance of an anchor from
 a node tells the inner product, so centre and radius bound the products of all that is below.
 
-A search descends best-first: nodes with the highest upper bound come first, nodes that lie
-outside of what is wanted are skipped, and it ends when no bound reaches the k-th best.
-Leaves are verified by exact integer products.  Anchors visit their own shard first; what they
+A search goes down level by level for a block of anchors at once; nodes whose bounds lie
+outside of what is wanted are skipped with all that is below.  The leaves that are left are visited
+best-first: those with the highest upper bound come first and are verified by exact integer
+products, and it ends when no bound reaches the k-th best.  Anchors visit their own shard first; what they
 find there is the floor for the others, and shards whose radius cannot reach it are not visited.
 """
 
 from __future__ import annotations
 
-import heapq
 import io
 from collections.abc import Iterator
 
@@ -37,7 +37,9 @@ SUMMARY = 65_536  # shards whose radii are sent to the anchors; beyond it every
 LEAF = 16  # vectors below which a node is not divided
 SHRINK = 0.7  # of the radius, from a level to the next
 NET = 64  # centres that are tried at once
-GULP = 256  # children that are taken at once, at most
+FIRST = 64  # leaves that are verified at first ...
+GULP = 256  # ... and those that follow, at once
+ANCHORS = 128  # that go down a tree together
 EXACT = 2.0**53  # products below are exact in floating point
 
 
@@ -84,6 +86,7 @@ class CoverTree:
             setattr(self, name, arrays[name])
         points = self.points.astype(np.float64)
         self.exact_points, self.points = self.points, points
+        self.is_leaf = self.child_end == 0
         square = (points * points).sum(axis=1)
         self.norm = float(np.sqrt(square.max()))
         self.centres = points[self.centre]
@@ -125,9 +128,9 @@ class CoverTree:
         with np.load(io.BytesIO(data)) as arrays:
             return cls(**{n: arrays[n] for n in cls.NAMES})
 
-    def bounds(self, anchor: np.ndarray, nodes: slice) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest inner product of what lies below ``nodes``."""
-        return product_bounds(anchor, self.centres[nodes], self.augmented[nodes], self.radius[nodes], self.norm)
+    def bounds(self, anchors: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest inner product of what lies below ``nodes``, a column for each anchor."""
+        return product_bounds(anchors, self.centres[nodes], self.augmented[nodes], self.radius[nodes], self.norm)
 
     def scores(self, anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Exact integer products."""
@@ -137,13 +140,18 @@ class CoverTree:
         return np.array([int(x) for x in exact], dtype=np.int64)
 
 
-def product_bounds(anchor, centres, augmented, radius, norm) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of ``anchor . x`` for all ``x`` of norm ``norm`` (augmented) within ``radius`` of the centres."""
-    anchor = anchor.astype(np.float64)
-    own = float((anchor * anchor).sum())
-    middle = centres @ anchor
+def product_bounds(anchors, centres, augmented, radius, norm) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of ``anchor . x`` for all ``x`` of norm ``norm`` (augmented) within ``radius`` of the centres.
+
+    A row for each centre and a column for each anchor.
+    """
+    anchors = anchors.astype(np.float64)
+    own = (anchors * anchors).sum(axis=1)
+    middle = centres @ anchors.T
+    radius, norm = radius[:, None], np.reshape(norm, (-1, 1))  # of each centre, or of all
     reach = np.sqrt(own) * radius
-    away = np.sqrt(np.maximum(own + (centres * centres).sum(axis=1) + augmented**2 - 2.0 * middle, 0.0))
+    square = (centres * centres).sum(axis=1) + augmented**2
+    away = np.sqrt(np.maximum(own + square[:, None] - 2.0 * middle, 0.0))
     sphere = own + norm * norm
     high = np.minimum(middle + reach, (sphere - np.maximum(away - radius, 0.0) ** 2) / 2)
     low = np.maximum(middle - reach, (sphere - (away + radius) ** 2) / 2)
@@ -169,45 +177,56 @@ class Nearest:
             self.score, self.id = score[best], ids[best]
 
 
-def descend(tree: CoverTree, anchor: np.ndarray, wanted: list[Nearest], suits) -> None:
-    """Offer each of ``wanted`` all rows that may belong to it; ``suits(ids, labels)`` says which rows count."""
+def descend(tree: CoverTree, anchors: np.ndarray, wanted: list[list[Nearest]], suits: list) -> None:
+    """Offer each of ``wanted[a]`` all rows that may belong to it.
 
-    def open_(low, high):
-        out = np.zeros(len(low), bool)
-        for one in wanted:
-            out |= (high >= one.floor()) & (low <= one.high)
-        return out
-
-    def push(nodes):
-        low, high = tree.bounds(anchor, nodes)
-        at = np.flatnonzero(open_(low, high))
-        if len(at):
-            at = at[np.argsort(-high[at], kind="stable")]
-            runs.append((at + nodes.start, low[at], high[at]))
-            heapq.heappush(heap, (-high[at[0]], len(runs) - 1, 0))
-
-    runs, heap, gulp = [], [], 8
-    push(slice(0, 1))
-    while heap:
-        best, run, at = heapq.heappop(heap)
-        if -best < min(one.floor() for one in wanted):
+    ``suits[a](ids, labels)`` says which rows count for anchor ``a``.
+    """
+    floor = np.array([min(one.floor() for one in own) for own in wanted], np.float64)
+    top = np.array([max(one.high for one in own) for own in wanted], np.float64)
+    nodes, open_, found = np.zeros(1, np.int64), np.ones((1, len(anchors)), bool), []
+    while len(nodes):  # a level
+        low, high = tree.bounds(anchors, nodes)
+        open_ &= (high >= floor) & (low <= top)
+        kept = open_.any(axis=1)
+        nodes, open_, high = nodes[kept], open_[kept], high[kept]
+        leaf = tree.is_leaf[nodes]
+        found.append((nodes[leaf], np.where(open_[leaf], high[leaf], -np.inf)))
+        inner, open_ = nodes[~leaf], open_[~leaf]
+        sizes = tree.child_end[inner] - tree.child[inner]
+        nodes = spans(tree.child[inner], sizes)
+        open_ = np.repeat(open_, sizes, axis=0)
+    leaves, bound = (np.concatenate(x) for x in zip(*found))
+    for a, anchor in enumerate(anchors):
+        visit_leaves(tree, anchor, wanted[a], suits[a], leaves, bound[:, a])
+
+
+def spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``sizes`` of them."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def visit_leaves(tree: CoverTree, anchor: np.ndarray, wanted: list[Nearest], suits, leaves: np.ndarray, bound: np.ndarray) -> None:
+    at = np.flatnonzero(bound > -np.inf)
+    if len(at) > 4 * FIRST:  # the best ones first, as they rule out most others
+        at = at[np.argpartition(-bound[at], FIRST)]
+        offer_leaves(tree, anchor, wanted, suits, leaves[at[:FIRST]])
+        at = at[FIRST:]
+        at = at[bound[at] >= min(one.floor() for one in wanted)]
+    at = at[np.argsort(-bound[at], kind="stable")]
+    for start in range(0, len(at), GULP):
+        if bound[at[start]] < min(one.floor() for one in wanted):
             return
-        nodes, low, high = (x[at : at + gulp] for x in runs[run])
-        if at + gulp < len(runs[run][0]):
-            heapq.heappush(heap, (-runs[run][2][at + gulp], run, at + gulp))
-        gulp = min(2 * gulp, GULP)
-        nodes = nodes[open_(low, high)]
-        inner = tree.child_end[nodes] > 0
-        rows = [np.arange(tree.first[n], tree.last[n]) for n in nodes[~inner]]
-        if rows:
-            rows = np.concatenate(rows)
-            rows = rows[suits(tree.ids[rows], tree.labels[rows])]
-            if len(rows):
-                score = tree.scores(anchor, rows)
-                for one in wanted:
-                    one.offer(score, tree.ids[rows])
-        for n in nodes[inner]:
-            push(slice(int(tree.child[n]), int(tree.child_end[n])))
+        offer_leaves(tree, anchor, wanted, suits, leaves[at[start : start + GULP]])
+
+
+def offer_leaves(tree: CoverTree, anchor: np.ndarray, wanted: list[Nearest], suits, leaves: np.ndarray) -> None:
+    rows = spans(tree.first[leaves], tree.last[leaves] - tree.first[leaves])
+    rows = rows[suits(tree.ids[rows], tree.labels[rows])]
+    if len(rows):
+        score, ids = tree.scores(anchor, rows), tree.ids[rows]
+        for one in wanted:
+            one.offer(score, ids)
 
 
 # ---- shards and visits --------------------------------------------------------------
@@ -317,27 +336,29 @@ def shards_in(block, dim: int, home: str):
     @F.arrow_udf("array<long>")
     def chosen(points: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
         shards, centres, augmented, radius, norm = block.value
-        out = []
-        for anchor, least, most in zip(matrix(points, dim), lows.to_pylist(), highs.to_pylist()):
-            if not len(shards):
-                out.append([])
-                continue
-            own = int((centres @ anchor.astype(np.float64)).argmax())
+        out, anchors = [], matrix(points, dim)
+        least = np.array([-np.inf if x is None else x for x in lows.to_pylist()])
+        most = np.array([np.inf if x is None else x for x in highs.to_pylist()])
+        if not len(shards):
+            return pa.array([[]] * len(points), pa.list_(pa.int64()))
+        for start in range(0, len(anchors), ANCHORS):
+            some = slice(start, start + ANCHORS)
+            own = (centres @ anchors[some].astype(np.float64).T).argmax(axis=0)
             if home == "only":
-                out.append([int(shards[own])])
+                out += shards[own][:, None].tolist()
                 continue
-            low, high = product_bounds(anchor, centres, augmented, radius, norm)
-            fit = (high >= (-np.inf if least is None else least)) & (low <= (np.inf if most is None else most))
+            low, high = product_bounds(anchors[some], centres, augmented, radius, norm)
+            fit = (high >= least[some]) & (low <= most[some])
             if home == "not":
-                fit[own] = False
-            out.append(shards[fit].tolist())
+                fit[own, np.arange(len(own))] = False
+            out += [shards[x].tolist() for x in fit.T]
         return pa.array(out, pa.list_(pa.int64()))
 
     return chosen
 
 
 def visit(visits: DataFrame, trees: DataFrame, dim: int, schema: T.StructType, find) -> DataFrame:
-    """``find(tree, anchor row, vector)`` for every anchor in every shard it visits.
+    """``find(tree, anchor rows, vectors)`` for blocks of the anchors of every shard.
 
     Anchors and trees are shuffled by shard, the tree first: a task holds one tree and
     streams the anchors past it.
@@ -352,17 +373,21 @@ def visit(visits: DataFrame, trees: DataFrame, dim: int, schema: T.StructType, f
         tree = None
         for batch in batches:
             sides = batch.column("side").to_numpy()
-            found = {f.name: [] for f in schema.fields}
+            found = []
             rows = batch.select(plain).to_pylist()
             points = matrix(batch.column("point"), dim)
-            for i, side in enumerate(sides):
-                if side == 0:
-                    tree = CoverTree.load(batch.column("tree")[i].as_py())
+            at = 0
+            while at < len(sides):
+                if sides[at] == 0:
+                    tree = CoverTree.load(batch.column("tree")[at].as_py())
+                    at += 1
                     continue
-                for values in find(tree, rows[i], points[i]):
-                    for name, value in zip(found, values):
-                        found[name].append(value)
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in found.items()})
+                trees_ahead = np.flatnonzero(sides[at : at + ANCHORS] == 0)
+                end = at + int(trees_ahead[0]) if len(trees_ahead) else min(at + ANCHORS, len(sides))
+                found += find(tree, rows[at:end], points[at:end])
+                at = end
+            columns = zip(*found) if found else [[] for _ in schema.fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema.names)
 
     return both.repartition("shard").sortWithinPartitions("shard", "side").mapInArrow(run, schema)
 
@@ -412,10 +437,11 @@ def mine(
     shards = Shards(trees, dim)
     anchors = points.where(is_anchor)
 
-    def find_positives(tree, row, vector):
-        best = Nearest(positives, -np.inf if row["floor"] is None else row["floor"])
-        descend(tree, vector, [best], lambda ids, labels: (labels == row["label"]) & (ids != row["vec_id"]))
-        return [(row["vec_id"], i, s) for i, s in zip(best.id.tolist(), best.score.tolist())]
+    def find_positives(tree, rows, vectors):
+        best = [Nearest(positives, -np.inf if r["floor"] is None else r["floor"]) for r in rows]
+        suits = [lambda ids, labels, r=r: (labels == r["label"]) & (ids != r["vec_id"]) for r in rows]
+        descend(tree, vectors, [[one] for one in best], suits)
+        return [(r["vec_id"], i, s) for r, one in zip(rows, best) for i, s in zip(one.id.tolist(), one.score.tolist())]
 
     found = longs("anchor_id", "positive_id", "positive_score")
     start = anchors.withColumn("floor", F.lit(None).cast("long"))
@@ -438,13 +464,14 @@ def mine(
     asked = stored(asked.where(F.size("windows") > 0).withColumns(
         {"low": F.array_min(F.col("windows.low")), "high": F.array_max(F.col("windows.high"))}), "asked")
 
-    def find_negatives(tree, row, vector):
-        wanted = [Nearest(negatives, w["low"], w["high"]) for w in row["windows"]]
-        descend(tree, vector, wanted, lambda ids, labels: labels != row["label"])
+    def find_negatives(tree, rows, vectors):
+        best = [[Nearest(negatives, w["low"], w["high"]) for w in r["windows"]] for r in rows]
+        descend(tree, vectors, best, [lambda ids, labels, r=r: labels != r["label"] for r in rows])
         return [
-            (row["vec_id"], w["id"], i, w["score"], s)
-            for w, best in zip(row["windows"], wanted)
-            for i, s in zip(best.id.tolist(), best.score.tolist())
+            (r["vec_id"], w["id"], i, w["score"], s)
+            for r, own in zip(rows, best)
+            for w, one in zip(r["windows"], own)
+            for i, s in zip(one.id.tolist(), one.score.tolist())
         ]
 
     return with_rank(visit(shards.visits(asked, "low", "high"), trees, dim, out, find_negatives), negatives)

@@ -44,6 +44,7 @@ def clustered(seed, n, dim, groups, spread):
 @pytest.mark.parametrize("seed,dim,groups,spread,shard", [(1, 12, 6, 0.1, 4096), (2, 12, 6, 0.1, 60), (3, 24, 1, 1.0, 100), (4, 3, 300, 0.0, 50)])
 def test_equals_all_products(spark, monkeypatch, seed, dim, groups, spread, shard):
     monkeypatch.setattr(op, "SHARD_ROWS", shard)
+    monkeypatch.setattr(op, "ANCHORS", 5)
     rows = clustered(seed, 420, dim, groups, spread)
     got = mined(spark, rows)
     assert got == brute_mine(rows, lambda k: k % 10 == 0) and got
@@ -100,7 +101,7 @@ def test_search_skips_nodes_outside_of_the_window(monkeypatch):
     for low, high in ((-np.inf, np.inf), (0, 20_000), (products.max() // 2, products.max() * 3 // 4)):
         seen.clear()
         best = op.Nearest(5, low, high)
-        op.descend(tree, anchor, [best], lambda ids, labels: ids >= 0)
+        op.descend(tree, anchor[None, :], [[best]], [lambda ids, labels: ids >= 0])
         want = sorted((-s, i) for s, i in zip(products.tolist(), tree.ids.tolist()) if low <= s <= high)[:5]
         assert [(-s, i) for s, i in zip(best.score.tolist(), best.id.tolist())] == want
         assert sum(seen) < 1_500
