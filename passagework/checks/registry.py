@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from passagework.checks import inputs
 from passagework.config import SearchConfig
 from passagework.functions import text
-from passagework.operators import chunk, embed, enrich, filters, hybrid, keyword, respond, stats, topk, vector
+from passagework.operators import chunk, embed, enrich, filters, graph, hybrid, keyword, respond, stats, topk, vector
 from passagework.plans.build import load_or_build
 from passagework.plans.search import answer, search
 from passagework.schema import ensure_schema
@@ -413,6 +413,62 @@ def ann_ivf(spark: SparkSession, sf: str) -> DataFrame:
     return hits.withColumn("chunk_id", F.col("chunk_id").cast("bigint")).select(*HITS)
 
 
+def saved_vectors(spark: SparkSession, sf: str, **options) -> str:
+    path = inputs.scratch(spark, "vectors")
+    index = inputs.vector_index(spark, sf)
+    store.write_index(index.withColumn("chunk_id", F.col("chunk_id").cast("string")), path, **options)
+    return path
+
+
+def numbered(hits: DataFrame) -> DataFrame:
+    """Hits with numbers as ids again, ranked by them."""
+    return topk.topk_per_query(hits.drop("rank").withColumn("chunk_id", F.col("chunk_id").cast("bigint")), 10).select(*HITS)
+
+
+@query
+def knn_exact_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact neighbours from a saved index in buckets, of which only those are read that can matter."""
+    path = saved_vectors(spark, sf, bucketed=True, centroids=vector.ivf_train(inputs.vector_index(spark, sf), nlist=16))
+    stored = store.load_index(spark, path, ("chunk_id", "embedding")).withColumn("chunk_id", F.col("chunk_id").cast("bigint"))
+    hits = vector.knn_pruned(inputs.vector_queries(spark, sf), stored, store.load_centroids(spark, path), store.load_radii(spark, path), 10)
+    return hits.select(*HITS)
+
+
+@query
+def ann_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate neighbours from the graph that was saved with an index."""
+    path = saved_vectors(spark, sf, with_graph=True)
+    return numbered(graph.ann_graph(inputs.vector_queries(spark, sf), store.load_graph(spark, path), 10))
+
+
+def soundness(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
+    """Whether at least 0.9 of the ten nearest neighbours are found, each once, and all with their exact scores."""
+    exact = knn_exact(spark, sf).select("query_id", "chunk_id", F.col("score").alias("exact"))
+    both = exact.join(hits.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "full")
+    found = F.count("score") - F.sum(F.when(F.col("exact").isNull() & F.col("score").isNotNull(), 1).otherwise(0))
+    return both.agg(
+        F.count_distinct("query_id").alias("n_queries"),
+        (found >= F.lit(0.9) * F.count("exact")).alias("recalled"),
+        F.coalesce(F.bool_and(F.col("score") == F.col("exact")), F.lit(False)).alias("exact_scores"),
+        (F.count("score") == F.count_distinct("query_id", F.when(F.col("score").isNotNull(), F.col("chunk_id")))).alias("once"),
+    )
+
+
+@query
+def ann_graph_sound(spark: SparkSession, sf: str) -> DataFrame:
+    return soundness(spark, sf, ann_graph(spark, sf))
+
+
+@query
+def ann_ivf_sound(spark: SparkSession, sf: str) -> DataFrame:
+    return soundness(spark, sf, ann_ivf(spark, sf))
+
+
+@query
+def ann_lsh_sound(spark: SparkSession, sf: str) -> DataFrame:
+    return soundness(spark, sf, ann_lsh(spark, sf))
+
+
 @query
 def ann_ivf_all_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Probing every list must give the exact neighbours; hot lists are split."""

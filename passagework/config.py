@@ -28,7 +28,7 @@ BROADCAST_ROWS = 500_000
 HELD_ROWS = 4_000_000
 
 METRICS = ("cosine", "l2", "ip")
-SEARCHERS = ("exact", "lsh", "ivf")
+SEARCHERS = ("exact", "lsh", "ivf", "pruned", "graph")
 FILTER_MODES = ("post", "pre")
 
 

@@ -28,9 +28,10 @@ class BestRows:
         self.rows: list[pa.Table] = []
         self.pending = 0  # rows offered since the last clean-up
 
-    def offer(self, first: int, scores: np.ndarray, ids: pa.Array) -> None:
-        """Score block of the queries ``first, first + 1, ...`` against ``ids``."""
-        known = self.floor[first : first + len(scores)]
+    def offer(self, first: int | np.ndarray, scores: np.ndarray, ids: pa.Array) -> None:
+        """Score block of the queries ``first, first + 1, ...`` (or of these numbers) against ``ids``."""
+        number = first if isinstance(first, np.ndarray) else np.arange(first, first + len(scores))
+        known = self.floor[number]
         floor, fresh = known.copy(), np.isneginf(known)
         if fresh.any() and scores.shape[1] > self.k:
             floor[fresh] = np.partition(scores[fresh], -self.k, axis=1)[:, -self.k]
@@ -41,10 +42,19 @@ class BestRows:
         q, row = np.nonzero(keep)
         score = half_up(scores[q, row], self.decimals)
         if len(q) > 4 * len(scores):
-            at = self.beats_floor(q, row, score, known, self.floor_id[first : first + len(scores)], ids)
+            at = self.beats_floor(q, row, score, known, self.floor_id[number], ids)
             q, row, score = q[at], row[at], score[at]
         self.pending += len(q)
-        self.rows.append(pa.table({"q": q + first, "score": score, "id": ids.take(pa.array(row))}))
+        self.rows.append(pa.table({"q": number[q], "score": score, "id": ids.take(pa.array(row))}))
+        if self.pending >= max(self.k * len(self.floor), 10_000):
+            self.settle()
+
+    def offer_pairs(self, q: np.ndarray, scores: np.ndarray, ids: pa.Array) -> None:
+        """Scores of single pairs of a query and an id."""
+        score = half_up(scores, self.decimals)
+        keep = score >= self.floor[q]
+        self.pending += int(keep.sum())
+        self.rows.append(pa.table({"q": q[keep], "score": score[keep], "id": ids.filter(pa.array(keep))}))
         if self.pending >= max(self.k * len(self.floor), 10_000):
             self.settle()
 

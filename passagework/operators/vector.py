@@ -20,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagework.config import BROADCAST_BYTES, BROADCAST_ROWS, DEFAULT_LIMIT, HELD_ROWS, METRICS, SCORE_DECIMALS
 from passagework.functions.vectors import unit
@@ -29,6 +30,7 @@ from passagework.operators.topk import topk_per_query
 QUERY_TILE = 1024  # queries scored at once inside a task
 CELL_ROWS = 200_000  # stored vectors that one task should score for one cell
 CELL_QUERIES = 8_192  # queries that one task may hold for one cell
+FEW_QUERIES = 8_192  # queries that are read at once, and answered without measuring them first
 
 
 # ---- NumPy helpers that run inside tasks --------------------------------------------
@@ -92,13 +94,25 @@ def hit_schema(queries: DataFrame, index: DataFrame) -> T.StructType:
     )
 
 
-def score_with_broadcast(queries: DataFrame, index: DataFrame, k: int, metric: str, decimals: int) -> DataFrame:
+def held_queries(queries: DataFrame, rows: int, size: int) -> pa.Table | None:
+    """The queries with a vector, read once, if they are at most ``rows`` and their vectors ``size`` bytes."""
+    head = queries.limit(rows + 1).toArrow().combine_chunks()
+    if len(head) > rows:
+        return None
+    block = with_vectors(head)
+    dim = pc.max(pc.list_value_length(block["vec"])).as_py() or 0
+    return block if len(block) * dim * 8 <= size else None
+
+
+def score_with_broadcast(
+    queries: DataFrame, index: DataFrame, k: int, metric: str, decimals: int, block: pa.Table | None = None
+) -> DataFrame:
     """One pass over the index; every task holds the (small) query block.
 
     The index is neither shuffled nor replicated, and a task emits at most ``k``
     rows per query.
     """
-    block = with_vectors(queries.toArrow().combine_chunks())
+    block = with_vectors(queries.toArrow().combine_chunks()) if block is None else block
     shared = queries.sparkSession.sparkContext.broadcast(
         (block["query_id"].combine_chunks(), matrix(block["vec"].combine_chunks()) if len(block) else None)
     )
@@ -118,6 +132,43 @@ def score_with_broadcast(queries: DataFrame, index: DataFrame, k: int, metric: s
     return index.mapInArrow(score, hit_schema(queries, index))
 
 
+def score_probes(
+    block: pa.Table, probes: list[np.ndarray], queries: DataFrame, index: DataFrame, k: int, metric: str, decimals: int
+) -> DataFrame:
+    """One pass over the probed buckets; every task holds the (small) query block.
+
+    ``probes[i]`` are the buckets in which query ``i`` of the block is looked for.  The index is
+    streamed past the queries of each row's bucket; it is neither shuffled nor copied.
+    """
+    asked = np.concatenate([np.full(len(p), i) for i, p in enumerate(probes)] or [[]]).astype(np.int64)
+    bucket = np.concatenate(probes or [[]]).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    names, starts = np.unique(bucket[order], return_index=True)
+    of_bucket = dict(zip(names.tolist(), np.split(asked[order], starts[1:])))
+    ids = block["query_id"].combine_chunks()
+    vectors = prepare(matrix(block["vec"].combine_chunks()), metric) if len(block) else None
+    shared = queries.sparkSession.sparkContext.broadcast((ids, vectors, of_bucket))
+    probed = index.filter(F.col("bucket").isin(names.tolist())).select("chunk_id", "vec", "bucket")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, query_vectors, of_bucket = shared.value
+        best = BestRows(len(query_ids), k, decimals)
+        for batch in map(with_vectors, batches):
+            buckets = batch.column("bucket").to_numpy(zero_copy_only=False)
+            order = np.argsort(buckets, kind="stable")
+            bounds = np.r_[0, np.flatnonzero(np.diff(buckets[order])) + 1, len(order)] if len(order) else []
+            for start, stop in zip(bounds[:-1], bounds[1:]):
+                rows = batch.take(pa.array(order[start:stop]))
+                own = of_bucket[int(buckets[order[start]])]
+                stored = prepare(matrix(rows.column("vec")), metric)
+                for first in range(0, len(own), QUERY_TILE):
+                    some = own[first : first + QUERY_TILE]
+                    best.offer(some, similarity(query_vectors[some], stored, metric), rows.column("chunk_id"))
+        yield from best.result(query_ids)
+
+    return probed.mapInArrow(score, hit_schema(queries, index))
+
+
 def score_cells(queries: DataFrame, index: DataFrame, k: int, metric: str, decimals: int) -> DataFrame:
     """Score every query against the stored vectors that share its ``cell``.
 
@@ -270,6 +321,9 @@ def knn_exact(
     v = v.select("chunk_id", "vec")
     if k <= 0:
         return topk_per_query(q.sparkSession.createDataFrame([], hit_schema(q, v)), k)
+    block = held_queries(q, min(FEW_QUERIES, HELD_ROWS // k), broadcast_bytes)
+    if block is not None:
+        return topk_per_query(score_with_broadcast(q, v, k, metric, decimals, block), k)
     n_queries, dim = q.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     query_bytes = n_queries * max(dim or 0, 0) * 8
     if n_queries * k > HELD_ROWS:  # no query has more hits than there are vectors
@@ -416,9 +470,113 @@ def ann_ivf(
     """
     cosine_only(metric)
     q, v = vectors_only(queries, index)
+    block = held_queries(q, min(FEW_QUERIES, HELD_ROWS // max(k, 1)), BROADCAST_BYTES)
+    if block is not None and not cells:
+        points = prepare(matrix(block["vec"].combine_chunks()), "cosine") if len(block) else np.zeros((0, len(centroids[0])))
+        count = min(nprobe, len(centroids))
+        probes = np.argpartition(-similarity(points, centroids, "l2"), count - 1, axis=1)[:, :count]
+        return topk_per_query(score_probes(block, list(probes), q, v, k, metric, decimals), k)
     q = q.withColumn("bucket", F.explode(nearest_centroids(q, "vec", centroids, nprobe)))
     # At most one value per centroid: known before planning, it prunes the partitions read.
     probed = [row["bucket"] for row in q.select("bucket").distinct().collect()]
     v = v.filter(F.col("bucket").isin(probed))
     hits = score_cells(*bucket_cells(q, v, **cells), k, metric, decimals)
     return topk_per_query(hits, k)
+
+
+def bucket_radii(index: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """``(bucket, n, radius, blank)``: how many unit vectors a bucket has, how far from its centroid they
+    are, and whether there is a zero vector among them."""
+    shared = index.sparkSession.sparkContext.broadcast(centroids)
+    schema = "bucket int, n long, radius double, blank boolean"
+    rows = index.select("bucket", F.col("embedding").alias("vec"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, radius, blank = np.zeros(len(shared.value), np.int64), np.zeros(len(shared.value)), np.zeros(len(shared.value), bool)
+        for batch in map(with_vectors, batches):
+            if len(batch):
+                points = prepare(matrix(batch.column("vec")), "cosine")
+                bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
+                np.add.at(n, bucket, 1)
+                np.maximum.at(radius, bucket, np.sqrt(((points - shared.value[bucket]) ** 2).sum(axis=1)))
+                np.logical_or.at(blank, bucket, ~points.any(axis=1))
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen.astype(np.int32)), pa.array(n[seen]), pa.array(radius[seen]), pa.array(blank[seen])], ["bucket", "n", "radius", "blank"]
+        )
+
+    parts = rows.mapInArrow(measure, schema)
+    return parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.bool_or("blank").alias("blank"))
+
+
+def knn_pruned(
+    queries: DataFrame,
+    index: DataFrame,
+    centroids: np.ndarray,
+    radii: DataFrame,
+    k: int = DEFAULT_LIMIT,
+    decimals: int = SCORE_DECIMALS,
+    first: int = 4,
+) -> DataFrame:
+    """The ``k`` nearest stored vectors by cosine, as :func:`knn_exact` finds them, without reading all buckets.
+
+    ``radii`` are the :func:`bucket_radii` of ``index``.  On unit vectors the distance of a query
+    from a centroid and the bucket's radius bound the score of all that is in it.  Buckets
+    are read by falling bound, ``first`` for each query, then twice as many, and so on; a query
+    is done when no bucket that is left can reach its k-th score.
+    """
+    spark = queries.sparkSession
+    q, v = vectors_only(queries, index)
+    known = radii.toArrow()  # a row for each centroid at most
+    bucket, size = known["bucket"].to_numpy(), known["n"].to_numpy()
+    radius, blank = known["radius"].to_numpy(), known["blank"].to_numpy(zero_copy_only=False).astype(bool)
+    empty = topk_per_query(spark.createDataFrame([], hit_schema(q, v)), max(k, 0))
+    if k <= 0 or not len(bucket):
+        return empty
+    k = min(k, int(size.sum()))
+    turns = max(1, -(-q.count() // min(FEW_QUERIES, max(1, HELD_ROWS // k))))
+    found = []
+    for turn in range(turns):
+        block = with_vectors(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).toArrow().combine_chunks())
+        if len(block):
+            points = prepare(matrix(block["vec"].combine_chunks()), "cosine")
+            bound = score_bounds(points, centroids[bucket], radius, blank)
+            found += pruned_rounds(block, bound, bucket, q, v, k, decimals, first)
+    if not found:
+        return empty
+    hits = spark.createDataFrame(pa.concat_tables(found).cast(to_arrow_schema(hit_schema(q, v))), hit_schema(q, v))
+    return topk_per_query(hits, k)
+
+
+def score_bounds(points: np.ndarray, centroids: np.ndarray, radius: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """Greatest cosine of a query with any vector of a bucket, a row for each query."""
+    square = (points**2).sum(axis=1)[:, None] + (centroids**2).sum(axis=1)[None, :] - 2.0 * points @ centroids.T
+    nearest = np.maximum(np.sqrt(np.maximum(square, 0.0)) - radius[None, :], 0.0)
+    bound = 1.0 - nearest**2 / 2.0
+    bound[:, blank] = np.maximum(bound[:, blank], 0.0)  # a zero vector scores 0 with everything
+    bound[~points.any(axis=1)] = 0.0  # and so does a query without words
+    return bound + 1e-6  # rounding
+
+
+def pruned_rounds(block, bound, bucket, queries, index, k, decimals, first) -> list[pa.Table]:
+    """The best hits of each query of ``block``, read in rounds."""
+    order = np.argsort(-bound, axis=1)
+    floor, done, tables = np.full(len(block), -np.inf), 0, []
+    number = {key: i for i, key in enumerate(block["query_id"].to_pylist())}
+    held: list[list[float]] = [[] for _ in range(len(block))]
+    while done < len(bucket):
+        count = min(max(first, done), len(bucket) - done)
+        next_ = order[:, done : done + count]
+        probes = [bucket[row[bound[i, row] >= floor[i]]] for i, row in enumerate(next_)]
+        if not any(len(p) for p in probes):
+            break
+        hits = topk_per_query(score_probes(block, probes, queries, index, k, "cosine", decimals), k).toArrow()
+        tables.append(hits.select(["query_id", "chunk_id", "score"]))
+        for key, score in zip(hits["query_id"].to_pylist(), hits["score"].to_pylist()):
+            held[number[key]].append(score)
+        for i, scores in enumerate(held):
+            if len(scores) >= k:
+                held[i] = sorted(scores, reverse=True)[:k]
+                floor[i] = held[i][-1]
+        done += count
+    return tables

@@ -52,12 +52,14 @@ def load_or_build(
     """The saved index of ``knowledge_base``, built and saved first if there is none.
 
     None if there are no documents.  An index that is there but cannot be read is an
-    error and stays as it is.  ``searcher="ivf"`` saves the vectors in ``nlist`` buckets.
+    error and stays as it is.  ``searcher="ivf"`` or ``"pruned"`` saves the vectors in ``nlist``
+    buckets, ``"graph"`` a neighbour graph beside them.
     """
     if searcher not in SEARCHERS:
         raise ValueError(f"Unsupported searcher: {searcher}")
-    if searcher == "ivf" and not nlist:
-        raise ValueError("searcher='ivf' needs nlist, the number of buckets")
+    in_buckets = searcher in ("ivf", "pruned")
+    if in_buckets and not nlist:
+        raise ValueError(f"searcher='{searcher}' needs nlist, the number of buckets")
     index_path = index_path or f"{knowledge_base.rstrip('/')}/{INDEX_DIRECTORY}"
     index = open_index(spark, index_path)
     if index is not None:
@@ -67,6 +69,6 @@ def load_or_build(
         log.warning("No documents found in %s", knowledge_base)
         return None
     built = build_index(documents, **build)
-    centroids = ivf_train(built, nlist) if searcher == "ivf" else None
-    write_index(built, index_path, centroids is not None, centroids, with_postings)
+    centroids = ivf_train(built, nlist) if in_buckets else None
+    write_index(built, index_path, in_buckets, centroids, with_postings, with_graph=searcher == "graph")
     return open_index(spark, index_path)

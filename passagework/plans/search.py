@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 from passagework.config import BROADCAST_ROWS, SEARCHERS, SearchConfig
 from passagework.operators import enrich, filters
 from passagework.operators.embed import embed_hash
+from passagework.operators.graph import ann_graph
 from passagework.operators.hybrid import exact_fusion
 from passagework.operators.respond import error_rows, no_result_fallback
-from passagework.operators.vector import ann_ivf, ann_lsh, knn_exact
+from passagework.operators.vector import ann_ivf, ann_lsh, cosine_only, knn_exact, knn_pruned
+from passagework.sources.store import load_centroids, load_graph, load_radii
 
 LARGE_LIMIT = 1_000  # queries that want more are searched apart
 FEW_QUERIES = 20_000  # as many, with their vectors, are held by the driver
@@ -93,17 +95,45 @@ def meets_filters(types, pattern, since, until):
     )
 
 
-def searcher(name: str = "exact", centroids=None, **options) -> Callable[..., DataFrame]:
-    """A search by name for the ``knn`` of :func:`search`: ``exact``, ``lsh`` or ``ivf`` (with the index's centroids)."""
+def searcher(name: str = "exact", centroids=None, radii=None, graph=None, **options) -> Callable[..., DataFrame]:
+    """A search by name for the ``knn`` of :func:`search`.
+
+    ``exact`` and ``lsh`` need nothing else, ``ivf`` the centroids of the index, ``pruned`` also the
+    radii of its buckets, ``graph`` its graph.  :func:`saved_searcher` reads them from a saved index.
+    """
     if name not in SEARCHERS:
         raise ValueError(f"Unsupported searcher: {name}")
     if name == "exact":
         return partial(knn_exact, **options)
     if name == "lsh":
         return lambda q, v, k, metric: ann_lsh(q, v, k, metric, **options)
+    if name == "graph":
+        if graph is None:
+            raise ValueError("searcher 'graph' needs the graph of the index")
+        return lambda q, v, k, metric: ann_graph(q, graph, k, metric, **options)
     if centroids is None:
-        raise ValueError("searcher 'ivf' needs the centroids of the index")
-    return lambda q, v, k, metric: ann_ivf(q, v, centroids, k, metric=metric, **options)
+        raise ValueError(f"searcher '{name}' needs the centroids of the index")
+    if name == "ivf":
+        return lambda q, v, k, metric: ann_ivf(q, v, centroids, k, metric=metric, **options)
+    if radii is None:
+        raise ValueError("searcher 'pruned' needs the radii of the buckets")
+
+    def pruned(q, v, k, metric):
+        cosine_only(metric)
+        return knn_pruned(q, v, centroids, radii, k, **options)
+
+    return pruned
+
+
+def saved_searcher(spark: SparkSession, path: str, name: str = "exact", **options) -> Callable[..., DataFrame]:
+    """As :func:`searcher`, with what was saved beside the index at ``path``."""
+    if name in ("ivf", "pruned"):
+        options["centroids"] = load_centroids(spark, path)
+    if name == "pruned":
+        options["radii"] = load_radii(spark, path)
+    if name == "graph":
+        options["graph"] = load_graph(spark, path)
+    return searcher(name, **options)
 
 
 def find(queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callable[..., DataFrame]) -> DataFrame:

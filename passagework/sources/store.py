@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 
 from passagework.config import BROADCAST_ROWS
 from passagework.operators.filters import filter_date_range
+from passagework.operators.graph import GRAPH, build_graph
 from passagework.operators.keyword import Collection, block_counts, posting_blocks
-from passagework.operators.vector import ivf_assign
+from passagework.operators.vector import bucket_radii, ivf_assign
 from passagework.schema import BLOCKS, INDEX, ensure_schema
 from passagework.sources.manifests import (
     ConcurrentWrite,
@@ -42,7 +43,7 @@ BUCKET = T.StructField("bucket", T.IntegerType())
 # What is stored besides the columns of the index: a hash of the text.
 STORED = T.StructType(INDEX.fields + [T.StructField("digest", T.LongType())])
 ATTEMPTS = 5  # of a write that others overtake
-NEW = {"segments": [], "removed": [], "bucketed": False, "postings": False, "by_date": 0, "centroids": None, "retired": []}
+NEW = {"segments": [], "removed": [], "bucketed": False, "postings": False, "by_date": 0, "graph": False, "centroids": None, "retired": []}
 
 
 # ---- writing ------------------------------------------------------------------------
@@ -62,7 +63,7 @@ def write_segment(index: DataFrame, path: str, layout: dict) -> dict:
     """Write a segment below ``path`` in the layout of a manifest; nothing refers to it yet."""
     spark = index.sparkSession
     tag = new_tag()
-    segment = {"chunks": f"chunks={tag}", "postings": None, "files": None}
+    segment = {"chunks": f"chunks={tag}", "postings": None, "files": None, "buckets": None, "graph": None}
     rows, seen = with_stored_columns(index), Observation()
     if layout["bucketed"]:
         # a bucket's rows go to few files, not to one file of every task
@@ -74,10 +75,18 @@ def write_segment(index: DataFrame, path: str, layout: dict) -> dict:
     if layout["by_date"]:
         segment["files"] = f"files={tag}"
         write_date_ranges(spark, f"{path}/{segment['chunks']}", f"{path}/{segment['files']}")
+    if layout["bucketed"] and layout["centroids"] is not None:
+        segment["buckets"] = f"buckets={tag}"
+        stored = spark.read.schema(T.StructType(STORED.fields + [BUCKET])).parquet(f"{path}/{segment['chunks']}")
+        bucket_radii(stored, np.array(layout["centroids"])).write.parquet(f"{path}/{segment['buckets']}")
     if layout["postings"]:
         segment["postings"] = f"postings={tag}"
         stored = spark.read.schema(STORED).parquet(f"{path}/{segment['chunks']}")
         write_postings(stored, f"{path}/{segment['postings']}", tag=tag)
+    if layout.get("graph"):
+        segment["graph"] = f"graph={tag}"
+        stored = spark.read.schema(STORED).parquet(f"{path}/{segment['chunks']}")
+        build_graph(stored, seen.get["n"]).write.parquet(f"{path}/{segment['graph']}")
     return segment | {"n": seen.get["n"]}
 
 
@@ -95,6 +104,7 @@ def write_index(
     centroids: np.ndarray | None = None,
     with_postings: bool = False,
     by_date: int = 0,
+    with_graph: bool = False,
 ) -> None:
     """Save ``index``, replacing what is at ``path``; it may be read from there.
 
@@ -102,14 +112,15 @@ def write_index(
     search reads only the buckets it probes; with ``centroids`` saved, rows appended
     later are assigned too.  ``with_postings`` keeps postings in step with the chunks.
     ``by_date`` clusters the rows of a segment by ``modified_at`` in as many files, so that
-    :func:`open_index` reads only the files of the dates asked for.
+    :func:`open_index` reads only the files of the dates asked for.  ``with_graph`` keeps a
+    neighbour graph of each segment's vectors.
     """
     if bucketed and by_date:
         raise ValueError("an index is clustered by bucket or by date, not by both")
     spark = index.sparkSession
     if centroids is not None and BUCKET.name not in index.columns:
         index = ivf_assign(index, centroids)
-    layout = NEW | {"bucketed": bucketed, "postings": with_postings, "by_date": by_date}
+    layout = NEW | {"bucketed": bucketed, "postings": with_postings, "by_date": by_date, "graph": with_graph}
     layout["centroids"] = None if centroids is None else np.asarray(centroids).tolist()
     segment = write_segment(index, path, layout)
     for _ in range(ATTEMPTS):  # whatever others have written is replaced
@@ -163,7 +174,7 @@ def append_index(
             return publish(spark, path, manifest | changed, top)
         except ConcurrentWrite as error:
             log.warning("%s; trying again", error)
-            delete_parts(spark, path, [v for k, v in added.items() if k != "n" and v] + [r["docs"] for r in removed])
+            delete_parts(spark, path, [*parts_of(NEW | {"segments": [added], "removed": removed})])
     raise ConcurrentWrite(f"The index at {path} was written by other jobs {ATTEMPTS} times meanwhile")
 
 
@@ -226,7 +237,7 @@ def compact_index(spark: SparkSession, path: str) -> None:
     current = manifest
     for _ in range(ATTEMPTS):
         if current["segments"][:merged] != manifest["segments"] or current["removed"][: len(manifest["removed"])] != manifest["removed"]:
-            delete_parts(spark, path, [v for k, v in segment.items() if k != "n" and v])
+            delete_parts(spark, path, parts_of(NEW | {"segments": [segment]}))
             raise ConcurrentWrite(f"The index at {path} was rewritten meanwhile")
         later = [r | {"before": r["before"] - merged + 1} for r in current["removed"][len(manifest["removed"]) :]]
         changed = {"segments": [segment] + current["segments"][merged:], "removed": later}
@@ -366,6 +377,41 @@ def load_centroids(spark: SparkSession, path: str) -> np.ndarray | None:
     return np.array(manifest["centroids"]) if manifest and manifest["centroids"] is not None else None
 
 
+def load_radii(spark: SparkSession, path: str) -> DataFrame:
+    """``(bucket, n, radius, blank)`` of the saved buckets, for :func:`passagework.operators.vector.knn_pruned`.
+
+    Removed rows only make them too large: ``n`` counts all segments, and is at least what is left.
+    """
+    manifest = read_manifest(spark, path)
+    names = parts_named(manifest, "buckets") if manifest else []
+    if not names or not all(names):
+        raise UnreadableIndex(f"The index at {path} was saved without buckets")
+    rows = read_parts(spark, path, names, T.StructType.fromDDL("bucket int, n long, radius double, blank boolean"))
+    return rows.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.bool_or("blank").alias("blank"))
+
+
+def load_graph(spark: SparkSession, path: str) -> DataFrame:
+    """The shards of the saved neighbour graphs, for :func:`passagework.operators.graph.ann_graph`.
+
+    Where documents were replaced, ``gone`` lists the places of their chunks: they are walked
+    over, but are no hits.
+    """
+    manifest = read_manifest(spark, path)
+    names = parts_named(manifest, "graph") if manifest else []
+    if not names or not all(names):
+        raise UnreadableIndex(f"The index at {path} was saved without a graph")
+    shards = read_parts(spark, path, names, GRAPH)
+    if not manifest["removed"]:
+        return shards.select(GRAPH.names)
+    heads = shards.select(F.col("graph").alias("of"), F.col("shard").alias("of_shard"), number_of(manifest, "graph").alias("segment"),
+                          F.posexplode("doc_ids").alias("place", "doc_id"))
+    gone = removals(spark, path, manifest)
+    dead = heads.join(gone, (heads.doc_id == gone.gone_id) & (heads.segment < gone.before))
+    listed = dead.groupBy("of", "of_shard").agg(F.collect_list("place").alias("gone"))  # at most a shard's chunks each
+    same = (shards.graph == listed.of) & (shards.shard == listed.of_shard)
+    return shards.join(listed, same, "left").select(*GRAPH.names, "gone")
+
+
 def load_postings(spark: SparkSession, path: str) -> DataFrame:
     """Posting blocks saved with an index, or by :func:`write_postings`.
 
