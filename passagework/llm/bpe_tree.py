@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.llm.common import add_columns, without
+from passagework.llm.common import add_columns, release, without
 
 PIECE_CHARS = 1 << 20
 LEAF_CHARS = 2048  # an unsplit stretch up to this length is encoded whole
 SLICE_BYTES = 1 << 20  # text that a task splits at once
 FIRST_WINDOW = 8  # tokens on either side of a seam
-CACHED = 250_000  # stretches that a task remembers
+CACHED = 250_000  # stretches that a task remembers ...
+CACHED_BYTES = 32 << 20  # ... and what they and their ids take, about
+ENCODED = 16_384  # stretches that are encoded at once
 SPACE = re.compile(r"[ \t\n\r\v\f]")
 
 _models: dict[str, "Model"] = {}
@@ -59,16 +61,21 @@ class Model:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.strings = [self.tokenizer.id_to_token(i) for i in range(size)]
         self.known: dict[bytes, bytes] = {}
+        self.known_bytes = 0
 
     def learn(self, stretches: set[bytes]) -> None:
         fresh = list(stretches.difference(self.known))
-        if len(self.known) + len(fresh) > CACHED:
+        if len(self.known) + len(fresh) > CACHED or self.known_bytes > CACHED_BYTES:
             self.known.clear()
+            self.known_bytes = 0
             fresh = list(stretches)
         short = [s for s in fresh if len(s) <= LEAF_CHARS]
-        encoded = self.tokenizer.encode_batch_fast([s.decode() for s in short], add_special_tokens=False)
-        for stretch, one in zip(short, encoded):
-            self.known[stretch] = np.array(one.ids, "<u4").tobytes()
+        for at in range(0, len(short), ENCODED):
+            some = short[at : at + ENCODED]
+            encoded = self.tokenizer.encode_batch_fast([s.decode() for s in some], add_special_tokens=False)
+            for stretch, one in zip(some, encoded):
+                ids = self.known[stretch] = np.array(one.ids, "<u4").tobytes()
+                self.known_bytes += len(stretch) + len(ids) + 66  # with the headers of both
 
     def stretches(self, text: bytes) -> list[bytes]:
         return text.split()  # bytes.split() knows ASCII white space only
@@ -101,6 +108,19 @@ def model(path: str) -> Model:
     return _models[path]
 
 
+def forgetting(work):
+    """``work``, after which the task's tokenizers go, whether it ends or is broken off."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _models.clear()
+            release()
+
+    return run
+
+
 def tree(bpe: Model, text: str, leaf_chars: int = LEAF_CHARS) -> Tokens:
     """Tokens of a text without white space: halves encoded on their own, then joined."""
     if len(text) <= leaf_chars:
@@ -166,7 +186,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
             column = batch.column(batch.schema.names.index(text_col)).cast(pa.binary())
             yield [pa.array(model(path).encode([t or b"" for t in column.to_pylist()]), pa.binary())]
 
-    short = add_columns(docs.where(length <= PIECE_CHARS), field, whole, leave_out=tuple(out), slice_bytes=SLICE_BYTES)
+    short = add_columns(docs.where(length <= PIECE_CHARS), field, forgetting(whole), leave_out=tuple(out), slice_bytes=SLICE_BYTES)
     return short.unionByName(encode_long(docs.where(length > PIECE_CHARS), path, text_col, PIECE_CHARS, out))
 
 
@@ -194,7 +214,7 @@ def encode_long(docs: DataFrame, path: str, text_col: str, size: int, leave_out:
             rows = [open_ends(model(path), p) for p in batch.column(batch.schema.names.index("piece")).to_pylist()]
             yield [pa.array(list(c), pa.binary()) for c in zip(*rows)]
 
-    encoded = add_columns(pieces.repartition("key", "nth"), parts, ends)
+    encoded = add_columns(pieces.repartition("key", "nth"), parts, forgetting(ends))
     ordered = encoded.repartition("key").sortWithinPartitions("key", "nth")
     kept = [f for f in rest.schema.fields if f.name not in leave_out]
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -214,7 +234,7 @@ def encode_long(docs: DataFrame, path: str, text_col: str, size: int, leave_out:
     def out(key, ids):
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([ids], pa.binary())], ["key", "ids"])
 
-    ids = ordered.drop("row").mapInArrow(joined, schema)
+    ids = ordered.drop("row").mapInArrow(forgetting(joined), schema)
     first = encoded.where("nth = 0").select("key", "row")
     return first.join(ids, "key").select(*[F.col("row")[f.name].alias(f.name) for f in kept], "ids")
 
@@ -286,7 +306,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep_ids: bool = True
     return add_columns(
         df,
         [T.StructField("decoded", T.StringType())],
-        work,
+        forgetting(work),
         leave_out=() if keep_ids else (ids_col,),
         slice_bytes=SLICE_BYTES,
     )

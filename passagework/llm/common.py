@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,16 +91,25 @@ def add_columns(
                     seen.append(piece)
                     yield piece
 
-        for arrays in work(slices()):
-            piece = seen.pop(0)
-            columns = [piece.column(i) for i in kept] + arrays
-            yield pa.RecordBatch.from_arrays(
-                [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, wanted)], schema=wanted
-            )
+        try:
+            for arrays in work(slices()):
+                piece = seen.pop(0)
+                columns = [piece.column(i) for i in kept] + arrays
+                yield pa.RecordBatch.from_arrays(
+                    [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, wanted)], schema=wanted
+                )
+        finally:
+            release()
 
     return rest.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give back what a task has held: its worker goes on to serve tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def text_slices(batch: pa.RecordBatch, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch that hold about ``slice_bytes`` each, or a single larger row."""
     if batch.num_rows == 0:

@@ -290,14 +290,14 @@ def judge(
     of the result.
     """
     state = [
-        T.StructField("__cover", T.BinaryType()),
-        T.StructField("__items", T.ArrayType(T.StringType())),
+        T.StructField("__cover_of_item_blocks", T.BinaryType()),
+        T.StructField("__items_of_item_blocks", T.ArrayType(T.StringType())),
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
     ]
-    old = ["__cover0", "__items0"]
+    old = ["__cover_before_item_block", "__items_before_item_block"]
     seen = without(docs, RESULTS).select(
-        "*", F.lit(None).cast("binary").alias("__cover"), F.array().cast("array<string>").alias("__items")
+        "*", F.lit(None).cast("binary").alias("__cover_of_item_blocks"), F.array().cast("array<string>").alias("__items_of_item_blocks")
     )
     blocks = item_blocks(benchmark, window, item_id_col, item_text_col)
     items, later = next(blocks, prepare([], window)), True
@@ -309,11 +309,11 @@ def judge(
             for batch in slices:
                 column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
                 found = Findings(texts_of(column[text_col]), sent.value, False)
-                names = [set(x) for x in column["__items0"].to_pylist()]
+                names = [set(x) for x in column["__items_before_item_block"].to_pylist()]
                 for doc, item in found.pairs:
                     names[doc].add(sent.value.ids[item])
                 cover, n_hit = [], []
-                before = column["__cover0"].to_pylist()
+                before = column["__cover_before_item_block"].to_pylist()
                 for first, n, known in zip(found.first.tolist(), found.n_words.tolist(), before):
                     bits = found.cover[first : first + n]
                     if known is not None:
@@ -327,14 +327,14 @@ def judge(
                     pa.array(n_hit, pa.int64()),
                 ]
 
-        before = seen.withColumnsRenamed({"__cover": old[0], "__items": old[1]})
+        before = seen.withColumnsRenamed({"__cover_of_item_blocks": old[0], "__items_of_item_blocks": old[1]})
         unread = () if keep_text or later else (text_col,)
         seen = add_columns(before, state, mark, leave_out=(*old, *unread))
         items = later
     return seen.select(
-        *[seen[f"`{c}`"] for c in seen.columns if not c.startswith("__")],
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
+        *[seen[f"`{c}`"] for c in seen.columns if c not in ("__cover_of_item_blocks", "__items_of_item_blocks")],
+        F.size("__items_of_item_blocks").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items_of_item_blocks", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (min_share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 

@@ -177,11 +177,11 @@ def find_segments(docs: DataFrame, size: int, anchor: int) -> DataFrame:
                 key, digest, start, windows = (np.concatenate(c) for c in zip(*parts))
                 ids, body = rows.column(0), rows.column(1).to_numpy(zero_copy_only=False)
                 owner = np.repeat(np.arange(rows.num_rows), count)
-                plain = ids.to_numpy(zero_copy_only=False).astype(np.float64) if ids.null_count else ids.to_numpy()
-                rank = np.lexsort((np.arange(rows.num_rows), body, np.nan_to_num(plain, nan=-np.inf)))
+                plain, known_id = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+                rank = np.lexsort((np.arange(rows.num_rows), body, plain, known_id))  # NULL is the smallest id
                 place = np.empty_like(rank)
                 place[rank] = np.arange(len(rank))
-                same = (ids.fill_null(-1).to_numpy()[rank], body[rank], ids.is_null().to_numpy(zero_copy_only=False)[rank])
+                same = (plain[rank], body[rank], known_id[rank])
                 fresh = np.ones(len(rank), bool)  # rows that repeat an id and a text share their place
                 fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in same])
                 place = (np.cumsum(fresh) - 1)[place]
@@ -367,8 +367,9 @@ def remove_repeats(
             yield [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))]
 
     others = [c for c in rest.columns if c != text_col]
+    filler = "_" * (1 + max(map(len, rest.columns)))  # no column's name; a struct needs a field
     out = add_columns(
-        joined.select(F.struct(F.lit(0).alias("_"), *[F.col("row")[c].alias(c) for c in others]).alias("row"), F.col("row")[text_col].alias("text"), "cuts"),
+        joined.select(F.struct(F.lit(0).alias(filler), *[F.col("row")[c].alias(c) for c in others]).alias("row"), F.col("row")[text_col].alias("text"), "cuts"),
         new, work, leave_out=("text", "cuts"), slice_bytes=SLICE_BYTES,
     )
     return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in rest.columns], *RESULTS)

@@ -452,6 +452,7 @@ def score_texts(
     slim = docs.select(
         docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"), F.coalesce(learned, F.lit(False)).alias("learned")
     )
+    slim, names = numbered(slim)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = hot_words(slim)
     table = stored(ngram_table(by_context(by_word(slim, order, hot, parts), hot, parts), hot, parts), "ngrams")
@@ -468,8 +469,11 @@ def score_texts(
     if order > 2:
         totals = totals.unionAll(evaluated(data, level))
     totals = totals.groupBy("doc").agg(*[F.sum(n).alias(n) for n in RESULT.names[1:]])
+    doc_id = F.when(F.col("doc") != 0, F.col("doc") + NO_ID)
+    if names is not None:
+        totals, doc_id = totals.join(names, doc_id == names.number, "left"), F.col("id")
     return totals.select(
-        F.when(F.col("doc") != 0, F.col("doc") + NO_ID).alias("doc_id"),
+        doc_id.alias("doc_id"),
         "n_tokens",
         "n_known",
         F.lit(first.tokens).cast("long").alias("train_tokens"),
@@ -478,6 +482,20 @@ def score_texts(
     )
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with ids that leave room for a bit, and the table ``(number, id)`` if that takes other ones.
+
+    Ids beyond 62 bits are replaced by numbers, which takes a join; others stay as they are.
+    """
+    least, most = docs.agg(F.min("id"), F.max("id")).first()
+    if least is None or (least > NO_ID and most < -NO_ID):
+        return docs, None
+    names = docs.select("id").where("id IS NOT NULL").distinct()
+    names = stored(names.select(F.monotonically_increasing_id().alias("number"), "id"), "ids")
+    own = names.withColumnRenamed("id", "of_id")
+    return docs.join(own, F.col("id") == F.col("of_id"), "left").select(F.col("number").alias("id"), "text", "learned"), names
+
+
 def summed_stats(table: DataFrame, size: int) -> list[int]:
     stats = [0] * size
     for r in table.select(F.posexplode("stats").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():

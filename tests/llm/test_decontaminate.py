@@ -101,3 +101,10 @@ def test_remove_and_locate(spark):
     found = op.longest_matches(d, b).collect()
     assert [tuple(r) for r in found] == [(1, "9", 1, 1, 20)]
     assert op.longest_matches(d, b.where("false")).collect() == []
+
+
+def test_columns_that_begin_with_underscores_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, 8)], "doc_id long, text string, __index_level_0__ long, __cover long")
+    items = spark.createDataFrame([("x", "b c")], "item_id string, text string")
+    row = op.judge(docs, items).first()
+    assert (row["__index_level_0__"], row["__cover"], row["n_hit"]) == (7, 8, 2)

@@ -86,3 +86,17 @@ def test_rank_and_search():
     for s in starts:
         places = [p for p in range(396) if text[p : p + 6].tolist() == text[s : s + 6].tolist()]
         assert sorted(index.order[low[s] : high[s]].tolist()) == places and least[s] == places[0]
+
+
+def test_any_ids_and_column_names(spark):
+    """NULL, negative, very large and neighbouring ids in one batch; columns with odd names."""
+    same = " ".join(f"w{i}" for i in range(30))
+    ids = [None, -(2**63), -5, 2**60, 2**60 + 1, 2**62, 2**63 - 1]
+    for seed in range(3):
+        order = [ids[(i * (seed + 2) + seed) % len(ids)] for i in range(len(ids))]
+        some = [x for x in order if x is not None] if seed == 2 else order
+        df = spark.createDataFrame([(x, same, 1, 2) for x in some], "doc_id long, text string, _ int, __ int").coalesce(1)
+        got = {r["doc_id"]: r["n_removed"] for r in op.remove_repeats(df).collect()}
+        first = min(some, key=lambda x: (x is not None, x or 0))
+        assert got == {x: 0 if x == first else 30 for x in some}
+    assert op.remove_repeats(df).columns == ["doc_id", "text", "_", "__", *op.RESULTS]
