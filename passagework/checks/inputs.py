@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.operators.chunk import chunk_fixed
 from passagework.operators.embed import embed_hash
 from passagework.sources.files import documents_from_table
+from passagework.sources.scratch import scratch_path as scratch
 
 SUFFIXES = (".md", ".mdx", ".txt", ".ts", ".js", ".json", ".py")
 
@@ -27,13 +26,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster, or in the warehouse if none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = (shared or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def source_path() -> Column:
     suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("doc_id") % 7 + 1).cast("int"))
     return F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), suffix)

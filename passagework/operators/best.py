@@ -36,7 +36,7 @@ class BestRows:
         if fresh.any() and scores.shape[1] > self.k:
             floor[fresh] = np.partition(scores[fresh], -self.k, axis=1)[:, -self.k]
         slack = 10.0**-self.decimals  # what rounding may lift up to the floor
-        keep = scores >= (floor - slack)[:, None]
+        keep = (scores >= (floor - slack)[:, None]) & (scores > -np.inf)  # -inf: left out
         if self.positive:  # a score of zero means "no hit"
             keep &= scores > 0
         q, row = np.nonzero(keep)

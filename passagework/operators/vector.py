@@ -25,11 +25,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from passagework.config import BROADCAST_BYTES, BROADCAST_ROWS, DEFAULT_LIMIT, HELD_ROWS, METRICS, SCORE_DECIMALS
 from passagework.functions.vectors import unit
 from passagework.operators.best import BestRows
+from passagework.operators.choices import FILTERS, Choices
 from passagework.operators.topk import topk_per_query
 
 QUERY_TILE = 1024  # queries scored at once inside a task
 CELL_ROWS = 200_000  # stored vectors that one task should score for one cell
 CELL_QUERIES = 8_192  # queries that one task may hold for one cell
+FILTERED_ROWS = 1_024  # stored vectors that are scored at once where queries have filters
 FEW_QUERIES = 8_192  # queries that are read at once, and answered without measuring them first
 
 
@@ -132,6 +134,57 @@ def score_with_broadcast(
     return index.mapInArrow(score, hit_schema(queries, index))
 
 
+def knn_filtered(
+    queries: DataFrame, index: DataFrame, k: int = DEFAULT_LIMIT, metric: str = "cosine", decimals: int = SCORE_DECIMALS
+) -> DataFrame:
+    """The ``k`` nearest of the rows that pass each query's own filters.
+
+    ``queries`` carry :data:`passagework.operators.choices.FILTERS`, ``index`` has ``source`` and
+    ``modified_at``.  Queries are taken in turns that a task can hold; each turn is one pass over
+    the index, however many different filters there are.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"Unsupported metric: {metric}")
+    q = queries.select("query_id", F.col("query_vec").alias("vec"), *FILTERS)
+    schema = hit_schema(q, index)
+    if k > HELD_ROWS // FEW_QUERIES:  # no query has more hits than there are vectors
+        k = min(k, max(index.count(), 1))
+    if k <= 0:
+        return topk_per_query(q.sparkSession.createDataFrame([], schema), k)
+    turns = max(1, -(-q.count() // max(1, min(FEW_QUERIES, HELD_ROWS // k))))
+    own = F.pmod(F.xxhash64("query_id"), F.lit(turns))
+    found = None
+    for turn in range(turns):
+        hits = score_filtered(q.filter(own == turn) if turns > 1 else q, index, k, metric, decimals, schema)
+        found = hits if found is None else found.unionAll(hits)
+    return topk_per_query(found, k)
+
+
+def score_filtered(queries: DataFrame, index: DataFrame, k: int, metric: str, decimals: int, schema: T.StructType) -> DataFrame:
+    block = with_vectors(queries.toArrow().combine_chunks())
+    choices = Choices(block)
+    vectors = prepare(matrix(block["vec"].combine_chunks()), metric) if len(block) else None
+    shared = queries.sparkSession.sparkContext.broadcast((block["query_id"].combine_chunks(), vectors, choices))
+    rows = index.select("chunk_id", F.col("embedding").alias("vec"), *choices.columns())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, choices = shared.value
+        if vectors is None:
+            return
+        best = BestRows(len(ids), k, decimals)
+        for batch in map(with_vectors, batches):
+            for start in range(0, len(batch), FILTERED_ROWS):
+                part = batch.slice(start, FILTERED_ROWS)
+                points, passing = prepare(matrix(part.column("vec")), metric), choices.passing(part)
+                for first in range(0, len(ids), QUERY_TILE):
+                    tile = slice(first, first + QUERY_TILE)
+                    scores = similarity(vectors[tile], points, metric)
+                    best.offer(first, np.where(passing[choices.of_query[tile]], scores, -np.inf), part.column("chunk_id"))
+        yield from best.result(ids)
+
+    return rows.mapInArrow(score, schema)
+
+
 def score_probes(
     block: pa.Table, probes: list[np.ndarray], queries: DataFrame, index: DataFrame, k: int, metric: str, decimals: int
 ) -> DataFrame:

@@ -15,12 +15,12 @@ from passagework.operators.embed import embed_hash
 from passagework.operators.graph import ann_graph
 from passagework.operators.hybrid import exact_fusion
 from passagework.operators.respond import error_rows, no_result_fallback
-from passagework.operators.vector import ann_ivf, ann_lsh, cosine_only, knn_exact, knn_pruned
+from passagework.operators.vector import ann_ivf, ann_lsh, cosine_only, knn_exact, knn_filtered, knn_pruned
+from passagework.sources.scratch import written
 from passagework.sources.store import load_centroids, load_graph, load_radii
 
 LARGE_LIMIT = 1_000  # queries that want more are searched apart
 FEW_QUERIES = 20_000  # as many, with their vectors, are held by the driver
-FILTER_CHOICES = 256  # different filters of a batch, each of which is a search
 
 RESULT_COLUMNS = (
     "query_id",
@@ -140,8 +140,10 @@ def find(queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callab
     """The best hits of every query that reach the threshold, as many as its limit.
 
     Queries with a large limit are searched apart, so that they do not raise what
-    tasks keep for the others.
+    tasks keep for the others.  With ``filter_mode="pre"`` each query is answered among the
+    rows that pass its filters, always by the exact search.
     """
+    knn = knn_filtered if config.filter_mode == "pre" else knn
     parts = []
     for own in (F.col("limit").between(1, LARGE_LIMIT), F.col("limit") > LARGE_LIMIT):
         some = queries.filter(own)
@@ -151,7 +153,8 @@ def find(queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callab
         if asked["plain"]:
             parts.append(knn(some.filter(~F.col("use_hybrid")), index, asked["k"], config.metric))
         if asked["hybrid"]:
-            wanted = some.filter("use_hybrid").select("query_id", F.col("search_text").alias("query"), "query_vec", "alpha")
+            own_filters = list(OWN_FILTERS) if config.filter_mode == "pre" else []
+            wanted = some.filter("use_hybrid").select("query_id", F.col("search_text").alias("query"), "query_vec", "alpha", *own_filters)
             parts.append(exact_fusion(wanted, index, asked["k"], config.metric))
     if not parts:
         return queries.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
@@ -160,27 +163,6 @@ def find(queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callab
     return filters.threshold_filter(hits, config.threshold).drop("limit")
 
 
-def find_filtered(queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callable[..., DataFrame]) -> DataFrame:
-    """As :func:`find`, each query among the rows that pass its filters: a search for each choice of filters."""
-    names = list(OWN_FILTERS)
-    choices = queries.select(*names).distinct().limit(FILTER_CHOICES + 1)
-    held = choices.toArrow()
-    if len(held) > FILTER_CHOICES:
-        raise ValueError(f"filter_mode='pre' serves at most {FILTER_CHOICES} different choices of filters")
-    typed = enrich.with_document_type(index)
-    parts = []
-    for i in range(len(held)):
-        one = queries.sparkSession.createDataFrame(held.slice(i, 1), choices.schema)
-        same = F.lit(True)
-        values = one.first()
-        literals = [F.lit(values[n]).cast(OWN_FILTERS[n]) for n in names]
-        for name, value in zip(names, literals):
-            same = same & F.col(name).eqNullSafe(value)
-        some = typed.filter(meets_filters(*literals)).drop("document_type")
-        parts.append(find(queries.filter(same), some, config, knn))
-    return reduce(DataFrame.unionByName, parts) if parts else find(queries, index, config, knn)
-
-
 def search(
     queries: DataFrame,
     index: DataFrame | None,
@@ -203,7 +185,7 @@ def search(
     if "query_vec" not in q.columns:
         q = embed(q, "search_text", "query_vec") if embed else embed_hash(q, "search_text", config.dim, "query_vec")
     q, n = computed_once(q)
-    hits = (find_filtered if config.filter_mode == "pre" else find)(q, index, config, knn)
+    hits = find(q, index, config, knn)
     # Ids and scores, limit rows for each query at most, come back for their content; if they
     # are counted to be few, they go to the index instead of the index being shuffled to them.
     k = q.agg(F.sum("limit")).first()[0] or 0
@@ -231,11 +213,15 @@ def search(
 
 
 def computed_once(q: DataFrame) -> tuple[DataFrame, int | None]:
-    """Few queries are computed once, so that no model runs twice on them; their number, or None for many."""
-    head = q.limit(FEW_QUERIES + 1).toArrow()
-    if len(head) > FEW_QUERIES:
+    """The queries written to the shared folder, so that no model runs twice on them; their number, or None for many.
+
+    Few queries are held by the driver from then on.
+    """
+    q = written(q, "queries")
+    n = q.count()
+    if n > FEW_QUERIES:
         return q, None
-    return q.sparkSession.createDataFrame(head, q.schema), len(head)
+    return q.sparkSession.createDataFrame(q.toArrow(), q.schema), n
 
 
 def answer(requests: DataFrame, index: DataFrame | None, config: SearchConfig = SearchConfig(), **options) -> DataFrame:
