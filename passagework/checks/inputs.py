@@ -90,20 +90,35 @@ def vector_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Every conversation turn as a raw request; some are broken in different ways."""
+    """Every conversation turn as a raw request with its own filters and includes; some are broken in different ways."""
     turns = table(spark, sf, "conversations")
     n = F.col("conv_id") + F.col("turn")
     query = F.when(n % 7 == 0, F.lit("")).otherwise(F.col("text"))
+    limit = F.when(n % 101 == 9, F.lit(1e12)).when(n % 13 == 8, F.lit(-3.0)).when(n % 3 != 0, (F.col("turn") + 1).cast("double"))
+    types = F.when(n % 6 == 0, F.array(F.lit("markdown"), F.lit("code"))).when(n % 6 == 1, F.array().cast("array<string>"))
+    pattern = F.when(n % 17 == 10, F.lit("src(")).when(n % 8 == 0, F.lit("src1*.md")).when(n % 8 == 1, F.lit(""))
+    dates = F.struct(
+        F.when(n % 9 == 0, F.lit("2024-01-05 12:00:00")).when(n % 9 == 1, F.lit("no date")).alias("from"),
+        F.when(n % 10 == 0, F.lit("2024-03-01")).alias("to"),
+    )
     good = F.to_json(
         F.struct(
             query.alias("query"),
-            F.when(n % 3 != 0, F.col("turn") + 1).alias("limit"),
+            limit.alias("limit"),
             F.when(n % 4 == 0, F.lit(True)).alias("useHybridSearch"),
             F.when(n % 5 == 0, F.lit(0.25)).alias("hybridAlpha"),
+            F.struct(types.alias("documentTypes"), pattern.alias("sourcePattern"), dates.alias("dateRange")).alias("filter"),
+            F.struct(
+                F.when(n % 2 == 0, F.lit(True)).alias("summary"), F.when(n % 5 == 1, F.lit(True)).when(n % 5 == 2, F.lit(False)).alias("keywords")
+            ).alias("include"),
         )
     )
     odd = F.to_json(
-        F.struct(F.col("text").alias("query"), F.lit("ten").alias("limit"), F.lit(1).alias("useHybridSearch"))
+        F.struct(
+            F.col("text").alias("query"), F.lit("ten").alias("limit"), F.lit(1).alias("useHybridSearch"),
+            F.struct(F.lit("markdown").alias("documentTypes"), F.lit(7).alias("sourcePattern"), F.lit("2024").alias("dateRange")).alias("filter"),
+            F.struct(F.lit("yes").alias("summary")).alias("include"),
+        )
     )
     arguments = (
         F.when(n % 11 == 1, odd)
@@ -117,3 +132,18 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"),
         arguments.alias("arguments"),
     )
+
+
+def filtered_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark text with filters of its own; a third is searched by words too."""
+    n = F.col("query_id")
+    since = F.date_format(F.expr("TIMESTAMP'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(query_id AS INT))"), "yyyy-MM-dd HH:mm:ss")
+    return benchmark_queries(spark, sf).select(
+        "query_id",
+        "query",
+        F.when(n % 3 == 0, F.array(F.lit("markdown"), F.lit("text"))).alias("document_types"),
+        F.when(n % 5 != 0, F.concat(F.lit("docs/src"), (n % 5).cast("string"), F.lit("*.(md|txt|js)"))).alias("source_pattern"),
+        F.when(n % 4 == 1, since).cast("timestamp").alias("date_from"),
+        F.when(n % 4 == 2, F.lit("2024-01-20")).cast("timestamp").alias("date_to"),
+        (n % 3 == 1).alias("use_hybrid"),
+    )

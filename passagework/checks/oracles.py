@@ -145,12 +145,23 @@ validated AS (
   SELECT query_id,
     CASE WHEN kind = 1 THEN text WHEN kind IN (2, 3, 4, 5) THEN NULL WHEN n % 7 = 0 THEN '' ELSE text END AS query,
     CAST(NULL AS VARCHAR) AS context,
-    CASE WHEN kind IN (1, 2, 3, 4, 5) THEN NULL WHEN n % 3 <> 0 THEN CAST(turn + 1 AS INT) END AS "limit",
+    CASE WHEN kind IN (1, 2, 3, 4, 5) THEN NULL WHEN n % 101 = 9 THEN 2147483647 WHEN n % 13 = 8 THEN 0
+         WHEN n % 3 <> 0 THEN CAST(turn + 1 AS INT) END AS "limit",
     CASE WHEN kind IN (1, 2, 3, 4, 5) THEN NULL WHEN n % 4 = 0 THEN true END AS use_hybrid,
     CASE WHEN kind IN (1, 2, 3, 4, 5) THEN NULL WHEN n % 5 = 0 THEN CAST(0.25 AS DOUBLE) END AS alpha,
     CASE WHEN kind IN (2, 4) THEN 'Invalid arguments'
          WHEN kind IN (3, 5) OR (kind NOT IN (1, 2, 3, 4, 5) AND n % 7 = 0)
-         THEN 'Query parameter is required and must be a string' END AS error
+         THEN 'Query parameter is required and must be a string'
+         WHEN kind NOT IN (1, 2, 3, 4, 5) AND n % 17 = 10 THEN 'Invalid arguments' END AS error,
+    CASE WHEN kind IN (1, 2, 3, 4, 5) THEN NULL WHEN n % 17 = 10 THEN 'src(' WHEN n % 8 = 0 THEN 'src1*.md'
+         WHEN n % 8 = 1 THEN '' END AS source_pattern,
+    CASE WHEN kind IN (1, 2, 3, 4, 5) THEN NULL WHEN n % 6 = 0 THEN 'markdown,code' WHEN n % 6 = 1 THEN '' END AS document_types,
+    CASE WHEN kind IN (1, 2, 3, 4, 5) THEN NULL WHEN n % 9 = 0 THEN '2024-01-05 12:00:00' END AS date_from,
+    CASE WHEN kind IN (1, 2, 3, 4, 5) THEN NULL WHEN n % 10 = 0 THEN '2024-03-01 00:00:00' END AS date_to,
+    CAST(NULL AS BOOLEAN) AS include_metadata,
+    CASE WHEN kind IN (1, 2, 3, 4, 5) THEN NULL WHEN n % 2 = 0 THEN true END AS include_summary,
+    CASE WHEN kind IN (1, 2, 3, 4, 5) THEN NULL WHEN n % 5 = 1 THEN true WHEN n % 5 = 2 THEN false END AS include_keywords,
+    CAST(NULL AS BOOLEAN) AS include_relevance
   FROM requests)"""
 
 SQL = {
@@ -263,23 +274,31 @@ SQL = {
   FROM split WHERE document_type IN ('markdown', 'text', 'code') AND regexp_matches(source, 'docs/.*.(md|txt|ts)')""",
     "answer_requests": f"""WITH {REQUESTS}, {CHUNKS},
   accepted AS (SELECT query_id, query, coalesce("limit", 3) AS k, coalesce(use_hybrid, false) AS use_hybrid,
-    coalesce(alpha, 0.5) AS alpha FROM validated WHERE error IS NULL),
-  {hashed('SELECT query_id, query FROM accepted', 100)},
+    coalesce(alpha, 0.5) AS alpha, document_types, source_pattern, date_from, date_to, include_summary, include_keywords
+    FROM validated WHERE error IS NULL),
+  {hashed('SELECT query_id, query FROM accepted', 1_000_000)},
   {bm25('SELECT query_id, query FROM accepted WHERE use_hybrid',
-        f"SELECT chunk_id, {tokens('content')} AS ws FROM chunks", 100)}, {VECTOR_ALL},
+        f"SELECT chunk_id, {tokens('content')} AS ws FROM chunks", 1_000_000)}, {VECTOR_ALL},
   meant AS (SELECT * FROM vector_all SEMI JOIN (SELECT * FROM accepted WHERE use_hybrid) USING (query_id)),
   fused AS (SELECT query_id, chunk_id, round(alpha * coalesce(v.s, 0) + (1 - alpha) * coalesce(b.s, 0), 6) AS score
     FROM ({scaled('meant')}) v FULL JOIN ({scaled('worded')}) b USING (query_id, chunk_id)
     JOIN accepted USING (query_id)),
   hits AS (
-    SELECT * FROM ({ranked('SELECT * FROM fused', 100)}) UNION ALL
+    SELECT * FROM ({ranked('SELECT * FROM fused', 1_000_000)}) UNION ALL
     SELECT * FROM vector_hits ANTI JOIN (SELECT * FROM accepted WHERE use_hybrid) USING (query_id)),
   found AS (SELECT query_id, rank, chunk_id, CASE WHEN contains(source, 'clean-architecture') THEN 0.99 ELSE score END
-      AS score, source, CAST(NULL AS VARCHAR) AS error
-    FROM hits JOIN accepted USING (query_id) JOIN chunks USING (chunk_id) WHERE rank <= k AND score >= 0.45)
-  SELECT * FROM found
-  UNION ALL SELECT query_id, 1, NULL, 0, 'dummy.md', NULL FROM accepted ANTI JOIN found USING (query_id)
-  UNION ALL SELECT query_id, 1, NULL, 0, 'error.md', error FROM validated WHERE error IS NOT NULL""",
+      AS score, source, CAST(NULL AS VARCHAR) AS error, content, include_summary, include_keywords
+    FROM hits JOIN accepted USING (query_id) JOIN chunks USING (chunk_id)
+    LEFT JOIN events e ON chunks.doc_id = CAST(e.event_id AS VARCHAR)
+    WHERE rank <= k AND score >= 0.45
+      AND (coalesce(document_types, '') = '' OR list_contains(string_split(document_types, ','), {TYPE}))
+      AND (coalesce(source_pattern, '') = '' OR regexp_matches(source, replace(source_pattern, '*', '.*')))
+      AND (date_from IS NULL OR ts >= CAST(date_from AS TIMESTAMP)) AND (date_to IS NULL OR ts <= CAST(date_to AS TIMESTAMP))),
+  split AS MATERIALIZED (SELECT *, {LONG_WORDS} AS ws FROM found)
+  SELECT query_id, rank, chunk_id, score, source, error, CASE WHEN include_summary THEN {SUMMARY} END AS summary,
+    CASE WHEN include_keywords THEN array_to_string({first_distinct('ws')}, ' ') END AS keywords FROM split
+  UNION ALL SELECT query_id, 1, NULL, 0, 'dummy.md', NULL, NULL, NULL FROM accepted ANTI JOIN found USING (query_id)
+  UNION ALL SELECT query_id, 1, NULL, 0, 'error.md', error, NULL, NULL FROM validated WHERE error IS NOT NULL""",
     "threshold_filter": f"WITH {METADATA} SELECT query_id, score FROM results WHERE score >= 0.7",
     "filter_document_types": f"""WITH {METADATA}, typed AS (SELECT query_id, {TYPE} AS document_type FROM results)
   SELECT * FROM typed WHERE document_type IN ('markdown', 'json')""",
@@ -301,6 +320,26 @@ SQL = {
     "error_rows": f"""WITH {REQUESTS} SELECT query_id, 1 AS rank, '検索中にエラーが発生しました。' AS content,
   CAST(0 AS DOUBLE) AS score, 'error.md' AS source, error FROM validated WHERE error IS NOT NULL""",
 }
+# What each benchmark text asks for, and which chunks pass.
+FILTERED = f"""wishes AS (
+  SELECT item_id AS query_id, text AS query, item_id % 3 = 1 AS use_hybrid, item_id % 3 = 0 AS typed,
+    CASE WHEN item_id % 5 <> 0 THEN 'docs/src' || (item_id % 5) || '.*.(md|txt|js)' END AS pattern,
+    CASE WHEN item_id % 4 = 1 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(item_id AS INT)) END AS since,
+    CASE WHEN item_id % 4 = 2 THEN TIMESTAMP '2024-01-20' END AS until FROM benchmark),
+  allowed AS (SELECT query_id, chunk_id FROM wishes CROSS JOIN
+      (SELECT chunks.*, ts, {TYPE} AS document_type FROM chunks LEFT JOIN events ON doc_id = CAST(event_id AS VARCHAR))
+    WHERE (NOT typed OR document_type IN ('markdown', 'text')) AND (pattern IS NULL OR regexp_matches(source, pattern))
+      AND (since IS NULL OR ts >= since) AND (until IS NULL OR ts <= until))"""
+SQL["batch_search_pre"] = f"""WITH {CHUNKS}, {FILTERED}, {hashed(BENCHMARK, 10)},
+  {bm25(BENCHMARK, f"SELECT chunk_id, {tokens('content')} AS ws FROM chunks", 10)}, {VECTOR_ALL},
+  meant AS (SELECT * FROM vector_all SEMI JOIN allowed USING (query_id, chunk_id)),
+  known AS (SELECT * FROM worded SEMI JOIN allowed USING (query_id, chunk_id)),
+  fused AS (SELECT query_id, chunk_id, round(0.5 * coalesce(v.s, 0) + 0.5 * coalesce(b.s, 0), 6) AS score
+    FROM ({scaled('meant')}) v FULL JOIN ({scaled('known')}) b USING (query_id, chunk_id)),
+  hits AS (SELECT query_id, chunk_id, CASE WHEN use_hybrid THEN f.score ELSE m.score END AS score
+    FROM meant m JOIN wishes USING (query_id) JOIN fused f USING (query_id, chunk_id))
+SELECT query_id, rank, chunk_id, score, source, {TYPE} AS document_type
+FROM ({ranked('SELECT * FROM hits', 10)}) JOIN chunks USING (chunk_id) WHERE score >= 0.05"""
 SQL["knn_exact_pruned"] = SQL["knn_exact"]
 SQL["ann_graph_sound"] = SQL["ann_ivf_sound"] = SQL["ann_lsh_sound"] = """SELECT count(DISTINCT vec_id) AS n_queries,
   TRUE AS recalled, TRUE AS exact_scores, TRUE AS once FROM embeddings WHERE embedding IS NOT NULL"""

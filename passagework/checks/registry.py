@@ -555,10 +555,18 @@ def batch_search(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def answer_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Raw requests in, complete responses out: results, stand-ins and errors."""
-    index = saved(inputs.index(spark, sf))
+    index = saved(embed.embed_hash(chunk.chunk_fixed(inputs.dated_documents(spark, sf)), "content"))
     config = SearchConfig(limit=3, threshold=0.45)
     answers = answer(inputs.requests(spark, sf), index, config)
-    return answers.select("query_id", "rank", "chunk_id", "score", "source", "error")
+    return answers.select("query_id", "rank", "chunk_id", "score", "source", "error", "summary", F.array_join("keywords", " ").alias("keywords"))
+
+
+@query
+def batch_search_pre(spark: SparkSession, sf: str) -> DataFrame:
+    """Each query among the chunks that pass its own filters, all in one pass."""
+    index = saved(embed.embed_hash(chunk.chunk_fixed(inputs.dated_documents(spark, sf)), "content"))
+    config = SearchConfig(limit=10, threshold=0.05, filter_mode="pre", boost_rules=())
+    return search(inputs.filtered_queries(spark, sf), index, config).select(*HITS, "source", "document_type")
 
 
 # ---- filters ------------------------------------------------------------------------
@@ -589,7 +597,10 @@ def filter_date_range(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def validate_requests(spark: SparkSession, sf: str) -> DataFrame:
     return filters.validate_requests(inputs.requests(spark, sf)).select(
-        "query_id", "query", "context", "limit", "use_hybrid", "alpha", "error"
+        "query_id", "query", "context", "limit", "use_hybrid", "alpha", "error", "source_pattern",
+        F.array_join("document_types", ",").alias("document_types"),
+        *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("date_from", "date_to")],
+        "include_metadata", "include_summary", "include_keywords", "include_relevance",
     )
 
 

@@ -103,3 +103,39 @@ def test_the_model_runs_once_per_query(spark, index):
     queries = spark.createDataFrame([(i, "red apple") for i in range(5)], "query_id int, query string")
     search(queries, index, SearchConfig(threshold=-1.0), embed=model).collect()
     assert seen.value <= 10
+
+
+def test_a_thousand_different_filters_in_one_pass(spark, index):
+    """Each query with a date and a pattern of its own, plain and hybrid, against the filtered full ranking."""
+    n = 1_000
+    queries = spark.range(n).select(
+        F.col("id").alias("query_id"), F.lit("red apple").alias("query"), F.lit(4).alias("limit"), (F.col("id") % 2 == 0).alias("use_hybrid"),
+        F.expr("TIMESTAMP'2024-01-01' + make_interval(0, 0, 0, 0, 0, CAST(id * 6 AS INT))").alias("date_from"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("dir1*("), F.col("id"), F.lit("|x)"))).alias("source_pattern"),
+    )
+    config = SearchConfig(threshold=-1.0, filter_mode="pre")
+    got = {}
+    for r in search(queries.where("NOT use_hybrid"), index, config).select("query_id", "rank", "chunk_id").collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.chunk_id
+    full = search(queries.where("query_id = 1").drop("date_from", "source_pattern").withColumn("limit", F.lit(9)), index, SearchConfig(threshold=-1.0))
+    order = [(r.chunk_id, r.source) for r in full.orderBy("rank").collect()]
+    for q in range(1, n, 2):
+        day = q * 6 / 1440  # days after the first of January; document i is of day i
+        want = [c for c, s in order if int(c[0]) >= day and (q % 3 or "dir1" in s)][:4]
+        assert [x for _, x in sorted(got.get(q, {}).items())] == want
+    mixed = search(queries, index, config).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r.query_id for r in mixed} >= set(got) and len(mixed) > 800
+
+
+def test_choices_of_filters(spark, index):
+    from passagework.operators.choices import TYPES, Choices
+
+    when = F.to_timestamp(F.lit("2024-01-03"))
+    asked = spark.createDataFrame([(0, None, None), (1, ["markdown"], ""), (2, [], "dir1*"), (3, ["json"], None), (4, None, None)],
+                                  "query_id int, document_types array<string>, source_pattern string")
+    held = asked.withColumns({"date_from": F.when(F.col("query_id") == 4, when), "date_to": F.lit(None).cast("timestamp")}).toArrow()
+    choices = Choices(held.combine_chunks())
+    rows = index.select("chunk_id", *choices.columns()).toArrow().combine_chunks().to_batches()[0]
+    passing = {q: sorted(c[0] for c, ok in zip(rows["chunk_id"].to_pylist(), row) if ok) for q, row in enumerate(choices.mask()(rows))}
+    assert passing == {0: list("012345"), 1: list("012"), 2: list("135"), 3: [], 4: list("2345")}
+    assert len(choices) == 5 and "markdown" in TYPES
