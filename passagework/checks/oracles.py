@@ -343,6 +343,8 @@ FROM ({ranked('SELECT * FROM hits', 10)}) JOIN chunks USING (chunk_id) WHERE sco
 SQL["knn_exact_pruned"] = SQL["knn_exact"]
 SQL["ann_graph_sound"] = SQL["ann_ivf_sound"] = SQL["ann_lsh_sound"] = """SELECT count(DISTINCT vec_id) AS n_queries,
   TRUE AS recalled, TRUE AS exact_scores, TRUE AS once FROM embeddings WHERE embedding IS NOT NULL"""
+SQL["embed_cached"] = SQL["embed_with"]
+SQL["keyword_field_digest"] = SQL["keyword_field_token"]
 SQL["index_compact"] = SQL["index_load"]
 SQL["index_dates"] = f"""WITH {CHUNKS} SELECT source, count(*) AS n_chunks, count(DISTINCT chunk_id) AS n_ids,
   CAST(sum(length(content)) AS BIGINT) AS n_chars, CAST(count(*) AS DOUBLE) AS energy

@@ -11,6 +11,7 @@ from passagework.config import SearchConfig
 from passagework.functions import text
 from passagework.operators import chunk, embed, enrich, filters, graph, hybrid, keyword, respond, stats, topk, vector
 from passagework.plans.build import load_or_build
+from passagework.plans.embedders import embedder
 from passagework.plans.search import answer, search
 from passagework.schema import ensure_schema
 from passagework.sources import store
@@ -372,6 +373,16 @@ def embed_with(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.select("doc_id", e[0].alias("n_chars"), e[1].alias("n_spaces"), e[2].alias("n_e"))
 
 
+@query
+def embed_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the documents embedded, then all: known texts are looked up, each new one is embedded once."""
+    docs = inputs.documents(spark, sf)
+    model = embedder("counts", {"counts": counting_model}, 3, inputs.scratch(spark, "vectors_by_text"))
+    model(docs.filter(F.col("doc_id").cast("long") % 3 == 0)).count()
+    e = F.col("embedding")
+    return model(docs).select("doc_id", e[0].alias("n_chars"), e[1].alias("n_spaces"), e[2].alias("n_e"))
+
+
 # ---- search -------------------------------------------------------------------------
 
 
@@ -522,6 +533,15 @@ def keyword_field_token(spark: SparkSession, sf: str) -> DataFrame:
     return keyword.keyword_bm25(queries, inputs.chunks(spark, sf), 3, tokenization="field").select(*HITS)
 
 
+@query
+def keyword_field_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts looked up by the digests that are saved with the chunks."""
+    path = inputs.scratch(spark, "field_digest")
+    store.write_index(inputs.index(spark, sf), path)
+    queries = inputs.documents(spark, sf).select(F.col("doc_id").alias("query_id"), F.col("content").alias("query"))
+    return keyword.keyword_bm25(queries, store.load_field_digests(spark, path), 3, tokenization="field").select(*HITS)
+
+
 @query
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     index = saved(inputs.index(spark, sf))

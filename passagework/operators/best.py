@@ -19,10 +19,11 @@ class BestRows:
 
     Larger scores are better and, among equal ones, smaller ids.  What is held stays
     near ``k`` rows per query, however many equal scores (copies of a text) come by.
+    Scores below ``least`` need not be held.
     """
 
-    def __init__(self, n_queries: int, k: int, decimals: int, positive: bool = False):
-        self.k, self.decimals, self.positive = k, decimals, positive
+    def __init__(self, n_queries: int, k: int, decimals: int, positive: bool = False, least: float = -np.inf):
+        self.k, self.decimals, self.positive, self.least = k, decimals, positive, least
         self.floor = np.full(n_queries, -np.inf)  # k-th best score so far ...
         self.floor_id = np.full(n_queries, None, dtype=object)  # ... and its id
         self.rows: list[pa.Table] = []
@@ -37,6 +38,8 @@ class BestRows:
             floor[fresh] = np.partition(scores[fresh], -self.k, axis=1)[:, -self.k]
         slack = 10.0**-self.decimals  # what rounding may lift up to the floor
         keep = (scores >= (floor - slack)[:, None]) & (scores > -np.inf)  # -inf: left out
+        if self.least > -np.inf:
+            keep &= scores >= self.least - slack
         if self.positive:  # a score of zero means "no hit"
             keep &= scores > 0
         q, row = np.nonzero(keep)

@@ -8,11 +8,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.config import DEFAULT_DIM
 from passagework.functions import vectors
+from passagework.sources.files import path_exists
+
+DIGEST = "digest_of_text"
 
 
 def embed_hash(df: DataFrame, text_col: str, dim: int = DEFAULT_DIM, out: str = "embedding") -> DataFrame:
@@ -71,11 +74,37 @@ def embed_with(
 
 
 def embed_by_type(
-    df: DataFrame, text_col: str, kind: str | None, models: dict, dim: int = DEFAULT_DIM, warn=print
+    df: DataFrame, text_col: str, kind: str | None, models: dict, dim: int = DEFAULT_DIM, warn=print, out: str = "embedding"
 ) -> DataFrame:
-    """Embed with ``models[kind]``; an unknown kind warns and uses the hashing embedder."""
+    """Embed with ``models[kind]``, a ``load_model`` of :func:`embed_with`; an unknown kind warns and uses the hashing embedder."""
     if kind in models:
-        return embed_with(df, text_col, models[kind], dim)
+        return embed_with(df, text_col, models[kind], dim, out)
     if kind not in (None, "hash"):
         warn(f"Unsupported embedding type: {kind}. Using the hashing embedder instead.")
-    return embed_hash(df, text_col, dim)
+    return embed_hash(df, text_col, dim, out)
+
+
+def embed_cached(
+    df: DataFrame, text_col: str, embed: Callable[[DataFrame, str, str], DataFrame], cache: str, out: str = "embedding"
+) -> DataFrame:
+    """As ``embed(df, text_col, out)``, but a text that was ever embedded with this ``cache`` never reaches the model again.
+
+    ``cache`` is a directory for the vectors of one model, by the digest of the text.  Of the
+    texts of ``df`` the distinct ones that are not in it are embedded and added; then all rows get
+    their vectors by a join.  A NULL text counts as the empty one.  Two jobs that add the same
+    text at the same time do harmless double work.
+    """
+    spark = df.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = df.withColumn(DIGEST, F.unhex(F.sha2(text, 256)))
+    texts = keyed.select(DIGEST, text.alias("text"))
+    if path_exists(spark, cache):
+        texts = texts.join(cached_vectors(spark, cache).select(DIGEST), DIGEST, "left_anti")
+    fresh = embed(texts.dropDuplicates([DIGEST]), "text", "vector").select(DIGEST, F.col("vector").cast("array<double>").alias("vector"))
+    fresh.write.mode("append").parquet(cache)
+    held = cached_vectors(spark, cache).dropDuplicates([DIGEST]).withColumnRenamed("vector", out)
+    return keyed.drop(out).join(held, DIGEST, "left").select(*[c for c in df.columns if c != out], out)
+
+
+def cached_vectors(spark: SparkSession, cache: str) -> DataFrame:
+    return spark.read.schema(f"{DIGEST} binary, vector array<double>").parquet(cache)

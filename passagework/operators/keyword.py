@@ -368,23 +368,26 @@ def score_words(
     return rows.mapInArrow(score, hit_schema(terms, rows))
 
 
+def field_digest(text: Column) -> Column:
+    """32 bytes that tell a whole trimmed text."""
+    return F.unhex(F.sha2(F.trim(text), 256))
+
+
 def whole_field_hits(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT_LIMIT) -> DataFrame:
     """Chunks whose whole (trimmed) content is the query, each with score 1.
 
-    Texts are compared by their digest.  Of equal chunks only the ``k`` smallest ids are
-    kept, before the join: many copies of a text do not multiply.
+    Texts are compared by their digest, which ``chunks`` may have in a column ``field_digest``:
+    then no text is read.  Of equal chunks only the ``k`` smallest ids are kept, before the
+    join: many copies of a text do not multiply.
     """
-
-    def digest(text_col: str) -> Column:
-        return F.sha2(F.trim(text_col), 256).alias("digest")
-
-    q = queries.filter(F.trim("query") != "").select("query_id", digest("query"))
+    own = F.col("field_digest") if "field_digest" in chunks.columns else field_digest(F.col("content"))
+    q = queries.filter(F.trim("query") != "").select("query_id", field_digest(F.col("query")).alias("digest"))
     copies = Window.partitionBy("digest").orderBy("chunk_id")
     asked = q.select("digest").distinct()
     if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
     v = (
-        chunks.select("chunk_id", digest("content"))
+        chunks.select("chunk_id", own.alias("digest"))
         .join(asked, "digest", "left_semi")
         .withColumn("copy", F.row_number().over(copies))
         .filter(F.col("copy") <= k)

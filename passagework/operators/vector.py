@@ -107,7 +107,7 @@ def held_queries(queries: DataFrame, rows: int, size: int) -> pa.Table | None:
 
 
 def score_with_broadcast(
-    queries: DataFrame, index: DataFrame, k: int, metric: str, decimals: int, block: pa.Table | None = None
+    queries: DataFrame, index: DataFrame, k: int, metric: str, decimals: int, block: pa.Table | None = None, least: float = -np.inf
 ) -> DataFrame:
     """One pass over the index; every task holds the (small) query block.
 
@@ -124,7 +124,7 @@ def score_with_broadcast(
         if query_vectors is None:
             return
         query_vectors = prepare(query_vectors, metric)
-        best = BestRows(len(query_ids), k, decimals)
+        best = BestRows(len(query_ids), k, decimals, least=least)
         for batch in map(with_vectors, batches):
             if len(batch):
                 vectors = prepare(matrix(batch.column("vec")), metric)
@@ -135,9 +135,14 @@ def score_with_broadcast(
 
 
 def knn_filtered(
-    queries: DataFrame, index: DataFrame, k: int = DEFAULT_LIMIT, metric: str = "cosine", decimals: int = SCORE_DECIMALS
+    queries: DataFrame,
+    index: DataFrame,
+    k: int = DEFAULT_LIMIT,
+    metric: str = "cosine",
+    decimals: int = SCORE_DECIMALS,
+    least: float = -np.inf,
 ) -> DataFrame:
-    """The ``k`` nearest of the rows that pass each query's own filters.
+    """The ``k`` nearest of the rows that pass each query's own filters; scores below ``least`` may be left out.
 
     ``queries`` carry :data:`passagework.operators.choices.FILTERS`, ``index`` has ``source`` and
     ``modified_at``.  Queries are taken in turns that a task can hold; each turn is one pass over
@@ -155,12 +160,12 @@ def knn_filtered(
     own = F.pmod(F.xxhash64("query_id"), F.lit(turns))
     found = None
     for turn in range(turns):
-        hits = score_filtered(q.filter(own == turn) if turns > 1 else q, index, k, metric, decimals, schema)
+        hits = score_filtered(q.filter(own == turn) if turns > 1 else q, index, k, metric, decimals, schema, least)
         found = hits if found is None else found.unionAll(hits)
     return topk_per_query(found, k)
 
 
-def score_filtered(queries: DataFrame, index: DataFrame, k: int, metric: str, decimals: int, schema: T.StructType) -> DataFrame:
+def score_filtered(queries: DataFrame, index: DataFrame, k: int, metric: str, decimals: int, schema: T.StructType, least: float) -> DataFrame:
     block = with_vectors(queries.toArrow().combine_chunks())
     choices = Choices(block)
     vectors = prepare(matrix(block["vec"].combine_chunks()), metric) if len(block) else None
@@ -171,7 +176,7 @@ def score_filtered(queries: DataFrame, index: DataFrame, k: int, metric: str, de
         ids, vectors, choices = shared.value
         if vectors is None:
             return
-        best = BestRows(len(ids), k, decimals)
+        best = BestRows(len(ids), k, decimals, least=least)
         for batch in map(with_vectors, batches):
             for start in range(0, len(batch), FILTERED_ROWS):
                 part = batch.slice(start, FILTERED_ROWS)
@@ -362,8 +367,9 @@ def knn_exact(
     decimals: int = SCORE_DECIMALS,
     broadcast_bytes: int = BROADCAST_BYTES,
     columns: int | None = None,
+    least: float = -np.inf,
 ) -> DataFrame:
-    """The ``k`` nearest stored vectors of every query.
+    """The ``k`` nearest stored vectors of every query; scores below ``least`` may be left out.
 
     The query vectors are measured: up to ``broadcast_bytes`` they are sent to every
     task and the index is scanned once; beyond that both sides are dealt over a grid.
@@ -376,7 +382,7 @@ def knn_exact(
         return topk_per_query(q.sparkSession.createDataFrame([], hit_schema(q, v)), k)
     block = held_queries(q, min(FEW_QUERIES, HELD_ROWS // k), broadcast_bytes)
     if block is not None:
-        return topk_per_query(score_with_broadcast(q, v, k, metric, decimals, block), k)
+        return topk_per_query(score_with_broadcast(q, v, k, metric, decimals, block, least), k)
     n_queries, dim = q.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     query_bytes = n_queries * max(dim or 0, 0) * 8
     if n_queries * k > HELD_ROWS:  # no query has more hits than there are vectors
@@ -385,7 +391,7 @@ def knn_exact(
     rows = max(-(-query_bytes // max(broadcast_bytes, 1)), -(-n_queries * k // HELD_ROWS))
     rows = min(rows, n_queries)
     if rows <= 1:
-        hits = score_with_broadcast(q, v, k, metric, decimals)
+        hits = score_with_broadcast(q, v, k, metric, decimals, least=least)
     else:
         columns = columns or grid_columns(q.sparkSession, n_queries, v.count(), rows)
         hits = score_cells(*grid_cells(q, v, rows, columns), k, metric, decimals)

@@ -144,6 +144,8 @@ def find(queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callab
     rows that pass its filters, always by the exact search.
     """
     knn = knn_filtered if config.filter_mode == "pre" else knn
+    if knn in (knn_exact, knn_filtered):  # what is below the threshold is not even moved
+        knn = partial(knn, least=config.threshold)
     parts = []
     for own in (F.col("limit").between(1, LARGE_LIMIT), F.col("limit") > LARGE_LIMIT):
         some = queries.filter(own)

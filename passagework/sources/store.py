@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from passagework.config import BROADCAST_ROWS
 from passagework.operators.filters import filter_date_range
 from passagework.operators.graph import GRAPH, build_graph
-from passagework.operators.keyword import Collection, block_counts, posting_blocks
+from passagework.operators.keyword import Collection, block_counts, field_digest, posting_blocks
 from passagework.operators.vector import bucket_radii, ivf_assign
 from passagework.schema import BLOCKS, INDEX, ensure_schema
 from passagework.sources.manifests import (
@@ -40,8 +40,8 @@ from passagework.sources.manifests import (
 log = logging.getLogger(__name__)
 
 BUCKET = T.StructField("bucket", T.IntegerType())
-# What is stored besides the columns of the index: a hash of the text.
-STORED = T.StructType(INDEX.fields + [T.StructField("digest", T.LongType())])
+# What is stored besides the columns of the index: a hash of the text, and a digest of the trimmed text.
+STORED = T.StructType(INDEX.fields + [T.StructField("digest", T.LongType()), T.StructField("field_digest", T.BinaryType())])
 ATTEMPTS = 5  # of a write that others overtake
 NEW = {"segments": [], "removed": [], "bucketed": False, "postings": False, "by_date": 0, "graph": False, "centroids": None, "retired": []}
 
@@ -56,7 +56,7 @@ def new_tag() -> str:
 def with_stored_columns(index: DataFrame) -> DataFrame:
     extra = [BUCKET.name] if BUCKET.name in index.columns else []
     full = ensure_schema(index, T.StructType(INDEX.fields + [BUCKET] * len(extra)), ("chunk_id",))
-    return full.withColumn("digest", F.xxhash64("content"))
+    return full.withColumns({"digest": F.xxhash64("content"), "field_digest": field_digest(F.col("content"))})
 
 
 def write_segment(index: DataFrame, path: str, layout: dict) -> dict:
@@ -233,7 +233,7 @@ def compact_index(spark: SparkSession, path: str) -> None:
     merged = len(manifest["segments"])
     if merged <= 1 and not manifest["removed"]:
         return
-    segment = write_segment(read_all(spark, path, manifest).drop("digest"), path, manifest)
+    segment = write_segment(read_all(spark, path, manifest).drop("digest", "field_digest"), path, manifest)
     current = manifest
     for _ in range(ATTEMPTS):
         if current["segments"][:merged] != manifest["segments"] or current["removed"][: len(manifest["removed"])] != manifest["removed"]:
@@ -377,6 +377,14 @@ def load_centroids(spark: SparkSession, path: str) -> np.ndarray | None:
     return np.array(manifest["centroids"]) if manifest and manifest["centroids"] is not None else None
 
 
+def load_field_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``(chunk_id, field_digest)`` of a saved index, for keyword search by whole texts: no text is read."""
+    manifest = read_manifest(spark, path)
+    if manifest is None:
+        raise UnreadableIndex(f"No index at {path}")
+    return read_all(spark, path, manifest).select("chunk_id", "field_digest")
+
+
 def load_radii(spark: SparkSession, path: str) -> DataFrame:
     """``(bucket, n, radius, blank)`` of the saved buckets, for :func:`passagework.operators.vector.knn_pruned`.
 
