@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,41 +60,61 @@ def chunk_fixed(
     return number_chunks(documents, fixed_pieces(F.col("content"), size, overlap))
 
 
-def cut_at(text: str, separator: str) -> list[str]:
-    """Split, leaving each separator at the head of the piece that follows it."""
-    if separator == "":
-        return list(text)
-    head, *rest = text.split(separator)
-    return [piece for piece in [head, *(separator + part for part in rest)] if piece]
-
-
-def pack(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Greedy merge of consecutive pieces into chunks of at most ``size`` characters."""
-    out, first, length = [], 0, 0
-    for i, piece in enumerate(pieces):
-        if length and length + len(piece) > size:
-            out.append("".join(pieces[first:i]).strip())
-            while length > overlap or (length and length + len(piece) > size):
-                length -= len(pieces[first])
-                first += 1
-        length += len(piece)
-    out.append("".join(pieces[first:]).strip())
+def boundaries(text: str, codes: np.ndarray, first: int, last: int, separator: str) -> np.ndarray:
+    """Where the pieces of ``text[first:last]`` begin, and its end; a separator is at the head of the piece that follows it."""
+    if len(separator) == 1:
+        found = np.flatnonzero(codes[first:last] == ord(separator)) + first
+    else:
+        found = np.array([m.start() for m in re.compile(re.escape(separator)).finditer(text, first, last)], np.int64)
+    head = [] if len(found) and found[0] == first else [first]
+    return np.concatenate((np.array(head, np.int64), found, (last,)))
+
+
+def pack(text: str, edges: Sequence[int], size: int, overlap: int) -> list[str]:
+    """Greedy merge of the pieces between ``edges`` into chunks of at most ``size`` characters.
+
+    A chunk takes as many pieces as fit; the next one begins at the first edge from which no
+    more than ``overlap`` characters are repeated and the next piece fits.
+    """
+    out, first, last = [], 0, len(edges) - 1
+    while first < last:
+        end = max(bisect_right(edges, edges[first] + size, first) - 1, first + 1)
+        out.append(text[edges[first] : edges[end]].strip())
+        if end == last:
+            break
+        shared = bisect_left(edges, edges[end] - overlap, first)
+        fitting = bisect_left(edges, edges[end + 1] - size, first)
+        first = min(max(shared, fitting), end)
     return [chunk for chunk in out if chunk]
 
 
-def split_recursively(text: str, size: int, overlap: int, separators: tuple = SEPARATORS) -> list[str]:
-    """Split at the coarsest separator that occurs; split what is still too long more finely."""
-    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
+def split_span(text: str, codes: np.ndarray, first: int, last: int, size: int, overlap: int, separators: tuple) -> list[str]:
+    at = next((i for i, s in enumerate(separators) if text.find(s, first, last) >= 0), len(separators) - 1)
     finer = separators[at + 1 :]
-    out, short = [], []
-    for piece in cut_at(text, separators[at]):
-        if len(piece) < size or not finer:
-            short.append(piece)
-            continue
-        out += pack(short, size, overlap)
-        short = []
-        out += split_recursively(piece, size, overlap, finer)
-    return out + pack(short, size, overlap)
+    if separators[at] == "":  # every character is a piece; none of them is made
+        return pack(text, range(first, last + 1), size, overlap)
+    places = boundaries(text, codes, first, last, separators[at])
+    edges = places.tolist()
+    if not finer:
+        return pack(text, edges, size, overlap)
+    out, start = [], 0
+    for i in np.flatnonzero(places[1:] - places[:-1] >= size).tolist():
+        out += pack(text, edges[start : i + 1], size, overlap)
+        out += split_span(text, codes, edges[i], edges[i + 1], size, overlap, finer)
+        start = i + 1
+    return out + pack(text, edges[start:], size, overlap)
+
+
+def split_recursively(text: str, size: int, overlap: int, separators: tuple = SEPARATORS) -> list[str]:
+    """Split at the coarsest separator that occurs; split what is still too long more finely.
+
+    Pieces are never made: only their edges are found, and a chunk is one slice of the text.
+    """
+    if text.isascii():
+        codes = np.frombuffer(text.encode("ascii"), np.uint8)
+    else:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return split_span(text, codes, 0, len(text), size, overlap, separators)
 
 
 def chunk_recursive(
@@ -105,8 +130,10 @@ def chunk_recursive(
     """
     check_sizes(size, overlap)
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursively(t, size, overlap, separators) if t else [])
+    @F.arrow_udf("array<string>")
+    def split(texts: pa.Array) -> pa.Array:
+        chunks = [split_recursively(t, size, overlap, separators) if t else [] for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, chunks)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array([c for own in chunks for c in own], pa.string()))
 
     return number_chunks(documents, split(F.col("content")))
