@@ -15,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +31,7 @@ QUERY_TILE = 1024  # queries scored at once inside a task
 CELL_ROWS = 200_000  # stored vectors that one task should score for one cell
 CELL_QUERIES = 8_192  # queries that one task may hold for one cell
 FILTERED_ROWS = 1_024  # stored vectors that are scored at once where queries have filters
+PAIRS = 200_000  # single pairs that are scored at once
 FEW_QUERIES = 8_192  # queries that are read at once, and answered without measuring them first
 
 
@@ -405,16 +405,76 @@ def grid_columns(spark: SparkSession, n_queries: int, n_vectors: int, rows: int)
     return max(min(n_vectors // CELL_ROWS, balanced), spark.sparkContext.defaultParallelism)
 
 
-def lsh_buckets(df: DataFrame, model, id_col: str, tables: int, hashes: int) -> DataFrame:
-    """One row per table: ``bucket`` combines that table's ``hashes`` projections."""
-    point = array_to_vector(unit(F.col("vec").cast("array<double>")))
-    hashed = model.transform(df.dropna(subset=["vec"]).withColumn("point", point))
-    values = F.transform(F.col("hashes"), lambda h: F.get(vector_to_array(h), F.lit(0)))
-    keyed = hashed.select(id_col, "vec", values.alias("values"))
-    keys = F.array(
-        *[F.xxhash64(F.lit(t), F.slice("values", t * hashes + 1, hashes)) for t in range(tables)]
-    )
-    return keyed.select(id_col, "vec", F.explode(keys).alias("bucket"))
+def projections(dim: int, count: int, seed: int) -> np.ndarray:
+    """Random unit vectors, a column each."""
+    drawn = np.random.default_rng(seed).normal(size=(dim, count))
+    return drawn / np.sqrt((drawn * drawn).sum(axis=0))
+
+
+def lsh_keys(vectors: np.ndarray, drawn: np.ndarray, tables: int, bucket_length: float) -> np.ndarray:
+    """``(rows, tables)``: the bucket of each unit vector in each table, made of the intervals that its projections fall into."""
+    cell = np.floor(prepare(vectors, "cosine") @ drawn / bucket_length).astype(np.int64).reshape(len(vectors), tables, -1)
+    key = np.tile(np.arange(1, tables + 1, dtype=np.uint64), (len(vectors), 1))
+    for i in range(cell.shape[2]):
+        key = (key ^ cell[:, :, i].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def lsh_buckets(df: DataFrame, drawn: np.ndarray, id_col: str, tables: int, bucket_length: float) -> DataFrame:
+    """One row per table."""
+    shared = df.sparkSession.sparkContext.broadcast(drawn)
+
+    @F.arrow_udf("array<long>")
+    def keys(vecs: pa.Array) -> pa.Array:
+        present = vecs.drop_null()
+        if not len(present):
+            return pa.nulls(len(vecs), pa.list_(pa.int64()))
+        found = lsh_keys(matrix(present), shared.value, tables, bucket_length)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(present) + 1, dtype=np.int32) * tables), pa.array(found.ravel()))
+        row = np.cumsum(pc.is_valid(vecs).to_numpy(zero_copy_only=False)) - 1
+        return lists.take(pa.array(row, mask=pc.is_null(vecs).to_numpy(zero_copy_only=False)))
+
+    return df.select(id_col, "vec", F.explode(keys("vec")).alias("bucket"))
+
+
+def score_shared_keys(
+    block: pa.Table, drawn: np.ndarray, tables: int, bucket_length: float, queries: DataFrame, index: DataFrame, k: int, decimals: int
+) -> DataFrame:
+    """One pass over the index; every task holds the (small) query block and which of its queries are in a bucket.
+
+    Each stored vector is hashed where it is read, and scored against the queries that share a
+    bucket with it, once for each pair; nothing is shuffled or copied.
+    """
+    vectors = prepare(matrix(block["vec"].combine_chunks()), "cosine")
+    asked = lsh_keys(vectors, drawn, tables, bucket_length).ravel()
+    order = np.argsort(asked, kind="stable")
+    names, starts = np.unique(asked[order], return_index=True)
+    ends = np.r_[starts[1:], len(order)]
+    shared = queries.sparkSession.sparkContext.broadcast((block["query_id"].combine_chunks(), vectors, names, starts, ends, order // tables, drawn))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, vectors, names, starts, ends, owner, drawn = shared.value
+        best = BestRows(len(query_ids), k, decimals)
+        for batch in map(with_vectors, batches):
+            for at in range(0, len(batch), FILTERED_ROWS):
+                part = batch.slice(at, FILTERED_ROWS)
+                points = prepare(matrix(part.column("vec")), "cosine")
+                key = lsh_keys(points, drawn, tables, bucket_length)
+                place = np.minimum(np.searchsorted(names, key), len(names) - 1)
+                row, table = np.nonzero(names[place] == key)
+                bucket = place[row, table]
+                size = ends[bucket] - starts[bucket]
+                first = np.repeat(starts[bucket] - (np.cumsum(size) - size), size)
+                pair = np.unique(np.repeat(row, size) * len(query_ids) + owner[first + np.arange(int(size.sum()))])
+                row, query = pair // len(query_ids), pair % len(query_ids)
+                for start in range(0, len(pair), PAIRS):
+                    some = slice(start, start + PAIRS)
+                    scores = np.einsum("pd,pd->p", vectors[query[some]], points[row[some]])
+                    best.offer_pairs(query[some], scores, part.column("chunk_id").take(pa.array(row[some])))
+        yield from best.result(query_ids)
+
+    return index.mapInArrow(score, hit_schema(queries, index))
 
 
 def ann_lsh(
@@ -437,21 +497,17 @@ def ann_lsh(
     cosine_only(metric)
     q, v = vectors_only(queries, index)
     v = v.select("chunk_id", "vec")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="point",
-        outputCol="hashes",
-        bucketLength=bucket_length,
-        numHashTables=tables * hashes,
-        seed=seed,
-    )
-    sample = v.dropna(subset=["vec"]).limit(1).withColumn("point", array_to_vector(F.col("vec").cast("array<double>")))
-    if sample.isEmpty():
+    sample = v.dropna(subset=["vec"]).select(F.size("vec").alias("dim")).first()
+    block = held_queries(q, min(FEW_QUERIES, HELD_ROWS // max(k, 1)), BROADCAST_BYTES)
+    if sample is None or (block is not None and not len(block)):
         return topk_per_query(q.sparkSession.createDataFrame([], hit_schema(q, v)), k)
-    model = lsh.fit(sample)  # draws the projections; only needs to see the dimension
+    drawn = projections(sample["dim"], tables * hashes, seed)
+    if block is not None and not cells:
+        return topk_per_query(score_shared_keys(block, drawn, tables, bucket_length, q, v, k, decimals), k)
     hits = score_cells(
         *bucket_cells(
-            lsh_buckets(q, model, "query_id", tables, hashes),
-            lsh_buckets(v, model, "chunk_id", tables, hashes),
+            lsh_buckets(q, drawn, "query_id", tables, bucket_length),
+            lsh_buckets(v, drawn, "chunk_id", tables, bucket_length),
             **cells,
         ),
         k,

@@ -89,6 +89,16 @@ def test_probes_by_broadcast_equal_cells(case):
     assert "Exchange hashpartitioning(cell" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lsh_by_broadcast_equals_cells(case):
+    index, queries, _, _ = case
+    some = queries.where("query_id <> 31")
+    got = vector.ann_lsh(some, index, 6, bucket_length=0.6)
+    assert rows(got) == rows(vector.ann_lsh(some, index, 6, bucket_length=0.6, cell_rows=100))
+    assert got.where("query_id = 3 AND rank = 1").count() == 1
+    assert vector.ann_lsh(queries.where("false"), index, 3).count() == vector.ann_lsh(some, index.where("false"), 3).count() == 0
+    assert rows(vector.ann_lsh(some, index, 5, bucket_length=100.0, tables=1)) != []
+
+
 def recall(hits, exact):
     got, want = ({(r.query_id, r.chunk_id) for r in x.collect()} for x in (hits, exact))
     return len(got & want) / len(want)
