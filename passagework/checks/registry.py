@@ -575,9 +575,10 @@ def batch_search(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def answer_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Raw requests in, complete responses out: results, stand-ins and errors."""
-    index = saved(embed.embed_hash(chunk.chunk_fixed(inputs.dated_documents(spark, sf)), "content"))
+    path = inputs.scratch(spark, "answers")
+    store.write_index(embed.embed_hash(chunk.chunk_fixed(inputs.dated_documents(spark, sf)), "content"), path, with_postings=True)
     config = SearchConfig(limit=3, threshold=0.45)
-    answers = answer(inputs.requests(spark, sf), index, config)
+    answers = answer(inputs.requests(spark, sf), store.load_index(spark, path), config, postings=store.load_postings(spark, path))
     return answers.select("query_id", "rank", "chunk_id", "score", "source", "error", "summary", F.array_join("keywords", " ").alias("keywords"))
 
 

@@ -188,6 +188,22 @@ def block_counts(blocks: DataFrame) -> Collection:
     return Collection(n or 0, (words or 0) / n if n else 0.0)
 
 
+def block_frequencies(terms: DataFrame, blocks: DataFrame, collection: Collection | None = None) -> tuple[DataFrame, Counts]:
+    """The rows of ``blocks`` that the query words need, and in how many chunks each of them occurs."""
+    wanted = terms.select("token").distinct()
+    first = [row["token"] for row in wanted.limit(PUSHED_TOKENS + 1).collect()]
+    if len(first) <= PUSHED_TOKENS:  # few enough to reach the scan of sorted postings
+        entries = blocks.filter(F.col("token").isin([*first, HEADER]))
+    else:
+        head = terms.sparkSession.range(1).select(F.lit(HEADER).alias("token"))
+        entries = blocks.join(F.broadcast(wanted.unionAll(head)), "token", "left_semi").select(blocks.columns)
+    gone = F.coalesce("gone", F.array().cast("array<int>")) if "gone" in blocks.columns else None
+    live = F.col("n") if gone is None else F.size(F.array_except("rows", gone))
+    df = entries.filter(F.col("token") != HEADER).groupBy("token").agg(F.sum(live).alias("df"))
+    total = collection or block_counts(blocks)
+    return entries, Counts(total.n, total.avgdl, {row["token"]: row["df"] for row in df.collect()})
+
+
 def score_blocks(
     terms: DataFrame, blocks: DataFrame, k: int, k1: float, b: float, decimals: int, collection: Collection | None = None
 ) -> DataFrame:
@@ -198,18 +214,8 @@ def score_blocks(
     the scores of one block at a time.  A query is left out in a block whose words cannot
     add up to its k-th best score so far.  Nothing is shuffled by chunk.
     """
-    wanted = terms.select("token").distinct()
-    first = [row["token"] for row in wanted.limit(PUSHED_TOKENS + 1).collect()]
-    if len(first) <= PUSHED_TOKENS:  # few enough to reach the scan of sorted postings
-        entries = blocks.filter(F.col("token").isin([*first, HEADER]))
-    else:
-        head = terms.sparkSession.range(1).select(F.lit(HEADER).alias("token"))
-        entries = blocks.join(F.broadcast(wanted.unionAll(head)), "token", "left_semi").select(blocks.columns)
+    entries, counts = block_frequencies(terms, blocks, collection)
     gone = "gone" in blocks.columns
-    live = F.size(F.array_except("rows", F.coalesce("gone", F.array().cast("array<int>")))) if gone else F.col("n")
-    df = entries.filter(F.col("token") != HEADER).groupBy("token").agg(F.sum(live).alias("df"))
-    total = collection or block_counts(blocks)
-    counts = Counts(total.n, total.avgdl, {row["token"]: row["df"] for row in df.collect()})
     shared = terms.sparkSession.sparkContext.broadcast(word_weights(terms, counts))
     avgdl = counts.avgdl or 1.0
     schema = hit_schema(terms, blocks.select(F.lit("").alias("chunk_id")))

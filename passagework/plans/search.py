@@ -136,7 +136,9 @@ def saved_searcher(spark: SparkSession, path: str, name: str = "exact", **option
     return searcher(name, **options)
 
 
-def find(queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callable[..., DataFrame]) -> DataFrame:
+def find(
+    queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callable[..., DataFrame], postings: DataFrame | None = None
+) -> DataFrame:
     """The best hits of every query that reach the threshold, as many as its limit.
 
     Queries with a large limit are searched apart, so that they do not raise what
@@ -157,7 +159,7 @@ def find(queries: DataFrame, index: DataFrame, config: SearchConfig, knn: Callab
         if asked["hybrid"]:
             own_filters = list(OWN_FILTERS) if config.filter_mode == "pre" else []
             wanted = some.filter("use_hybrid").select("query_id", F.col("search_text").alias("query"), "query_vec", "alpha", *own_filters)
-            parts.append(exact_fusion(wanted, index, asked["k"], config.metric))
+            parts.append(exact_fusion(wanted, index, asked["k"], config.metric, postings=postings))
     if not parts:
         return queries.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     hits = reduce(DataFrame.unionByName, parts)
@@ -171,13 +173,15 @@ def search(
     config: SearchConfig = SearchConfig(),
     embed: Callable[[DataFrame, str, str], DataFrame] | None = None,
     knn: Callable[..., DataFrame] | str = knn_exact,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """Results of ``queries(query_id, query[, context, limit, use_hybrid, alpha, query_vec])``.
 
     A query may also carry its own ``document_types``, ``source_pattern``, ``date_from``,
     ``date_to`` and ``include_metadata``, ``_summary``, ``_keywords``, ``_relevance``; where a column
     is absent or NULL, ``config`` holds.  ``embed(df, text_col, out_col)`` must be the model
-    that embedded the index; ``knn`` is a :func:`searcher` or its name.
+    that embedded the index; ``knn`` is a :func:`searcher` or its name.  With the ``postings`` saved
+    with the index, hybrid queries need not count words first.
     """
     if index is None:
         empty = T.StructType([queries.schema["query_id"], *RESULTS.fields])
@@ -187,7 +191,7 @@ def search(
     if "query_vec" not in q.columns:
         q = embed(q, "search_text", "query_vec") if embed else embed_hash(q, "search_text", config.dim, "query_vec")
     q, n = computed_once(q)
-    hits = find(q, index, config, knn)
+    hits = find(q, index, config, knn, postings)
     # Ids and scores, limit rows for each query at most, come back for their content; if they
     # are counted to be few, they go to the index instead of the index being shuffled to them.
     k = q.agg(F.sum("limit")).first()[0] or 0

@@ -139,3 +139,22 @@ def test_choices_of_filters(spark, index):
     passing = {q: sorted(c[0] for c, ok in zip(rows["chunk_id"].to_pylist(), row) if ok) for q, row in enumerate(choices.mask()(rows))}
     assert passing == {0: list("012345"), 1: list("012"), 2: list("135"), 3: [], 4: list("2345")}
     assert len(choices) == 5 and "markdown" in TYPES
+
+
+def test_hybrid_search_with_saved_postings(spark, index, tmp_path):
+    from passagework.sources import store
+
+    path = str(tmp_path / "index")
+    store.write_index(index.where("doc_id < '4'"), path, with_postings=True)
+    store.append_index(spark, path, index.drop("embedding"), lambda df: df.join(index.select("chunk_id", "embedding"), "chunk_id"))
+    queries = spark.createDataFrame([(i, t, True) for i, t in enumerate(["red apple", "blue wine", "absent"])], "query_id int, query string, use_hybrid boolean")
+    config = SearchConfig(threshold=-1.0, limit=4)
+    keep = ["query_id", "rank", "chunk_id", "score"]
+    want = sorted(map(tuple, search(queries, index, config).select(keep).collect()))
+    stored = store.load_index(spark, path)
+    assert sorted(map(tuple, search(queries, stored, config, postings=store.load_postings(spark, path)).select(keep).collect())) == want
+    store.append_index(spark, path, index.drop("embedding").where("doc_id = '1'").withColumn("content", F.lit("red green")), lambda df: df.join(index.select("chunk_id", "embedding"), "chunk_id"))
+    stored = store.load_index(spark, path)
+    again = sorted(map(tuple, search(queries, stored, config).select(keep).collect()))
+    assert again != want
+    assert sorted(map(tuple, search(queries, stored, config, postings=store.load_postings(spark, path)).select(keep).collect())) == again
