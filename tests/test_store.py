@@ -222,3 +222,33 @@ def test_files_of_other_dates_are_not_read(spark, tmp_path):
     assert store.open_index(spark, path, since="2030-01-01").count() == 0
     with pytest.raises(ValueError, match="not by both"):
         store.write_index(index, path, bucketed=True, by_date=8)
+
+
+def test_refresh_follows_the_files(spark, tmp_path):
+    import os
+
+    from passagework.plans.build import refresh_index
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(df):
+        count = F.udf(lambda t: seen.add(1) or t, "string").asNondeterministic()
+        return embed.embed_hash(df.withColumn("content", count("content")), "content")
+
+    for name, text in (("a", "one"), ("b", "two"), ("c", "three"), ("d", "four")):
+        (tmp_path / f"{name}.md").write_text(text, encoding="utf-8")
+    held = lambda index: sorted((os.path.basename(r.source), r.content) for r in index.collect())
+    first = [("a.md", "one"), ("b.md", "two"), ("c.md", "three"), ("d.md", "four")]
+    assert held(refresh_index(spark, str(tmp_path), embed=noted)) == first
+    before = seen.value
+    assert held(refresh_index(spark, str(tmp_path), embed=noted)) == first
+    assert seen.value == before
+    (tmp_path / "a.md").write_text("one edited", encoding="utf-8")
+    os.utime(tmp_path / "a.md", (4e9, 4e9))
+    (tmp_path / "b.md").write_text("", encoding="utf-8")
+    os.utime(tmp_path / "b.md", (4e9, 4e9))
+    (tmp_path / "c.md").unlink()
+    (tmp_path / "e.md").write_text("five", encoding="utf-8")
+    assert held(refresh_index(spark, str(tmp_path), embed=noted)) == [("a.md", "one edited"), ("d.md", "four"), ("e.md", "five")]
+    assert seen.value == before + 2
+    assert held(refresh_index(spark, str(tmp_path), embed=noted)) == [("a.md", "one edited"), ("d.md", "four"), ("e.md", "five")]
