@@ -83,7 +83,7 @@ def keyword_bm25(
     if tokenization != "word":
         raise ValueError(f"Unsupported tokenization: {tokenization}")
     terms = query_terms(queries)
-    n_terms, n_queries = terms.count(), queries.count()
+    n_terms, n_queries = terms.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
     if n_queries * k > HELD_ROWS:  # no query has more hits than there are chunks
         k = min(k, max(chunks.count(), 1))
     turns = max(1, -(-n_terms // broadcast_rows), -(-n_queries * k // HELD_ROWS))
@@ -169,7 +169,7 @@ def posting_blocks(chunks: DataFrame, fields: tuple[str, ...] = ("content",), ta
             schema=wanted,
         )
         header = pa.Table.from_pylist(
-            [{"block": name, "token": HEADER, "n": len(part), "tfs": dl, "chunk_ids": part.column("chunk_id").to_pylist(), "doc_ids": part.column("doc_id").to_pylist()}],
+            [{"block": name, "token": HEADER, "n": len(part), "max_tf": int(dl.sum()), "tfs": dl, "chunk_ids": part.column("chunk_id").to_pylist(), "doc_ids": part.column("doc_id").to_pylist()}],
             schema=wanted,
         )
         return pa.concat_tables([header, postings])
@@ -188,20 +188,24 @@ def block_counts(blocks: DataFrame) -> Collection:
     return Collection(n or 0, (words or 0) / n if n else 0.0)
 
 
-def block_frequencies(terms: DataFrame, blocks: DataFrame, collection: Collection | None = None) -> tuple[DataFrame, Counts]:
-    """The rows of ``blocks`` that the query words need, and in how many chunks each of them occurs."""
-    wanted = terms.select("token").distinct()
-    first = [row["token"] for row in wanted.limit(PUSHED_TOKENS + 1).collect()]
-    if len(first) <= PUSHED_TOKENS:  # few enough to reach the scan of sorted postings
-        entries = blocks.filter(F.col("token").isin([*first, HEADER]))
+def block_frequencies(pairs: pa.Table, blocks: DataFrame, collection: Collection | None = None) -> tuple[DataFrame, Counts]:
+    """The rows of ``blocks`` that the query words of ``pairs`` need, and in how many chunks each of them occurs."""
+    names = pairs["token"].unique().to_pylist()
+    if len(names) <= PUSHED_TOKENS:  # few enough to reach the scan of sorted postings
+        entries = blocks.filter(F.col("token").isin([*names, HEADER]))
     else:
-        head = terms.sparkSession.range(1).select(F.lit(HEADER).alias("token"))
-        entries = blocks.join(F.broadcast(wanted.unionAll(head)), "token", "left_semi").select(blocks.columns)
+        wanted = blocks.sparkSession.createDataFrame(pa.table({"token": pa.array([*names, HEADER], pa.string())}))
+        entries = blocks.join(F.broadcast(wanted), "token", "left_semi").select(blocks.columns)
     gone = F.coalesce("gone", F.array().cast("array<int>")) if "gone" in blocks.columns else None
-    live = F.col("n") if gone is None else F.size(F.array_except("rows", gone))
-    df = entries.filter(F.col("token") != HEADER).groupBy("token").agg(F.sum(live).alias("df"))
-    total = collection or block_counts(blocks)
-    return entries, Counts(total.n, total.avgdl, {row["token"]: row["df"] for row in df.collect()})
+    live = F.col("n") if gone is None else F.when(F.col("token") == HEADER, F.col("n")).otherwise(F.size(F.array_except("rows", gone)))
+    # of headers: the number of chunks, and of their words
+    found = {r["token"]: r for r in entries.groupBy("token").agg(F.sum(live).alias("df"), F.sum("max_tf").alias("words")).collect()}
+    head = found.pop(HEADER, None)
+    if collection is None and gone is not None:
+        collection = block_counts(blocks)
+    elif collection is None:
+        collection = Collection(head["df"], head["words"] / head["df"]) if head and head["df"] else Collection(0, 0.0)
+    return entries, Counts(collection.n, collection.avgdl, {token: r["df"] for token, r in found.items()})
 
 
 def score_blocks(
@@ -214,9 +218,10 @@ def score_blocks(
     the scores of one block at a time.  A query is left out in a block whose words cannot
     add up to its k-th best score so far.  Nothing is shuffled by chunk.
     """
-    entries, counts = block_frequencies(terms, blocks, collection)
+    pairs = terms.toArrow().combine_chunks()
+    entries, counts = block_frequencies(pairs, blocks, collection)
     gone = "gone" in blocks.columns
-    shared = terms.sparkSession.sparkContext.broadcast(word_weights(terms, counts))
+    shared = terms.sparkSession.sparkContext.broadcast(word_weights(pairs, counts))
     avgdl = counts.avgdl or 1.0
     schema = hit_schema(terms, blocks.select(F.lit("").alias("chunk_id")))
 
@@ -290,9 +295,9 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch
         yield pa.concat_batches(held)
 
 
-def word_weights(terms: DataFrame, counts: Counts) -> tuple:
+def word_weights(terms: DataFrame | pa.Table, counts: Counts) -> tuple:
     """Query ids, words, and which word weighs how much in which query, ordered by query."""
-    pairs = terms.toArrow().combine_chunks()
+    pairs = terms if isinstance(terms, pa.Table) else terms.toArrow().combine_chunks()
     query_ids, vocabulary = pairs["query_id"].unique(), pairs["token"].unique()
     query = pc.index_in(pairs["query_id"], query_ids).to_numpy()
     token = pc.index_in(pairs["token"], vocabulary).to_numpy()

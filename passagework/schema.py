@@ -31,7 +31,7 @@ CHUNKS = T.StructType(
 INDEX = T.StructType(CHUNKS.fields + [T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
 # Postings of one word in one block of chunks; the row of the empty word names the block's
-# chunks and documents, and has the lengths of the chunks as ``tfs``.
+# chunks and documents, has the lengths of the chunks as ``tfs`` and their sum as ``max_tf``.
 BLOCKS = T.StructType(
     [
         T.StructField("block", T.StringType()),
