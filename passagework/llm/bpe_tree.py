@@ -1,12 +1,13 @@
 """BPE encoding by tree concatenation, and decoding.
 
-White space separates what a word tokenizer can merge, so a text is encoded by its
-stretches between white space; equal stretches are encoded once.  A long stretch
-without white space is halved again and again; the halves are encoded independently
-and joined pairwise.  At each join a window around the seam is encoded anew and
-grown until two successive tokens on either side agree with what the halves have:
-every pair of neighbours then occurs in a correct encoding, and a token sequence
-with that property is the encoding of the whole.
+A text longer than a leaf is halved again and again, wherever its middle falls; the
+halves are encoded independently and joined pairwise.  At each join a window around
+the seam is encoded anew and grown until two successive tokens on either side agree
+with what the halves have: every pair of neighbours then occurs in a correct
+encoding, and a token sequence with that property is the encoding of the whole.
+White space separates what a word tokenizer can merge, so inside a leaf equal
+stretches between white space are encoded once, and a window never has to grow
+beyond the white space on either side of its seam.
 
 A text longer than ``PIECE_CHARS`` is cut into pieces that different tasks encode;
 its tokens are joined in one task by the same rule.  Shorter ones stay where they
@@ -16,7 +17,6 @@ are read, and nothing of them is shuffled.
 from __future__ import annotations
 
 import os
-import re
 from typing import NamedTuple
 
 import numpy as np
@@ -28,13 +28,12 @@ from pyspark.sql import types as T
 from passagework.llm.common import add_columns, release, without
 
 PIECE_CHARS = 1 << 20
-LEAF_CHARS = 2048  # an unsplit stretch up to this length is encoded whole
+LEAF_CHARS = 2048  # what is not longer (in bytes, for a whole text) is not halved
 SLICE_BYTES = 1 << 20  # text that a task splits at once
 FIRST_WINDOW = 8  # tokens on either side of a seam
 CACHED = 250_000  # stretches that a task remembers ...
 CACHED_BYTES = 32 << 20  # ... and what they and their ids take, about
 ENCODED = 16_384  # stretches that are encoded at once
-SPACE = re.compile(r"[ \t\n\r\v\f]")
 
 _models: dict[str, "Model"] = {}
 
@@ -48,6 +47,17 @@ class Tokens(NamedTuple):
     end: np.ndarray
 
 
+class Run(NamedTuple):
+    """Part of a text: tokens up to its first white space, ids between, tokens from its last.
+
+    Without white space ``head`` is all of it, and the others are None.
+    """
+
+    head: Tokens
+    middle: bytes | None
+    tail: Tokens | None
+
+
 class Model:
     """A tokenizer of the tokenizers library in a task, with the stretches it has encoded."""
 
@@ -92,6 +102,23 @@ class Model:
             out.append(b"".join(found))
         return out
 
+    def encode_tree(self, texts: list[bytes]) -> list[bytes]:
+        """As ``encode``, each text by the tree of its halves."""
+        split = [halved(t, LEAF_CHARS) for t in texts]
+        whole = iter(self.encode([leaves[0] for leaves in split if len(leaves) == 1]))
+        parts = [[edges(leaf) for leaf in leaves] for leaves in split if len(leaves) > 1]
+        middles = iter(self.encode([middle for leaves in parts for _, middle, _ in leaves if middle is not None]))
+        ends = {e for leaves in parts for head, _, tail in leaves for e in (head, tail) if e is not None}
+        tokens = dict(zip(ends, map(self.leaf, [e.decode() for e in ends])))
+        runs = iter(
+            [
+                Run(tokens[head], None if middle is None else next(middles), tokens.get(tail))
+                for head, middle, tail in leaves
+            ]
+            for leaves in parts
+        )
+        return [next(whole) if len(leaves) == 1 else ids_of(joined_runs(self, next(runs))) for leaves in split]
+
     def leaf(self, text: str) -> Tokens:
         encoded = self.tokenizer.encode(text, add_special_tokens=False)
         spans = np.array(encoded.offsets, np.int32).reshape(-1, 2)
@@ -129,8 +156,51 @@ def tree(bpe: Model, text: str, leaf_chars: int = LEAF_CHARS) -> Tokens:
     return join(bpe, tree(bpe, text[:middle], leaf_chars), tree(bpe, text[middle:], leaf_chars))
 
 
+def halved(text: bytes, size: int) -> list[bytes]:
+    """A text cut in halves, between characters, until no part has more than ``size`` (8 or more) bytes."""
+    if len(text) <= size:
+        return [text]
+    middle = len(text) // 2
+    while text[middle] & 0xC0 == 0x80:
+        middle -= 1
+    return halved(text[:middle], size) + halved(text[middle:], size)
+
+
+def edges(text: bytes) -> tuple[bytes, bytes | None, bytes | None]:
+    """A text up to its first white space, between, and from the last; all of it, None, None without white space."""
+    head = b"" if text[:1].isspace() else (text.split(None, 1) or [b""])[0]
+    if len(head) == len(text):
+        return head, None, None
+    tail = b"" if text[-1:].isspace() else text.rsplit(None, 1)[-1]
+    return head, text[len(head) : len(text) - len(tail)], tail
+
+
+def joined_runs(bpe: Model, runs: list[Run]) -> Run:
+    """The parts of a text joined pairwise, level by level."""
+    while len(runs) > 1:
+        pairs = [runs[i : i + 2] for i in range(0, len(runs), 2)]
+        runs = [join_runs(bpe, *p) if len(p) == 2 else p[0] for p in pairs]
+    return runs[0]
+
+
+def join_runs(bpe: Model, left: Run, right: Run) -> Run:
+    if left.middle is None:
+        return right._replace(head=join(bpe, left.head, right.head))
+    seam = join(bpe, left.tail, right.head)
+    if right.middle is None:
+        return left._replace(tail=seam)
+    return Run(left.head, left.middle + seam.ids.tobytes() + right.middle, right.tail)
+
+
+def ids_of(run: Run) -> bytes:
+    ends = run.head.ids.tobytes()
+    return ends if run.middle is None else ends + run.middle + run.tail.ids.tobytes()
+
+
 def join(bpe: Model, left: Tokens, right: Tokens) -> Tokens:
     """Tokens of both texts written as one: windows around the seam grow until both sides agree."""
+    if not left.text or not right.text:
+        return left if left.text else right
     text, seam = left.text + right.text, len(left.text)
     moved = Tokens(right.text, right.ids, right.start + seam, right.end + seam)
     width = FIRST_WINDOW
@@ -184,7 +254,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep_text: bool =
     def whole(slices):
         for batch in slices:
             column = batch.column(batch.schema.names.index(text_col)).cast(pa.binary())
-            yield [pa.array(model(path).encode([t or b"" for t in column.to_pylist()]), pa.binary())]
+            yield [pa.array(model(path).encode_tree([t or b"" for t in column.to_pylist()]), pa.binary())]
 
     short = add_columns(docs.where(length <= PIECE_CHARS), field, forgetting(whole), leave_out=tuple(out), slice_bytes=SLICE_BYTES)
     return short.unionByName(encode_long(docs.where(length > PIECE_CHARS), path, text_col, PIECE_CHARS, out))
@@ -248,21 +318,12 @@ def unpacked(text: str, data: bytes) -> Tokens:
     return Tokens(text, ids.astype("<u4"), start, end)
 
 
-def edges(piece: str) -> tuple[str, str, str] | None:
-    """A piece up to its first white space, between, and from the last; None without white space."""
-    first = SPACE.search(piece)
-    if first is None:
-        return None
-    last = max(piece.rfind(c) for c in " \t\n\r\v\f")
-    return piece[: first.start()], piece[first.start() : last + 1], piece[last + 1 :]
-
-
 def open_ends(bpe: Model, piece: str) -> tuple[bytes, bytes | None, bytes | None]:
     """A piece encoded: its ends, which may go on in the neighbours, with positions; only ids between."""
-    parts = edges(piece)
-    if parts is None:
+    head, middle, tail = edges(piece.encode())
+    if middle is None:
         return packed(tree(bpe, piece)), None, None
-    return packed(tree(bpe, parts[0])), bpe.encode([parts[1].encode()])[0], packed(tree(bpe, parts[2]))
+    return packed(tree(bpe, head.decode())), bpe.encode_tree([middle])[0], packed(tree(bpe, tail.decode()))
 
 
 class Open:
@@ -272,14 +333,12 @@ class Open:
         self.bpe, self.ids, self.ends = bpe, [], []
 
     def add(self, piece: str, head: bytes, middle: bytes | None, tail: bytes | None) -> None:
-        parts = edges(piece)
-        if parts is None:
-            self.ends.append(unpacked(piece, head))
-            return
-        self.ends.append(unpacked(parts[0], head))
-        self.settle()
-        self.ids.append(middle)
-        self.ends = [unpacked(parts[2], tail)]
+        first, _, last = edges(piece.encode())
+        self.ends.append(unpacked(first.decode(), head))
+        if middle is not None:
+            self.settle()
+            self.ids.append(middle)
+            self.ends = [unpacked(last.decode(), tail)]
 
     def settle(self) -> None:
         """Join the open ends pairwise, level by level."""

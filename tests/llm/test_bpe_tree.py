@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +51,26 @@ def test_encode_and_decode_any_text(text):
     assert bpe.decode(ids) == bpe.tokenizer.decode(expected, skip_special_tokens=False)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aabeinorst 0'!é語😀न <|>\n\x1c\x85 "), max_size=200), max_size=4), st.integers(8, 60))
+def test_texts_by_the_tree(texts, leaf):
+    bpe = bpe_tree.model(PATH)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe_tree, "LEAF_CHARS", leaf)
+        got = bpe.encode_tree([t.encode() for t in texts])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [library(bpe, t) for t in texts]
+
+
+def test_the_tree_encodes_documents(bpe, monkeypatch):
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    joins = []
+    monkeypatch.setattr(bpe_tree, "join", lambda *a, real=bpe_tree.join: joins.append(1) or real(*a))
+    got = bpe.encode_tree([t.encode() for t in texts])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [library(bpe, t) for t in texts]
+    longer = [len(t.encode()) for t in texts if len(t.encode()) > bpe_tree.LEAF_CHARS]
+    assert len(joins) >= sum(n // bpe_tree.LEAF_CHARS for n in longer) > 0
+
+
 def test_rows(spark, bpe):
     texts = [None, "", " \n\t", "Hello, World's 42", "x<|endoftext|>y", "hello " * 3, "Z" * 5_000, "\x1c a b \x85"]
     rows = [(i, t, "old") for i, t in enumerate(texts)] + [(1, "", "old")]
