@@ -17,6 +17,7 @@ every two of which meet in a shard, so a shard has a bounded number of segments.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ ANCHOR = 6  # words of an anchor
 PART_SEGMENTS = 8192
 SHARD_WORDS = 400_000  # words of the anchors that share an index
 WORDS_HELD = 400_000
-PIECE = 1 << 19  # windows handled at once
+PIECE = 1 << 19  # windows of a long document handled at once
+TOGETHER = 1 << 16  # words of shorter documents handled at once
 SLICE_BYTES = 4 << 20
 RESULTS = ["n_words", "n_removed"]
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # bases of the segment digests
@@ -52,18 +54,20 @@ class Wavelet:
             self.zeros.append(len(bits) - int(before[-1]))
             values = np.concatenate([values[bits == 0], values[bits == 1]])
 
+        self.begin = self.descend(np.arange(1 << levels), np.zeros(1 << levels, np.int64))
+
+    def descend(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where a position comes to lie if it goes down with the bits of a value."""
+        for nth, (packed, before) in enumerate(self.planes):
+            word = at >> 6
+            below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+            ones = before[word] + np.bitwise_count(packed[word] & below)
+            at = np.where(value >> (self.levels - 1 - nth) & 1, self.zeros[nth] + ones, at - ones)
+        return at
+
     def rank(self, value: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """How often each value occurs among the first ``upto``."""
-        low, high = np.zeros(len(value), np.int64), upto
-        for nth, (packed, before) in enumerate(self.planes):
-            bit = value >> (self.levels - 1 - nth) & 1
-            ones_low, ones_high = [
-                before[at >> 6] + np.bitwise_count(packed[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-                for at in (low, high)
-            ]
-            low = np.where(bit == 1, self.zeros[nth] + ones_low, low - ones_low)
-            high = np.where(bit == 1, self.zeros[nth] + ones_high, high - ones_high)
-        return high - low
+        return self.descend(value, upto) - self.begin[value]
 
 
 class Index:
@@ -75,13 +79,20 @@ class Index:
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
         self.last = Wavelet(text[self.order - 1], max(1, int(top).bit_length()))
 
-    def intervals(self, text: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the windows ``text[start : start + size]``, by backward search from their last word."""
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.order))
+    def intervals(self, text: np.ndarray, starts: np.ndarray, size: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows ``text[start : start + size]``, by backward search from their last word.
+
+        A window that occurs fewer than ``least`` times is given up as soon as that is known; its interval is empty.
+        """
+        low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        live, top, end = np.arange(len(starts)), low, high + len(self.order)
         for back in range(size - 1, -1, -1):
-            word = text[starts + back]
-            low = self.first[word] + self.last.rank(word, low)
-            high = self.first[word] + self.last.rank(word, high)
+            word = text[starts[live] + back]
+            top = self.first[word] + self.last.rank(word, top)
+            end = self.first[word] + self.last.rank(word, end)
+            often = end - top >= least
+            live, top, end = live[often], top[often], end[often]
+        low[live], high[live] = top, end
         return low, high
 
 
@@ -109,13 +120,38 @@ def inverse_of(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 
 
-def segments(h: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """``(anchor, digest, start, windows)`` of the segments of a document's word hashes."""
-    found = [segments_of(h[at : at + PIECE + size - 1], at, size, anchor) for at in range(0, max(0, len(h) - size + 1), PIECE)]
-    return tuple(np.concatenate(c) for c in zip(*found)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
+@lru_cache(maxsize=8)
+def powers(base: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
 
+def segments(hashes: list[np.ndarray], size: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """``(document, anchor, digest, start, windows)`` of the segments of some documents' word hashes.
 
-def segments_of(h: np.ndarray, offset: int, size: int, anchor: int) -> tuple[np.ndarray, ...]:
+    Documents are handled together up to ``TOGETHER`` words, longer ones by pieces of ``PIECE`` windows.
+    """
+    parts, held, words = [], [], 0
+    for nth, h in enumerate(hashes):
+        if held and words + len(h) > TOGETHER:
+            parts.append(segments_of([hashes[d] for d in held], np.array(held), 0, size, anchor))
+            held, words = [], 0
+        if len(h) > TOGETHER:
+            for at in range(0, len(h) - size + 1, PIECE):
+                parts.append(segments_of([h[at : at + PIECE + size - 1]], np.array([nth]), at, size, anchor))
+        elif len(h) >= size:
+            held.append(nth)
+            words += len(h)
+    if held:
+        parts.append(segments_of([hashes[d] for d in held], np.array(held), 0, size, anchor))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(5))
+
+
+def segments_of(hashes: list[np.ndarray], names: np.ndarray, offset: int, size: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """As ``segments``, of documents with a window at least, one after another; no window lies in two."""
+    h, lengths = np.concatenate(hashes), np.array([len(x) for x in hashes])
+    first = np.cumsum(lengths) - lengths
     n = len(h) - anchor + 1
     key = np.full(n, 1, np.uint64)
     for i in range(anchor):
@@ -128,20 +164,24 @@ def segments_of(h: np.ndarray, offset: int, size: int, anchor: int) -> tuple[np.
         best = np.minimum(best[:-step], best[step:])
         span += step
     place = (best & place_bits).astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    new = np.concatenate([[True], place[1:] != place[:-1]])
+    new[first] = True
+    beyond = first + lengths - size + 1  # windows from here on run into the next document
+    new[beyond[:-1]] = True
+    start = np.flatnonzero(new)
     windows = np.diff(np.append(start, len(place)))
+    owner = np.searchsorted(first, start, side="right") - 1
+    inside = start < beyond[owner]
+    start, windows, owner = start[inside], windows[inside], owner[inside]
     end = start + windows + size - 1
     digest = np.zeros(len(start), np.uint64)
+    bits = max(16, len(h).bit_length())
     for base, word in zip(ODD, (h, mix(h))):
-        power = np.full(len(h), base, np.uint64)
-        power[0] = 1
-        power = np.cumprod(power)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(word * power, dtype=np.uint64)])
-        back = np.full(len(h), inverse_of(base), np.uint64)
-        back[0] = 1
-        digest = mix(digest ^ (total[end] - total[start]) * np.cumprod(back)[start])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(word * powers(base, bits)[: len(h)], dtype=np.uint64)])
+        digest = mix(digest ^ (total[end] - total[start]) * powers(inverse_of(base), bits)[start])
     digest ^= windows.astype(np.uint64)
-    return mix(key[place[start]]).view(np.int64), digest.view(np.int64), start + offset, windows
+    anchors = mix(key[place[start]]).view(np.int64)
+    return names[owner], anchors, digest.view(np.int64), start - first[owner] + offset, windows
 
 
 SEGMENT = T.StructType(
@@ -170,13 +210,12 @@ def find_segments(docs: DataFrame, size: int, anchor: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
-                parts = [segments(word_hashes(t, known), size, anchor) for t in rows.column(2).cast(pa.binary()).to_pylist()]
-                count = [len(p[0]) for p in parts]
-                if not sum(count):
+                hashes = [word_hashes(t, known) for t in rows.column(2).cast(pa.binary()).to_pylist()]
+                owner, key, digest, start, windows = segments(hashes, size, anchor)
+                del hashes
+                if not len(owner):
                     continue
-                key, digest, start, windows = (np.concatenate(c) for c in zip(*parts))
                 ids, body = rows.column(0), rows.column(1).to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(rows.num_rows), count)
                 plain, known_id = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
                 rank = np.lexsort((np.arange(rows.num_rows), body, plain, known_id))  # NULL is the smallest id
                 place = np.empty_like(rank)
@@ -303,16 +342,21 @@ def repeats(shard: dict[str, list], size: int) -> Iterator[pa.RecordBatch]:
     windows = lengths - size + 1
     owner = np.repeat(np.arange(len(words)), windows)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    low, high = index.intervals(text, first[owner] + within, size)
-    seen = earliest(index, low, high)
+    low, high = index.intervals(text, first[owner] + within, size, least=2)
+    often = np.flatnonzero(high > low)
+    if not len(often):
+        return
+    seen = earliest(index, low[often], high[often])
     # the earliest place in the index need not be the earliest in the collection: segments of
     # one document may overlap, so places are compared as (document, word)
-    holder = np.searchsorted(first, seen, side="right") - 1
+    holder, own = np.searchsorted(first, seen, side="right") - 1, owner[often]
     ids = [(shard["id"][i], shard["body"][i]) for i in order]
+    numbers: dict[tuple, int] = {}
+    doc = np.array([numbers.setdefault(i, len(numbers)) for i in ids])
     starts = np.array([shard["start"][i] for i in order])
-    same_doc = np.array([ids[a] == ids[b] for a, b in zip(holder.tolist(), owner.tolist())])
-    other, mine = starts[holder] + seen - first[holder], starts[owner] + within
-    hit = np.flatnonzero(~same_doc | (other < mine))
+    other, mine = starts[holder] + seen - first[holder], starts[own] + within[often]
+    repeated = (doc[holder] != doc[own]) | (other < mine)
+    hit, mine = often[repeated], mine[repeated]
     if not len(hit):
         return
     run = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (owner[hit][1:] != owner[hit][:-1])]))
@@ -322,8 +366,8 @@ def repeats(shard: dict[str, list], size: int) -> Iterator[pa.RecordBatch]:
         [
             pa.array([ids[r][0] for r in rows], pa.int64()),
             pa.array([ids[r][1] for r in rows], pa.int64()),
-            pa.array(mine[hit[run]]),
-            pa.array(mine[hit[stop]] + size),
+            pa.array(mine[run]),
+            pa.array(mine[stop] + size),
         ],
         INTERVAL.names,
     )

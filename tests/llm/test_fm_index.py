@@ -65,11 +65,27 @@ def test_repeated_rows_keep_the_same_words(spark):
 def test_long_texts_in_pieces(monkeypatch):
     rng = np.random.default_rng(2)
     h = rng.integers(0, 40, 3_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    whole = op.segments(h, 6, 3)
-    assert whole[3].sum() == len(h) - 5
+    whole = op.segments([h], 6, 3)
+    assert whole[4].sum() == len(h) - 5
     monkeypatch.setattr(op, "PIECE", 100)
-    cut = op.segments(h, 6, 3)
-    assert cut[3].sum() == len(h) - 5 and set(whole[0].tolist()) == set(cut[0].tolist())
+    monkeypatch.setattr(op, "TOGETHER", 100)
+    cut = op.segments([h], 6, 3)
+    assert cut[4].sum() == len(h) - 5 and set(whole[1].tolist()) == set(cut[1].tolist())
+
+
+@pytest.mark.parametrize("together", [30, 200, 1 << 16])
+def test_documents_together_or_alone(monkeypatch, together):
+    rng = np.random.default_rng(4)
+    hashes = [rng.integers(1, 9, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (0, 25, 6, 5, 0, 90, 1, 6, 7, 40, 0)]
+    hashes.append(hashes[5][10:60])
+    alone = [op.segments([h], 6, 3) for h in hashes]
+    monkeypatch.setattr(op, "TOGETHER", together)
+    got = op.segments(hashes, 6, 3)
+    assert got[0].tolist() == [i for i, one in enumerate(alone) for _ in one[0]]
+    for column, *ones in zip(got[1:], *[one[1:] for one in alone]):
+        assert column.tolist() == np.concatenate(ones).tolist()
+    assert got[4].sum() == sum(max(0, len(h) - 5) for h in hashes)
+    assert [len(c) for c in op.segments([], 6, 3)] == [0] * 5
 
 
 def test_rank_and_search():
@@ -86,6 +102,12 @@ def test_rank_and_search():
     for s in starts:
         places = [p for p in range(396) if text[p : p + 6].tolist() == text[s : s + 6].tolist()]
         assert sorted(index.order[low[s] : high[s]].tolist()) == places and least[s] == places[0]
+    for size in (4, 6):
+        all_low, all_high = index.intervals(text, starts, size)
+        low, high = index.intervals(text, starts, size, least=3)
+        often = all_high - all_low >= 3
+        assert 0 < often.sum() < len(starts) and not (high - low)[~often].any()
+        assert (low[often] == all_low[often]).all() and (high[often] == all_high[often]).all()
 
 
 def test_any_ids_and_column_names(spark):
