@@ -25,8 +25,8 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def window_hashes(lines: Column, size: int) -> Column:
-    """``array<struct<pos, a, b>>`` of the windows that have a line with more than white space."""
+def window_hashes(lines: Column, size: int, blank: bool = False) -> Column:
+    """``array<struct<pos, a, b>>`` of the windows; without ``blank``, of those that have a line with more than white space."""
     marks = F.transform(
         lines,
         lambda line: F.struct(
@@ -47,14 +47,15 @@ def window_hashes(lines: Column, size: int) -> Column:
             )
 
         starts = F.when(F.size(marked) >= size, F.sequence(F.lit(0), F.size(marked) - size))
-        return F.filter(F.transform(F.coalesce(starts, F.array().cast("array<int>")), at), lambda w: w["full"])
+        found = F.transform(F.coalesce(starts, F.array().cast("array<int>")), at)
+        return found if blank else F.filter(found, lambda w: w["full"])
 
     # element_at(transform(array(x), f), 1) evaluates x once for the whole lambda
     return F.element_at(F.transform(F.array(marks), window), 1)
 
 
 def remove_repeated_windows(
-    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", blank: bool = False
 ) -> DataFrame:
     """``docs`` with the later occurrences of repeated windows cut out of ``text``.
 
@@ -63,8 +64,8 @@ def remove_repeated_windows(
     or, with the same id, in a text with a smaller hash, or in the same text further
     up; rows that repeat both id and text count as one document and keep the same
     lines.  Windows are judged on the input, not on what is left.  Lines are compared
-    unchanged; windows of blank lines alone are left alone, and so are texts with
-    fewer lines than a window.  A NULL text stays NULL with 0 lines; an empty one has
+    unchanged; windows of blank lines alone are left alone unless ``blank`` is true, and
+    so are texts with fewer lines than a window.  A NULL text stays NULL with 0 lines; an empty one has
     one empty line.
     """
     rest = without(docs, RESULTS)
@@ -74,7 +75,7 @@ def remove_repeated_windows(
         F.xxhash64(rest[f"`{text_col}`"]).alias("body"),
     )
     windows = keyed.select(
-        "id", "body", F.inline(window_hashes(lines_of(F.col("row")[text_col]), window))
+        "id", "body", F.inline(window_hashes(lines_of(F.col("row")[text_col]), window, blank))
     ).select(F.struct("id", "body", "pos").alias("start"), "a", "b")
     first = windows.groupBy("a", "b").agg(F.min("start").alias("first"), F.max("start").alias("last"))
     repeated = first.where(F.col("last") > F.col("first")).select("a", "b", "first")

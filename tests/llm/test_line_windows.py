@@ -33,6 +33,13 @@ def test_edges(spark):
     assert remove_repeated_windows(df.where("false")).collect() == []
 
 
+def test_windows_of_blank_lines_on_request(spark):
+    df = spark.createDataFrame([(5, "\n\n\n\n"), (6, " \n\n\n\nx"), (7, "x\n\n")], "doc_id long, text string")
+    got = [tuple(r) for r in remove_repeated_windows(df, blank=True).orderBy("doc_id").collect()]
+    assert got == [(5, "", 5, 4), (6, " \nx", 5, 3), (7, "x\n\n", 3, 0)]
+    assert {r["n_removed"] for r in remove_repeated_windows(df).collect()} == {0}
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string")
     plan = remove_repeated_windows(df)._jdf.queryExecution().executedPlan().toString()
