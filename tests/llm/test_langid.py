@@ -1,6 +1,10 @@
 """Language identification: held-out accuracy, counts against plain Python, odd rows."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from passagework.llm import langid
@@ -32,6 +36,45 @@ def test_ngrams_are_those_of_the_words():
     assert lettered.tolist() == [0, 2, 3]
 
 
+def plain_predictions(learned, texts):
+    """Language and score by sets of n-grams, without filters: (lang, text) pairs are learned."""
+    counts = {}
+    for lang, text in learned:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    share = {}
+    for lang, found in counts.items():
+        for g, n in found.items():
+            if n >= langid.MIN_COUNT:
+                share.setdefault(g, {})[lang] = n / found.total()
+    known = {lang: {g for g, of in share.items() if of.get(lang, 0) >= langid.TYPICAL * max(of.values())} for lang in sorted(counts)}
+    usual = max(sorted(counts), key=Counter(lang for lang, _ in learned).get)
+    out = []
+    for text in texts:
+        own = grams(text or "")
+        hits = {lang: sum(g in some for g in own) for lang, some in known.items()}
+        best = max(hits, key=hits.get)
+        out.append(("und", 0.0) if not own else (best, hits[best] / len(own)) if hits[best] else (usual, 0.0))
+    return out
+
+
+def test_predictions_equal_those_of_sets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").collect()
+    learned = [(r["lang"], r["text"]) for r in docs if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    expected = plain_predictions(learned, [r["text"] for r in docs])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op8_langid(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for row, (lang, score) in zip(docs, expected):
+        assert got[row["doc_id"]] == (lang, pytest.approx(score, abs=1e-3))
+
+
+def test_equal_languages(spark):
+    train = [(i, "one and the same", l) for i in range(20) for l in ("b", "a", "c")]
+    filters = langid.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(1, "the same"), (2, "quux")], "doc_id long, text string")
+    got = [(r["lang_pred"], round(r["score"], 3)) for r in langid.predict(df, filters).orderBy("doc_id").collect()]
+    assert got == [("a", 1.0), ("a", 0.0)]
+
+
 def test_stretches_lose_nothing(monkeypatch):
     monkeypatch.setattr(langid, "STRETCH", 16)
     text = "several words, of some length and a verylongwordwithoutanygapatall end"
