@@ -27,9 +27,11 @@ from passagework.operators.best import BestRows
 from passagework.operators.choices import FILTERS, Choices
 from passagework.operators.topk import topk_per_query
 
-QUERY_TILE = 1024  # queries scored at once inside a task
+QUERY_TILE = 1024  # queries scored at once inside a task ...
+VECTOR_TILE = 2048  # ... against as many stored vectors
 CELL_ROWS = 200_000  # stored vectors that one task should score for one cell
-CELL_QUERIES = 8_192  # queries that one task may hold for one cell
+CELL_BYTES = 16 * 1024 * 1024  # query vectors that one task may hold for one cell ...
+CELL_HITS = 400_000  # ... and best rows of these queries
 FILTERED_ROWS = 1_024  # stored vectors that are scored at once where queries have filters
 PAIRS = 200_000  # single pairs that are scored at once
 FEW_QUERIES = 8_192  # queries that are read at once, and answered without measuring them first
@@ -73,13 +75,15 @@ def similarity(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndar
 
 def score_block(best: BestRows, queries: np.ndarray, vectors: np.ndarray, ids: pa.Array, metric: str) -> None:
     """Score a block of stored vectors; the first few alone, to know early what is good."""
-    few = max(4 * best.k, 256)
-    parts = [slice(0, few), slice(few, len(ids))] if not best.rows else [slice(0, len(ids))]
-    for part in parts:
+    if not len(ids):
+        return
+    few = 0 if best.rows else max(4 * best.k, 256)
+    edges = [0, *range(few, len(ids), VECTOR_TILE), len(ids)] if few else [*range(0, len(ids), VECTOR_TILE), len(ids)]
+    for start, stop in zip(edges[:-1], edges[1:]):
+        part = slice(start, stop)
         for first in range(0, len(queries), QUERY_TILE):
-            if len(ids[part]):
-                best.offer(first, similarity(queries[first : first + QUERY_TILE], vectors[part], metric), ids[part])
-        if len(parts) > 1 and part.start == 0:
+            best.offer(first, similarity(queries[first : first + QUERY_TILE], vectors[part], metric), ids[part])
+        if few and not start:
             best.settle()
 
 
@@ -237,7 +241,9 @@ def score_cells(queries: DataFrame, index: DataFrame, k: int, metric: str, decim
     """
     query_type = queries.schema["query_id"].dataType
     chunk_type = index.schema["chunk_id"].dataType
-    vec_type = T.ArrayType(T.DoubleType())
+    kinds = {df.schema["vec"].dataType.elementType for df in (queries, index)}
+    # tasks compute with doubles; floats on both sides are moved as they are
+    vec_type = T.ArrayType(T.FloatType() if kinds == {T.FloatType()} else T.DoubleType())
     left = queries.select(
         "cell",
         F.lit(0).alias("side"),
@@ -305,23 +311,37 @@ def grid_cells(queries: DataFrame, index: DataFrame, rows: int, columns: int) ->
     return q.select(cell, "query_id", "vec"), v.select(cell, "chunk_id", "vec")
 
 
+def held_by_cell(dim: int, k: int) -> int:
+    """Queries that one task may hold for one cell, with their ``k`` best rows."""
+    return max(1, min(CELL_BYTES // (8 * max(dim, 1)), CELL_HITS // max(k, 1)))
+
+
 def bucket_cells(
-    queries: DataFrame, index: DataFrame, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES
+    queries: DataFrame, index: DataFrame, held: int, cell_rows: int = CELL_ROWS, cell_queries: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Cells in which every query meets every stored vector of its ``bucket`` exactly once.
 
     Buckets are counted first.  One with many stored vectors is split into parts
     (its queries go to each of them), one with many queries into blocks (its vectors
     go to each of them).  Buckets without queries are dropped before anything is moved.
+
+    ``cell_rows`` and ``cell_queries`` are the sizes wished for.  Every further part or block
+    copies the other side of the bucket once more, so beyond one per core there are only as many
+    blocks as keep ``held`` queries in a task, and as many parts as move no more copies of
+    queries than of vectors.
     """
+    cores = F.lit(queries.sparkSession.sparkContext.defaultParallelism)
     probed = queries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_queries"))
     stored = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_vectors"))
     layout = stored.join(probed, "bucket").select(
         "bucket",
-        F.ceil(F.col("n_vectors") / cell_rows).cast("int").alias("parts"),
-        F.ceil(F.col("n_queries") / cell_queries).cast("int").alias("blocks"),
+        "n_vectors",
+        "n_queries",
+        F.least(F.ceil(F.col("n_queries") / (cell_queries or held)), F.greatest(F.ceil(F.col("n_queries") / held), cores)).cast("int").alias("blocks"),
     )
-    layout = computed_if_small(layout)
+    balanced = F.ceil(F.col("blocks") * F.col("n_vectors") / F.col("n_queries"))
+    parts = F.least(F.ceil(F.col("n_vectors") / cell_rows), F.greatest(F.ceil(cores / F.col("blocks")), balanced))
+    layout = computed_if_small(layout.select("bucket", parts.cast("int").alias("parts"), "blocks"))
     q = (
         queries.join(layout, "bucket")
         .withColumn("block", one_of("query_id", F.col("blocks")))
@@ -372,7 +392,8 @@ def knn_exact(
     """The ``k`` nearest stored vectors of every query; scores below ``least`` may be left out.
 
     The query vectors are measured: up to ``broadcast_bytes`` they are sent to every
-    task and the index is scanned once; beyond that both sides are dealt over a grid.
+    task and the index is scanned once; beyond that, or if a task should not hold them and their
+    hits, both sides are dealt over a grid.
     """
     if metric not in METRICS:
         raise ValueError(f"Unsupported metric: {metric}")
@@ -387,8 +408,8 @@ def knn_exact(
     query_bytes = n_queries * max(dim or 0, 0) * 8
     if n_queries * k > HELD_ROWS:  # no query has more hits than there are vectors
         k = min(k, max(v.count(), 1))
-    # Blocks of queries that a task can hold, together with their k best rows; no block is empty.
-    rows = max(-(-query_bytes // max(broadcast_bytes, 1)), -(-n_queries * k // HELD_ROWS))
+    # Blocks of queries that a task can hold, together with their k best rows; every block copies the vectors.
+    rows = max(-(-n_queries // held_by_cell(dim or 0, k)), 2 if query_bytes > broadcast_bytes else 1)
     rows = min(rows, n_queries)
     if rows <= 1:
         hits = score_with_broadcast(q, v, k, metric, decimals, least=least)
@@ -508,6 +529,7 @@ def ann_lsh(
         *bucket_cells(
             lsh_buckets(q, drawn, "query_id", tables, bucket_length),
             lsh_buckets(v, drawn, "chunk_id", tables, bucket_length),
+            held_by_cell(sample["dim"], k),
             **cells,
         ),
         k,
@@ -595,7 +617,7 @@ def ann_ivf(
     # At most one value per centroid: known before planning, it prunes the partitions read.
     probed = [row["bucket"] for row in q.select("bucket").distinct().collect()]
     v = v.filter(F.col("bucket").isin(probed))
-    hits = score_cells(*bucket_cells(q, v, **cells), k, metric, decimals)
+    hits = score_cells(*bucket_cells(q, v, held_by_cell(len(centroids[0]), k), **cells), k, metric, decimals)
     return topk_per_query(hits, k)
 
 

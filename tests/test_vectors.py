@@ -200,3 +200,25 @@ def test_pairs_and_blocks_are_held_alike():
     want = sorted(map(str, pa.Table.from_batches(by_block.result(names)).to_pylist()))
     assert want == sorted(map(str, pa.Table.from_batches(by_pair.result(names)).to_pylist()))
     assert want == sorted(map(str, pa.Table.from_batches(by_number.result(names)).to_pylist()))
+
+
+def test_small_cells_wished_for_do_not_multiply_copies(case):
+    """Every bucket is probed by every query: wished-for cells of one row would copy all of it for each query."""
+    _, queries, centroids, assigned = case
+    q = queries.withColumn("vec", F.col("query_vec")).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(len(centroids) - 1))))
+    v = assigned.select("chunk_id", F.col("embedding").alias("vec"), "bucket")
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    left, right = vector.bucket_cells(q.select("query_id", "vec", "bucket"), v, 10_000, cell_rows=1, cell_queries=1)
+    vectors = right.count()
+    assert vectors <= cores * v.count()
+    assert left.count() <= max(cores * q.count(), vectors + q.count())
+
+
+def test_queries_that_a_task_should_not_hold_are_dealt_over_a_grid(case, monkeypatch):
+    index, queries, _, _ = case
+    want = vector.knn_exact(queries, index, 5)
+    monkeypatch.setattr(vector, "FEW_QUERIES", 10)
+    monkeypatch.setattr(vector, "CELL_HITS", 100)
+    got = vector.knn_exact(queries, index, 5)
+    assert "hashpartitioning(cell" in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == rows(want)
