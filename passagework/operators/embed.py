@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -12,38 +13,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.config import DEFAULT_DIM
-from passagework.functions import vectors
+from passagework.functions.text import tokens
 from passagework.sources.files import path_exists
 
 DIGEST = "digest_of_text"
 
 
+def bucket_cells(words: pa.Array, dim: int) -> np.ndarray:
+    """``row * dim + bucket`` of every token of a list column, as :func:`vectors.token_bucket` numbers buckets.
+
+    A word that stands often in a batch is hashed once.
+    """
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    bucket = np.array([int.from_bytes(md5(w).digest()[:4], "big") % dim for w in distinct], dtype=np.int64)
+    of_token = bucket[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(words)) * dim, sizes) + of_token
+
+
 def embed_hash(df: DataFrame, text_col: str, dim: int = DEFAULT_DIM, out: str = "embedding") -> DataFrame:
     """Add the hashed term-frequency vector of ``text_col``, scaled to length one.
 
-    Tokens and buckets are made in the JVM; only the bucket numbers go to NumPy,
-    which counts a whole Arrow batch at once.  Narrow: no shuffle.  A text without
+    Tokens are made in the JVM; NumPy hashes the distinct ones of an Arrow batch and counts
+    the whole batch at once.  Narrow: no shuffle.  A text without
     tokens gets the zero vector, whose cosine with anything is 0.
     """
 
     @F.arrow_udf("array<double>")
-    def count_and_scale(buckets: pa.Array) -> pa.Array:
-        n = len(buckets)
-        sizes = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False)
-        cells = np.repeat(np.arange(n), sizes) * dim + buckets.flatten().to_numpy(zero_copy_only=False)
-        counts = np.bincount(cells, minlength=n * dim).reshape(n, dim).astype(np.float64)
+    def count_and_scale(words: pa.Array) -> pa.Array:
+        n = len(words)
+        counts = np.bincount(bucket_cells(words, dim), minlength=n * dim).reshape(n, dim).astype(np.float64)
         lengths = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = counts / np.where(lengths > 0, lengths, 1.0)
         offsets = np.arange(n + 1, dtype=np.int32) * dim
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()))
 
-    return df.withColumn(out, count_and_scale(vectors.token_buckets(F.col(text_col), dim)))
+    return df.withColumn(out, count_and_scale(tokens(F.col(text_col))))
 
 
 def embed_hash_sparse(df: DataFrame, text_col: str, dim: int = DEFAULT_DIM) -> DataFrame:
     """One row per (row, bucket) with its token count, columns ``bucket`` and ``cnt``."""
     kept = [c for c in df.columns if c != text_col]
-    run = F.explode(vectors.hash_counts(F.col(text_col), dim)).alias("run")
+
+    @F.arrow_udf("array<struct<bucket:int,cnt:int>>")
+    def count(words: pa.Array) -> pa.Array:
+        cell, times = np.unique(bucket_cells(words, dim), return_counts=True)
+        runs = pa.StructArray.from_arrays([pa.array((cell % dim).astype(np.int32)), pa.array(times.astype(np.int32))], ["bucket", "cnt"])
+        ends = np.searchsorted(cell, np.arange(len(words) + 1) * dim).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), runs)
+
+    run = F.explode(count(tokens(F.col(text_col)))).alias("run")
     return df.select(*kept, run).select(*kept, "run.bucket", "run.cnt")
 
 
