@@ -74,9 +74,10 @@ def keyword_bm25(
     """The ``k`` best chunks of every query by BM25; a chunk without a query word is no hit.
 
     ``stored_postings`` are the saved :func:`posting_blocks` of the same chunks and fields:
-    then no text is read, and only the postings of the query words.  Queries are answered in
-    turns if their words or hits are more than a task should hold.  ``tokenization='field'``
-    takes the whole text as one word (:func:`whole_field_hits`).
+    then no text is read, and only the postings of the query words.  Inside a task queries take
+    turns of ``broadcast_rows`` words of queries at each block of chunks, so the chunks are read once for
+    all turns; they are read again only for queries whose words or hits are more than a task should
+    hold.  ``tokenization='field'`` takes the whole text as one word (:func:`whole_field_hits`).
     """
     if tokenization == "field":
         return whole_field_hits(queries, chunks, k)
@@ -86,16 +87,16 @@ def keyword_bm25(
     n_terms, n_queries = terms.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
     if n_queries * k > HELD_ROWS:  # no query has more hits than there are chunks
         k = min(k, max(chunks.count(), 1))
-    turns = max(1, -(-n_terms // broadcast_rows), -(-n_queries * k // HELD_ROWS))
-    own = F.pmod(F.xxhash64("query_id"), F.lit(turns))
+    passes = max(1, -(-n_terms // max(broadcast_rows, BROADCAST_ROWS)), -(-n_queries * k // HELD_ROWS))
+    own = F.pmod(F.xxhash64("query_id"), F.lit(passes))
     found = []
-    for turn in range(turns):
-        some = terms.filter(own == turn) if turns > 1 else terms
+    for number in range(passes):
+        some = terms.filter(own == number) if passes > 1 else terms
         if stored_postings is None:
             rows, counts = scan_chunks(some, chunks, fields)
-            found.append(score_words(some, rows, counts, max(k, 1), k1, b, decimals))
+            found.append(score_words(some, rows, counts, max(k, 1), k1, b, decimals, broadcast_rows))
         else:
-            found.append(score_blocks(some, stored_postings, max(k, 1), k1, b, decimals, collection))
+            found.append(score_blocks(some, stored_postings, max(k, 1), k1, b, decimals, collection, broadcast_rows))
     return topk_per_query(reduce(DataFrame.unionAll, found), k)
 
 
@@ -208,8 +209,27 @@ def block_frequencies(pairs: pa.Table, blocks: DataFrame, collection: Collection
     return entries, Counts(collection.n, collection.avgdl, {token: r["df"] for token, r in found.items()})
 
 
+def query_tiles(query: np.ndarray, n_queries: int, rows: int) -> list[tuple[int, int]]:
+    """``(first, end)`` of successive queries that are scored at once: at most ``QUERY_TILE``, with at most
+    ``rows`` words together (or a single query with more).  ``query`` numbers the query of each word, in order."""
+    ends, tiles, first = np.searchsorted(query, np.arange(n_queries + 1)), [], 0
+    while first < n_queries:
+        fits = int(np.searchsorted(ends, ends[first] + rows, side="right")) - 1
+        end = min(max(fits, first + 1), first + QUERY_TILE, n_queries)
+        tiles.append((first, end))
+        first = end
+    return tiles
+
+
 def score_blocks(
-    terms: DataFrame, blocks: DataFrame, k: int, k1: float, b: float, decimals: int, collection: Collection | None = None
+    terms: DataFrame,
+    blocks: DataFrame,
+    k: int,
+    k1: float,
+    b: float,
+    decimals: int,
+    collection: Collection | None = None,
+    tile_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The best hits of every task, from saved postings.
 
@@ -230,12 +250,13 @@ def score_blocks(
         if not len(vocabulary):
             return
         ends = np.searchsorted(query, np.arange(len(query_ids) + 1))
+        tiles = query_tiles(query, len(query_ids), tile_rows)
         best = BestRows(len(query_ids), k, decimals, positive=True)
         for part in runs(batches, "block"):
-            offer_block(best, part, vocabulary, ends, token, weight)
+            offer_block(best, part, vocabulary, tiles, ends, token, weight)
         yield from best.result(query_ids)
 
-    def offer_block(best, part, vocabulary, ends, token, weight):
+    def offer_block(best, part, vocabulary, tiles, ends, token, weight):
         names = part.column("token")
         is_head = pc.equal(names, HEADER).to_numpy(zero_copy_only=False)
         if not is_head.any() or is_head.all():
@@ -258,8 +279,8 @@ def score_blocks(
         most = held.column("max_tf").to_numpy().astype(np.float64)
         bound = most * (k1 + 1) / (most + k1 * (1 - b + b * held.column("min_dl").to_numpy() / avgdl))
         ids = head.column("chunk_ids").flatten()
-        for first in range(0, len(ends) - 1, QUERY_TILE):
-            tile = range(first, min(first + QUERY_TILE, len(ends) - 1))
+        for first, end in tiles:
+            tile = range(first, end)
             scores = np.zeros((len(tile), len(dl)))
             for q in tile:
                 words = token[ends[q] : ends[q + 1]]
@@ -340,17 +361,18 @@ class WordScorer:
         self.gain = gain.reshape(len(block), len(self.used))
         return True
 
-    def scores(self, first: int) -> np.ndarray:
-        """``(queries, chunks)`` of the tile that begins with query ``first``."""
-        tile = slice(*np.searchsorted(self.query, (first, first + QUERY_TILE)))
+    def scores(self, first: int, end: int | None = None) -> np.ndarray:
+        """``(queries, chunks)`` of the queries from ``first`` up to ``end``, or of the tile that begins there."""
+        end = min(first + QUERY_TILE, self.n_queries) if end is None else end
+        tile = slice(*np.searchsorted(self.query, (first, end)))
         q, c = self.query[tile] - first, self.column_of[self.token[tile]]
-        weights = np.zeros((min(QUERY_TILE, self.n_queries - first), len(self.used)))
+        weights = np.zeros((end - first, len(self.used)))
         weights[q[c >= 0], c[c >= 0]] = self.weight[self.token[tile][c >= 0]]
         return weights @ self.gain.T
 
 
 def score_words(
-    terms: DataFrame, rows: DataFrame, counts: Counts, k: int, k1: float, b: float, decimals: int
+    terms: DataFrame, rows: DataFrame, counts: Counts, k: int, k1: float, b: float, decimals: int, tile_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """The best hits of every task, from the words of each chunk.
 
@@ -368,12 +390,13 @@ def score_words(
             return
         best = BestRows(len(query_ids), k, decimals, positive=True)
         scorer = WordScorer(vocabulary, query, token, weight, len(query_ids), avgdl, k1, b)
+        tiles = query_tiles(query, len(query_ids), tile_rows)
         for batch in batches:
             for start in range(0, len(batch), SCAN_ROWS):
                 block = batch.slice(start, SCAN_ROWS)
                 if scorer.take(block):
-                    for first in range(0, len(query_ids), QUERY_TILE):
-                        best.offer(first, scorer.scores(first), block.column("chunk_id"))
+                    for first, end in tiles:
+                        best.offer(first, scorer.scores(first, end), block.column("chunk_id"))
         yield from best.result(query_ids)
 
     return rows.mapInArrow(score, hit_schema(terms, rows))

@@ -406,3 +406,14 @@ def test_whole_field_hits(spark, library):
     want = sorted(c for c, t in stored if t == "the same text")[:4]
     got = keyword.keyword_bm25(queries, chunks, 4, tokenization="field").orderBy("rank").collect()
     assert [(r.query_id, r.chunk_id) for r in got] == [(1, c) for c in want]
+
+
+def test_turns_of_queries_read_the_chunks_once(spark, monkeypatch):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    chunks = spark.createDataFrame([(f"c{i:02}", " ".join(words[i % 7 : i % 7 + 1 + i % 4])) for i in range(60)], "chunk_id string, content string")
+    queries = spark.createDataFrame([(i, " ".join(words[i % 10 :] + words[: i % 3])) for i in range(30)], "query_id int, query string")
+    want, passes, scan = as_set(keyword.keyword_bm25(queries, chunks, 5)), [], keyword.scan_chunks
+    monkeypatch.setattr(keyword, "scan_chunks", lambda *args: passes.append(1) or scan(*args))
+    assert as_set(keyword.keyword_bm25(queries, chunks, 5, broadcast_rows=12)) == want
+    assert len(passes) == 1
+    assert keyword.query_tiles(np.array([0, 0, 0, 1, 3, 3, 4]), 5, 2) == [(0, 1), (1, 3), (3, 4), (4, 5)]
