@@ -36,6 +36,7 @@ from passagework.sources.manifests import (
     publish,
     read_manifest,
 )
+from passagework.sources.scratch import written
 
 log = logging.getLogger(__name__)
 
@@ -182,9 +183,9 @@ def new_segment(spark, path, manifest, chunks, embed, dedupe, documents) -> tupl
     """Write what ``chunks`` adds to the index of ``manifest``: its segment and the removals."""
     removed, fresh = [], chunks
     if dedupe:
-        fresh = chunks.dropDuplicates(["chunk_id"])
+        fresh, marks = taken_once(chunks)
         if manifest["segments"]:
-            fresh, changed = split_known(fresh, read_all(spark, path, manifest), documents)
+            fresh, changed = split_known(fresh, marks, read_all(spark, path, manifest), documents)
             removed = removal(spark, path, changed, len(manifest["segments"]))
     if embed is not None:
         fresh = embed(fresh)
@@ -248,15 +249,44 @@ def compact_index(spark: SparkSession, path: str) -> None:
     raise ConcurrentWrite(f"The index at {path} was written by other jobs {ATTEMPTS} times meanwhile")
 
 
-def split_known(chunks: DataFrame, stored: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The chunks to add, and the ids of the documents that they replace or that are empty now."""
-    keyed = chunks.withColumn("digest", F.xxhash64("content"))
-    ids = keyed.select("doc_id", "chunk_id")
+def few_or_all(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` of a written table, for broadcast if they are counted to be few, and their number (or one more than few)."""
+    n = rows.limit(BROADCAST_ROWS + 1).count()
+    return (F.broadcast(rows) if n <= BROADCAST_ROWS else rows), n
+
+
+def taken_once(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``chunks`` with each ``chunk_id`` once, and their marks ``(chunk_id, doc_id, digest)`` in the shared folder.
+
+    Only marks are shuffled: texts stay where they are made, but for those whose id stands twice.
+    """
+    digest = F.xxhash64("content").alias("digest")
+    marks = written(chunks.select("chunk_id", "doc_id", digest), "marks")
+    own = F.struct("digest", "doc_id")
+    counted = marks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("taken")).where("n > 1")
+    twice, n = few_or_all(written(counted.select(F.col("chunk_id").alias("twice"), "taken"), "twice"))
+    if not n:
+        return chunks, marks
+
+    def once(rows: DataFrame) -> DataFrame:
+        same = F.col("chunk_id").eqNullSafe(F.col("twice"))
+        copies = rows.join(twice, same).where(own.eqNullSafe(F.col("taken"))).select(rows.columns)
+        return rows.join(twice, same, "left_anti").unionByName(copies.dropDuplicates(["chunk_id"]))
+
+    return once(chunks.withColumn("digest", digest)).select(chunks.columns), written(once(marks), "marks")
+
+
+def split_known(chunks: DataFrame, marks: DataFrame, stored: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The chunks to add, and the ids of the documents that they replace or that are empty now.
+
+    ``marks`` are those of :func:`taken_once`: what is new is found from them.  The texts are shuffled
+    only if both the documents to add and those to leave out are many.
+    """
     known = stored.select("doc_id", "chunk_id", "digest")
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         # A few new documents find their like in one scan; what is stored is not shuffled.
-        docs = F.broadcast(ids.select("doc_id").distinct())
-        loose = F.broadcast(ids.where(F.col("doc_id").isNull()).select("chunk_id"))
+        docs = F.broadcast(marks.select("doc_id").distinct())
+        loose = F.broadcast(marks.where(F.col("doc_id").isNull()).select("chunk_id"))
         whole = known.join(docs, "doc_id", "left_semi")
         known = whole.unionByName(known.where(F.col("doc_id").isNull()).join(loose, "chunk_id", "left_semi").select(whole.columns))
 
@@ -265,15 +295,26 @@ def split_known(chunks: DataFrame, stored: DataFrame, documents: DataFrame | Non
         return rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(mark.alias(name))
 
     # a chunk inserted twice with dedupe=False counts once
-    both = signature(keyed, "new").join(signature(known.distinct(), "old"), "doc_id")
-    same, changed = both.where(F.col("new") == F.col("old")), both.where(F.col("new") != F.col("old"))
-    named = chunks.where(F.col("doc_id").isNotNull()).join(same.select("doc_id"), "doc_id", "left_anti")
-    loose = chunks.where(F.col("doc_id").isNull()).join(known.select("chunk_id"), "chunk_id", "left_anti")
-    added = named.select(chunks.columns).unionByName(loose.select(chunks.columns))
-    changed = changed.select("doc_id")
+    both = signature(marks, "new").join(signature(known.distinct(), "old"), "doc_id", "left")
+    old = F.when(F.col("old").isNull(), "new").when(F.col("new") == F.col("old"), "same").otherwise("changed")
+    judged = written(both.select("doc_id", old.alias("state")), "judged")
+    same, n_same = few_or_all(judged.where("state = 'same'").select("doc_id"))
+    other, n_other = few_or_all(judged.where("state <> 'same'").select("doc_id"))
+    if not n_same:
+        added = chunks.where(F.col("doc_id").isNotNull())
+    elif not n_other:
+        added = chunks.limit(0)
+    elif n_other <= BROADCAST_ROWS < n_same:
+        added = chunks.join(other, "doc_id", "left_semi").select(chunks.columns)
+    else:
+        added = chunks.where(F.col("doc_id").isNotNull()).join(same, "doc_id", "left_anti").select(chunks.columns)
+    if marks.where(F.col("doc_id").isNull()).limit(1).count():
+        loose = chunks.where(F.col("doc_id").isNull()).join(known.select("chunk_id"), "chunk_id", "left_anti")
+        added = added.unionByName(loose.select(chunks.columns))
+    changed = judged.where("state = 'changed'").select("doc_id")
     if documents is not None:
         read = documents.select(F.col("doc_id").cast("string").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-        empty = read.join(chunks.select("doc_id"), "doc_id", "left_anti")
+        empty = read.join(marks.select("doc_id"), "doc_id", "left_anti")
         held = stored.select("doc_id").join(empty, "doc_id", "left_semi").distinct()
         changed = changed.unionAll(held)
     return added, changed

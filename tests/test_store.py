@@ -252,3 +252,25 @@ def test_refresh_follows_the_files(spark, tmp_path):
     assert held(refresh_index(spark, str(tmp_path), embed=noted)) == [("a.md", "one edited"), ("d.md", "four"), ("e.md", "five")]
     assert seen.value == before + 2
     assert held(refresh_index(spark, str(tmp_path), embed=noted)) == [("a.md", "one edited"), ("d.md", "four"), ("e.md", "five")]
+
+
+def test_appends_shuffle_marks_and_no_texts(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    rows = [(i, f"text number {i} " * 3) for i in range(40)]
+    store.append_index(spark, path, chunks_of(spark, *rows[:20]), vectors)
+    seen, write = [], store.write_segment
+    monkeypatch.setattr(store, "write_segment", lambda index, *rest: seen.append(index) or write(index, *rest))
+    store.append_index(spark, path, chunks_of(spark, (0, "another text"), *rows[1:]), vectors)
+    assert "Exchange hashpartitioning" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert texts(store.load_index(spark, path)) == texts(chunks_of(spark, (0, "another text"), *rows[1:]))
+
+
+def test_of_chunks_that_stand_twice_one_is_taken(spark, tmp_path):
+    path = str(tmp_path / "index")
+    old, new = chunks_of(spark, (1, "first text"), (2, "same")), chunks_of(spark, (1, "other text"), (3, "more"))
+    store.append_index(spark, path, old.unionAll(new).unionAll(old), vectors)
+    held = texts(store.load_index(spark, path))
+    assert [i for i, _ in held] == ["1", "2", "3"]
+    assert held[0][1] in ("first text", "other text")
+    store.append_index(spark, path, old.unionAll(new), vectors)
+    assert texts(store.load_index(spark, path)) == held
