@@ -10,6 +10,7 @@ from passagework.operators.embed import embed_hash
 from passagework.sources.files import documents_from_table
 from passagework.sources.scratch import scratch_path as scratch
 
+SPREAD = 4  # parts that a split of 128 MB (``spark.sql.files.maxPartitionBytes``) is dealt over
 SUFFIXES = (".md", ".mdx", ".txt", ".ts", ".js", ".json", ".py")
 
 
@@ -20,10 +21,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows evenly over the cores when a table lies in fewer files than there are cores.
 
-    A table of many files is read by as many tasks anyway and is left as it is.
+    A table of many files is read by as many tasks anyway and is left as it is.  A large table gets
+    ``SPREAD`` parts for each split that Spark reads of it, so that a part does not grow with the table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores if splits <= cores else SPREAD * splits)
 
 
 def source_path() -> Column:
