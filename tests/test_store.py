@@ -274,3 +274,20 @@ def test_of_chunks_that_stand_twice_one_is_taken(spark, tmp_path):
     assert held[0][1] in ("first text", "other text")
     store.append_index(spark, path, old.unionAll(new), vectors)
     assert texts(store.load_index(spark, path)) == held
+
+
+def test_parts_of_a_large_table_do_not_grow(spark, tmp_path):
+    from passagework.checks import inputs
+
+    spark.range(20_000).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    cores, table = spark.sparkContext.defaultParallelism, lambda: spark.read.parquet(str(tmp_path / "t"))
+    assert inputs.spread(table()).rdd.getNumPartitions() == cores
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+        splits = table().rdd.getNumPartitions()
+        assert splits > cores
+        assert inputs.spread(table()).rdd.getNumPartitions() == inputs.SPREAD * splits
+        assert inputs.spread(table()).count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
