@@ -14,7 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagework.config import BROADCAST_BYTES, BROADCAST_ROWS, DEFAULT_LIMIT, HELD_ROWS, METRICS, SCORE_DECIMALS
-from passagework.functions.vectors import unit
 from passagework.operators.best import BestRows
 from passagework.operators.choices import FILTERS, Choices
 from passagework.operators.topk import topk_per_query
@@ -554,12 +555,19 @@ def ivf_train(
     ``fraction`` trains on a sample; it only moves the centroids, every vector is
     assigned to one of them by :func:`ivf_assign`.
     """
-    points = index.dropna(subset=["embedding"]).select(
-        array_to_vector(unit(F.col("embedding").cast("array<double>"))).alias("features")
-    )
+    # kept on disk: a vector is made once, however often it is read, and takes no heap; a filter
+    # above the embedder itself would be pushed below it and run it twice
+    vectors = index.select(F.col("embedding").cast("array<double>").alias("embedding")).persist(StorageLevel.DISK_ONLY)
+    raw = vectors.dropna(subset=["embedding"]).select(array_to_vector("embedding").alias("raw"))
+    points = Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(raw).select("features")
     if fraction < 1.0:
         points = points.sample(fraction, seed=seed)
-    return np.array(KMeans(k=nlist, seed=seed, maxIter=iterations).fit(points).clusterCenters())
+    points = points.persist(StorageLevel.DISK_ONLY)
+    try:
+        return np.array(KMeans(k=nlist, seed=seed, maxIter=iterations).fit(points).clusterCenters())
+    finally:
+        points.unpersist()
+        vectors.unpersist()
 
 
 def nearest_centroids(df: DataFrame, vec_col: str, centroids: np.ndarray, count: int) -> Column:

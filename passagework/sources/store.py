@@ -67,8 +67,9 @@ def write_segment(index: DataFrame, path: str, layout: dict) -> dict:
     segment = {"chunks": f"chunks={tag}", "postings": None, "files": None, "buckets": None, "graph": None}
     rows, seen = with_stored_columns(index), Observation()
     if layout["bucketed"]:
-        # a bucket's rows go to few files, not to one file of every task
-        rows = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
+        # a bucket's rows go to few files, not to one file of every task; their number grows with
+        # the rows, so what a task sorts and writes does not
+        rows = rows.hint("rebalance", "bucket")
     elif layout["by_date"]:
         rows = rows.repartitionByRange(layout["by_date"], "modified_at").sortWithinPartitions("modified_at")
     writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write

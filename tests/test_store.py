@@ -1,6 +1,7 @@
 """The saved index: manifests, buckets, postings, edits."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,33 @@ def test_parts_of_a_large_table_do_not_grow(spark, tmp_path):
         assert inputs.spread(table()).count() == 20_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_files_of_a_bucket_grow_with_its_rows(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.sha2(F.col("id").cast("string"), 512)).alias("content"))
+    chunks = chunk_fixed(documents_from_table(docs.repartition(16), content="content", source=F.lit("a.md")), 1000, 0)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16k")
+    try:
+        store.write_index(vectors(chunks), path, True, np.eye(1, 16))
+    finally:
+        spark.conf.set(size, before)
+    index = store.load_index(spark, path)
+    assert index.count() == 4000 and index.select("bucket").distinct().count() == 1
+    assert len(index.inputFiles()) > 8
+
+
+def test_training_embeds_a_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("array<double>")
+    def model(texts: pa.Array) -> pa.Array:
+        seen.add(len(texts))
+        return pa.array([None if t.as_py() == "none" else [float(len(t.as_py())), 1.0] for t in texts], pa.list_(pa.float64()))
+
+    texts = spark.createDataFrame([("a" * i,) for i in range(1, 40)] + [("none",)], "content string")
+    centroids = vector.ivf_train(texts.withColumn("embedding", model("content")), 2, iterations=5)
+    assert centroids.shape == (2, 2)
+    assert seen.value == 40
