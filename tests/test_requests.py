@@ -1,10 +1,12 @@
 """Filters, includes and limits of single requests."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from passagework.config import SearchConfig
-from passagework.operators import filters, vector
+from passagework.operators import embed, filters, hybrid, keyword, vector
 from passagework.operators.hybrid import hybrid_search
 from passagework.operators.keyword import keyword_bm25
 from passagework.plans.build import build_index
@@ -158,3 +160,45 @@ def test_hybrid_search_with_saved_postings(spark, index, tmp_path):
     again = sorted(map(tuple, search(queries, stored, config).select(keep).collect()))
     assert again != want
     assert sorted(map(tuple, search(queries, stored, config, postings=store.load_postings(spark, path)).select(keep).collect())) == again
+
+
+def test_limits_beyond_the_table_take_one_pass(spark, index, monkeypatch):
+    """Queries that want everything are neither dealt over a grid nor answered one at a time."""
+    n = 30
+    q = spark.createDataFrame([(i, "red apple") for i in range(n)], "query_id int, query string")
+    q = embed.embed_hash(q, "query", 256, "query_vec").withColumn("alpha", F.lit(0.5))
+    no_filter = {"document_types": "array<string>", "source_pattern": "string", "date_from": "timestamp", "date_to": "timestamp"}
+    filtered = q.withColumns({c: F.lit(None).cast(kind) for c, kind in no_filter.items()})
+    rows = lambda hits: sorted(map(tuple, hits.select("query_id", "rank", "chunk_id", "score").collect()))
+    asked = [lambda: vector.knn_exact(q, index, 2**31 - 1), lambda: vector.knn_filtered(filtered, index, 2**31 - 1), lambda: hybrid.exact_fusion(q, index, 2**31 - 1)]
+    want = [rows(ask()) for ask in asked]
+    assert [len(rows_) for rows_ in want] == [6 * n] * 3
+    for module in (vector, hybrid):
+        monkeypatch.setattr(module, "HELD_ROWS", 12)
+    monkeypatch.setattr(vector, "score_cells", None)
+    passes = {"score_filtered": 0, "fuse_turn": 0}
+    for module, name in ((vector, "score_filtered"), (hybrid, "fuse_turn")):
+        def counted(*args, run=getattr(module, name), name=name):
+            passes[name] += 1
+            return run(*args)
+
+        monkeypatch.setattr(module, name, counted)
+    assert [rows(ask()) for ask in asked] == want
+    assert passes == {"score_filtered": 1, "fuse_turn": 1}
+    some = [vector.knn_exact(q, index, 2**31 - 1, least=0.9), hybrid.exact_fusion(q, index, 2**31 - 1, least=0.9)]
+    assert [rows(hits) for hits in some] == [[r for r in rows_ if r[3] >= 0.9] for rows_ in (want[0], want[2])]
+    turns = vector.knn_exact(q, index, 2**31 - 1, broadcast_bytes=8 * 256 * 8)
+    assert rows(turns) == want[0]
+
+
+def test_words_of_queries_are_added_up_alike(monkeypatch):
+    words = [["a", "b", "b"], ["c"], ["x"], ["a", "d", "e", "a"]]
+    block = pa.record_batch({"dl": pa.array([3, 1, 1, 4]), "words": pa.array(words)})
+    query, token, weight = np.array([0, 0, 0, 2, 2]), np.array([1, 0, 1, 4, 2]), np.array([1.5, 0.5, 2.0, 1.0, 3.0])
+    got = []
+    for dense in (0, 10**9):
+        monkeypatch.setattr(keyword, "DENSE_WORDS", dense)
+        scorer = keyword.WordScorer(pa.array(list("abcde")), query, token, weight, 3, 2.0, 1.2, 0.75)
+        assert scorer.take(block)
+        got.append(scorer.scores(0))
+    assert np.allclose(*got) and (got[0] > 0).tolist() == [[True, False, False, True], [False] * 4, [False, True, False, True]]
