@@ -202,3 +202,20 @@ def test_words_of_queries_are_added_up_alike(monkeypatch):
         assert scorer.take(block)
         got.append(scorer.scores(0))
     assert np.allclose(*got) and (got[0] > 0).tolist() == [[True, False, False, True], [False] * 4, [False, True, False, True]]
+
+
+def test_fusion_splits_each_text_once(spark, monkeypatch):
+    """Over chunks with copies, without text and without a vector; the same hits as with a scan for each step."""
+    texts = ["red apple", "green apple tree", None, "", "red red wine", "apple apple apple", "red apple", "Red, APPLE"]
+    index = spark.createDataFrame([(f"{i}#0", t) for i, t in enumerate(texts)], "chunk_id string, content string")
+    index = embed.embed_hash(index, "content").withColumn("embedding", F.when(F.col("chunk_id") != "1#0", F.col("embedding")))
+    q = spark.createDataFrame([(1, "red apple"), (2, "tree"), (3, ""), (3, "wine apple"), (None, "red")], "query_id int, query string")
+    q = embed.embed_hash(q, "query", out="query_vec").withColumn("alpha", F.lit(0.5))
+    rows = lambda k: sorted(map(str, hybrid.exact_fusion(q, index, k).select("query_id", "rank", "chunk_id", "score").collect()))
+    scans = []
+    monkeypatch.setattr(hybrid, "scan_chunks", lambda *args: scans.append(1) or keyword.scan_chunks(*args))
+    got = [rows(k) for k in (1, 3, 100)]
+    assert not scans
+    turn = hybrid.fuse_turn
+    monkeypatch.setattr(hybrid, "fuse_turn", lambda *args: turn(*args[:-1], False))
+    assert [rows(k) for k in (1, 3, 100)] == got and len(scans) == 3
