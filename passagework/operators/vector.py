@@ -34,8 +34,12 @@ CELL_ROWS = 200_000  # stored vectors that one task should score for one cell
 CELL_BYTES = 16 * 1024 * 1024  # query vectors that one task may hold for one cell ...
 CELL_HITS = 400_000  # ... and best rows of these queries
 FILTERED_ROWS = 1_024  # stored vectors that are scored at once where queries have filters
+CORE_CELLS = 2  # cells of a grid for each core, at least
 PAIRS = 200_000  # single pairs that are scored at once
 FEW_QUERIES = 8_192  # queries that are read at once, and answered without measuring them first
+DENSE = 16  # where more than a sixteenth of a block may be among the best, all of it is scored exactly
+PRODUCTS = 262_144  # products in single precision that are looked at at once
+LONGEST = 1e15  # vectors up to this length can be multiplied in single precision
 
 
 # ---- NumPy helpers that run inside tasks --------------------------------------------
@@ -74,18 +78,105 @@ def similarity(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndar
     return 1.0 / (1.0 + np.sqrt(np.maximum(square, 0.0)))
 
 
-def score_block(best: BestRows, queries: np.ndarray, vectors: np.ndarray, ids: pa.Array, metric: str) -> None:
-    """Score a block of stored vectors; the first few alone, to know early what is good."""
+def pair_similarity(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
+    """:func:`similarity` of single pairs, a row of each."""
+    if metric != "l2":
+        return np.einsum("pd,pd->p", queries, vectors)
+    apart = queries - vectors
+    return 1.0 / (1.0 + np.sqrt(np.einsum("pd,pd->p", apart, apart)))
+
+
+class Sieve:
+    """Tells which pairs of a query and a stored vector may reach a score, by products in single precision.
+
+    A product is off by at most ``error`` times the lengths of both vectors.  What is left is few and
+    scored exactly, so nothing depends on the precision but the time.  For l2 a further column
+    holds half the squared length of a vector: the product says then how near it is.
+    """
+
+    def __init__(self, queries: np.ndarray, metric: str):
+        self.queries, self.metric = queries, metric
+        self.length = np.sqrt((queries * queries).sum(axis=1))
+        self.error = (queries.shape[1] + 8) * 2.0**-23
+        self.single = self.extended(queries, 1.0)
+        self.products = np.empty(0, np.float32)
+
+    def extended(self, vectors: np.ndarray, last: float | np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):  # told by the length
+            if self.metric != "l2":
+                return vectors.astype(np.float32)
+            out = np.empty((len(vectors), vectors.shape[1] + 1), np.float32)
+            out[:, :-1], out[:, -1] = vectors, last
+        return out
+
+    def stored(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors as :meth:`offer` takes them."""
+        square = (vectors * vectors).sum(axis=1)
+        return vectors, self.extended(vectors, -square / 2.0), np.sqrt(square)
+
+    def offer(self, best: BestRows, first: int | np.ndarray, points: tuple[np.ndarray, np.ndarray, np.ndarray], ids: pa.Array) -> None:
+        """Offer ``best`` what may be among the best of the queries ``first, first + 1, ...`` (``QUERY_TILE`` at most), or of these numbers."""
+        tile = first if isinstance(first, np.ndarray) else slice(first, first + QUERY_TILE)
+        number = first if isinstance(first, np.ndarray) else np.arange(first, min(first + QUERY_TILE, len(self.queries)))
+        vectors = points[0]
+        found = self.pairs(tile, points, best.bars(number))
+        if found is None:
+            best.offer(first, similarity(self.queries[tile], vectors, self.metric), ids)
+            return
+        q, row = found
+        scores = pair_similarity(self.queries[number[q]], vectors[row], self.metric)
+        reach = scores >= best.bars(number)[q]
+        best.hold(number, q[reach], row[reach], scores[reach], ids)
+
+    def pairs(self, tile, points: tuple[np.ndarray, np.ndarray, np.ndarray], bar: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """``(query, row)`` of the pairs that may reach ``bar``; None if they are many or cannot be told."""
+        _, single, length = points
+        own = self.length[tile]
+        longest = length.max(initial=0.0)
+        if not (longest < LONGEST and own.max(initial=0.0) < LONGEST) or np.count_nonzero(np.isneginf(bar)) * DENSE > len(bar):
+            return None
+        off = self.error * own * longest
+        if self.metric == "l2":
+            with np.errstate(divide="ignore"):
+                far = np.where(bar > 0, np.maximum(1.0 / np.maximum(bar, 0.0) - 1.0, 0.0), np.inf)
+            bar, off = (own * own - far * far) / 2.0, off + self.error * (own * own + longest * longest)
+        with np.errstate(over="ignore"):
+            need = np.nextafter((bar - off).astype(np.float32), np.float32(-np.inf))
+        rows = max(1, PRODUCTS // max(len(single), 8)) // 8 * 8 or 8
+        if len(self.products) < rows * len(single):
+            self.products, self.high = np.empty(rows * len(single), np.float32), np.zeros(rows * len(single), bool)
+        found, most = [], len(own) * len(single) // DENSE
+        for start in range(0, len(own), rows):  # products that stay in a core's cache
+            queries = self.single[tile][start : start + rows]
+            size = len(queries) * len(single)
+            products, high = self.products[:size].reshape(len(queries), -1), self.high[: size + -size % 8]
+            np.matmul(queries, single.T, out=products)
+            np.greater_equal(products, need[start : start + rows, None], out=high[:size].reshape(len(queries), -1))
+            high[size:] = False
+            # eight at a time, as hardly any is high
+            some = np.flatnonzero(high.view(np.uint64) != 0)
+            word, bit = np.nonzero(high.reshape(-1, 8)[some])
+            found.append(some[word] * 8 + bit + start * len(single))
+            most -= len(found[-1])
+            if most < 0:
+                return None
+        return np.divmod(np.concatenate(found), len(single))
+
+
+def score_block(best: BestRows, sieve: Sieve, vectors: np.ndarray, ids: pa.Array) -> None:
+    """Score a block of stored vectors; of the first one few at a time, to know early what is good."""
     if not len(ids):
         return
-    few = 0 if best.rows else max(4 * best.k, 256)
-    edges = [0, *range(few, len(ids), VECTOR_TILE), len(ids)] if few else [*range(0, len(ids), VECTOR_TILE), len(ids)]
-    for start, stop in zip(edges[:-1], edges[1:]):
-        part = slice(start, stop)
-        for first in range(0, len(queries), QUERY_TILE):
-            best.offer(first, similarity(queries[first : first + QUERY_TILE], vectors[part], metric), ids[part])
-        if few and not start:
+    fresh, start = not best.rows, 0
+    while start < len(ids):
+        step = min(max(4 * best.k, 256, start), VECTOR_TILE) if fresh else VECTOR_TILE
+        part = slice(start, start + step)
+        points = sieve.stored(vectors[part])
+        for first in range(0, len(sieve.queries), QUERY_TILE):
+            sieve.offer(best, first, points, ids[part])
+        if fresh and step < VECTOR_TILE:
             best.settle()
+        start += step
 
 
 # ---- scoring plans ------------------------------------------------------------------
@@ -129,11 +220,10 @@ def score_with_broadcast(
         if query_vectors is None:
             return
         query_vectors = prepare(query_vectors, metric)
-        best = BestRows(len(query_ids), k, decimals, least=least)
+        best, sieve = BestRows(len(query_ids), k, decimals, least=least), Sieve(query_vectors, metric)
         for batch in map(with_vectors, batches):
             if len(batch):
-                vectors = prepare(matrix(batch.column("vec")), metric)
-                score_block(best, query_vectors, vectors, batch.column("chunk_id"), metric)
+                score_block(best, sieve, prepare(matrix(batch.column("vec")), metric), batch.column("chunk_id"))
         yield from best.result(query_ids)
 
     return index.mapInArrow(score, hit_schema(queries, index))
@@ -222,7 +312,9 @@ def score_probes(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_vectors, of_bucket = shared.value
-        best = BestRows(len(query_ids), k, decimals)
+        if query_vectors is None:
+            return
+        best, sieve = BestRows(len(query_ids), k, decimals), Sieve(query_vectors, metric)
         for batch in map(with_vectors, batches):
             buckets = batch.column("bucket").to_numpy(zero_copy_only=False)
             order = np.argsort(buckets, kind="stable")
@@ -231,9 +323,11 @@ def score_probes(
                 rows = batch.take(pa.array(order[start:stop]))
                 own = of_bucket[int(buckets[order[start]])]
                 stored = prepare(matrix(rows.column("vec")), metric)
-                for first in range(0, len(own), QUERY_TILE):
-                    some = own[first : first + QUERY_TILE]
-                    best.offer(some, similarity(query_vectors[some], stored, metric), rows.column("chunk_id"))
+                for at in range(0, len(stored), VECTOR_TILE):
+                    part = slice(at, at + VECTOR_TILE)
+                    points = sieve.stored(stored[part])
+                    for first in range(0, len(own), QUERY_TILE):
+                        sieve.offer(best, own[first : first + QUERY_TILE], points, rows.column("chunk_id")[part])
         yield from best.result(query_ids)
 
     return probed.mapInArrow(score, hit_schema(queries, index))
@@ -245,7 +339,8 @@ def score_cells(queries: DataFrame, index: DataFrame, k: int, metric: str, decim
     Both sides are shuffled once by cell and sorted so that the queries of a cell
     come first: a task holds those, streams the vectors past them batch by batch,
     and emits at most ``k`` rows per query.  No cell is ever held whole, and no
-    pair is emitted that is not among the best.
+    pair is emitted that is not among the best.  ``queries`` may tell in ``least`` below which score
+    a query needs none.
     """
     query_type = queries.schema["query_id"].dataType
     chunk_type = index.schema["chunk_id"].dataType
@@ -258,6 +353,7 @@ def score_cells(queries: DataFrame, index: DataFrame, k: int, metric: str, decim
         "query_id",
         F.lit(None).cast(chunk_type).alias("chunk_id"),
         F.col("vec").cast(vec_type).alias("vec"),
+        (F.col("least") if "least" in queries.columns else F.lit(None).cast("double")).alias("least"),
     )
     right = index.select(
         "cell",
@@ -265,11 +361,12 @@ def score_cells(queries: DataFrame, index: DataFrame, k: int, metric: str, decim
         F.lit(None).cast(query_type).alias("query_id"),
         "chunk_id",
         F.col("vec").cast(vec_type).alias("vec"),
+        F.lit(None).cast("double").alias("least"),
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = None
-        id_parts, vec_parts, query_ids, query_vectors, best = [], [], None, None, None
+        id_parts, vec_parts, least_parts, query_ids, sieve, best = [], [], [], None, None, None
         for batch in map(with_vectors, batches):
             cells = batch.column("cell").to_numpy(zero_copy_only=False)
             sides = batch.column("side").to_numpy(zero_copy_only=False)
@@ -279,17 +376,18 @@ def score_cells(queries: DataFrame, index: DataFrame, k: int, metric: str, decim
                 if cells[start] != current:
                     if best is not None:
                         yield from best.result(query_ids)
-                    current, best, id_parts, vec_parts = cells[start], None, [], []
+                    current, best, id_parts, vec_parts, least_parts = cells[start], None, [], [], []
                 run = batch.slice(start, stop - start)
                 vectors = prepare(matrix(run.column("vec")), metric)
                 if sides[start] == 0:
                     id_parts.append(run.column("query_id"))
                     vec_parts.append(vectors)
+                    least_parts.append(pc.fill_null(run.column("least"), -np.inf).to_numpy())
                 elif id_parts:
                     if best is None:
-                        query_ids, query_vectors = pa.concat_arrays(id_parts), np.concatenate(vec_parts)
-                        best = BestRows(len(query_ids), k, decimals)
-                    score_block(best, query_vectors, vectors, run.column("chunk_id"), metric)
+                        query_ids, sieve = pa.concat_arrays(id_parts), Sieve(np.concatenate(vec_parts), metric)
+                        best, vec_parts = BestRows(len(query_ids), k, decimals, least=np.concatenate(least_parts)), []
+                    score_block(best, sieve, vectors, run.column("chunk_id"))
         if best is not None:
             yield from best.result(query_ids)
 
@@ -361,7 +459,8 @@ def bucket_cells(
         .withColumn("block", all_of(F.col("blocks")))
     )
     cell = F.xxhash64("bucket", "part", "block").alias("cell")
-    return q.select(cell, "query_id", "vec"), v.select(cell, "chunk_id", "vec")
+    extra = ["least"] if "least" in queries.columns else []
+    return q.select(cell, "query_id", "vec", *extra), v.select(cell, "chunk_id", "vec")
 
 
 def computed_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -468,9 +567,9 @@ def score_all_turn(queries: DataFrame, index: DataFrame, metric: str, decimals:
 
 def grid_columns(spark: SparkSession, n_queries: int, n_vectors: int, rows: int) -> int:
     """Columns of the grid: one per ``CELL_ROWS`` stored vectors, but no more than move
-    as many query copies as vector copies, and at least one per core."""
+    as many query copies as vector copies, and at least as many as make ``CORE_CELLS`` cells per core."""
     balanced = rows * n_vectors // max(n_queries, 1)
-    return max(min(n_vectors // CELL_ROWS, balanced), spark.sparkContext.defaultParallelism)
+    return max(min(n_vectors // CELL_ROWS, balanced), -(-CORE_CELLS * spark.sparkContext.defaultParallelism // rows))
 
 
 def projections(dim: int, count: int, seed: int) -> np.ndarray:

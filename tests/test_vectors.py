@@ -1,12 +1,13 @@
 """Searches that leave out parts of the index: pruned buckets, probed buckets, neighbour graphs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from passagework.config import SearchConfig
 from passagework.operators import embed, graph, vector
-from passagework.operators.best import BestRows
+from passagework.operators.best import BestRows, half_up
 from passagework.operators.chunk import chunk_fixed
 from passagework.plans.search import saved_searcher, search, searcher
 from passagework.sources import store
@@ -222,3 +223,48 @@ def test_queries_that_a_task_should_not_hold_are_dealt_over_a_grid(case, monkeyp
     got = vector.knn_exact(queries, index, 5)
     assert "hashpartitioning(cell" in got._jdf.queryExecution().executedPlan().toString()
     assert rows(got) == rows(want)
+
+
+def wild(seed, n):
+    """Vectors of very different lengths, zero vectors and copies among them."""
+    rng = np.random.default_rng(seed)
+    out = rng.normal(size=(n, 24)) * 10.0 ** rng.integers(-3, 3, n)[:, None]
+    out[rng.integers(0, n, n // 50)] = 0.0
+    out[rng.integers(0, n, n // 10)] = out[0]
+    return out
+
+
+@pytest.mark.parametrize("long", [1.0, 1e30])
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_single_precision_loses_no_neighbour(metric, long):
+    asked, stored = wild(3, 60), wild(4, 7_000)
+    asked[7], stored[100], stored[101] = stored[3_000], asked[9] * long, np.nan
+    asked, stored = vector.prepare(asked, metric), vector.prepare(stored, metric)
+    ids = pa.array(np.random.default_rng(5).permutation(len(stored)))
+    best = BestRows(len(asked), 6, 6)
+    sieve = vector.Sieve(asked, metric)
+    for at in range(0, len(stored), 3_000):
+        vector.score_block(best, sieve, stored[at : at + 3_000], ids[at : at + 3_000])
+    got = [(r["query_id"], r["chunk_id"]) for b in best.result(pa.array(range(len(asked)))) for r in b.to_pylist()]
+    rounded = half_up(np.nan_to_num(vector.similarity(asked, stored, metric), nan=-np.inf), 6)
+    for i in range(len(asked)):
+        order = np.lexsort((ids.to_numpy(), -rounded[i]))[:6]
+        assert sorted(c for q, c in got if q == i) == sorted(ids.to_numpy()[order].tolist())
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_few_pairs_are_scored_exactly(metric, monkeypatch):
+    asked, stored = np.random.default_rng(6).normal(size=(2, 20_000, 16))
+    asked, scored, similarity, by_pair = asked[:300], [], vector.similarity, vector.pair_similarity
+    monkeypatch.setattr(vector, "similarity", lambda q, v, m: scored.append(len(q) * len(v)) or similarity(q, v, m))
+    monkeypatch.setattr(vector, "pair_similarity", lambda q, v, m: scored.append(len(q)) or by_pair(q, v, m))
+    best = BestRows(len(asked), 5, 6)
+    vector.score_block(best, vector.Sieve(asked, metric), stored, pa.array(range(len(stored))))
+    assert sum(scored) < len(asked) * len(stored) / 20
+
+
+def test_a_grid_has_no_more_columns_than_its_cores_need(spark):
+    """Every column copies all queries and returns ``k`` rows for each of them."""
+    cores = spark.sparkContext.defaultParallelism
+    assert vector.grid_columns(spark, 600_000, 150_000, 4 * cores) == 1
+    assert vector.grid_columns(spark, 50_000, 50_000, 2) == cores
