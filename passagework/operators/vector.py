@@ -27,6 +27,7 @@ from passagework.config import BROADCAST_BYTES, BROADCAST_ROWS, DEFAULT_LIMIT, H
 from passagework.operators.best import BestRows, rows_from
 from passagework.operators.choices import FILTERS, Choices
 from passagework.operators.topk import topk_per_query
+from passagework.sources.scratch import written
 
 QUERY_TILE = 1024  # queries scored at once inside a task ...
 VECTOR_TILE = 2048  # ... against as many stored vectors
@@ -813,7 +814,8 @@ def knn_pruned(
     ``radii`` are the :func:`bucket_radii` of ``index``.  On unit vectors the distance of a query
     from a centroid and the bucket's radius bound the score of all that is in it.  Buckets
     are read by falling bound, ``first`` for each query, then twice as many, and so on; a query
-    is done when no bucket that is left can reach its k-th score.
+    is done when no bucket that is left can reach its k-th score.  More queries than the driver should
+    read are dealt to the buckets in the same rounds, and hits stay in tables.
     """
     spark = queries.sparkSession
     q, v = vectors_only(queries, index)
@@ -824,7 +826,11 @@ def knn_pruned(
     if k <= 0 or not len(bucket):
         return empty
     k = min(k, int(size.sum()))
-    turns = max(1, -(-q.count() // min(FEW_QUERIES, max(1, HELD_ROWS // k))))
+    n_queries = q.count()
+    held = held_by_cell(len(centroids[0]), k)
+    if n_queries > FEW_QUERIES and held >= QUERY_TILE:
+        return topk_per_query(pruned_cells(q, v, centroids[bucket], bucket, radius, blank, k, decimals, first, held), k)
+    turns = max(1, -(-n_queries // min(FEW_QUERIES, max(1, HELD_ROWS // k))))
     found = []
     for turn in range(turns):
         block = with_vectors(q.filter(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).toArrow().combine_chunks())
@@ -870,3 +876,52 @@ def pruned_rounds(block, bound, bucket, queries, index, k, decimals, first) -> l
                 floor[i] = held[i][-1]
         done += count
     return tables
+
+
+def pruned_cells(
+    queries: DataFrame, index: DataFrame, centroids: np.ndarray, bucket: np.ndarray, radius: np.ndarray, blank: np.ndarray, k: int, decimals: int, first: int, held: int
+) -> DataFrame:
+    """The best hits of any number of queries, found in the rounds of :func:`pruned_rounds`.
+
+    In each round the queries are dealt to the buckets that can still reach their k-th score so far,
+    and meet their vectors in cells; the hits of a round are written, no row of them comes to the driver.
+    """
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast((centroids, bucket, radius, blank))
+    found, floors, done = None, None, 0
+    while done < len(bucket):
+        count = min(max(first, done), len(bucket) - done)
+        asked = queries.withColumn("least", F.lit(None).cast("double"))
+        if floors is not None:
+            asked = queries.join(floors, queries["query_id"].eqNullSafe(floors["of_query"]), "left").select("query_id", "vec", "least")
+        asked = written(needed_buckets(asked, shared, done, count), "probes")
+        names = [row["bucket"] for row in asked.select("bucket").distinct().collect()]  # a row for each centroid at most
+        if not names:
+            break
+        probed = index.filter(F.col("bucket").isin(names))
+        hits = written(score_cells(*bucket_cells(asked, probed, held), k, "cosine", decimals), "hits")
+        found = hits if found is None else found.unionAll(hits)
+        done += count
+        if done < len(bucket):
+            best = topk_per_query(found, k).filter(F.col("rank") == k)
+            floors = written(best.select(F.col("query_id").alias("of_query"), F.col("score").alias("least")), "floors")
+    return spark.createDataFrame([], hit_schema(queries, index)) if found is None else found
+
+
+def needed_buckets(queries: DataFrame, shared, done: int, count: int) -> DataFrame:
+    """``(query_id, vec, least, bucket)``: a row for each of the ``count`` buckets after the best ``done`` that can reach ``least``."""
+    schema = T.StructType([*queries.schema.fields, T.StructField("bucket", T.IntegerType())])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, bucket, radius, blank = shared.value
+        for batch in map(with_vectors, batches):
+            for at in range(0, len(batch), QUERY_TILE):
+                part = batch.slice(at, QUERY_TILE)
+                bound = score_bounds(prepare(matrix(part.column("vec")), "cosine"), centroids, radius, blank)
+                least = pc.fill_null(part.column("least"), -np.inf).to_numpy()
+                next_ = np.argsort(-bound, axis=1)[:, done : done + count]
+                row, place = np.nonzero(np.take_along_axis(bound, next_, axis=1) >= least[:, None])
+                columns = part.take(pa.array(row)).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bucket[next_[row, place]].astype(np.int32))], schema.names)
+
+    return queries.mapInArrow(choose, schema)

@@ -1,5 +1,7 @@
 """Searches that leave out parts of the index: pruned buckets, probed buckets, neighbour graphs."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -263,6 +265,33 @@ def test_few_pairs_are_scored_exactly(metric, monkeypatch):
     assert sum(scored) < len(asked) * len(stored) / 20
 
 
+def test_pruned_search_of_many_queries_stays_in_tables(case, monkeypatch):
+    """Queries are dealt to the buckets they need; no hit comes to the driver."""
+    index, queries, centroids, assigned = case
+    twice = queries.unionAll(queries.filter("query_id < 5")).unionAll(queries.filter("query_id = 7").withColumn("query_id", F.lit(None).cast("int")))
+    monkeypatch.setattr(vector, "FEW_QUERIES", 10)
+    monkeypatch.setattr(vector, "score_probes", None)
+    probes, needed = [], vector.needed_buckets
+
+    def counted(*args):
+        found = needed(*args)
+        probes.append(found.count())
+        return found
+
+    monkeypatch.setattr(vector, "needed_buckets", counted)
+    got = vector.knn_pruned(twice, assigned, centroids, vector.bucket_radii(assigned, centroids), 5, first=2)
+    assert {r: n for r, n in Counter(map(tuple, got.collect())).items()} == {r: n for r, n in Counter(map(tuple, vector.knn_exact(twice, index, 5).collect())).items()}
+    assert sum(probes) < 39 * 8  # of 12 buckets
+
+
+def test_pruned_search_of_many_hits_takes_turns(case, monkeypatch):
+    index, queries, centroids, assigned = case
+    monkeypatch.setattr(vector, "FEW_QUERIES", 10)
+    monkeypatch.setattr(vector, "CELL_HITS", 1_000)
+    got = vector.knn_pruned(queries, assigned, centroids, vector.bucket_radii(assigned, centroids), 5)
+    assert rows(got) == rows(vector.knn_exact(queries, index, 5))
+
+
 def test_a_grid_has_no_more_columns_than_its_cores_need(spark):
     """Every column copies all queries and returns ``k`` rows for each of them."""
     cores = spark.sparkContext.defaultParallelism
