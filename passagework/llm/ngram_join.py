@@ -9,7 +9,9 @@ the overlaps of all pairs; what sizes alone rule out is never multiplied:
   of either have one in common.  Only these columns are dealt out, and of the smaller set
   about half of them are enough.
 * The rows that share a column are brought together with the column's first row, which
-  makes blocks of rows; a column is cut where the sizes of its rows leave a gap.  Inside a block the product over the first columns
+  makes blocks of rows; a column is cut where the sizes of its rows leave a gap.  The larger the table, the more rows
+  meet by chance: first only a parity sketch of their sets is dealt, whose bits differ in no more places than
+  the sets, and a row that differs too much from all others of a block leaves it.  Inside a block the product over the first columns
   is accumulated, and a pair whose overlap there is below what the sizes demand is
   discarded.  This is exact: no pair that is similar enough is lost.
 * What is left forms clusters, and inside a cluster the product over all columns decides.
@@ -24,6 +26,8 @@ from a bounded sample of documents; it decides how much work there is, not what
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.llm.common import add_columns, discard, stored
+from passagework.llm.common import add_columns, discard, shuffles_deleted, stored
 from passagework.llm.odd_sketch import LINKS, WordHashes, components, groups, name_of, shingle_set, stars
 
 WORDS = 5  # words of an n-gram
@@ -45,6 +49,8 @@ COLUMNS = 4096  # columns of a dense block
 SPARSE_PAIRS = 64  # a column of fewer pairs is multiplied entry by entry
 EXPANDED = 4_000_000  # pairs of entries held at once
 SLICE_BYTES = 8 << 20
+SKETCHED = 4096  # rows of a block whose sketches are compared, at most
+SKETCH_PAIRS = 200_000  # pairs of sketches held at once
 SENT_ROWS = 500_000  # rows of a table that is sent to every task, at most
 
 PAIR = T.StructType([T.StructField("pivot", T.BinaryType()), T.StructField("node", T.BinaryType())])
@@ -183,10 +189,11 @@ def frequent_ngrams(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``docs`` without its text and with ``n_shingles, node, n_cold, first``.
+    """``docs`` without its text and with ``n_shingles, node, n_cold, first, sketch``.
 
     ``node`` names the set, ``first`` holds its first columns: rare n-grams by hash, then
-    frequent ones; ``n_cold`` of them are rare.  All but ``n_shingles`` are NULL for an empty set.
+    frequent ones; ``n_cold`` of them are rare.  ``sketch`` is the :func:`parity_sketch`.  All but ``n_shingles`` are
+    NULL for an empty set.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     new = [
@@ -194,12 +201,13 @@ def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
         T.StructField("node", T.BinaryType()),
         T.StructField("n_cold", T.LongType()),
         T.StructField("first", T.BinaryType()),
+        T.StructField("sketch", T.BinaryType()),
     ]
 
     def work(slices):
         known, hot = WordHashes(), shared.value
         for batch in slices:
-            counts, names, colds, firsts = [], [], [], []
+            counts, names, colds, firsts, sketches = [], [], [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist():
                 own = shingle_set(text, size, known)
                 counts.append(len(own))
@@ -207,6 +215,7 @@ def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                 if not len(own):
                     colds.append(None)
                     firsts.append(None)
+                    sketches.append(None)
                     continue
                 length = prefix_length(len(own), percent)
                 at = np.searchsorted(hot, own)
@@ -214,7 +223,8 @@ def incidence(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                 first = np.concatenate([own[~is_hot][:length], own[is_hot][: max(0, length - int((~is_hot).sum()))]])
                 colds.append(min(length, int((~is_hot).sum())))
                 firsts.append(first.tobytes())
-            yield [pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(colds, pa.int64()), pa.array(firsts, pa.binary())]
+                sketches.append(parity_sketch(own).tobytes())
+            yield [pa.array(c, f) for c, f in zip((counts, names, colds, firsts, sketches), (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()))]
 
     return add_columns(docs, new, work, leave_out=("text",), slice_bytes=SLICE_BYTES)
 
@@ -276,6 +286,98 @@ def blocks_of(classes: DataFrame, percent: int) -> DataFrame:
     return rare.mapInArrow(pivots, PAIR).unionAll(by_hot).distinct()
 
 
+# ---- rows that meet by chance -------------------------------------------------------
+
+
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """Bits, as 64-bit words, that tell of how many n-grams with the same lower bits a set has an odd number.
+
+    Where two sets differ in ``d`` n-grams their sketches differ in ``d`` bits at most.  There is a power of two of them, half as
+    many as n-grams at least (64 at least); the halves of a sketch, one over the other, are the sketch of half the bits.
+    """
+    bits = 1 << max(6, (len(own) - 1).bit_length() - 1)
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def with_partner(block: np.ndarray, size: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Whether a row of sorted ``block`` numbers has another one in its block that may be similar, as sizes and sketches tell."""
+    n = np.array([len(s) // 8 for s in sketches])
+    words = np.frombuffer(b"".join(sketches), np.uint64)
+    start = np.cumsum(n) - n
+    # sets that are similar by half have sketches of the same length or of the next one: each is held folded once, too
+    half = n // 2
+    low = np.repeat(start - (np.cumsum(half) - half), half) + np.arange(int(half.sum()))
+    folded = words[low] ^ words[low + np.repeat(half, half)]
+    held = np.concatenate([words, folded])
+    folded_at = len(words) + np.cumsum(half) - half
+    end = np.searchsorted(block, block, "right")
+    others = end - np.arange(len(block)) - 1
+    before = np.cumsum(others) - others
+    out = np.zeros(len(block), bool)
+    at = 0
+    while at < len(block):
+        stop = max(at + 1, int(np.searchsorted(before, before[at] + SKETCH_PAIRS, "right")) - 1)
+        some = others[at:stop]
+        left = np.repeat(np.arange(at, stop), some)
+        right = left + 1 + np.arange(len(left)) - np.repeat(before[at:stop] - before[at], some)
+        small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+        near = 100 * small >= percent * large
+        left, right, both = left[near], right[near], (small + large)[near]
+        allowed = both - 2 * -(-percent * both // (100 + percent))
+        shorter = np.minimum(n[left], n[right])
+        open_ = np.maximum(n[left], n[right]) > 2 * shorter  # a low limit: not told
+        out[left[open_]] = out[right[open_]] = True
+        shorter[open_] = 0
+        for width in np.unique(shorter[~open_]).tolist():
+            own = np.flatnonzero(shorter == width)
+            step = max(1, SKETCH_PAIRS // width)
+            for first in range(0, len(own), step):
+                pair = own[first : first + step]
+                sides = [np.where(n[side] == width, start[side], folded_at[side])[:, None] + np.arange(width) for side in (left[pair], right[pair])]
+                apart = np.bitwise_count(held[sides[0]] ^ held[sides[1]]).sum(axis=1, dtype=np.int64)
+                pair = pair[apart <= allowed[pair]]
+                out[left[pair]] = out[right[pair]] = True
+        at = stop
+    return out
+
+
+def not_by_chance(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``(pivot, node)`` without the rows that sketches tell to be similar to none of their block.
+
+    Blocks of more than ``SKETCHED`` rows are left as they are.
+    """
+    large = stored(pairs.groupBy("pivot").count().where(F.col("count") >= SKETCHED).select("pivot"), "large")
+    large = F.broadcast(large) if large.count() <= SENT_ROWS else large
+    small = pairs.join(large, "pivot", "left_anti")
+    whole = small.unionAll(small.select("pivot", F.col("pivot").alias("node")).distinct())
+    dealt = whole.join(classes.select("node", "n_shingles", "sketch"), "node").select("pivot", "node", "n_shingles", "sketch")
+
+    def tested(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        block = rows["pivot"].combine_chunks().dictionary_encode().indices.to_numpy()
+        partner = with_partner(block, rows["n_shingles"].to_numpy(), rows["sketch"].to_pylist(), percent)
+        kept = pc.and_(pa.array(partner), pc.not_equal(rows["pivot"], rows["node"]).combine_chunks())
+        yield from rows.select(PAIR.names).filter(kept).to_batches()
+
+    def work(batches):
+        rows = None  # the last block so far, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = pa.Table.from_batches([batch])
+            rows = batch if rows is None else pa.concat_tables([rows, batch])
+            open_ = pc.index(rows["pivot"], rows["pivot"][-1]).as_py()
+            if open_:
+                yield from tested(rows.slice(0, open_))
+                rows = rows.slice(open_)
+        if rows is not None:
+            yield from tested(rows)
+
+    kept = dealt.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(work, PAIR)
+    return kept.unionAll(pairs.join(large, "pivot", "left_semi"))
+
+
 # ---- blocks of rows -----------------------------------------------------------------
 
 
@@ -362,35 +464,36 @@ def join_rows(
     """
     slim = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
     slim = slim.withColumn("text_key", F.xxhash64("text"))
-    known = stored(incidence(slim, size, percent, frequent_ngrams(slim, size)), "incidence")
-    named = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    held = ("n_shingles", "n_cold", "first")
-    classes = named.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), *[F.first(c).alias(c) for c in held])
-    entries = (F.octet_length("first") / 8).cast("long").alias("entries")
-    classes = stored(classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), *held, entries), "classes")
-    repeated = named.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
-    rows = stored(known.select("doc_id", "n_shingles", "node"), "rows")
-    discard(known)
-    near = components(near_links(classes, percent))
-    member = near.select("node", F.col("label").alias("block")).join(classes.select("node", "rep_id", "rep_key", "n_shingles"), "node")
-    member = stored(member.select("block", "node", "rep_id", "rep_key", F.col("n_shingles").alias("entries")), "near")
-    with_text = texts_of(member, slim)
-    if repeated:
-        with_text = with_text.dropDuplicates(["block", "node"])
-
-    def read(group):
-        known, rows = WordHashes(), {}
-        for side, node, text in zip(group["side"], group["node"], group["text"]):
-            own = shingle_set(text.encode(), size, known)
-            if name_of(own) == node:
-                rows[side, node] = own
-        return rows
-
-    def wanted(left, right):
-        sizes = [np.array([len(x) for x in side]) for side in (left, right)]
-        return similar(left, right, least_overlap(*sizes, percent))
-
-    labels = components(linked_blocks(with_text, member, ["text"], read, wanted, "members"))
+    with shuffles_deleted(docs.sparkSession):
+        known = stored(incidence(slim, size, percent, frequent_ngrams(slim, size)), "incidence")
+        named = known.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+        held = ("n_shingles", "n_cold", "first", "sketch")
+        classes = named.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), *[F.first(c).alias(c) for c in held])
+        entries = (F.octet_length("first") / 8).cast("long").alias("entries")
+        classes = stored(classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"), *held, entries), "classes")
+        repeated = named.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
+        rows = stored(known.select("doc_id", "n_shingles", "node"), "rows")
+        discard(known)
+        near = components(near_links(classes, percent))
+        member = near.select("node", F.col("label").alias("block")).join(classes.select("node", "rep_id", "rep_key", "n_shingles"), "node")
+        member = stored(member.select("block", "node", "rep_id", "rep_key", F.col("n_shingles").alias("entries")), "near")
+        with_text = texts_of(member, slim)
+        if repeated:
+            with_text = with_text.dropDuplicates(["block", "node"])
+
+        def read(group):
+            known, rows = WordHashes(), {}
+            for side, node, text in zip(group["side"], group["node"], group["text"]):
+                own = shingle_set(text.encode(), size, known)
+                if name_of(own) == node:
+                    rows[side, node] = own
+            return rows
+
+        def wanted(left, right):
+            sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+            return similar(left, right, least_overlap(*sizes, percent))
+
+        labels = components(linked_blocks(with_text, member, ["text"], read, wanted, "members"))
     whole = classes.join(labels, "node", "left").select("node", "rep_id", F.coalesce("label", "node").alias("label"))
     smallest = whole.groupBy("label").agg(F.min("rep_id").alias("component_id"))
     found = whole.join(smallest, "label").select("node", "component_id")
@@ -400,17 +503,27 @@ def join_rows(
 
 
 def texts_of(member: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(block, node, text)`` of the rows that stand for a set; if they are few, they go to the texts."""
-    few = member.count() <= SENT_ROWS
-    own = F.broadcast(member) if few else member
+    """``(block, node, text)`` of the rows that stand for a set; they go to the texts, in turns if they are many.
+
+    No text but theirs is moved, however many there are.
+    """
+    turns = -(-member.count() // SENT_ROWS)
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    same = (texts.doc_id == own.rep_id) & (texts.text_key == own.rep_key)
-    return texts.join(own, same).select("block", "node", "text")
+    found = None
+    for turn in range(max(turns, 1)):
+        own = F.broadcast(member.where(F.pmod(F.xxhash64("node"), F.lit(turns)) == turn) if turns > 1 else member)
+        same = (texts.doc_id == own.rep_id) & (texts.text_key == own.rep_key)
+        some = texts.join(own, same).select("block", "node", "text")
+        some = stored(some, "texts") if turns > 1 else some
+        found = some if found is None else found.unionAll(some)
+    return found
 
 
 def near_links(classes: DataFrame, percent: int) -> DataFrame:
     """Links that connect every two rows whose first columns have the overlap that their sizes demand."""
-    pairs = stored(blocks_of(classes, percent), "pairs")
+    met = stored(blocks_of(classes, percent), "met")
+    pairs = stored(not_by_chance(met, classes, percent), "pairs")
+    discard(met)
     whole = pairs.unionAll(pairs.select("pivot", F.col("pivot").alias("node")).distinct())
     members = whole.join(shortened(classes), "node").withColumnRenamed("pivot", "block")
     sizes = whole.join(classes.select("node", "entries"), "node").withColumnRenamed("pivot", "block")

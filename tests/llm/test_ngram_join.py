@@ -98,3 +98,62 @@ def test_similar_sets_pass_the_first_columns():
         common, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         if 100 * common >= 85 * union:
             assert op.similar([rows[0][2]], [rows[1][2]], op.prefix_need([rows[0]], [rows[1]], 85))[0, 0]
+
+
+@pytest.mark.parametrize("percent", [30, 50, 80, 100])
+def test_sketches_lose_no_similar_set(monkeypatch, percent):
+    monkeypatch.setattr(op, "SKETCH_PAIRS", 7)
+    rng = np.random.default_rng(percent)
+    sets, block = [], []
+    for i, n in enumerate([1, 2, 63, 64, 65, 66, 130, 500, 1_030, 2_000, 90, 300]):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for share in (0, 0.05, 0.2, 0.5, 0.7):
+            own = base.copy()
+            own[: int(share * n)] = rng.integers(0, 2**63, int(share * n))
+            sets.append(np.unique(own[: max(1, n - int(rng.integers(0, 1 + n // 3)))]))
+            block.append(i // 2)  # sets of two sizes meet
+    got = op.with_partner(np.array(block), np.array([len(s) for s in sets]), [op.parity_sketch(s).tobytes() for s in sets], percent)
+    apart = 0
+    for i, a in enumerate(sets):
+        common = [(len(np.intersect1d(a, b)), len(np.union1d(a, b))) for j, b in enumerate(sets) if j != i and block[j] == block[i]]
+        assert got[i] or not any(100 * both >= percent * all_ for both, all_ in common)
+        apart += not got[i]
+    assert percent < 80 or apart > len(sets) // 3
+
+
+def by_chance(n):
+    """Unrelated texts of one length, each of which has passages of four words in common with many others."""
+    rng = random.Random(n)
+    passages = [" ".join(f"p{i}.{k}" for k in range(4)) for i in range(60)]
+    docs = []
+    for i in range(n):
+        parts = [" ".join(f"d{i}.{k}.{j}" for j in range(4)) for k in range(20)] + rng.sample(passages, 12)
+        rng.shuffle(parts)
+        docs.append((i, " ".join(parts)))
+    return docs + [(n + i, docs[i][1] + " more") for i in range(5)]
+
+
+def test_rows_that_meet_by_chance_are_not_dealt(spark, monkeypatch):
+    """What is dealt in full grows with the similar rows, not with the passages that happen to be in two texts."""
+    dealt, linked = [], op.linked_blocks
+
+    def counted(members, sizes, *rest):
+        dealt.append(members.count())
+        return linked(members, sizes, *rest)
+
+    monkeypatch.setattr(op, "linked_blocks", counted)
+    docs = by_chance(150)
+    rows = op.join_rows(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()
+    assert [r["component_id"] for r in sorted(rows)] == brute.near_groups(docs, 4, 85)
+    assert dealt[0] <= 60 and dealt[1] <= 20
+
+
+@pytest.mark.parametrize("sketched,sent", [(3, 2), (4096, 3)])
+def test_large_blocks_and_texts_in_turns(spark, monkeypatch, sketched, sent):
+    """Blocks too large for sketches are left as they are; texts of many rows are fetched in turns."""
+    monkeypatch.setattr(op, "SKETCHED", sketched)
+    monkeypatch.setattr(op, "SENT_ROWS", sent)
+    docs = corpus(4) + by_chance(20)
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    rows = op.join_rows(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()
+    assert [r["component_id"] for r in sorted(rows)] == brute.near_groups(docs, 4, 85)
